@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keyquarry import rules
-from keyquarry.functions.text import WHITESPACE, any_of
+from keyquarry.functions.text import WHITESPACE
 from keyquarry.sources.code import explode_lines, file_ext
 
 
@@ -20,61 +21,33 @@ def language_of(file: Column) -> Column:
     return out
 
 
-def _fixed_method(method: Column, lang: str) -> Column:
-    out = method
-    for old, new in rules.METHOD_FIXES.get(lang, {}).items():
-        out = F.when(method == old, F.lit(new)).otherwise(out)
-    return out
-
-
-def _calls(line: Column, lang: Column, services: list[str] | None, compat: bool) -> Column:
-    """array<struct<service, method, endpoint>> of every call in a line, one pass for all rules."""
-    found = []
-    for r in rules.CALL_RULES:
-        if services is None or r.service in services:
-            group = 1 if re.compile(r.regex).groups else 0
-            hits = F.transform(F.regexp_extract_all(line, F.lit(r.regex), F.lit(group)), _call_of(r, group, compat))
-            found.append(F.when((lang == r.lang) & F.contains(line, F.lit(r.needle)), hits))
-    return F.flatten(F.array_compact(F.array(*found)))
-
-
-def _call_of(r: rules.CallRule, group: int, compat: bool):
-    """Function from a matched text to struct(service, method, endpoint)."""
-    def call(m):
-        method = m if group else F.lit(r.default)
-        if group and not compat:
-            method = _fixed_method(method, r.lang)
-        endpoint = F.concat(F.lit(r.prefix + "."), method)
-        if not group and not compat and r.fixed:
-            method, endpoint = F.lit(r.fixed.split(".")[-1]), F.lit(r.fixed)
-        return F.struct(F.lit(r.service).alias("service"), method.alias("method"), endpoint.alias("endpoint"))
-
-    return call
-
-
 def extract_api_calls(
     lines: DataFrame, services: list[str] | None = None, compat: bool = True, lang: Column | None = None
 ) -> DataFrame:
     """Calls found in (…, file, line_no, line) rows: service, method, endpoint per call.
 
-    Blank and comment lines of each language are skipped.  ``compat=True`` names methods
-    exactly as written; ``compat=False`` also maps the spellings that otherwise never
-    reach a scope.
+    All rules of a language are one pattern, so a line is searched once; what a matched
+    text means is looked up in a constant-size table.  Blank and comment lines are
+    skipped.  ``compat=True`` names methods exactly as written; ``compat=False`` also maps
+    the spellings that otherwise never reach a scope.
     """
-    lang = language_of(F.col("file")) if lang is None else lang
-    text = F.ltrim(F.col("line"), F.lit(WHITESPACE))
-    comment = F.lit(False)
-    for name, marks in rules.LINE_COMMENTS.items():
-        for mark in marks:
-            comment = comment | ((F.col("_lang") == name) & F.startswith(text, F.lit(mark)))
-    needles = [r.needle for r in rules.CALL_RULES if services is None or r.service in services]
+    chosen = [r for r in rules.CALL_RULES if services is None or r.service in services]
     keep = [c for c in lines.columns if c != "line"]
+    text = F.ltrim(F.col("line"), F.lit(WHITESPACE))
+    found = F.lit(None).cast("array<string>")
+    for name in rules.LINE_COMMENTS:
+        pattern = "|".join(r.regex.replace("(", "(?:") for r in chosen if r.lang == name)
+        if pattern:
+            comment = reduce(or_, [F.startswith(text, F.lit(mark)) for mark in rules.LINE_COMMENTS[name]])
+            hits = F.regexp_extract_all(F.col("line"), F.lit(pattern), F.lit(0))
+            found = F.when((F.col("_lang") == name) & ~comment, hits).otherwise(found)
+    meanings = rules.call_texts_df(lines.sparkSession, services, compat).withColumnsRenamed({"lang": "_lang", "text": "_text"})
     return (
-        lines.filter(any_of(F.col("line"), needles))
-        .withColumn("_lang", lang)
-        .filter(F.col("_lang").isNotNull() & ~comment)
-        .select(*keep, F.explode(_calls(F.col("line"), F.col("_lang"), services, compat)).alias("_c"))
-        .select(*keep, "_c.*")
+        lines.withColumn("_lang", language_of(F.col("file")) if lang is None else lang)
+        .filter(F.col("_lang").isNotNull())
+        .select(*keep, "_lang", F.explode(found).alias("_text"))
+        .join(F.broadcast(meanings), ["_lang", "_text"])
+        .select(*keep, "service", "method", "endpoint")
     )
 
 

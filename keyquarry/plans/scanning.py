@@ -388,13 +388,11 @@ _LANG_CASE = "CASE string_split(file, '.')[-1] " + " ".join(
 
 def _calls_sql(source: str, langs=("js", "py", "go"), compat: bool = True) -> str:
     """One branch per call rule over the lines of its language."""
-    import re
-
     parts = []
     for r in rules.CALL_RULES:
         if r.lang not in langs:
             continue
-        groups = re.compile(r.regex).groups
+        groups = bool(r.methods)
         m = "m" if groups else lit(r.default)
         endpoint = f"{lit(r.prefix + '.')} || {m}"
         if not compat:

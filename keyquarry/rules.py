@@ -231,46 +231,51 @@ ENDPOINT_SCOPES = {
 # Call patterns per language
 # --------------------------------------------------------------------------
 class CallRule(NamedTuple):
-    """``regex`` has one capture group (the method) or none.
+    """Calls written as ``text`` followed by one of ``methods``.
 
-    Without a group the method is ``default``; the ``fixed`` endpoint replaces
-    ``prefix.default`` when the caller asks for corrected results.
+    Without methods the text is the whole call and its method is ``default``; the
+    ``fixed`` endpoint replaces ``prefix.default`` when corrected results are asked for.
     """
 
     lang: str
     service: str
     prefix: str
-    regex: str
-    needle: str
+    text: str
+    methods: list[str] = []
     default: str = "unknown"
     fixed: str | None = None
 
+    @property
+    def regex(self) -> str:
+        choice = f"({'|'.join(self.methods)})" if self.methods else ""
+        return self.text.replace(".", "\\.") + choice
+
 
 CALL_RULES = [
-    CallRule("js", "stripe", "customers", r"stripe\.customers\.(create|retrieve|list|update|del)", "stripe.customers."),
-    CallRule("js", "stripe", "charges", r"stripe\.charges\.(create|retrieve|list)", "stripe.charges."),
-    CallRule("js", "stripe", "paymentIntents", r"stripe\.paymentIntents\.(create|retrieve|confirm|cancel)", "stripe.paymentIntents."),
-    CallRule("js", "stripe", "subscriptions", r"stripe\.subscriptions\.(create|retrieve|list|update|cancel)", "stripe.subscriptions."),
-    CallRule("js", "openai", "chat.completions", r"openai\.chat\.completions\.create", "openai.chat.completions.", fixed="chat.completions.create"),
-    CallRule("js", "openai", "embeddings", r"openai\.embeddings\.create", "openai.embeddings.", fixed="embeddings.create"),
-    CallRule("js", "openai", "images", r"openai\.images\.generate", "openai.images.", fixed="images.generate"),
-    CallRule("js", "aws", "s3", r"s3\.(putObject|getObject|listObjects|deleteObject)", "s3."),
-    CallRule("js", "aws", "lambda", r"lambda\.invoke", "lambda.", fixed="lambda.invoke"),
-    CallRule("js", "aws", "dynamodb", r"dynamodb\.(putItem|getItem|scan|query)", "dynamodb."),
-    CallRule("js", "twilio", "messages", r"twilio\.messages\.(create|list)", "twilio.messages."),
-    CallRule("js", "twilio", "calls", r"twilio\.calls\.(create|list)", "twilio.calls."),
-    CallRule("js", "sendgrid", "send", r"sgMail\.send", "sgMail.", fixed="send"),
-    CallRule("js", "sendgrid", "templates", r"sgMail\.templates\.(create|list)", "sgMail.templates."),
-    CallRule("py", "stripe", "customers", r"stripe\.Customer\.(create|retrieve|list|update|delete)", "stripe.Customer."),
-    CallRule("py", "stripe", "charges", r"stripe\.Charge\.(create|retrieve|list)", "stripe.Charge."),
-    CallRule("py", "stripe", "subscriptions", r"stripe\.Subscription\.(create|retrieve|list|update|cancel)", "stripe.Subscription."),
-    CallRule("py", "openai", "chat.completions", r"client\.chat\.completions\.create", "client.chat.completions.", "create"),
-    CallRule("py", "openai", "embeddings", r"client\.embeddings\.create", "client.embeddings.", "create"),
-    CallRule("py", "openai", "images", r"client\.images\.generate", "client.images.", "create", fixed="images.generate"),
-    CallRule("go", "stripe", "customers", r"customer\.(New|Get|List|Update|Del)", "customer."),
-    CallRule("go", "stripe", "charges", r"charge\.(New|Get|List)", "charge."),
-    CallRule("go", "aws", "s3", r"s3Client\.(PutObject|GetObject|ListObjects|DeleteObject)", "s3Client."),
-    CallRule("go", "aws", "lambda", r"lambdaClient\.Invoke", "lambdaClient.", fixed="lambda.invoke"),
+    CallRule("js", "stripe", "customers", "stripe.customers.", ["create", "retrieve", "list", "update", "del"]),
+    CallRule("js", "stripe", "charges", "stripe.charges.", ["create", "retrieve", "list"]),
+    CallRule("js", "stripe", "paymentIntents", "stripe.paymentIntents.", ["create", "retrieve", "confirm", "cancel"]),
+    CallRule("js", "stripe", "subscriptions", "stripe.subscriptions.", ["create", "retrieve", "list", "update", "cancel"]),
+    CallRule("js", "openai", "chat.completions", "openai.chat.completions.create", fixed="chat.completions.create"),
+    CallRule("js", "openai", "embeddings", "openai.embeddings.create", fixed="embeddings.create"),
+    CallRule("js", "openai", "images", "openai.images.generate", fixed="images.generate"),
+    CallRule("js", "aws", "s3", "s3.", ["putObject", "getObject", "listObjects", "deleteObject"]),
+    CallRule("js", "aws", "lambda", "lambda.invoke", fixed="lambda.invoke"),
+    CallRule("js", "aws", "dynamodb", "dynamodb.", ["putItem", "getItem", "scan", "query"]),
+    CallRule("js", "twilio", "messages", "twilio.messages.", ["create", "list"]),
+    CallRule("js", "twilio", "calls", "twilio.calls.", ["create", "list"]),
+    CallRule("js", "sendgrid", "send", "sgMail.send", fixed="send"),
+    CallRule("js", "sendgrid", "templates", "sgMail.templates.", ["create", "list"]),
+    CallRule("py", "stripe", "customers", "stripe.Customer.", ["create", "retrieve", "list", "update", "delete"]),
+    CallRule("py", "stripe", "charges", "stripe.Charge.", ["create", "retrieve", "list"]),
+    CallRule("py", "stripe", "subscriptions", "stripe.Subscription.", ["create", "retrieve", "list", "update", "cancel"]),
+    CallRule("py", "openai", "chat.completions", "client.chat.completions.create", default="create"),
+    CallRule("py", "openai", "embeddings", "client.embeddings.create", default="create"),
+    CallRule("py", "openai", "images", "client.images.generate", default="create", fixed="images.generate"),
+    CallRule("go", "stripe", "customers", "customer.", ["New", "Get", "List", "Update", "Del"]),
+    CallRule("go", "stripe", "charges", "charge.", ["New", "Get", "List"]),
+    CallRule("go", "aws", "s3", "s3Client.", ["PutObject", "GetObject", "ListObjects", "DeleteObject"]),
+    CallRule("go", "aws", "lambda", "lambdaClient.Invoke", fixed="lambda.invoke"),
 ]
 LANG_OF_EXT = {"js": "js", "ts": "js", "jsx": "js", "tsx": "js", "py": "py", "go": "go"}
 LINE_COMMENTS = {"js": ["//", "*"], "py": ["#"], "go": ["//"]}
@@ -375,7 +380,8 @@ HTTP_CODE_NAMES = {
 def _local(spark: SparkSession, rows, ddl: str) -> DataFrame:
     """Rows held in the plan itself, so the optimizer knows how few they are."""
     schema = T._parse_datatype_string(ddl)
-    columns = [pa.array(list(c), type=to_arrow_type(f.dataType)) for c, f in zip(zip(*rows), schema.fields)]
+    values = list(zip(*rows)) or [()] * len(schema)
+    columns = [pa.array(list(c), type=to_arrow_type(f.dataType)) for c, f in zip(values, schema.fields)]
     return spark.createDataFrame(pa.Table.from_arrays(columns, names=schema.names), schema)
 
 
@@ -424,5 +430,21 @@ def service_scopes_df(spark: SparkSession) -> DataFrame:
     return _local(spark, rows, "service string, scope string")
 
 
+def call_texts_df(spark: SparkSession, services: list[str] | None = None, compat: bool = True) -> DataFrame:
+    """Every text the call rules match, with the service, method and endpoint it means."""
+    rows = []
+    for r in CALL_RULES:
+        if services is not None and r.service not in services:
+            continue
+        for m in r.methods:
+            method = m if compat else METHOD_FIXES.get(r.lang, {}).get(m, m)
+            rows.append((r.lang, r.text + m, r.service, method, f"{r.prefix}.{method}"))
+        if not r.methods:
+            endpoint = f"{r.prefix}.{r.default}" if compat or not r.fixed else r.fixed
+            method = r.default if compat or not r.fixed else r.fixed.split(".")[-1]
+            rows.append((r.lang, r.text, r.service, method, endpoint))
+    return _local(spark, rows, "lang string, text string, service string, method string, endpoint string")
+
+
 def supported_services(spark: SparkSession) -> DataFrame:
     return _local(spark, [(r.service,) for r in SERVICE_RULES], "service string").orderBy("service")

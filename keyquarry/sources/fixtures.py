@@ -71,7 +71,7 @@ SELECT concat('c', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VA
  concat('KEY_', CAST(o_orderkey + CASE WHEN l_linenumber = 1 THEN 0 ELSE 1000000 * l_linenumber END AS VARCHAR(20))) AS name,
  concat('p', CAST(o_custkey % 20 AS VARCHAR(9))) AS project,
  CASE o_orderstatus WHEN 'F' THEN 'dev' WHEN 'O' THEN 'staging' ELSE 'prod' END AS environment,
- md5(CAST(l_extendedprice AS VARCHAR(30))) AS value_encrypted, l_shipdate AS at
+ md5(concat(CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9)))) AS value_encrypted, l_shipdate AS changed_at
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 5 = 0""",
     "audit_logs": """
 SELECT event_id AS id, CAST(event_id % 997 AS VARCHAR(20)) AS secret_id, CAST(user_id AS VARCHAR(20)) AS user_id,
@@ -149,7 +149,7 @@ def sql(spark: SparkSession, sf: str, text: str) -> DataFrame:
     for t in _TABLES:
         if re.search(rf"\b{t}\b", text):
             table(spark, sf, t).createOrReplaceTempView(t)
-    text = re.sub(r"sha256\((concat\([^)]*\)[^)]*\))\)", r"sha2(\1, 256)", text)
+    text = re.sub(r"sha256\((.*)\) AS", r"sha2(\1, 256) AS", text)
     return spark.sql(text.replace(" TIMESTAMP '", " TIMESTAMP_NTZ '"))
 
 

@@ -60,10 +60,10 @@ def rate_limit_stream(
         state.setTimeoutTimestamp(max(idle_until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(), "key": group[0], "decision": result})
 
-    rows = requests.withWatermark(ts, delay).select(
+    rows = requests.select(
         F.col(order).cast("bigint").alias("request_id"), key.cast("string").alias("key"),
-        micros(F.col(ts)).alias("t"), counted.alias("counted"), F.col(ts),
-    )
+        micros(F.col(ts)).alias("t"), counted.alias("counted"), F.col(ts).cast("timestamp").alias("event_time"),
+    ).withWatermark("event_time", delay)
     return rows.groupBy("key").applyInPandasWithState(
         decide,
         "request_id bigint, key string, decision string",
@@ -78,7 +78,9 @@ def windowed_counts(
     size: str = "1 day", slide: str | None = None, gap: str | None = None, delay: str | None = None,
 ) -> DataFrame:
     """Counts per key in tumbling, sliding or session windows, for a stream or a table."""
-    df = events.withWatermark(ts, delay) if delay else events
+    # Watermarks need an instant; zoneless times are read in the session's zone (UTC).
+    zoneless = dict(events.dtypes)[ts] == "timestamp_ntz"
+    df = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if delay else events
     if kind == "tumbling":
         w = F.window(ts, size)
     elif kind == "sliding":
@@ -87,18 +89,18 @@ def windowed_counts(
         w = F.session_window(ts, gap or size)
     else:
         raise ValueError(f"unknown window kind {kind!r}")
-    return df.groupBy(*keys, w.alias("_w")).agg(F.count("*").alias("events")).select(
-        *keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "events"
-    )
+    counts = df.groupBy(*keys, w.alias("_w")).agg(F.count("*").alias("events"))
+    bounds = [F.col(f"_w.{b}").cast("timestamp_ntz") if zoneless else F.col(f"_w.{b}") for b in ("start", "end")]
+    return counts.select(*keys, bounds[0].alias("window_start"), bounds[1].alias("window_end"), "events")
 
 
 def pair_requests_stream(
     requests: DataFrame, responses: DataFrame, timeout: str = "30 seconds", delay: str = "1 minute"
 ) -> DataFrame:
     """Stream-stream join of requests with the response that follows within ``timeout``."""
-    left = requests.withWatermark("ts", delay)
+    left = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     right = responses.select(
-        F.col("request_id").alias("_rid"), F.col("ts").alias("response_ts"), "status"
+        F.col("request_id").alias("_rid"), F.col("ts").cast("timestamp").alias("response_ts"), "status"
     ).withWatermark("response_ts", delay)
     condition = F.expr(
         f"request_id = _rid AND response_ts >= ts AND response_ts <= ts + INTERVAL {timeout}"
