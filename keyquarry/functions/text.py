@@ -56,7 +56,7 @@ def classify_key_prefix(c: Column) -> Column:
 
 def shannon_entropy(c: Column) -> Column:
     """Bits per character of a string."""
-    n = F.length(c)
+    n = F.greatest(F.length(c), F.lit(1))
     counts = F.transform(
         F.array_distinct(F.split(c, "")), lambda ch: (n - F.length(F.replace(c, ch, F.lit("")))) / n
     )

@@ -15,6 +15,11 @@ def raw_key(key_base64: str) -> Column:
     return F.unhex(F.lit(raw.hex()))
 
 
+def _bytes(text: Column) -> Column:
+    """Decoded base64, or null where the text is not base64."""
+    return F.try_to_binary(text, F.lit("base64"))
+
+
 def encrypted(value: Column, key: Column) -> Column:
     """base64(iv(12) ‖ ciphertext ‖ tag(16)) with a fresh iv per row."""
     return F.base64(F.aes_encrypt(value, key, F.lit("GCM"), F.lit("DEFAULT")))
@@ -22,7 +27,7 @@ def encrypted(value: Column, key: Column) -> Column:
 
 def decrypted(value: Column, key: Column) -> Column:
     """Plain text, or null where text or key is wrong."""
-    return F.try_aes_decrypt(F.unbase64(value), key, F.lit("GCM"), F.lit("DEFAULT")).cast("string")
+    return F.try_aes_decrypt(_bytes(value), key, F.lit("GCM"), F.lit("DEFAULT")).cast("string")
 
 
 def encrypt_column(df: DataFrame, column: str, key: Column, out: str | None = None) -> DataFrame:
@@ -50,21 +55,21 @@ def _int_bytes(values: Column) -> Column:
 
 def import_text_envelope(value: Column, key: Column) -> Column:
     """Plain text of base64(JSON{iv, authTag, data}) with base64 members."""
-    j = F.from_json(F.unbase64(value).cast("string"), "iv string, authTag string, data string")
-    body = F.concat(F.unbase64(j["iv"]), F.unbase64(j["data"]), F.unbase64(j["authTag"]))
+    j = F.from_json(_bytes(value).cast("string"), "iv string, authTag string, data string")
+    body = F.concat(_bytes(j["iv"]), _bytes(j["data"]), _bytes(j["authTag"]))
     return F.try_aes_decrypt(body, key, F.lit("GCM"), F.lit("DEFAULT")).cast("string")
 
 
 def import_array_envelope(value: Column, key: Column) -> Column:
     """Plain text of base64(JSON{iv: [bytes], data: [bytes with tag]})."""
-    j = F.from_json(F.unbase64(value).cast("string"), "iv array<int>, data array<int>")
+    j = F.from_json(_bytes(value).cast("string"), "iv array<int>, data array<int>")
     body = F.concat(_int_bytes(j["iv"]), _int_bytes(j["data"]))
     return F.try_aes_decrypt(body, key, F.lit("GCM"), F.lit("DEFAULT")).cast("string")
 
 
 def import_envelopes(df: DataFrame, column: str, text_key: Column, array_key: Column, out: str = "plain") -> DataFrame:
     """Reads both envelope forms; the form is seen from the JSON text."""
-    is_text = F.contains(F.unbase64(F.col(column)).cast("string"), F.lit('"authTag"'))
+    is_text = F.contains(_bytes(F.col(column)).cast("string"), F.lit('"authTag"'))
     plain = F.when(is_text, import_text_envelope(F.col(column), text_key)).otherwise(
         import_array_envelope(F.col(column), array_key)
     )

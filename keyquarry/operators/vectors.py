@@ -12,13 +12,13 @@ _DIGITS = 10
 
 
 def cosine(a, b):
-    """Cosine similarity of two array columns in double precision."""
+    """Cosine similarity of two array columns in double precision; null for a zero vector."""
     def dot(x, y):
         return F.aggregate(
             F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v
         )
 
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def _unit(rows) -> np.ndarray:

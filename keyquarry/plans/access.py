@@ -439,4 +439,4 @@ def x16(spark, sf):
     s = sql(spark, sf, _HEADERS).select("event_id", fx.webhook_signature(F.col("h")).alias("s"))
     t = F.col("s.timestamp")
     return s.select("event_id", t.alias("t"), F.col("s.signature").alias("v1"),
-                    fx.webhook_is_stale(t.cast("bigint"), F.lit(1704880000)).alias("stale"))
+                    fx.webhook_is_stale(t.try_cast("bigint"), F.lit(1704880000)).alias("stale"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyquarry.plans.access import LIMIT, WINDOW_DAYS, _admission_sql
-from keyquarry.plans.checks import lit
 from keyquarry.plans.registry import query
 from keyquarry.plans.scanning import TOKEN, _DOC_LINES, _scan_sql
 from keyquarry.plans.usage import SUBSCRIBED, SUBSCRIBED_SELECT
@@ -52,7 +51,9 @@ def k2_session(spark, sf):
     return jobs.windowed_counts(frame(spark, sf, "usage_events"), ["user_id"], kind="session", gap="6 hours")
 
 
-@query("k2_tumbling_stream")
+# A window is written once the watermark (the newest time less an hour) has passed its end.
+@query("k2_tumbling_stream", """SELECT event_type, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS events
+FROM events GROUP BY ALL HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def k2_stream(spark, sf):
     usage = _stream(spark, sf, "events").select("event_type", F.col("ts").alias("timestamp"))
     return _run(jobs.windowed_counts(usage, ["event_type"], size="1 day", delay="1 hour"), "k2")

@@ -152,7 +152,7 @@ def canonical_action(c: Column) -> Column:
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Cast ``df`` to table ``name``: missing columns become null, JSON text arrays
+    """Cast ``df`` to table ``name``: missing columns and values that do not fit become null, JSON text arrays
     are parsed and old spellings of environments, actions and frameworks replaced."""
     have = dict(df.dtypes)
     fixes = {
@@ -171,6 +171,6 @@ def conform(df: DataFrame, name: str) -> DataFrame:
             c = F.col(f.name)
             if (name, f.name) in fixes:
                 c = fixes[name, f.name](c)
-            c = c.cast(f.dataType)
+            c = c.try_cast(f.dataType)
         cols.append(c.alias(f.name))
     return df.select(*cols)

@@ -11,7 +11,7 @@ def read_sources(spark: SparkSession, path: str, statuses: DataFrame | None = No
     ``statuses`` is an optional (file, status) change list; files without one are ``added``.
     """
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+        spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
     )
     if statuses is None:
