@@ -75,16 +75,16 @@ def _entries(*maps: Column) -> Column:
     ])
 
 
-def package_manager(content: Column) -> Column:
+def package_manager(content: Column, parsed: Column | None = None) -> Column:
     """pnpm or yarn when the manifest names one, else npm."""
-    named = package_json(content)["packageManager"]
+    named = (package_json(content) if parsed is None else parsed)["packageManager"]
     return F.when(F.startswith(named, F.lit("pnpm")), F.lit("pnpm")).when(
         F.startswith(named, F.lit("yarn")), F.lit("yarn")
     ).otherwise(F.lit("npm"))
 
 
-def package_json_deps(content: Column) -> Column:
-    j = package_json(content)
+def package_json_deps(content: Column, parsed: Column | None = None) -> Column:
+    j = package_json(content) if parsed is None else parsed
     return _entries(j["dependencies"], j["devDependencies"])
 
 
@@ -139,12 +139,12 @@ PARSERS = {
 }
 
 
-def detect_manifest_type(content: Column) -> Column:
+def detect_manifest_type(content: Column, parsed: Column | None = None) -> Column:
     """Type of a manifest from its text; null where no type fits or the JSON is broken."""
     def has(text):
         return F.contains(content, F.lit(text))
 
-    pkg, com = package_json(content), composer_json(content)
+    pkg, com = package_json(content) if parsed is None else parsed, composer_json(content)
     as_json = F.when(pkg["_bad"].isNotNull(), F.lit(None).cast("string")).when(
         pkg["dependencies"].isNotNull() | pkg["devDependencies"].isNotNull(), F.lit("package.json")
     ).when(com["require"].isNotNull(), F.lit("composer.json"))
@@ -173,9 +173,11 @@ def _typed(files: DataFrame, file_type: str | None) -> DataFrame:
     """Adds ``manifest_type`` and ``error`` (null when the file can be parsed)."""
     content = F.col("content")
     blank = F.coalesce(trim_ws(content), F.lit("")) == ""
-    kind = F.col(file_type) if file_type else detect_manifest_type(content)
+    # JSON is parsed once per manifest and shared by detection, checks and parsing.
+    files = files.withColumn("_json", package_json(content))
+    kind = F.col(file_type) if file_type else detect_manifest_type(content, F.col("_json"))
     df = files.withColumn("manifest_type", F.when(~blank, kind))
-    broken = ~_is_object(content) | package_json(content)["_bad"].isNotNull()
+    broken = ~_is_object(content) | F.col("_json._bad").isNotNull()
     expected = F.col("manifest_type").isin("package.json", "composer.json")
     if file_type is None:
         expected = expected | (_is_object(content) & F.contains(content, F.lit("dependencies")))
@@ -204,10 +206,11 @@ def scan_manifests(files: DataFrame, file_type: str | None = None) -> tuple[Data
     language, manager = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, parse in PARSERS.items():
         lang, pm = LANGUAGES[name]
-        parsed = F.when(kind == name, parse(content))
+        is_node = name == "package.json"
+        parsed = F.when(kind == name, parse(content, F.col("_json")) if is_node else parse(content))
         deps = parsed if deps is None else F.coalesce(deps, parsed)
         language = F.when(kind == name, F.lit(lang)).otherwise(language)
-        pm_col = package_manager(content) if name == "package.json" else F.lit(pm)
+        pm_col = package_manager(content, F.col("_json")) if is_node else F.lit(pm)
         manager = F.when(kind == name, pm_col).otherwise(manager)
     rows = typed.filter(F.col("error").isNull()).select(
         "project", "file", language.alias("language"), manager.alias("package_manager"),

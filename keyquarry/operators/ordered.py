@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from keyquarry.session import materialize
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the highest ``order`` per key, by partial aggregation (no sort of a key's rows)."""
@@ -13,7 +15,7 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def running_count(
-    df: DataFrame, keys: list[str], ts: str, order: str, name: str = "nth", slice_seconds: int = 3600
+    df: DataFrame, keys: list[str], ts: str, order: str, name: str = "nth", slice_seconds: int = 60
 ) -> DataFrame:
     """Adds the 1-based position of each row within its key, in (ts, order).
 
@@ -34,23 +36,27 @@ def running_count(
 
 
 def exact_rank_percentiles(
-    df: DataFrame, by: list[str], value: str, ps: dict[str, float], accuracy: int = 10000, buckets: int = 4096
+    df: DataFrame, by: list[str], value: str, ps: dict[str, float], accuracy: int = 10000, buckets: int = 4096,
+    extra: list[Column] | None = None,
 ) -> DataFrame:
     """Exact element at 0-based rank ``floor(n * p)`` for each named ``p`` per group.
 
-    No group is sorted.  A mergeable sketch brackets every wanted rank, one counting pass
-    splits the bracket into ``buckets`` equal widths and finds the one that holds the
-    rank, and a last pass orders the distinct values of that bucket only.  Every pass
-    takes its bounds as data from the pass before, so the result does not depend on the
-    sketch being the same when a task is run again.
+    No group is sorted or shuffled whole.  A mergeable sketch brackets every wanted rank
+    (and takes the ``extra`` aggregates along), one counting pass splits the bracket into
+    ``buckets`` equal widths and finds the one that holds the rank, and a last pass orders
+    the distinct values of that bucket only.  What a pass hands on is a few rows per
+    group, written to the shared folder, so that each pass works with fixed bounds and
+    the join with the rows is a broadcast exactly when those few rows are small.
     """
     step = 2.0 / accuracy
     wanted = [q for p in ps.values() for q in (max(p - step, 0.0), min(p + step, 1.0))]
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    sketch = rows.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", wanted, accuracy).alias("_q"),
-    )
+    named = list(extra or [])
+    sketch = materialize(
+        df.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double")).groupBy(*by).agg(
+            F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+            F.percentile_approx("_v", wanted, accuracy).alias("_q"), *named,
+        ), "sketch")
     small = F.col("_n") <= 4 * accuracy          # the sketch error is under one rank: take all
     targets = []
     for i, (name, p) in enumerate(ps.items()):
@@ -75,19 +81,21 @@ def exact_rank_percentiles(
         .groupBy(*by, "_p", "_k", "_lo", "_hi", bucket().alias("_b")).agg(F.count("*").alias("_c"))
     )
     w = Window.partitionBy(*by, "_p").orderBy("_b")
-    upto = F.sum("_c").over(w)
-    picked = (
-        counted.withColumn("_upto", upto)
+    picked = materialize(
+        counted.withColumn("_upto", F.sum("_c").over(w))
         .filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < F.col("_k")))
         .select(*by, "_p", "_lo", "_hi", F.col("_b").alias("_pick"),
-                (F.col("_k") - (F.col("_upto") - F.col("_c"))).alias("_k"))
-    )
+                (F.col("_k") - (F.col("_upto") - F.col("_c"))).alias("_k")), "rank-bucket")
     values = (
         rows.join(picked, by).filter((F.col("_v") <= F.col("_hi")) & (bucket() == F.col("_pick")))
         .groupBy(*by, "_p", "_k", "_v").agg(F.count("*").alias("_c"))
     )
     wv = Window.partitionBy(*by, "_p").orderBy("_v")
     found = values.withColumn("_upto", F.sum("_c").over(wv)).filter(F.col("_upto") >= F.col("_k"))
-    return found.groupBy(*by).agg(
+    ranks = found.groupBy(*by).agg(
         *[F.min(F.when(F.col("_p") == name, F.col("_v"))).alias(name) for name in ps]
     )
+    if not named:
+        return ranks
+    kept = [c for c in sketch.columns if c not in {*by, "_n", "_min", "_max", "_q"}]
+    return sketch.select(*by, *kept).join(ranks, by)

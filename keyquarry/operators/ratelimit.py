@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keyquarry.functions.access import micros
@@ -242,26 +243,31 @@ def rate_limit(
 
     def decide(batches):
         last, held = None, None
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            keys, t = pdf["_key"].to_numpy(), pdf["_t"].to_numpy()
+            keys, t, counted, pid = (
+                batch.column(batch.num_columns - 4 + i).to_numpy(zero_copy_only=False) for i in range(4))
             if held is None:
-                held = np.frombuffer(carry.get(int(pdf["_pid"].iloc[0]), b""), np.int64)
+                held = np.frombuffer(carry.get(int(pid[0]), b""), np.int64)
             elif keys[0] != last:
                 held = np.zeros(0, np.int64)
-            ok, used, oldest, held = _fold(keys, t, pdf["_counted"].to_numpy().astype(bool), held, window, limit)
+            ok, used, oldest, held = _fold(keys, t, counted.astype(bool), held, window, limit)
             last = keys[-1]
-            out = pdf[columns].copy()
-            out["allowed"] = ok
-            out["remaining"] = np.where(ok, limit - used - 1, 0)
-            out["_reset"] = np.where(ok, t + window, oldest + window)
-            out["retry_after"] = np.where(ok, 0, -((t - oldest - window) // 1_000_000))
-            yield out
+            # The caller's columns pass through as they are.
+            yield pa.RecordBatch.from_arrays(
+                batch.columns[:-4] + [
+                    pa.array(ok),
+                    pa.array(np.where(ok, limit - used - 1, 0)),
+                    pa.array(np.where(ok, t, oldest) + window),
+                    pa.array(np.where(ok, 0, -((t - oldest - window) // 1_000_000))),
+                ],
+                names=[*columns, "allowed", "remaining", "_reset", "retry_after"],
+            )
 
     schema = rows.select(*columns).schema.add("allowed", "boolean").add("remaining", "long").add(
         "_reset", "long").add("retry_after", "long")
-    decided = rows.mapInPandas(decide, schema)
+    decided = rows.select(*columns, "_key", "_t", "_counted", "_pid").mapInArrow(decide, schema)
     return decided.select(
         *columns, "allowed", "remaining",
         F.timestamp_micros("_reset").cast("timestamp_ntz").alias("reset_at"),

@@ -28,7 +28,7 @@ def secret_quota(secrets: DataFrame, users: DataFrame) -> DataFrame:
 def operation_stats(
     timings: DataFrame, by: str = "operation", value: str = "duration_ms", approx: bool = False, with_sum: bool = False
 ) -> DataFrame:
-    """count, avg, min, max and p50/p95/p99 per operation.
+    """count, avg, min, max and p50/p95/p99 of the non-null values per operation.
 
     ``approx=True`` reads the percentiles from one sketch pass and says so in the names.
     """
@@ -41,7 +41,7 @@ def operation_stats(
         for i, name in enumerate(PERCENTILES):
             q = q.withColumn(f"{name}_approx", F.element_at("_q", i + 1))
         return q.drop("_q")
-    return timings.groupBy(by).agg(*aggs).join(exact_rank_percentiles(timings, [by], value, PERCENTILES), by)
+    return exact_rank_percentiles(timings, [by], value, PERCENTILES, extra=aggs)
 
 
 def metrics_rollup(metrics: DataFrame, order: str = "id") -> tuple[DataFrame, DataFrame]:

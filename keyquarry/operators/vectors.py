@@ -3,29 +3,43 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 MAX_K = 20
 BROADCAST_QUERIES = 4096
 _DIGITS = 10
 
 
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a, b):
-    """Cosine similarity of two array columns in double precision; null for a zero vector."""
-    def dot(x, y):
-        return F.aggregate(
-            F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v
-        )
+    """Cosine similarity of two array<double> columns; null for a zero vector."""
+    return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column without nulls as a double matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), -1)
 
-def _unit(rows) -> np.ndarray:
-    m = np.asarray([np.asarray(r, dtype=np.float64) for r in rows])
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one (not a number for a zero row)."""
     with np.errstate(invalid="ignore", divide="ignore"):
-        return m / norm
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _best(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best scores, ties by name; rows without a score are left out."""
+    usable = np.flatnonzero(~np.isnan(scores))
+    if len(usable) > k:
+        kth = np.partition(scores[usable], len(usable) - k)[len(usable) - k]
+        usable = usable[scores[usable] >= kth]
+    return usable[np.lexsort((names[usable], -scores[usable]))[:k]]
 
 
 def search(
@@ -47,68 +61,84 @@ def search(
     """
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be between 1 and {MAX_K}")
-    cols = [query_id, vector] + ([filter_column] if filter_column else [])
-    rows = queries.select(*cols).limit(max_broadcast + 1).collect()
+    tag = [filter_column] if filter_column else []
+    rows = queries.select(query_id, vector, *tag).filter(F.col(vector).isNotNull()).limit(max_broadcast + 1).collect()
     if len(rows) > max_broadcast:
         return search_join(queries, docs, k, filter_column, query_id, doc_id, vector)
-    if not rows:
-        rows = []
-    qtype, dtype = queries.schema[query_id].dataType, docs.schema[doc_id].dataType
-    ids = [r[query_id] for r in rows]
-    q = _unit([r[vector] for r in rows]) if rows else np.zeros((0, 1))
-    tags = [r[filter_column] for r in rows] if filter_column else None
-    shared = docs.sparkSession.sparkContext.broadcast((ids, q, tags))
+    schema = T.StructType([
+        T.StructField("query_id", queries.schema[query_id].dataType),
+        T.StructField("doc_id", docs.schema[doc_id].dataType),
+        T.StructField("score", T.DoubleType()),
+    ])
+    ids = np.array([r[query_id] for r in rows], dtype=object)
+    q = _unit(np.asarray([r[vector] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
+    by_tag: dict = {}
+    for i, r in enumerate(rows):
+        by_tag.setdefault(r[filter_column] if filter_column else None, []).append(i)
+    if filter_column:
+        by_tag.pop(None, None)
+    shared = docs.sparkSession.sparkContext.broadcast((ids, q, by_tag))
+    arrow = to_arrow_schema(schema)
 
     def best(batches):
-        ids, q, tags = shared.value
-        by_tag: dict = {}
-        for i, tag in enumerate(tags or []):
-            if tag is not None:
-                by_tag.setdefault(tag, []).append(i)
-        for pdf in batches:
-            if not len(pdf) or not ids:
-                continue
-            groups = pdf.groupby(filter_column, sort=False) if filter_column else [(None, pdf)]
-            for tag, part in groups:
-                chosen = by_tag.get(tag, []) if filter_column else range(len(ids))
-                if not len(chosen):
+        ids, q, by_tag = shared.value
+        for batch in batches:
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            unit = _unit(_matrix(batch.column(1)))
+            tags = batch.column(2).to_pylist() if filter_column else [None] * len(names)
+            places: dict = {}
+            for at, tag in enumerate(tags):
+                places.setdefault(tag, []).append(at)
+            out_q, out_d, out_s = [], [], []
+            for tag, at in places.items():
+                chosen = by_tag.get(tag, [])
+                if not chosen:
                     continue
-                scores = np.round(q[list(chosen)] @ _unit(part[vector]).T, _DIGITS)
-                names = part[doc_id].to_numpy()
+                scores = np.round(q[chosen] @ unit[at].T, _DIGITS)
                 for i, row in zip(chosen, scores):
-                    usable = np.flatnonzero(~np.isnan(row))
-                    top = usable[np.lexsort((names[usable], -row[usable]))[:k]]
-                    yield pd.DataFrame({"query_id": [ids[i]] * len(top), "doc_id": names[top], "score": row[top]})
-
-    schema = T.StructType([
-        T.StructField("query_id", qtype), T.StructField("doc_id", dtype), T.StructField("score", T.DoubleType()),
-    ])
-    wanted = [doc_id, vector] + ([filter_column] if filter_column else [])
-    usable = docs.select(*wanted).filter(F.col(vector).isNotNull())
+                    top = _best(row, names[at], k)
+                    out_q += [ids[i]] * len(top)
+                    out_d.append(names[at][top])
+                    out_s.append(row[top])
+            if out_q:
+                columns = [out_q, np.concatenate(out_d), np.concatenate(out_s)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    usable = docs.select(doc_id, vector, *tag).filter(F.col(vector).isNotNull())
     if filter_column:
-        usable = usable.filter(F.col(filter_column).isin(list(set(tags))) if tags else F.lit(False))
-    return _ranked(usable.mapInPandas(best, schema), k)
+        usable = usable.filter(F.col(filter_column).isin(list(by_tag)))
+    return _ranked(usable.mapInArrow(best, schema), k)
 
 
 def search_join(
     queries: DataFrame, docs: DataFrame, k: int = 5, filter_column: str | None = None,
-    query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "embedding", salts: int = 64,
+    query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "embedding", salts: int | None = None,
 ) -> DataFrame:
     """As ``search`` for any number of queries.
 
     Documents are spread over ``salts`` parts by id and queries repeated once per part, so
-    a filter value with a third of the documents is shared by many tasks.  The rank
-    filter keeps k rows per query in every task before candidates are exchanged.
+    a filter value with a third of the documents is shared by many tasks.  Vectors are
+    scaled once before the join, and the rank filter keeps k rows per query in every task
+    before candidates are exchanged.
     """
+    salts = salts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     tag = [filter_column] if filter_column else []
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"), *tag, parts)
-    d = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(vector).alias("_d"), *tag,
-        F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int").alias("_salt"),
-    )
-    scored = q.join(d, [*tag, "_salt"]).select("query_id", "doc_id", F.round(cosine("_q", "_d"), _DIGITS).alias("score"))
-    return _ranked(scored.filter(F.col("score").isNotNull() & ~F.isnan("score")), k)
+    q = _scaled(queries, query_id, "query_id", vector, "_q", tag).select("*", parts)
+    d = _scaled(docs, doc_id, "doc_id", vector, "_d", tag).withColumn(
+        "_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    score = F.round(_dot(F.col("_q"), F.col("_d")), _DIGITS)
+    return _ranked(q.join(d, [*tag, "_salt"]).select("query_id", "doc_id", score.alias("score")), k)
+
+
+def _scaled(df: DataFrame, key: str, key_as: str, vector: str, vector_as: str, tag: list[str]) -> DataFrame:
+    """Rows with a usable vector, scaled to length one in double precision."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias(key_as), v.alias("_v"), *tag)
+    norm = F.sqrt(_dot(F.col("_v"), F.col("_v")))
+    rows = rows.withColumn("_norm", norm).filter((F.col("_norm") > 0) & (F.col("_norm") < float("inf")))
+    return rows.select(key_as, F.transform("_v", lambda x: x / F.col("_norm")).alias(vector_as), *tag)
 
 
 def _ranked(candidates: DataFrame, k: int) -> DataFrame:

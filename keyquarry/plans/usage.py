@@ -54,7 +54,7 @@ def d3(spark, sf):
 @query("d3_metrics_histograms", cte("metrics") + f"""SELECT name, {_STATS.format(v='value')}, round(sum(value), 6) AS sum, {_RANKS.format(v='value')}
 FROM metrics WHERE kind = 'histogram' AND value IS NOT NULL GROUP BY name""")
 def d3_hist(spark, sf):
-    _, hist = usage.metrics_rollup(frame(spark, sf, "metrics").filter(F.col("value").isNotNull()))
+    _, hist = usage.metrics_rollup(frame(spark, sf, "metrics"))
     return hist.withColumn("avg", F.round("avg", 6)).withColumn("sum", F.round("sum", 6))
 
 

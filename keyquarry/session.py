@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -53,7 +53,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df):
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a (small) intermediate result to the shared folder and read it back.
+
+    It is computed once, survives lost executors, and its exact size is known to the
+    planner, which then broadcasts it only if it is under the broadcast threshold.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder; partitions and their order are kept."""
     sc = df.sparkSession.sparkContext
     root = shared_dir(df.sparkSession)

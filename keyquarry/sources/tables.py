@@ -21,8 +21,7 @@ def _dated(df: DataFrame, name: str) -> DataFrame:
 
 
 def append_audit(df: DataFrame, path: str) -> None:
-    """Append audit rows, one folder per day; hashing the day with part of the id keeps
-    the file count per day bounded while a day with most of the rows still has many writers."""
+    """Append audit rows, one folder per day."""
     _append(df, "audit_logs", path)
 
 
@@ -31,9 +30,10 @@ def append_usage(df: DataFrame, path: str) -> None:
     _append(df, "usage_events", path)
 
 
-def _append(df: DataFrame, name: str, path: str, spread: int = 32) -> None:
-    rows = _dated(df, name)
-    rows.repartition("date", F.pmod(F.hash("id"), F.lit(spread))).write.mode("append").partitionBy("date").parquet(path)
+def _append(df: DataFrame, name: str, path: str) -> None:
+    """Rows are rebalanced by day: small days share a task and a day with most of the rows
+    is split, so that files have about the advisory partition size."""
+    _dated(df, name).hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
 
 
 def stream_append(df: DataFrame, name: str, path: str, checkpoint: str, once: bool = True):
