@@ -43,7 +43,7 @@ def exact_rank_percentiles(
 
     No group is sorted or shuffled whole.  A mergeable sketch brackets every wanted rank
     (and takes the ``extra`` aggregates along), one counting pass splits the bracket into
-    ``buckets`` equal widths and finds the one that holds the rank, and a last pass orders
+    up to ``buckets`` equal widths and finds the one that holds the rank, and a last pass orders
     the distinct values of that bucket only.  What a pass hands on is a few rows per
     group, written to the shared folder, so that each pass works with fixed bounds and
     the join with the rows is a broadcast exactly when those few rows are small.
@@ -66,25 +66,26 @@ def exact_rank_percentiles(
                 (F.floor(F.col("_n") * F.lit(float(p))) + 1).alias("_k"),
                 F.when(small, F.col("_min")).otherwise(F.element_at("_q", 2 * i + 1)).alias("_lo"),
                 F.when(small, F.col("_max")).otherwise(F.element_at("_q", 2 * i + 2)).alias("_hi"),
+                F.least(F.lit(float(buckets)), F.ceil(F.sqrt("_n")).cast("double")).alias("_m"),
             )
         )
     brackets = sketch.select(*by, F.explode(F.array(*targets)).alias("_t")).select(*by, "_t.*")
 
     def bucket() -> Column:
-        width = F.when(F.col("_hi") > F.col("_lo"), F.lit(float(buckets)) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+        width = F.when(F.col("_hi") > F.col("_lo"), F.col("_m") / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
         return F.when(F.col("_v") < F.col("_lo"), F.lit(-1)).otherwise(
             F.floor((F.col("_v") - F.col("_lo")) * width).cast("int")
         )
 
     counted = (
         rows.join(brackets, by).filter(F.col("_v") <= F.col("_hi"))
-        .groupBy(*by, "_p", "_k", "_lo", "_hi", bucket().alias("_b")).agg(F.count("*").alias("_c"))
+        .groupBy(*by, "_p", "_k", "_lo", "_hi", "_m", bucket().alias("_b")).agg(F.count("*").alias("_c"))
     )
     w = Window.partitionBy(*by, "_p").orderBy("_b")
     picked = materialize(
         counted.withColumn("_upto", F.sum("_c").over(w))
         .filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < F.col("_k")))
-        .select(*by, "_p", "_lo", "_hi", F.col("_b").alias("_pick"),
+        .select(*by, "_p", "_lo", "_hi", "_m", F.col("_b").alias("_pick"),
                 (F.col("_k") - (F.col("_upto") - F.col("_c"))).alias("_k")), "rank-bucket")
     values = (
         rows.join(picked, by).filter((F.col("_v") <= F.col("_hi")) & (bucket() == F.col("_pick")))

@@ -27,7 +27,7 @@ def _hits(line: Column, patterns: list[SecretPattern]) -> Column:
     found = []
     for p in patterns:
         m = F.regexp_extract(line, p.regex, 0)
-        guard = F.contains(line, F.lit(p.needle)) if p.needle else F.lit(True)
+        guard = any_of(line, list(p.needles)) if p.needles else F.lit(True)
         found.append(
             F.when(
                 guard & (m != ""),
@@ -42,6 +42,14 @@ def _hits(line: Column, patterns: list[SecretPattern]) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def _needles(patterns: list[SecretPattern]) -> list[str]:
+    """Texts of which every line with a match holds one; empty if a pattern has no needle."""
+    if not all(p.needles for p in patterns):
+        return []
+    every = {n for p in patterns for n in p.needles}
+    return sorted(n for n in every if not any(m != n and m in n for m in every))
+
+
 def scan_lines(
     lines: DataFrame,
     patterns: list[SecretPattern] | None = None,
@@ -59,8 +67,9 @@ def scan_lines(
     text = F.col(line)
     keep = [c for c in lines.columns if c != line]
     wanted = is_scanned(text, F.col(file) if file else None)
-    if patterns and all(p.needle for p in patterns):
-        wanted = any_of(text, [p.needle for p in patterns]) & wanted
+    needles = _needles(patterns)
+    if needles:
+        wanted = any_of(text, needles) & wanted
     hits = lines.filter(wanted).select(*keep, F.explode(_hits(text, patterns)).alias("_h"))
     if min_entropy is not None or any(p.min_entropy is not None for p in patterns):
         floor = F.coalesce(F.col("_h.min_entropy"), F.lit(min_entropy).cast("double"))
@@ -83,8 +92,9 @@ def scan_texts(
 ) -> DataFrame:
     """Like ``scan_lines`` on whole texts; texts without any needle are never split into lines."""
     patterns = rules.SECRET_PATTERNS if patterns is None else patterns
-    if patterns and all(p.needle for p in patterns):
-        df = df.filter(any_of(F.col(content), [p.needle for p in patterns]))
+    needles = _needles(patterns)
+    if needles:
+        df = df.filter(any_of(F.col(content), needles))
     return scan_lines(explode_lines(df, content), patterns, min_entropy, file=file)
 
 

@@ -2,38 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyquarry import rules
-from keyquarry.functions.text import any_of
 from keyquarry.rules import ServiceRule
 
 
-def matched_services(dep: Column, service_rules: list[ServiceRule], mode: str) -> Column:
-    """array<struct<service, confidence>> for one dependency name.
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    A constant rule list is a column expression: the substring theta join needs neither
-    a join nor a shuffle, and the cost is one pass over the names.
+
+def matched_services(dep: str, service_rules: list[ServiceRule], mode: str) -> Column:
+    """array<struct<service, confidence>> for the dependency name in column ``dep``.
+
+    A constant rule list is one expression: the substring theta join needs neither a join
+    nor a shuffle, and the cost is one pass over the names.
     """
-    if mode == "substring_ci":
-        text, fold = F.lower(dep), str.lower
-    elif mode in ("substring_cs", "exact"):
-        text, fold = dep, str
-    else:
+    if mode not in ("substring_ci", "substring_cs", "exact"):
         raise ValueError(f"unknown mode {mode!r}")
+    name = f"lower(`{dep}`)" if mode == "substring_ci" else f"`{dep}`"
     found = []
     for r in service_rules:
-        names = [fold(p) for p in r.patterns]
-        hit = text.isin(names) if mode == "exact" else any_of(text, names)
-        found.append(F.when(hit, F.struct(F.lit(r.service).alias("service"), F.lit(r.confidence).alias("confidence"))))
-    return F.array_compact(F.array(*found))
+        words = [_text(p.lower() if mode == "substring_ci" else p) for p in r.patterns]
+        if mode == "exact":
+            hit = f"{name} IN ({', '.join(words)})"
+        else:
+            hit = " OR ".join(f"contains({name}, {w})" for w in words)
+        found.append(f"CASE WHEN {hit} THEN named_struct('service', {_text(r.service)}, "
+                     f"'confidence', CAST({r.confidence} AS DOUBLE)) END")
+    return F.expr(f"array_compact(array({', '.join(found)}))")
 
 
 def match_dependency_rules(
     deps: DataFrame, service_rules: list[ServiceRule] | None = None, mode: str = "substring_ci", dep: str = "dep"
 ) -> DataFrame:
     """Every (dependency row, service) match: input columns plus service and confidence."""
-    found = matched_services(F.col(dep), rules.SERVICE_RULES if service_rules is None else service_rules, mode)
+    found = matched_services(dep, rules.SERVICE_RULES if service_rules is None else service_rules, mode)
     return deps.select("*", F.explode(found).alias("_m")).select(
         *deps.columns, F.col("_m.service").alias("service"), F.col("_m.confidence").alias("confidence")
     )
@@ -83,8 +87,6 @@ def preview(deps: DataFrame, by: str = "project", dep: str = "dep", n: int = 10)
 
     A rank filter keeps at most ``n`` rows per project in every task before the shuffle.
     """
-    from pyspark.sql import Window
-
     names = deps.select(by, dep).distinct()
     rank = F.row_number().over(Window.partitionBy(by).orderBy(dep))
     top = names.withColumn("_r", rank).filter(F.col("_r") <= n)

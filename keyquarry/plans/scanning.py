@@ -12,7 +12,7 @@ from keyquarry.plans.registry import query
 from keyquarry.sources.code import drop_removed, explode_lines, file_ext
 from keyquarry.sources.fixtures import cte, frame, table
 
-TOKEN = rules.SecretPattern("planted_token", r'token = "[0-9a-f]{40}"', "unknown", 'token = "')
+TOKEN = rules.SecretPattern("planted_token", r'token = "[0-9a-f]{40}"', "unknown", ('token = "',))
 _WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
 
 # ---------------------------------------------------------------- sources

@@ -40,29 +40,29 @@ FRAMEWORK_ALIASES = {"PCI-DSS": "PCI_DSS"}
 # Secret patterns
 # --------------------------------------------------------------------------
 class SecretPattern(NamedTuple):
-    """One leak rule; ``needle`` is text every match must contain."""
+    """One leak rule; every match contains at least one of ``needles`` (none: always tried)."""
 
     type: str
     regex: str
     service: str | None
-    needle: str = ""
+    needles: tuple[str, ...] = ()
     min_entropy: float | None = None
 
 
 SECRET_PATTERNS = [
-    SecretPattern("aws", r"AKIA[0-9A-Z]{16}", "aws", "AKIA"),
-    SecretPattern("stripe", r"sk_live_[0-9a-zA-Z]{24,}", "stripe", "sk_live_"),
-    SecretPattern("stripe_test", r"sk_test_[0-9a-zA-Z]{24,}", "stripe", "sk_test_"),
-    SecretPattern("openai", r"sk-[a-zA-Z0-9]{48}", "openai", "sk-"),
-    SecretPattern("anthropic", r"sk-ant-[a-zA-Z0-9-]{95}", "anthropic", "sk-ant-"),
-    SecretPattern("github", r"ghp_[a-zA-Z0-9]{36}", "github", "ghp_"),
+    SecretPattern("aws", r"AKIA[0-9A-Z]{16}", "aws", ("AKIA",)),
+    SecretPattern("stripe", r"sk_live_[0-9a-zA-Z]{24,}", "stripe", ("sk_live_",)),
+    SecretPattern("stripe_test", r"sk_test_[0-9a-zA-Z]{24,}", "stripe", ("sk_test_",)),
+    SecretPattern("openai", r"sk-[a-zA-Z0-9]{48}", "openai", ("sk-",)),
+    SecretPattern("anthropic", r"sk-ant-[a-zA-Z0-9-]{95}", "anthropic", ("sk-ant-",)),
+    SecretPattern("github", r"ghp_[a-zA-Z0-9]{36}", "github", ("ghp_",)),
     SecretPattern(
         "generic_api_key",
         r"""['"]?[a-zA-Z0-9_-]*api[_-]?key['"]?\s*[:=]\s*['"][a-zA-Z0-9_-]{20,}['"]""",
         "unknown",
-        "api",
+        ("apikey", "api_key", "api-key"),
     ),
-    SecretPattern("jwt", r"eyJ[a-zA-Z0-9_-]*\.eyJ[a-zA-Z0-9_-]*\.[a-zA-Z0-9_-]*", None, "eyJ"),
+    SecretPattern("jwt", r"eyJ[a-zA-Z0-9_-]*\.eyJ[a-zA-Z0-9_-]*\.[a-zA-Z0-9_-]*", None, ("eyJ",)),
 ]
 SECRET_CONFIDENCE = 0.9
 SKIPPED_FILES = [".env.example", ".env.template"]

@@ -47,13 +47,13 @@ def test_skips_and_first_match_only(spark):
 
 
 def test_custom_pattern_and_entropy(spark):
-    pattern = SecretPattern("token", r'token = "[0-9a-f]{40}"', None, "token")
+    pattern = SecretPattern("token", r'token = "[0-9a-f]{40}"', None, ("token",))
     rows = [("a", f'token = "{"a" * 40}"'), ("a", f'token = "{H32}{H16[:8]}"')]
     assert types(secrets.scan_lines(lines(spark, rows), [pattern])) == [(1, "token"), (2, "token")]
     assert types(secrets.scan_lines(lines(spark, rows), [pattern], min_entropy=3.0)) == [(2, "token")]
     own = pattern._replace(min_entropy=3.0)
     assert types(secrets.scan_lines(lines(spark, rows), [own])) == [(2, "token")]
-    no_needle = pattern._replace(needle="")
+    no_needle = pattern._replace(needles=())
     assert types(secrets.scan_lines(lines(spark, rows), [no_needle])) == [(1, "token"), (2, "token")]
 
 
