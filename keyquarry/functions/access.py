@@ -53,7 +53,7 @@ def limiter_key(user_id: Column, api_key: Column, connecting_ip: Column, forward
 
 def tier_limiter_key(tier: Column, identity: Column) -> Column:
     """The tier is part of the key, so a change of tier starts a new count."""
-    return F.concat(F.lit("tier-rl:"), tier_or_free(tier), F.lit(":"), identity)
+    return rate_key("tier-rl", tier_or_free(tier), identity)
 
 
 def tier_or_free(tier: Column) -> Column:
@@ -68,6 +68,11 @@ def tier_max(tier: Column) -> Column:
     return out
 
 
+def rate_key(kind: str, *parts: Column) -> Column:
+    """Counter key ``kind:part:part``."""
+    return F.concat_ws(":", F.lit(kind), *parts)
+
+
 def tier_from_price(price_id: Column) -> Column:
     out = F.lit("free")
     for tier in ["enterprise", "team", "pro"]:

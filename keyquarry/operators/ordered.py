@@ -50,10 +50,11 @@ def exact_rank_percentiles(
     """
     step = 2.0 / accuracy
     wanted = [q for p in ps.values() for q in (max(p - step, 0.0), min(p + step, 1.0))]
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    valued = df.withColumn("_v", F.col(value).cast("double")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = valued.select(*by, "_v")
     named = list(extra or [])
     sketch = materialize(
-        df.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double")).groupBy(*by).agg(
+        valued.groupBy(*by).agg(
             F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
             F.percentile_approx("_v", wanted, accuracy).alias("_q"), *named,
         ), "sketch")
@@ -72,10 +73,10 @@ def exact_rank_percentiles(
     brackets = sketch.select(*by, F.explode(F.array(*targets)).alias("_t")).select(*by, "_t.*")
 
     def bucket() -> Column:
-        width = F.when(F.col("_hi") > F.col("_lo"), F.col("_m") / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-        return F.when(F.col("_v") < F.col("_lo"), F.lit(-1)).otherwise(
-            F.floor((F.col("_v") - F.col("_lo")) * width).cast("int")
-        )
+        span = F.col("_hi") - F.col("_lo")
+        return F.when(F.col("_v") < F.col("_lo"), F.lit(-1)).when(
+            (span > 0) & (span < float("inf")), F.floor((F.col("_v") - F.col("_lo")) * (F.col("_m") / span)).cast("int")
+        ).otherwise(F.lit(0))
 
     counted = (
         rows.join(brackets, by).filter(F.col("_v") <= F.col("_hi"))

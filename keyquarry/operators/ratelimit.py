@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keyquarry.functions.access import micros
+from keyquarry.functions.access import micros, rate_key, tier_limiter_key, tier_max
 from keyquarry.session import checkpoint, new_path
 
 _LONG_AGO = np.int64(-(2**61))
@@ -70,7 +70,7 @@ def admit(t: np.ndarray, counted: np.ndarray, held: np.ndarray, window: int, lim
     return allowed, in_window, oldest, after[after > _LONG_AGO]
 
 
-def _fold(key: np.ndarray, t: np.ndarray, counted: np.ndarray, first_held: np.ndarray, window: int, limit: int):
+def _fold(key: np.ndarray, t: np.ndarray, counted: np.ndarray, limits: np.ndarray, first_held: np.ndarray, window: int):
     """Fold ordered rows of many keys; ``first_held`` belongs to the first key.
 
     A key that never has ``limit`` requests before one inside the window is admitted
@@ -88,22 +88,22 @@ def _fold(key: np.ndarray, t: np.ndarray, counted: np.ndarray, first_held: np.nd
     at = np.arange(n)
     in_window = at - np.searchsorted(line, line - window, side="right")
     busy = np.zeros(len(starts), bool)
-    busy[run[in_window >= limit]] = True
+    busy[run[in_window >= limits]] = True
     busy[run[~counted]] = True
     busy[0] |= len(first_held) > 0
     allowed = np.ones(n, bool)
     oldest = np.zeros(n, np.int64)
-    held = t[max(starts[-1], n - limit):]
+    held = t[max(starts[-1], n - int(limits[-1])):]
     for i in np.flatnonzero(busy):
         a, b = starts[i], ends[i]
         inherited = first_held if i == 0 else np.zeros(0, np.int64)
-        allowed[a:b], in_window[a:b], oldest[a:b], after = admit(t[a:b], counted[a:b], inherited, window, limit)
+        allowed[a:b], in_window[a:b], oldest[a:b], after = admit(t[a:b], counted[a:b], inherited, window, int(limits[a]))
         if i == len(starts) - 1:
             held = after
     return allowed, in_window, oldest, held
 
 
-def _carry_rows(batches: Iterator[pd.DataFrame], carry: dict, window: int, limit: int) -> Iterator[pd.DataFrame]:
+def _carry_rows(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
     """One summary row per task: its keys and the admitted times its last key hands on."""
     first = last = None
     first_t = last_t = 0
@@ -114,115 +114,146 @@ def _carry_rows(batches: Iterator[pd.DataFrame], carry: dict, window: int, limit
         key, t = pdf["_key"].to_numpy(), pdf["_t"].to_numpy()
         if first is None:
             first, first_t, pid = key[0], int(t[0]), int(pdf["_pid"].iloc[0])
-            held = np.frombuffer(carry.get(pid, b""), np.int64)
         elif key[0] != last:
             held = np.zeros(0, np.int64)
-        held = _fold(key, t, pdf["_counted"].to_numpy().astype(bool), held, window, limit)[3]
+        held = _fold(key, t, pdf["_counted"].to_numpy(bool), pdf["_limit"].to_numpy(), held, window)[3]
         last, last_t, rows = key[-1], int(t[-1]), rows + len(pdf)
     if first is not None:
         live = held[held > last_t - window]
         yield pd.DataFrame(
             [(pid, first, last, first_t, rows, live.astype(np.int64).tobytes())],
-            columns=["pid", "first_key", "last_key", "first_t", "rows", "held"],
+            columns=_SUMMARY_COLUMNS,
         )
 
 
+_SUMMARY_COLUMNS = ["pid", "first_key", "last_key", "first_t", "rows", "held"]
 _SUMMARY = "pid int, first_key string, last_key string, first_t bigint, rows bigint, held binary"
 
 
-def _summaries(df: DataFrame, carry: dict, window: int, limit: int) -> dict[int, dict]:
+def _summaries(df: DataFrame, window: int) -> dict[int, dict]:
     """Summaries by task: at most one small row per task reaches the driver."""
     def run(batches):
-        return _carry_rows(batches, carry, window, limit)
+        return _carry_rows(batches, window)
 
-    rows = df.select("_pid", "_key", "_t", "_counted").mapInPandas(run, _SUMMARY).collect()
+    rows = df.select("_pid", "_key", "_t", "_counted", "_limit").mapInPandas(run, _SUMMARY).collect()
     return {r["pid"]: r.asDict() for r in rows}
 
 
-def _settle(sorted_rows: DataFrame, window: int, limit: int) -> dict[int, bytes]:
-    """Admitted times each task inherits for the key it starts with."""
-    spark = sorted_rows.sparkSession
-    info = _summaries(sorted_rows, {}, window, limit)
+def _handed_on(info: dict[int, dict], q: int, p: int, window: int) -> bytes:
+    """What task ``q`` hands on that can still matter to task ``p``."""
+    held = np.frombuffer(info[q]["held"], np.int64)
+    return held[held > info[p]["first_t"] - window].tobytes()
+
+
+def _settle(sorted_rows: DataFrame, window: int, budget: int) -> dict[int, bytes]:
+    """Admitted times each task inherits for the key it starts with.
+
+    The driver holds one row per task: two keys and at most ``limit`` times.
+    """
+    info = _summaries(sorted_rows, window)
     order = sorted(info)
-    assumed: dict[int, bytes] = {p: b"" for p in order}
-    hot = [
-        p for q, p in zip(order, order[1:])
-        if info[q]["last_key"] == info[p]["first_key"] == info[p]["last_key"]
-    ]
-    is_hot = set(hot)
-    times, first_round = None, True
+    links = [(q, p) for q, p in zip(order, order[1:]) if info[q]["last_key"] == info[p]["first_key"]]
+    # Tasks that lie inside one key pass on what they inherit; the others start afresh.
+    through = {p for q, p in links if info[p]["first_key"] == info[p]["last_key"]}
+    assumed: dict[int, bytes] = {p: b"" for p in through}
+    times, guessing = None, True
     while True:
-        carry: dict[int, bytes] = {}
-        stale, unsettled = [], set()
-        for q, p in zip(order, order[1:]):
-            if info[q]["last_key"] != info[p]["first_key"]:
+        runs: list[list[int]] = []
+        unsettled, size = set(), 0
+        for q, p in links:
+            if p not in through:
                 continue
-            held = np.frombuffer(info[q]["held"], np.int64)
-            carry[p] = held[held > info[p]["first_t"] - window].tobytes()
-            if p in is_hot and (q in unsettled or carry[p] != assumed[p]):
+            differs = _handed_on(info, q, p, window) != assumed[p]
+            if q in unsettled:
+                unsettled.add(p)
+                if guessing and differs:
+                    runs.append([p])
+                elif not guessing and runs[-1][-1] == q and size + info[p]["rows"] <= budget:
+                    runs[-1].append(p)
+                    size += info[p]["rows"]
+            elif differs:
+                # Its input is final: fold it, and what follows as far as the budget goes.
                 unsettled.add(p)
-                # The first round tries every task with the best guess, as most agree after
-                # a calm spell; later rounds take only tasks whose input is final.
-                if carry[p] != assumed[p] and (first_round or q not in unsettled):
-                    stale.append(p)
-        if not unsettled:
-            return carry
-        first_round = False
+                runs.append([p])
+                size = info[p]["rows"]
+        if not runs:
+            return {p: _handed_on(info, q, p, window) for q, p in links}
         if times is None:
-            path = new_path(spark, "admission")
-            (sorted_rows.filter(F.col("_pid").isin(hot)).select("_pid", "_key", "_t", "_counted")
+            path = new_path(sorted_rows.sparkSession, "admission")
+            (sorted_rows.filter(F.col("_pid").isin(list(through))).select("_pid", "_key", "_t", "_counted", "_limit")
              .write.partitionBy("_pid").parquet(path))
-            times = spark.read.parquet(path)
-        # Only the folders of the stale tasks are read; each goes to one task in time order.
-        again = (
-            times.filter(F.col("_pid").isin(stale))
-            .repartition(len(stale), "_pid").sortWithinPartitions("_pid", "_t")
-        )
-        redone = _refold(again, {p: carry[p] for p in stale}, window, limit)
-        for p in stale:
-            info[p]["held"] = redone[p]["held"]
-            assumed[p] = carry[p]
+            times = sorted_rows.sparkSession.read.parquet(path)
+        before = dict((p, q) for q, p in links)
+        starts = {run[0]: _handed_on(info, before[run[0]], run[0], window) for run in runs}
+        folded = _refold(times, runs, starts, window)
+        for run in runs:
+            for p in run:
+                info[p]["held"] = folded[p]["held"]
+            for p in run:
+                assumed[p] = starts[p] if p == run[0] else _handed_on(info, before[p], p, window)
+        # The first round tries every task with the best guess, as most agree after a calm
+        # spell; later rounds go on from tasks whose input is final.
+        guessing = False
 
 
-def _refold(df: DataFrame, carry: dict, window: int, limit: int) -> dict[int, dict]:
-    """As ``_summaries`` for rows where one task may hold several former tasks."""
-    def run(batches):
-        def pieces():
-            for pdf in batches:
-                for pid, part in pdf.groupby("_pid", sort=False):
-                    yield pid, part
-
-        current, parts = None, []
-        for pid, part in pieces():
-            if pid != current and parts:
-                yield from _carry_rows(iter(parts), carry, window, limit)
-                parts = []
-            current = pid
-            parts.append(part)
-        if parts:
-            yield from _carry_rows(iter(parts), carry, window, limit)
-
-    rows = df.select("_pid", "_key", "_t", "_counted").mapInPandas(run, _SUMMARY).collect()
-    return {r["pid"]: r.asDict() for r in rows}
+def _refold(times: DataFrame, runs: list[list[int]], starts: dict[int, bytes], window: int) -> dict[int, dict]:
+    """Fold runs of consecutive tasks of one key, each run in one task, time by time.
+
+    Only the folders of these tasks are read.
+    """
+    spark = times.sparkSession
+    places = spark.createDataFrame([(p, i) for i, run in enumerate(runs) for p in run], "_pid int, _run int")
+    rows = (
+        times.filter(F.col("_pid").isin([p for run in runs for p in run]))
+        .join(F.broadcast(places), "_pid").repartition(len(runs), "_run").sortWithinPartitions("_run", "_pid", "_t")
+    )
+
+    def run_all(batches):
+        current, key, held, last_t, n = None, None, None, 0, 0
+
+        def done():
+            live = held[held > last_t - window].astype(np.int64)
+            return pd.DataFrame([(current, key, key, 0, n, live.tobytes())], columns=_SUMMARY_COLUMNS)
+
+        for pdf in batches:
+            for pid, part in pdf.groupby("_pid", sort=False):
+                if pid != current:
+                    if current is not None:
+                        yield done()
+                    n = 0
+                    if pid in starts:
+                        held = np.frombuffer(starts[pid], np.int64)
+                current, key, n = pid, part["_key"].iloc[0], n + len(part)
+                t = part["_t"].to_numpy()
+                last_t = int(t[-1])
+                held = admit(t, part["_counted"].to_numpy(bool), held, window, int(part["_limit"].iloc[0]))[3]
+        if current is not None:
+            yield done()
+
+    found = rows.select("_pid", "_key", "_t", "_counted", "_limit").mapInPandas(run_all, _SUMMARY).collect()
+    return {r["pid"]: r.asDict() for r in found}
 
 
 def rate_limit(
     requests: DataFrame,
     key: Column,
     window_seconds: float,
-    limit: int,
+    limit: int | Column,
     ts: str = "ts",
     order: str = "request_id",
     uncounted: Column | None = None,
     partitions: int | None = None,
+    budget: int = 16_000_000,
 ) -> DataFrame:
     """Adds allowed, remaining, reset_at and retry_after to every request.
 
-    ``key`` is the counter key.  Equal times are taken in the order of ``order``.
+    ``key`` is the counter key; ``limit`` may be a column that is the same (and at least
+    one) for all rows of a key.  Equal times are taken in the order of ``order``.
     Rows where ``uncounted`` holds are decided but then taken off the count (the
-    skip-successful and skip-failed options).
+    skip-successful and skip-failed options).  ``budget`` bounds the rows of one key that
+    one task folds in a row when a task's input turns out different from the guess.
     """
-    if limit < 1:
+    if isinstance(limit, int) and limit < 1:
         raise ValueError("limit must be at least 1")
     spark = requests.sparkSession
     window = int(window_seconds * 1_000_000)
@@ -232,13 +263,14 @@ def rate_limit(
         requests.withColumn("_key", key.cast("string"))
         .withColumn("_t", micros(F.col(ts)))
         .withColumn("_counted", counted)
+        .withColumn("_limit", (F.lit(limit) if isinstance(limit, int) else limit).cast("bigint"))
         .repartitionByRange(n, "_key", "_t", order)
         .sortWithinPartitions("_key", "_t", order)
         .withColumn("_pid", F.spark_partition_id())
     )
     # Range bounds are sampled anew on every run, so the cut is fixed in the shared folder.
     rows = checkpoint(ranged)
-    carry = _settle(rows, window, limit)
+    carry = _settle(rows, window, budget)
     columns = requests.columns
 
     def decide(batches):
@@ -246,19 +278,19 @@ def rate_limit(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, t, counted, pid = (
-                batch.column(batch.num_columns - 4 + i).to_numpy(zero_copy_only=False) for i in range(4))
+            keys, t, counted, limits, pid = (
+                batch.column(batch.num_columns - 5 + i).to_numpy(zero_copy_only=False) for i in range(5))
             if held is None:
                 held = np.frombuffer(carry.get(int(pid[0]), b""), np.int64)
             elif keys[0] != last:
                 held = np.zeros(0, np.int64)
-            ok, used, oldest, held = _fold(keys, t, counted.astype(bool), held, window, limit)
+            ok, used, oldest, held = _fold(keys, t, counted.astype(bool), limits, held, window)
             last = keys[-1]
             # The caller's columns pass through as they are.
             yield pa.RecordBatch.from_arrays(
-                batch.columns[:-4] + [
+                batch.columns[:-5] + [
                     pa.array(ok),
-                    pa.array(np.where(ok, limit - used - 1, 0)),
+                    pa.array(np.where(ok, limits - used - 1, 0)),
                     pa.array(np.where(ok, t, oldest) + window),
                     pa.array(np.where(ok, 0, -((t - oldest - window) // 1_000_000))),
                 ],
@@ -267,9 +299,26 @@ def rate_limit(
 
     schema = rows.select(*columns).schema.add("allowed", "boolean").add("remaining", "long").add(
         "_reset", "long").add("retry_after", "long")
-    decided = rows.select(*columns, "_key", "_t", "_counted", "_pid").mapInArrow(decide, schema)
+    decided = rows.select(*columns, "_key", "_t", "_counted", "_limit", "_pid").mapInArrow(decide, schema)
     return decided.select(
         *columns, "allowed", "remaining",
         F.timestamp_micros("_reset").cast("timestamp_ntz").alias("reset_at"),
         F.when(~F.col("allowed"), F.col("retry_after")).alias("retry_after"),
     )
+
+
+def tier_rate_limit(requests: DataFrame, identity: Column, tier: str = "tier", window_seconds: float = 60, **kw) -> DataFrame:
+    """Requests per minute by tier; the tier is part of the counter key."""
+    return rate_limit(requests, tier_limiter_key(F.col(tier), identity), window_seconds, tier_max(F.col(tier)), **kw)
+
+
+def ip_rate_limit(requests: DataFrame, identity: Column, window_seconds: float = 60, limit: int = 20, **kw) -> DataFrame:
+    """Limit of requests without a user."""
+    return rate_limit(requests, rate_key("ip-rl", identity), window_seconds, limit, **kw)
+
+
+def endpoint_rate_limit(
+    requests: DataFrame, endpoint: Column, identity: Column, window_seconds: float = 60, limit: int = 30, **kw
+) -> DataFrame:
+    """Limit per endpoint and caller (``create-secret`` is used with 20)."""
+    return rate_limit(requests, rate_key("endpoint-rl", endpoint, identity), window_seconds, limit, **kw)

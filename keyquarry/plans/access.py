@@ -270,45 +270,65 @@ _plan_query("year")
 WINDOW_DAYS, LIMIT = 1, 2
 
 
-def _admission_sql(key: str, rows: str, limit: int) -> str:
-    w = WINDOW_DAYS * 86_400_000_000
-    return cte("requests", extra="").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
-r AS (SELECT request_id, {key} AS key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, request_id) AS rn, {rows} AS counted FROM requests),
-s AS (SELECT request_id, key, t, rn, true AS allowed, {limit - 1} AS remaining, t + {w} AS reset, CASE WHEN counted THEN [t] ELSE []::BIGINT[] END AS kept FROM r WHERE rn = 1
+def _admission_sql(key: str, rows: str, limit, days: int = WINDOW_DAYS) -> str:
+    w = days * 86_400_000_000
+    return cte("requests").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
+r AS (SELECT request_id, {key} AS key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, request_id) AS rn, {rows} AS counted, {limit} AS lim FROM requests),
+s AS (SELECT request_id, key, t, rn, true AS allowed, lim - 1 AS remaining, t + {w} AS reset, CASE WHEN counted THEN [t] ELSE []::BIGINT[] END AS kept FROM r WHERE rn = 1
 UNION ALL
-SELECT request_id, key, t, rn, len(live) < {limit}, CASE WHEN len(live) < {limit} THEN {limit} - len(live) - 1 ELSE 0 END,
- CASE WHEN len(live) < {limit} THEN t + {w} ELSE list_min(live) + {w} END, CASE WHEN len(live) < {limit} AND counted THEN list_append(live, t) ELSE live END
-FROM (SELECT r.request_id, r.key, r.t, r.rn, r.counted, list_filter(s.kept, lambda k: k > r.t - {w}) AS live FROM s JOIN r ON r.key = s.key AND r.rn = s.rn + 1))
+SELECT request_id, key, t, rn, len(live) < lim, CASE WHEN len(live) < lim THEN lim - len(live) - 1 ELSE 0 END,
+ CASE WHEN len(live) < lim THEN t + {w} ELSE list_min(live) + {w} END, CASE WHEN len(live) < lim AND counted THEN list_append(live, t) ELSE live END
+FROM (SELECT r.request_id, r.key, r.t, r.rn, r.counted, r.lim, list_filter(s.kept, lambda k: k > r.t - {w}) AS live FROM s JOIN r ON r.key = s.key AND r.rn = s.rn + 1))
 SELECT request_id, key, allowed, CAST(remaining AS BIGINT) AS remaining, make_timestamp(reset) AS reset_at,
  CASE WHEN NOT allowed THEN CAST(ceil((reset - t) / 1000000) AS BIGINT) END AS retry_after FROM s"""
 
 
-def _admission(spark, sf, key, limit, uncounted=None):
-    df = frame(spark, sf, "requests").select("request_id", "ts", "status", key.alias("key"))
-    out = ratelimit.rate_limit(df, F.col("key"), WINDOW_DAYS * 86400, limit, uncounted=uncounted)
-    return out.select("request_id", "key", "allowed", "remaining", "reset_at", "retry_after")
+_DECIDED = ["request_id", "key", "allowed", "remaining", "reset_at", "retry_after"]
+
+
+def _requests(spark, sf, key):
+    return frame(spark, sf, "requests").withColumn("key", key)
 
 
 @query("e2_rate_limit", _admission_sql("user_id", "true", LIMIT))
 def e2(spark, sf):
-    return _admission(spark, sf, F.col("user_id"), LIMIT)
+    df = _requests(spark, sf, F.col("user_id"))
+    return ratelimit.rate_limit(df.select("request_id", "ts", "key"), F.col("key"), WINDOW_DAYS * 86400, LIMIT).select(_DECIDED)
 
 
-@query("e2_rate_limit_by_tier", _admission_sql("'tier-rl:' || tier || ':user:' || user_id", "true", LIMIT))
+@query("e2_rate_limit_by_tier", _admission_sql(
+    "'tier-rl:' || tier || ':user:' || user_id", "true", "CASE tier WHEN 'free' THEN 10 WHEN 'pro' THEN 100 WHEN 'team' THEN 500 ELSE 5000 END", 20))
 def e2_tier(spark, sf):
     none = F.lit(None).cast("string")
     identity = fx.limiter_key(F.col("user_id"), none, none, none, none)
-    return _admission(spark, sf, fx.tier_limiter_key(F.col("tier"), identity), LIMIT)
+    df = _requests(spark, sf, fx.tier_limiter_key(F.col("tier"), identity))
+    return ratelimit.tier_rate_limit(df, identity, window_seconds=20 * 86400).select(_DECIDED)
 
 
-@query("e2_rate_limit_hot_endpoint", _admission_sql("path", "true", 40))
+@query("e2_rate_limit_by_endpoint", _admission_sql("'endpoint-rl:' || path || ':user:' || user_id", "true", 3, 5))
 def e2_endpoint(spark, sf):
-    return _admission(spark, sf, F.col("path"), 40)
+    identity = F.concat(F.lit("user:"), "user_id")
+    df = _requests(spark, sf, fx.rate_key("endpoint-rl", F.col("path"), identity))
+    return ratelimit.endpoint_rate_limit(df, F.col("path"), identity, 5 * 86400, 3).select(_DECIDED)
+
+
+@query("e2_rate_limit_hot_endpoint", _admission_sql("'ip-rl:' || path", "true", 40))
+def e2_hot(spark, sf):
+    # Five keys for all requests: every key spans several tasks.
+    df = _requests(spark, sf, fx.rate_key("ip-rl", F.col("path")))
+    return ratelimit.ip_rate_limit(df, F.col("path"), WINDOW_DAYS * 86400, 40).select(_DECIDED)
 
 
 @query("e2_rate_limit_skip_failed", _admission_sql("user_id", "status < 400", LIMIT))
-def e2_skip(spark, sf):
-    return _admission(spark, sf, F.col("user_id"), LIMIT, F.col("status") >= 400)
+def e2_skip_failed(spark, sf):
+    df = _requests(spark, sf, F.col("user_id"))
+    return ratelimit.rate_limit(df, F.col("key"), WINDOW_DAYS * 86400, LIMIT, uncounted=F.col("status") >= 400).select(_DECIDED)
+
+
+@query("e2_rate_limit_skip_successful", _admission_sql("user_id", "status >= 400", LIMIT))
+def e2_skip_successful(spark, sf):
+    df = _requests(spark, sf, F.col("user_id"))
+    return ratelimit.rate_limit(df, F.col("key"), WINDOW_DAYS * 86400, LIMIT, uncounted=F.col("status") < 400).select(_DECIDED)
 
 
 # ---------------------------------------------------------------- scalar functions

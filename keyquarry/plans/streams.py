@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keyquarry import rules
+from keyquarry.functions.access import tier_limiter_key, tier_max
 from keyquarry.plans.access import LIMIT, WINDOW_DAYS, _admission_sql
 from keyquarry.plans.registry import query
 from keyquarry.plans.scanning import TOKEN, _DOC_LINES, _scan_sql
 from keyquarry.plans.usage import SUBSCRIBED, SUBSCRIBED_SELECT
-from keyquarry import rules
 from keyquarry.session import new_path
 from keyquarry.sources.fixtures import cte, frame, table
 from keyquarry.sources.tables import stream_append
@@ -32,6 +33,15 @@ def k1(spark, sf):
     return _run(jobs.rate_limit_stream(requests, F.col("user_id"), WINDOW_DAYS * 86400, LIMIT), "k1")
 
 
+@query("k1_rate_limit_stream_by_tier", "SELECT request_id, key, CASE WHEN allowed THEN 'allowed' ELSE 'denied' END AS decision FROM ("
+       + _admission_sql("'tier-rl:' || tier || ':user:' || user_id", "true", "CASE tier WHEN 'free' THEN 10 WHEN 'pro' THEN 100 WHEN 'team' THEN 500 ELSE 5000 END", 20) + ")")
+def k1_tier(spark, sf):
+    tier = F.element_at(F.array(*[F.lit(t) for t in rules.TIERS]), (F.col("user_id") % 4 + 1).cast("int"))
+    requests = _stream(spark, sf, "events").select(F.col("event_id").alias("request_id"), "ts", "user_id", tier.alias("tier"))
+    key = tier_limiter_key(F.col("tier"), F.concat(F.lit("user:"), F.col("user_id").cast("string")))
+    return _run(jobs.rate_limit_stream(requests, key, 20 * 86400, tier_max(F.col("tier"))), "k1-tier")
+
+
 def _windows_query(kind: str, check: str, **args) -> None:
     @query(f"k2_{kind}_counts", cte("usage_events") + check)
     def run(spark, sf):

@@ -23,7 +23,7 @@ def rate_limit_stream(
     requests: DataFrame,
     key: Column,
     window_seconds: float,
-    limit: int,
+    limit: int | Column,
     ts: str = "ts",
     order: str = "request_id",
     uncounted: Column | None = None,
@@ -31,7 +31,8 @@ def rate_limit_stream(
 ) -> DataFrame:
     """Decision per request: ``allowed``, ``denied`` or ``late``.
 
-    State per key is at most ``limit`` admitted times; a key idle for a window after the
+    ``limit`` may be a column that is the same for all rows of a key.  State per key is at
+    most ``limit`` admitted times; a key idle for a window after the
     watermark is dropped.  A row older than the newest decided row of its key is ``late``.
     One key's rows of one micro-batch are ordered in one task, so the trigger's size
     option (files, bytes or offsets per trigger) bounds that task.
@@ -51,7 +52,8 @@ def rate_limit_stream(
         result = np.full(len(pdf), "late", object)
         if live.any():
             ok, _, _, after = admit(
-                t[live], pdf["counted"].to_numpy(bool)[live], np.asarray(held, np.int64), window, limit)
+                t[live], pdf["counted"].to_numpy(bool)[live], np.asarray(held, np.int64), window,
+                int(pdf["max_requests"].iloc[0]))
             result[live] = np.where(ok, "allowed", "denied")
             newest = int(t[live][-1])
             held = [int(x) for x in after if x > newest - window]
@@ -62,7 +64,8 @@ def rate_limit_stream(
 
     rows = requests.select(
         F.col(order).cast("bigint").alias("request_id"), key.cast("string").alias("key"),
-        micros(F.col(ts)).alias("t"), counted.alias("counted"), F.col(ts).cast("timestamp").alias("event_time"),
+        micros(F.col(ts)).alias("t"), counted.alias("counted"),
+        (F.lit(limit) if isinstance(limit, int) else limit).cast("bigint").alias("max_requests"), F.col(ts).cast("timestamp").alias("event_time"),
     ).withWatermark("event_time", delay)
     return rows.groupBy("key").applyInPandasWithState(
         decide,

@@ -58,12 +58,12 @@ def make(n, keys, hot, span, seed):
     (0.5, 500_000, 60, 2),   # calm: most tasks need nothing from the one before
     (0.3, 50, 3600, 5),      # everything inside one window
 ])
-@pytest.mark.parametrize("skip", [False, True])
-def test_batch_equals_sequential(spark, hot, span, window, limit, skip):
+@pytest.mark.parametrize("skip,budget", [(False, 1), (True, 900), (False, 10**9)])
+def test_batch_equals_sequential(spark, hot, span, window, limit, skip, budget):
     data = make(3000, 40, hot, span, 7)
     want = sequential([(k, t, i, c if skip else True) for k, t, i, c in data], window * SECOND, limit)
     out = rate_limit(requests(spark, data), F.col("key"), window, limit,
-                     uncounted=~F.col("counted") if skip else None, partitions=9).collect()
+                     uncounted=~F.col("counted") if skip else None, partitions=9, budget=budget).collect()
     assert {r.request_id: (r.allowed, r.remaining, r.retry_after) for r in out} == want
 
 
@@ -108,3 +108,14 @@ def test_stream_marks_rows_behind_a_decision_as_late(spark):
 def test_limit_must_be_positive(spark):
     with pytest.raises(ValueError):
         rate_limit(requests(spark, [("a", 0, 1, True)]), F.col("key"), 10, 0)
+
+
+def test_a_change_of_tier_starts_a_new_count(spark):
+    from keyquarry.operators.ratelimit import tier_rate_limit
+
+    rows = [("u", (1_700_000_000 + i) * SECOND, i, True) for i in range(24)]
+    df = requests(spark, rows).withColumn("tier", F.when(F.col("request_id") >= 12, F.lit("pro")).when(F.col("request_id") >= 3, F.lit("free")))
+    out = tier_rate_limit(df, F.col("key")).orderBy("request_id").collect()
+    # No tier is free: 10 of the first 12 pass; then pro starts from nothing.
+    assert [r.allowed for r in out] == [True] * 10 + [False] * 2 + [True] * 12
+    assert out[12].remaining == 99
