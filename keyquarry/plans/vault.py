@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from keyquarry.operators import crypto, quality, vault
 from keyquarry.plans.access import EVENTS_AT, ORDERS_AT, _OWN_REQUESTS, at
-from keyquarry.plans.checks import case, lit
+from keyquarry.plans.checks import lit
 from keyquarry.plans.registry import query
 from keyquarry.sources.fixtures import cte, frame, sql, table
 
@@ -255,6 +255,29 @@ def q1_webhook(spark, sf):
     return out.select("event_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
+_KEY_REQUESTS = """SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN '' WHEN c_custkey % 6 = 1 THEN NULL ELSE c_name END AS name,
+ CASE WHEN c_custkey % 3 = 0 THEN CAST(c_nationkey - 12 AS DOUBLE) END AS "expiresIn" FROM customer"""
+
+
+@query("q1_contract_api_key", f"""SELECT c_custkey, 'read,write' AS scopes, {_reasons(
+    ("name IS NULL", "name: required"), ("length(name) < 1", "name: min_length"), ('"expiresIn" <= 0', "expiresIn: positive"))} AS reasons FROM ({_KEY_REQUESTS})""")
+def q1_key(spark, sf):
+    df = sql(spark, sf, _KEY_REQUESTS.replace('"', "`"))
+    out = quality.check_contract(df, "create_api_key")
+    return out.select("c_custkey", F.array_join("scopes", ",").alias("scopes"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("q1_contract_batch_rotate", f"""SELECT p_partkey, {_reasons(
+    ("p_size + 5 > 50", "secretIds: max_items"), ("p_partkey % 7 = 0", "secretIds: uuid"))} AS reasons FROM part""")
+def q1_batch(spark, sf):
+    h = F.md5(F.col("p_partkey").cast("string"))
+    uuid = F.concat(F.left(h, F.lit(8)), F.lit("-0000-4000-8000-"), F.left(h, F.lit(12)))
+    bad = (F.col("p_partkey") % 7 == 0)
+    ids = F.transform(F.sequence(F.lit(1), F.col("p_size") + 5), lambda i: F.when(bad & (i == 3), F.lit("bad")).otherwise(uuid))
+    batches = table(spark, sf, "part").select("p_partkey", ids.alias("secretIds"))
+    return quality.check_contract(batches, "batch_rotate_secrets").select("p_partkey", F.array_join("reasons", "; ").alias("reasons"))
+
+
 # ---------------------------------------------------------------- constraints
 
 _DIRTY = """SELECT event_id AS id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE CAST(event_id % 997 AS VARCHAR(20)) END AS secret_id,
