@@ -62,8 +62,9 @@ def k2_session(spark, sf):
 
 
 # A window is written once the watermark (the newest time less an hour) has passed its end.
-@query("k2_tumbling_stream", """SELECT event_type, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS events
-FROM events GROUP BY ALL HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+@query("k2_tumbling_stream", """SELECT * FROM (SELECT event_type, date_trunc('day', ts) AS window_start,
+ date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS events FROM events GROUP BY ALL)
+WHERE window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def k2_stream(spark, sf):
     usage = _stream(spark, sf, "events").select("event_type", F.col("ts").alias("timestamp"))
     return _run(jobs.windowed_counts(usage, ["event_type"], size="1 day", delay="1 hour"), "k2")

@@ -67,7 +67,7 @@ SELECT CAST(o_orderkey AS VARCHAR(20)) AS id, concat('KEY_', CAST(o_orderkey AS
  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE md5(CAST(o_orderkey AS VARCHAR(20))) END AS value_encrypted,
  o_orderdate AS created_at, o_orderdate + INTERVAL 1 DAY AS updated_at FROM orders""",
     "vault_changes": """
-SELECT concat('c', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9))) AS id,
+SELECT concat('c', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9)), '-', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20))) AS id,
  concat('KEY_', CAST(o_orderkey + CASE WHEN l_linenumber = 1 THEN 0 ELSE 1000000 * l_linenumber END AS VARCHAR(20))) AS name,
  concat('p', CAST(o_custkey % 20 AS VARCHAR(9))) AS project,
  CASE o_orderstatus WHEN 'F' THEN 'dev' WHEN 'O' THEN 'staging' ELSE 'prod' END AS environment,
