@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keyquarry import rules
-from keyquarry.functions.text import WHITESPACE, any_of, shannon_entropy, trim_ws
+from keyquarry.functions.text import WHITESPACE, any_of, shannon_entropy
 from keyquarry.rules import SecretPattern
 from keyquarry.sources.code import explode_lines
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keyquarry import rules
 from keyquarry.functions import access as fx, text as tx
 from keyquarry.operators import access, ratelimit, vault
-from keyquarry.plans.checks import case, lit, values
+from keyquarry.plans.checks import lit, values
 from keyquarry.plans.registry import query
 from keyquarry.schemas import canonical_environment
 from keyquarry.session import new_path

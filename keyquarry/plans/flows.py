@@ -9,7 +9,7 @@ from keyquarry.plans.access import EVENTS_AT, _LIVE, _api_keys, at
 from keyquarry.plans.registry import query
 from keyquarry.plans.scanning import (
     TOKEN, _ALL_DEPS, _CHANGES, _CI_RULES, _SCOPE_VALUES, _SCOPED, _scan_sql, _scoped)
-from keyquarry.sources.fixtures import cte, frame, sql, table
+from keyquarry.sources.fixtures import cte, frame, sql
 
 _CHANGED_LINES = f"""changed AS (SELECT file, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line
 FROM (SELECT file, string_split(content, chr(10)) AS ls FROM ({_CHANGES}) WHERE status IS DISTINCT FROM 'removed'))"""

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from keyquarry import rules
 from keyquarry.operators import ordered, usage
 from keyquarry.operators.services import detect_services, missing_keys
-from keyquarry.plans.access import EVENTS_AT, ORDERS_AT, at, _PLAN_VALUES
-from keyquarry.plans.checks import lit
+from keyquarry.plans.access import ORDERS_AT, at, _PLAN_VALUES
 from keyquarry.plans.registry import query
 from keyquarry.plans.scanning import _CI_RULES
 from keyquarry.sources.fixtures import cte, frame, table

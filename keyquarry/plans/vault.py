@@ -7,7 +7,7 @@ import base64
 from pyspark.sql import functions as F
 
 from keyquarry.operators import crypto, quality, vault
-from keyquarry.plans.access import EVENTS_AT, ORDERS_AT, _OWN_REQUESTS, at
+from keyquarry.plans.access import ORDERS_AT, _OWN_REQUESTS, at
 from keyquarry.plans.checks import lit
 from keyquarry.plans.registry import query
 from keyquarry.sources.fixtures import cte, frame, sql, table

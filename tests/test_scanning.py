@@ -8,7 +8,6 @@ from keyquarry import rules
 from keyquarry.functions.text import shannon_entropy, trim_ws
 from keyquarry.operators import calls, intents, secrets
 from keyquarry.rules import SecretPattern
-from keyquarry.session import new_path
 from keyquarry.sources.code import explode_lines, file_ext, read_sources
 
 H32, H16 = "0123456789abcdef0123456789abcdef", "0123456789abcdef"

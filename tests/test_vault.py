@@ -4,7 +4,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from keyquarry import rules
 from keyquarry.operators import access, crypto, quality, usage, vault
 from keyquarry.schemas import TABLES, conform
 from keyquarry.sources.tables import read_table, write_table
