@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keyquarry.llm import bpe, languages, packing, simhash, token_counts
+from keyquarry.llm import bpe, languages, packing, secret_ledger, simhash, token_counts
 from keyquarry.llm.common import documents, remainder_is
 from keyquarry.session import prepare
 
@@ -43,6 +43,12 @@ def op2(spark, sf):
     return bpe.round_trip(documents(spark, sf), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op3_secret_scan")
+def op3(spark, sf):
+    """Secrets in every text, each content scanned once."""
+    return secret_ledger.scan(documents(spark, sf))
+
+
 @query("op4_simhash")
 def op4(spark, sf):
     """Classes of texts whose SimHash fingerprints link."""
