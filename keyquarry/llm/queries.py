@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keyquarry.llm import bpe, languages, packing, secret_ledger, simhash, token_counts
+from keyquarry.llm import bpe, languages, licenses, packing, secret_ledger, simhash, token_counts
 from keyquarry.llm.common import documents, remainder_is
 from keyquarry.session import prepare
 
@@ -65,3 +65,9 @@ def op7(spark, sf):
 def op8(spark, sf):
     """Tokens of every text."""
     return token_counts.count_tokens(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_license_scan")
+def op9(spark, sf):
+    """License phrases and signatures of every text."""
+    return licenses.scan(documents(spark, sf))
