@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from keyquarry.llm.common import LOWER, UPPER
 from keyquarry.llm.spans import places
 
-#: What stands between words once ASCII letters are lower case, and what words consist of in any case.
+#: What stands between words once ASCII letters are lower case, what words consist of in any case, and what not.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ANY_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Phrases and labels that are always reported.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
@@ -99,7 +99,10 @@ def _lower(text: Column) -> Column:
 
 
 def _count_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD))
+    """How many words the stretches between gaps make; those at an edge are empty where the text has a gap there."""
+    pieces = F.split(text, f"{ANY_GAP}+", -1)
+    count = lambda p: F.size(p) - F.when(F.get(p, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(p) > 1) & (F.element_at(p, -1) == ""), 1).otherwise(0)
+    return F.get(F.transform(F.array(pieces), count), F.lit(0))
 
 
 def _phrase(words: str) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keyquarry.llm import bpe, languages, licenses, packing, secret_ledger, simhash, token_counts
+from keyquarry.llm import bpe, chunks, languages, licenses, packing, perplexity, secret_ledger, simhash, token_counts
 from keyquarry.llm.common import documents, remainder_is
 from keyquarry.session import prepare
 
@@ -55,6 +55,12 @@ def op4(spark, sf):
     return simhash.near_duplicates(documents(spark, sf))
 
 
+@query("op6_fingerprints")
+def op6(spark, sf):
+    """Chunk fingerprints of every text, against its edited text and the next document."""
+    return chunks.compare(documents(spark, sf))
+
+
 @query("op7_packing")
 def op7(spark, sf):
     """Documents in sequences of at most 1024 tokens."""
@@ -71,3 +77,9 @@ def op8(spark, sf):
 def op9(spark, sf):
     """License phrases and signatures of every text."""
     return licenses.scan(documents(spark, sf))
+
+
+@query("op10_quality_rules")
+def op10(spark, sf):
+    """Repetition, symbols and perplexity of every text."""
+    return perplexity.judge(documents(spark, sf))
