@@ -118,17 +118,19 @@ def _literal(found: list[Rule]) -> Column:
     return F.expr(f"array({each})")
 
 
-def detections(words: Column, found: list[Rule]) -> Column:
+def _present(words: Column, found: list[Rule]) -> Column:
+    gates = sorted({r.gate for r in found})
+    return F.array_distinct(F.regexp_extract_all(words, F.lit(f"(?<= )(?:{'|'.join(gates)})(?= )"), F.lit(0)))
+
+
+def detections(words: Column, present: Column, found: list[Rule]) -> Column:
     """Detections that stand, as an array of (label, start, end, priority) over a text of words joined and enclosed by single spaces.
 
-    Only rules whose gate is a word of the text are tried.  A detection is dropped if its
+    Only rules whose gate is among ``present``, the gate words of the text, are tried.  A detection is dropped if its
     interval lies in that of one with higher priority, or of a longer one with the same; of
     equal ones the first label stays.  This takes one pass over the sorted intervals,
     which keeps the farthest end of each priority.
     """
-    gates = sorted({r.gate for r in found})
-    present = F.array_distinct(F.regexp_extract_all(words, F.lit(f"(?<= )(?:{'|'.join(gates)})(?= )"), F.lit(0)))
-
     def tried(r):
         return F.transform(places(words, r["pattern"]), lambda m: F.struct(
             m["start"].alias("start"), (-m["end"]).alias("end"), (-r["priority"]).alias("priority"), r["label"].alias("label")))
@@ -172,11 +174,11 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
         phrases.append(F.when(hit, F.transform(at, _labelled(label))).otherwise(F.array().cast("array<struct<start:int,label:string>>")))
     words = F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), f"{GAP}+", " ")
     words = F.replace(words, F.lit(f" {LICENCE} "), F.lit(f" {LICENSE} "))
-    rows = rows.select("doc_id", "text", "low", words.alias("words"))
+    rows = rows.select("doc_id", "text", "low", words.alias("words")).withColumn("present", _present(F.col("words"), found))
     kind = "array<struct<label:string,start:int,end:int,priority:int>>"
     rows = rows.select(
         "doc_id", _count_words(F.col("text")).cast("bigint").alias("n_words"), F.concat(*phrases).alias("base"),
-        F.when(F.col("words").isNotNull(), detections(F.col("words"), found)).otherwise(F.array().cast(kind)).alias("more"),
+        F.when(F.size("present") > 0, detections(F.col("words"), F.col("present"), found)).otherwise(F.array().cast(kind)).alias("more"),
     )
     of_base, of_all = F.transform("base", lambda b: b["label"]), F.transform("more", lambda b: b["label"])
     best = F.greatest(F.coalesce(F.array_max(F.transform("more", lambda b: b["priority"])), F.lit(0)), F.when(F.size("base") > 0, F.lit(TAG)).otherwise(F.lit(0)))
