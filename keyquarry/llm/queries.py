@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keyquarry.llm import bpe, chunks, languages, licenses, packing, perplexity, secret_ledger, simhash, token_counts
+from keyquarry.llm import bpe, chunks, language_model, languages, licenses, packing, perplexity, secret_ledger, simhash, token_counts
 from keyquarry.llm.common import documents, remainder_is
 from keyquarry.session import prepare
 
@@ -55,6 +55,14 @@ def op4(spark, sf):
     return simhash.near_duplicates(documents(spark, sf))
 
 
+@query("op5_lm_scores")
+def op5(spark, sf):
+    """Scores of every text under word counts and a recurrent network of the documents that are not held out."""
+    docs = documents(spark, sf).select("doc_id", "text").withColumn("held_out", remainder_is("doc_id", 7, 2))
+    model, words = language_model.fit(docs.filter(~F.col("held_out")), "doc_id")
+    return language_model.score(docs, model, words, ["doc_id", "held_out"])
+
+
 @query("op6_fingerprints")
 def op6(spark, sf):
     """Chunk fingerprints of every text, against its edited text and the next document."""

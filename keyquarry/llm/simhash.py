@@ -197,18 +197,18 @@ def keep_one(docs: DataFrame, size: int = 5, radius: int = 3, text: str = "text"
     and numbers alone, and the kept numbers are joined back.
     """
     spark, name = docs.sparkSession, "_" * (max(map(len, docs.columns)) + 1)   # longer than any column's name
-    at = docs.columns.index(text)
+    columns, at = docs.columns, docs.columns.index(text)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def number(batches):
         n = TaskContext.get().partitionId() << 40
         for batch in batches:
             found = np.array([fingerprint(b, size) for b in text_bytes(batch.column(at))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array(np.arange(n, n + len(found)))], [*docs.columns, f"{name}fp", f"{name}row"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array(np.arange(n, n + len(found)))], [*columns, f"{name}fp", f"{name}row"])
             n += len(found)
 
     rows = materialize(docs.mapInArrow(number, f"{types}, `{name}fp` bigint, `{name}row` bigint"), "numbered")
     marked = rows.select(F.col(f"{name}fp").alias("fp"), F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(f"{name}row").alias("row")).alias("key"))
     first = marked.groupBy("fp").agg(F.min("key").alias("key"))
     best = classes(marked, radius).join(first, "fp").groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.row").alias(f"{name}row"))
-    return rows.join(materialize(best, "kept"), f"{name}row", "left_semi").select(*docs.columns)
+    return rows.join(materialize(best, "kept"), f"{name}row", "left_semi").select(*columns)
