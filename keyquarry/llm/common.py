@@ -33,6 +33,9 @@ def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, null as empty."""
     return [b or b"" for b in column.cast("binary").to_pylist()]
 
+#: Marks that often stand behind a word, and the first sign behind the Latin letters that all tables agree on.
+_MARKS, _LATIN_END = ".,;:!?", "\u0250"
+
 
 class Stretches:
     """Ids (packed, four bytes each) of a text from those of its stretches.
@@ -44,10 +47,11 @@ class Stretches:
     back to the younger.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 300_000):
+    def __init__(self, encode: Callable[[str], bytes], most: int = 600_000):
         self.encode, self.most = encode, most
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         if not text:
@@ -72,7 +76,16 @@ class Stretches:
 
     def _keep(self, word: str) -> bytes:
         if (ids := self.older.get(word)) is None:
-            ids = self.encode(" " + word)
+            stem, mark = word[:-1], word[-1]
+            if mark in _MARKS and stem.isalpha() and max(stem) < _LATIN_END:
+                # a letter before a mark ends a match, and the mark is one by itself here
+                if (first := self.known.get(stem)) is None:
+                    first = self._keep(stem)
+                if (ids := self.marks.get(mark)) is None:
+                    ids = self.marks[mark] = self.encode(mark)
+                ids = first + ids
+            else:
+                ids = self.encode(" " + word)
         if len(self.known) >= self.most:
             self.older, self.known = self.known, {}
         self.known[word] = ids
