@@ -102,12 +102,12 @@ def findings(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES,
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     hits = (
         read(versions.sparkSession, ledger).filter(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
-        .select("blob", F.explode("spans").alias("s")).groupBy("blob")
-        .agg(F.array_sort(F.collect_list(F.struct("s.start", order[F.col("s.kind")].alias("nth"), "s.end", "s.kind"))).alias("_hits"))
+        .select("blob", F.explode("spans").alias("s")).groupBy(F.col("blob").alias(f"{name}_key"))
+        .agg(F.array_sort(F.collect_list(F.struct("s.start", order[F.col("s.kind")].alias("nth"), "s.end", "s.kind"))).alias(f"{name}_hits"))
     )
-    paths = versions.select(*keep, blob(F.col(text)).alias("_blob"))
-    joined = paths.join(hits, F.col("_blob") == F.col("blob"), "left")
-    spans = F.transform(F.coalesce("_hits", F.array().cast("array<struct<start:int,nth:int,end:int,kind:string>>")),
+    paths = versions.select(*keep, blob(F.col(text)).alias(f"{name}_blob"))
+    joined = paths.join(hits, F.col(f"{name}_blob") == F.col(f"{name}_key"), "left")
+    spans = F.transform(F.coalesce(f"{name}_hits", F.array().cast("array<struct<start:int,nth:int,end:int,kind:string>>")),
                         lambda h: F.struct(h["kind"].alias("kind"), h["start"].alias("start"), h["end"].alias("end")))
     return joined.select(*keep, spans.alias(name))
 

@@ -207,7 +207,7 @@ def test_chunks_and_neighbours(spark, sf):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(other.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (chunks.shown(a), chunks.shown(b))
         assert (r.near_edited, r.near_next) == (chunks.containment(a, b), chunks.containment(a, c))
-    text = "".join(random.Random(6).choice("abcdefgh ") for _ in range(20_000)).encode()
+    text = "".join(random.Random(6).choices("abcdefgh ", k=20_000)).encode()
     assert chunks.containment(chunks.fingerprint(text), chunks.fingerprint(b"inserted" + text)) > 0.95
     ends = chunks.borders(text)
     assert ends[-1] == len(text) and all(chunks.LEAST <= b - a <= chunks.MOST for a, b in zip([0, *ends], ends[:-1]))
