@@ -8,7 +8,7 @@ from keyquarry.session import materialize
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row with the highest ``order`` per key, by partial aggregation (no sort of a key's rows)."""
+    """The row with the highest ``order`` per key, by partial aggregation: a task hands on one row per key (it sorts its own rows for that)."""
     rest = [c for c in df.columns if c not in keys]
     newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
@@ -28,10 +28,13 @@ def running_count(
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(ts, order)
+    same = F.lit(True)
+    for c in (*keys, "_slice"):     # rows without a key or a time are rows like others
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}"))
     return (
         sliced.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, [*keys, "_slice"])
-        .select(*df.columns, (F.col("_before") + F.col("_rank")).alias(name))
+        .alias("r").join(offsets.alias("o"), same, "left")
+        .select(*[F.col(f"r.{c}") for c in df.columns], (F.col("o._before") + F.col("r._rank")).alias(name))
     )
 
 

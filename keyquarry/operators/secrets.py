@@ -19,7 +19,7 @@ def is_scanned(line: Column, file: Column | None = None) -> Column:
     """False for comment lines and for example/template environment files."""
     t = F.ltrim(line, F.lit(WHITESPACE))
     ok = ~(F.startswith(t, F.lit("//")) | F.startswith(t, F.lit("#")))
-    return ok if file is None else ok & ~any_of(file, rules.SKIPPED_FILES)
+    return ok if file is None else ok & ~F.coalesce(any_of(file, rules.SKIPPED_FILES), F.lit(False))
 
 
 def _hits(line: Column, patterns: list[SecretPattern]) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 MAX_K = 20
-BROADCAST_QUERIES = 4096
 _DIGITS = 10
 
 
@@ -21,15 +20,11 @@ def cosine(a, b):
     return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column without nulls as a double matrix."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(column), -1)
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one (not a number for a zero row)."""
+def _unit(rows: list) -> np.ndarray:
+    """Rows of equal length scaled to length one, in double precision; not a number for a zero row."""
+    m = np.asarray(rows, np.float64)
     with np.errstate(invalid="ignore", divide="ignore"):
+        m = m / np.abs(m).max(axis=1, keepdims=True)     # large elements would overflow when squared
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -50,95 +45,60 @@ def search(
     query_id: str = "query_id",
     doc_id: str = "doc_id",
     vector: str = "embedding",
-    max_broadcast: int = BROADCAST_QUERIES,
+    block: int = 2048,
 ) -> DataFrame:
     """(query_id, rank, doc_id, score) of the k most similar documents per query.
 
-    Equal scores (to ten digits) are ranked by document id.  Documents are read once and
-    never shuffled: every task keeps at most k candidates per query and batch from a
-    matrix product, and only those are ranked.  That holds the queries in every task, so
-    it is used up to ``max_broadcast`` queries; beyond, ``search_join`` is.
+    Equal scores (to ten digits) are ranked by document id.  Both sides are cut into blocks
+    of about ``block`` rows by a hash; a task scores a pair of blocks by matrix products and
+    keeps at most k candidates per query, and only those are ranked.  It is the same for any
+    number of queries, and a task never holds more than two blocks.  Vectors are compared
+    with those of their own length only; rows without a vector, with a missing element
+    or of length zero have no score.
     """
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be between 1 and {MAX_K}")
-    tag = [filter_column] if filter_column else []
-    rows = queries.select(query_id, vector, *tag).filter(F.col(vector).isNotNull()).limit(max_broadcast + 1).collect()
-    if len(rows) > max_broadcast:
-        return search_join(queries, docs, k, filter_column, query_id, doc_id, vector)
+    sides = [_usable(queries, query_id, vector, filter_column), _usable(docs, doc_id, vector, filter_column)]
+    nq, nd = (max(-(-side.count() // block), 1) for side in sides)
+    q, d = (side.withColumn(own, F.pmod(F.xxhash64("name"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>")))
+            for side, own, n, other, m in ((sides[0], "qb", nq, "db", nd), (sides[1], "db", nd, "qb", nq)))
     schema = T.StructType([
         T.StructField("query_id", queries.schema[query_id].dataType),
         T.StructField("doc_id", docs.schema[doc_id].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    ids = np.array([r[query_id] for r in rows], dtype=object)
-    q = _unit(np.asarray([r[vector] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
-    by_tag: dict = {}
-    for i, r in enumerate(rows):
-        by_tag.setdefault(r[filter_column] if filter_column else None, []).append(i)
-    if filter_column:
-        by_tag.pop(None, None)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, q, by_tag))
     arrow = to_arrow_schema(schema)
 
-    def best(batches):
-        ids, q, by_tag = shared.value
-        for batch in batches:
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            unit = _unit(_matrix(batch.column(1)))
-            tags = batch.column(2).to_pylist() if filter_column else [None] * len(names)
-            places: dict = {}
-            for at, tag in enumerate(tags):
-                places.setdefault(tag, []).append(at)
-            out_q, out_d, out_s = [], [], []
-            for tag, at in places.items():
-                chosen = by_tag.get(tag, [])
-                if not chosen:
-                    continue
-                scores = np.round(q[chosen] @ unit[at].T, _DIGITS)
-                for i, row in zip(chosen, scores):
-                    top = _best(row, names[at], k)
-                    out_q += [ids[i]] * len(top)
-                    out_d.append(names[at][top])
-                    out_s.append(row[top])
-            if out_q:
-                columns = [out_q, np.concatenate(out_d), np.concatenate(out_s)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-    usable = docs.select(doc_id, vector, *tag).filter(F.col(vector).isNotNull())
-    if filter_column:
-        usable = usable.filter(F.col(filter_column).isin(list(by_tag)))
-    return _ranked(usable.mapInArrow(best, schema), k)
-
-
-def search_join(
-    queries: DataFrame, docs: DataFrame, k: int = 5, filter_column: str | None = None,
-    query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "embedding", salts: int | None = None,
-) -> DataFrame:
-    """As ``search`` for any number of queries.
-
-    Documents are spread over ``salts`` parts by id and queries repeated once per part, so
-    a filter value with a third of the documents is shared by many tasks.  Vectors are
-    scaled once before the join, and the rank filter keeps k rows per query in every task
-    before candidates are exchanged.
-    """
-    salts = salts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    tag = [filter_column] if filter_column else []
-    q = _scaled(queries, query_id, "query_id", vector, "_q", tag).select("*", parts)
-    d = _scaled(docs, doc_id, "doc_id", vector, "_d", tag).withColumn(
-        "_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    score = F.round(_dot(F.col("_q"), F.col("_d")), _DIGITS)
-    return _ranked(q.join(d, [*tag, "_salt"]).select("query_id", "doc_id", score.alias("score")), k)
-
-
-def _scaled(df: DataFrame, key: str, key_as: str, vector: str, vector_as: str, tag: list[str]) -> DataFrame:
-    """Rows with a usable vector, scaled to length one in double precision."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias(key_as), v.alias("_v"), *tag)
-    norm = F.sqrt(_dot(F.col("_v"), F.col("_v")))
-    rows = rows.withColumn("_norm", norm).filter((F.col("_norm") > 0) & (F.col("_norm") < float("inf")))
-    return rows.select(key_as, F.transform("_v", lambda x: x / F.col("_norm")).alias(vector_as), *tag)
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        names = [t["name"].to_numpy() for t in (left, right)]
+        vectors = [t["vector"].to_pylist() for t in (left, right)]
+        places: list[dict] = [{}, {}]
+        for side, t in enumerate((left, right)):
+            for at, (tag, v) in enumerate(zip(t["tag"].to_pylist(), vectors[side])):
+                places[side].setdefault((tag, len(v)), []).append(at)
+        for group, at in places[0].items():
+            theirs = places[1].get(group)
+            if not theirs:
+                continue
+            scores = np.round(_unit([vectors[0][i] for i in at]) @ _unit([vectors[1][i] for i in theirs]).T, _DIGITS)
+            there = names[1][theirs]
+            for i, row in zip(at, scores):
+                top = _best(row, there, k)
+                out[0] += [names[0][i]] * len(top)
+                out[1] += there[top].tolist()
+                out[2] += row[top].tolist()
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow)], schema=arrow)
+
+    return _ranked(q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInArrow(best, schema), k)
+
+
+def _usable(df: DataFrame, key: str, vector: str, tag: str | None) -> DataFrame:
+    """(name, vector, tag) of the rows that can be scored."""
+    rows = df.select(F.col(key).alias("name"), F.transform(vector, lambda x: x.cast("double")).alias("vector"),
+                     (F.col(tag) if tag else F.lit(0)).alias("tag"))
+    whole = F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull())
+    return rows.filter(whole & F.col("tag").isNotNull())
 
 
 def _ranked(candidates: DataFrame, k: int) -> DataFrame:

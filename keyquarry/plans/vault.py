@@ -81,7 +81,7 @@ def u4(spark, sf):
     return vault.hard_delete(frame(spark, sf, "secrets"), ids).select("id", "user_id", "service")
 
 
-_REVOKES = "SELECT CAST(c_custkey AS VARCHAR(20)) AS key_id, CAST(CASE WHEN c_nationkey % 3 = 0 THEN c_custkey + 1 ELSE c_custkey END AS VARCHAR(20)) AS user_id FROM customer WHERE c_nationkey < 15"
+_REVOKES = "SELECT CAST(c_custkey AS VARCHAR(20)) AS key_id, CAST(CASE WHEN c_nationkey % 3 = 0 THEN c_custkey + 1 ELSE c_custkey END AS VARCHAR(20)) AS user_id FROM customer"
 
 
 @query("u5_revoke_api_keys", cte("api_keys", extra=f"asked AS ({_REVOKES})") + """SELECT k.id, k.user_id, CASE WHEN a.key_id IS NULL THEN k.revoked ELSE 1 END AS revoked

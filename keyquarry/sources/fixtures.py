@@ -72,7 +72,7 @@ SELECT concat('c', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VA
  concat('p', CAST(o_custkey % 20 AS VARCHAR(9))) AS project,
  CASE o_orderstatus WHEN 'F' THEN 'dev' WHEN 'O' THEN 'staging' ELSE 'prod' END AS environment,
  md5(concat(CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9)))) AS value_encrypted, l_shipdate AS changed_at
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 5 = 0""",
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "audit_logs": """
 SELECT event_id AS id, CAST(event_id % 997 AS VARCHAR(20)) AS secret_id, CAST(user_id AS VARCHAR(20)) AS user_id,
  CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'retrieved' WHEN 'purchase' THEN 'rotated' WHEN 'error' THEN 'deleted' ELSE 'validated' END AS action, ts AS timestamp FROM events""",
@@ -126,7 +126,7 @@ SELECT CAST(p_partkey % 50 AS VARCHAR(9)) AS project, p_partkey AS line_no,
  CASE CAST(p_partkey % 8 AS INT) WHEN 6 THEN concat('# ', p_name) WHEN 7 THEN '  ' ELSE concat(' KEY_', CAST(p_partkey % 7 AS VARCHAR(9)), '=', p_name, '=', p_brand, ' ') END AS line FROM part""",
     "env_overrides": """
 SELECT CAST(p_partkey % 50 AS VARCHAR(9)) AS project, p_partkey AS position,
- concat('KEY_', CAST(p_partkey % 9 AS VARCHAR(9))) AS name, p_type AS value FROM part WHERE p_size > 25""",
+ concat('KEY_', CAST(p_partkey % 9 AS VARCHAR(9))) AS name, p_type AS value FROM part""",
 }
 
 _TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "

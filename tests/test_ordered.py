@@ -89,7 +89,7 @@ def brute(queries, docs, k):
     return out
 
 
-@pytest.mark.parametrize("limit", [4096, 0])
+@pytest.mark.parametrize("limit", [2048, 7])
 def test_search(spark, limit):
     rng = np.random.default_rng(2)
     docs = [(i, [float(x) for x in rng.normal(size=8)], int(rng.integers(0, 2))) for i in range(400)]
@@ -100,10 +100,25 @@ def test_search(spark, limit):
     d = spark.createDataFrame(docs, "doc_id int, embedding array<float>, tag int").repartition(7)
     d = d.withColumn("embedding", F.col("embedding"))
     got = {}
-    for r in vectors.search(q, d, 7, "tag", max_broadcast=limit).orderBy("query_id", "rank").collect():
+    for r in vectors.search(q, d, 7, "tag", block=limit).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.doc_id)
     as_float = [(i, None if v is None else np.float32(v).astype(float), t) for i, v, t in docs]
     want = brute([(i, np.float32(v).astype(float), t) for i, v, t in queries], as_float, 7)
     assert got == want
     with pytest.raises(ValueError):
         vectors.search(q, d, 21)
+
+
+def test_search_sets_unusable_vectors_aside(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0]), (3, [7.0, 1.0, 2.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0, None]), (7, [1e200, 1e200]), (8, [])]
+    d = spark.createDataFrame(rows, "doc_id int, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [3.0])], "query_id int, embedding array<double>")
+    got = {(r.query_id, r.doc_id): round(r.score, 6) for r in vectors.search(q, d, 5).collect()}
+    assert got == {(1, 1): 1.0, (1, 7): 0.707107, (3, 2): 1.0}
+
+
+def test_running_count_keeps_rows_without_key_or_time(spark):
+    rows = [(1, "a", "2024-01-01 00:00:00"), (2, None, "2024-01-01 00:00:00"), (3, "a", None), (4, "a", "2024-01-02 00:00:00")]
+    df = spark.createDataFrame(rows, "event_id int, kind string, at string").withColumn("ts", F.to_timestamp_ntz("at"))
+    got = {r.event_id: r.nth for r in ordered.running_count(df, ["kind"], "ts", "event_id").collect()}
+    assert got == {3: 1, 1: 2, 4: 3, 2: 1}
