@@ -194,7 +194,7 @@ def keep_one(docs: DataFrame, size: int = 3, radius: int = 7, text: str = "text"
     """The rows, with all their columns, that stand for their class: the smallest id (nulls last), then the first row read.
 
     The wider radius is for near copies: of pairs with a similarity of 0.8 or more in five-word
-    shingles about two thirds lie within seven bits, and a sixth within three.
+    shingles about six in ten lie within seven bits, and one in ten within three.
 
     The rows are written once with a number for each, classes are found on fingerprints
     and numbers alone, and the kept numbers are joined back.
