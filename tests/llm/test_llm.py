@@ -148,6 +148,46 @@ def test_simhash_bits_and_classes(spark):
         assert (r.fingerprint, r.component_id) == (f"{marks[r.doc_id]:016x}", root[r.doc_id])
 
 
+def test_near_copies_go_and_others_stay(spark):
+    rnd = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, near, far = [], [], []
+    for k in range(60):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randint(60, 400))]
+        edited = list(words)
+        for at in rnd.sample(range(len(words)), max(1, len(words) * (k % 12) // 100)):
+            edited[at] = "new"
+        a, b = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (words, edited))
+        alike = len(a & b) / len(a | b)
+        (near if alike >= 0.8 else far if alike < 0.6 else []).append(1000 + k)
+        rows += [(k, " ".join(words)), (1000 + k, " ".join(edited)), (2000 + k, " ".join(words).upper() + " ")]
+    kept = [r[0] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert len(kept) == len(set(kept)) and set(range(60)) <= set(kept) and not any(k >= 2000 for k in kept)
+    assert len(near) > 10 and sum(k in kept for k in near) <= len(near) // 10
+    assert len(far) > 10 and set(far) <= set(kept)
+
+
+def test_wide_links_are_those_of_all_pairs(spark):
+    rnd = np.random.default_rng(3)
+    values = rnd.integers(0, 1 << 63, (150, 4)).astype(np.uint64)
+    for i in range(100):
+        value = values[rnd.integers(0, i + 1)].copy()
+        for bit in rnd.choice(256, rnd.integers(1, 60), replace=False).tolist():
+            value[bit // 64] ^= np.uint64(1 << bit % 64)
+        values[i + 50 if i >= 50 else i + 1] = value
+    rows = [(n, *(int(w) for w in v.view(np.int64))) for n, v in enumerate(values)]
+    prints = spark.createDataFrame(rows, "node bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint")
+    apart = np.bitwise_count(values[:, None] ^ values[None]).sum(2, dtype=np.int64)
+    got = {(r["a"], r["b"]) for r in simhash.wide_links(prints, 4, 44, 48, 15).collect()}
+    assert got and all(apart[a, b] <= 44 for a, b in got)
+    label = list(range(len(values)))
+    for a, b in got:
+        x, y = label[a], label[b]
+        label = [min(x, y) if v in (x, y) else v for v in label]
+    near = [(a, b) for a, b in zip(*np.nonzero(apart <= 36)) if a < b]
+    assert sum(label[a] == label[b] for a, b in near) >= 0.97 * len(near)
+
+
 def test_tree_finds_all_within_the_radius():
     rng = np.random.default_rng(5)
     values = np.unique(np.concatenate([c ^ (1 << rng.integers(0, 20, 60, np.uint64)) for c in rng.integers(0, 1 << 62, 5, np.uint64)]))
