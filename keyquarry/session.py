@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings that results depend on (timestamps are read as UTC)."""
+    """Runtime settings: timestamps are read as UTC, and Arrow batches are bounded in bytes, as a batch of long texts is large."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
