@@ -121,21 +121,25 @@ def slow_operations(timings: DataFrame, limit_ms: float = 1000) -> DataFrame:
     return timings.filter(F.col("duration_ms") > limit_ms)
 
 
-def _valid_keys(api_keys: DataFrame, users: DataFrame, at: Column) -> DataFrame:
-    """Keys that are neither revoked nor expired, with their user."""
+def _valid_keys(api_keys: DataFrame, users: DataFrame) -> DataFrame:
+    """Keys that are not revoked, with their user and the time until which they are valid (``_until``)."""
     extra = [c for c in ("email", "organization_id") if c in users.columns]
-    live = api_keys.filter(
-        (F.col("revoked") == 0) & (F.col("expires_at").isNull() | (F.col("expires_at") > at))
-    ).select("key_hash", F.col("user_id").alias("_uid"))
+    live = api_keys.filter(F.col("revoked") == 0).select(
+        F.col("key_hash").alias("_hash"), F.col("user_id").alias("_uid"), F.col("expires_at").alias("_until"))
     people = users.select(F.col("id").alias("_uid"), "tier", *extra)
     return live.join(people, "_uid").withColumnRenamed("_uid", "user_id")
 
 
+def _opens(at: Column) -> Column:
+    """Join condition: the request's key, not expired at ``at``, which may be a column of the request."""
+    return (F.col("_asked") == F.col("_hash")) & (F.col("_until").isNull() | (F.col("_until") > at))
+
+
 def authenticate(requests: DataFrame, api_keys: DataFrame, users: DataFrame, at: Column, key: str = "api_key") -> DataFrame:
-    """Requests with a valid key, with user and tier (the rest would get 401)."""
+    """Requests whose key is valid at ``at`` (such as the request's time), with user and tier (the rest would get 401)."""
     candidates = requests.filter(F.startswith(F.col(key), F.lit(rules.API_KEY_PREFIX)))
-    hashed = candidates.withColumn("key_hash", sha256_base64(F.col(key)))
-    return hashed.join(_valid_keys(api_keys, users, at), "key_hash").drop("key_hash")
+    hashed = candidates.withColumn("_asked", sha256_base64(F.col(key)))
+    return hashed.join(_valid_keys(api_keys, users), _opens(at)).drop("_asked", "_hash", "_until")
 
 
 def optional_authenticate(
@@ -143,8 +147,8 @@ def optional_authenticate(
 ) -> DataFrame:
     """As ``authenticate`` but every request is kept; user columns are null without a valid key."""
     usable = F.startswith(F.col(key), F.lit(rules.API_KEY_PREFIX))
-    hashed = requests.withColumn("key_hash", F.when(usable, sha256_base64(F.col(key))))
-    return hashed.join(_valid_keys(api_keys, users, at), "key_hash", "left").drop("key_hash")
+    hashed = requests.withColumn("_asked", F.when(usable, sha256_base64(F.col(key))))
+    return hashed.join(_valid_keys(api_keys, users), _opens(at), "left").drop("_asked", "_hash", "_until")
 
 
 def check_ownership(requests: DataFrame, secrets: DataFrame) -> DataFrame:

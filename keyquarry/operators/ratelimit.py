@@ -248,7 +248,8 @@ def rate_limit(
     """Adds allowed, remaining, reset_at and retry_after to every request.
 
     ``key`` is the counter key; ``limit`` may be a column that is the same (and at least
-    one) for all rows of a key.  Equal times are taken in the order of ``order``.
+    one) for all rows of a key.  A request without a limit (an unknown tier) or without a
+    time is admitted, takes no part in any count, and has no remaining or reset_at.  Equal times are taken in the order of ``order``.
     Rows where ``uncounted`` holds are decided but then taken off the count (the
     skip-successful and skip-failed options).  ``budget`` bounds the rows of one key that
     one task folds in a row when a task's input turns out different from the guess.
@@ -259,11 +260,15 @@ def rate_limit(
     window = int(window_seconds * 1_000_000)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = F.lit(True) if uncounted is None else ~F.coalesce(uncounted, F.lit(False))
-    ranged = (
+    keyed = (
         requests.withColumn("_key", key.cast("string"))
         .withColumn("_t", micros(F.col(ts)))
         .withColumn("_counted", counted)
         .withColumn("_limit", (F.lit(limit) if isinstance(limit, int) else limit).cast("bigint"))
+    )
+    limited = F.col("_t").isNotNull() & F.col("_limit").isNotNull()
+    ranged = (
+        keyed.filter(limited)
         .repartitionByRange(n, "_key", "_t", order)
         .sortWithinPartitions("_key", "_t", order)
         .withColumn("_pid", F.spark_partition_id())
@@ -300,7 +305,9 @@ def rate_limit(
     schema = rows.select(*columns).schema.add("allowed", "boolean").add("remaining", "long").add(
         "_reset", "long").add("retry_after", "long")
     decided = rows.select(*columns, "_key", "_t", "_counted", "_limit", "_pid").mapInArrow(decide, schema)
-    return decided.select(
+    free = keyed.filter(~limited).select(
+        *columns, F.lit(True).alias("allowed"), *(F.lit(None).cast("bigint").alias(c) for c in ("remaining", "_reset", "retry_after")))
+    return decided.unionByName(free).select(
         *columns, "allowed", "remaining",
         F.timestamp_micros("_reset").cast("timestamp_ntz").alias("reset_at"),
         F.when(~F.col("allowed"), F.col("retry_after")).alias("retry_after"),

@@ -66,16 +66,24 @@ def rotate_secrets(secrets: DataFrame, requests: DataFrame) -> dict[str, DataFra
 
 
 def soft_delete(secrets: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
-    """As ``rotate_secrets`` for deletions: is_active becomes 0, rows stay."""
-    decided = _decided(secrets, requests)
-    gone = decided.filter(F.col("http_status") == 200).groupBy(F.col("secret_id").alias("id")).agg(
-        F.max("at").alias("_at")
-    )
+    """As ``rotate_secrets`` for deletions: is_active becomes 0, rows stay.
+
+    The first granted request deletes; the secret is unknown to later ones, whoever asks
+    (404).  Requests of the same first instant count as one deletion with one audit row.
+    """
+    asked = _decided(secrets, requests)
+    first = asked.filter(F.col("http_status") == 200).groupBy("secret_id").agg(
+        F.min("at").alias("_at"), F.min("user_id").alias("_by"))
+    late = F.coalesce(F.col("at") > F.col("_at"), F.lit(False))
+    decided = asked.join(first.drop("_by"), "secret_id", "left").withColumn(
+        "http_status", F.when(late, 404).otherwise(F.col("http_status"))).select(*asked.columns)
+    gone = first.select(F.col("secret_id").alias("id"), "_at")
     values = {"is_active": F.when(F.col("_at").isNotNull(), 0).otherwise(F.col("is_active"))}
     if "updated_at" in secrets.columns:
         values["updated_at"] = F.coalesce("_at", "updated_at")
     snapshot = secrets.join(gone, "id", "left").withColumns(values).select(*secrets.columns)
-    return {"snapshot": snapshot, "audit": _log(decided, "deleted"), "status": decided}
+    audit = first.select("secret_id", F.col("_by").alias("user_id"), F.lit("deleted").alias("action"), F.col("_at").alias("timestamp"))
+    return {"snapshot": snapshot, "audit": audit, "status": decided}
 
 
 def hard_delete(secrets: DataFrame, ids: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def u3(spark, sf):
     return out.select("id", "user_id", "service", "is_active")
 
 
-@query("u3_soft_delete_audit", cte("secrets", extra=f"{_ASKED}, {_OK}") + "SELECT secret_id, user_id, 'deleted' AS action, asked_at AS timestamp FROM ok")
+@query("u3_soft_delete_audit", cte("secrets", extra=f"{_ASKED}, {_OK}") + "SELECT secret_id, user_id, 'deleted' AS action, min(asked_at) AS timestamp FROM ok GROUP BY secret_id, user_id")
 def u3_audit(spark, sf):
     return vault.soft_delete(frame(spark, sf, "secrets"), _asked(spark, sf))["audit"]
 

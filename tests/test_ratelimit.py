@@ -119,3 +119,12 @@ def test_a_change_of_tier_starts_a_new_count(spark):
     # No tier is free: 10 of the first 12 pass; then pro starts from nothing.
     assert [r.allowed for r in out] == [True] * 10 + [False] * 2 + [True] * 12
     assert out[12].remaining == 99
+
+
+def test_requests_without_a_limit_or_a_time_are_admitted(spark):
+    rows = [(1, "k", 1, 1), (2, "k", 2, 1), (3, "x", 1, None), (4, "x", 2, None), (5, "k", None, 1)]
+    requests = spark.createDataFrame(rows, "request_id int, key string, s int, most int").withColumn(
+        "ts", F.timestamp_micros(F.col("s") * 1_000_000).cast("timestamp_ntz"))
+    got = rate_limit(requests, F.col("key"), 60, F.col("most")).orderBy("request_id").collect()
+    assert [(r.allowed, r.remaining, r.reset_at is None) for r in got] == [
+        (True, 0, False), (False, 0, False), (True, None, True), (True, None, True), (True, None, True)]

@@ -265,3 +265,29 @@ def test_tier_gate_and_plans(spark):
     assert [r.http_status for r in access.gate_by_tier(df, ["pro"]).collect()] == [403, 200, 401, 403]
     users = spark.createDataFrame([("1", "free"), ("2", "team"), ("3", "enterprise")], "id string, tier string")
     assert {r.id: r.plan_key for r in access.plan_for(users, "year").collect()} == {"1": "free", "2": "team_yearly", "3": None}
+
+
+def test_first_delete_wins_and_later_ones_find_nothing(spark):
+    rows = [("a", "u1", 3), ("a", "u1", 1), ("a", "u2", 0), ("a", "u2", 5), ("b", "u2", 2)]
+    requests = spark.createDataFrame(rows, "secret_id string, user_id string, n int").select(
+        "secret_id", "user_id", F.timestamp_micros(F.col("n") * 1_000_000).cast("timestamp_ntz").alias("at"))
+    gone = vault.soft_delete(secrets(spark), requests)
+    status = [(r.secret_id, r.user_id, r.http_status) for r in gone["status"].orderBy("at").collect()]
+    assert status == [("a", "u2", 403), ("a", "u1", 200), ("b", "u2", 200), ("a", "u1", 404), ("a", "u2", 404)]
+    assert sorted((r.secret_id, r.user_id, r.timestamp.second) for r in gone["audit"].collect()) == [("a", "u1", 1), ("b", "u2", 2)]
+
+
+def test_keys_expire_at_the_time_of_each_request(spark):
+    from keyquarry import rules
+    from keyquarry.functions.text import sha256_base64
+
+    key = rules.API_KEY_PREFIX + "abc"
+    when = F.timestamp_micros(F.col("n") * 1_000_000).cast("timestamp_ntz")
+    requests = spark.createDataFrame([(1, key), (5, key), (9, key), (2, None)], "n int, api_key string").withColumn("ts", when)
+    keys = spark.createDataFrame([(key, "u1", 0, 5)], "k string, user_id string, revoked int, n int").select(
+        sha256_base64(F.col("k")).alias("key_hash"), "user_id", "revoked", when.alias("expires_at"))
+    users = spark.createDataFrame([("u1", "team")], "id string, tier string")
+    assert [r.n for r in access.authenticate(requests, keys, users, F.col("ts")).collect()] == [1]
+    every = access.optional_authenticate(requests, keys, users, F.col("ts"))
+    assert sorted((r.n, r.tier) for r in every.collect()) == [(1, "team"), (2, None), (5, None), (9, None)]
+    assert every.columns == ["n", "api_key", "ts", "user_id", "tier"]
