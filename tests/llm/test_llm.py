@@ -317,3 +317,16 @@ def test_quality_measures_and_kneser_ney(spark, sf):
     every = np.arange(4096) | context << 12
     assert abs((10.0 ** model._log(every, 5)).sum() - 1) < 1e-6     # a distribution after a known context
     assert model.bits("the cat sat") < model.bits("qxz vkw jjp")
+
+
+def test_copies_move_neither_model_nor_band(spark):
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("aeioubcdfglmnprst") for _ in range(rnd.randint(2, 8))) for _ in range(800)]
+    single = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(60, 120))), "en") for i in range(150)]
+    copies = [(1000 + i, single[0][1], "en") for i in range(600)]
+    alone, all_rows = (spark.createDataFrame(rows, "doc_id long, text string, lang string") for rows in (single, single + copies))
+    expected = {r.doc_id: (r.level, r.kept) for r in perplexity.judge(alone).collect()}
+    found = {r.doc_id: (r.level, r.kept) for r in perplexity.judge(all_rows).collect()}
+    assert all(kept for _, kept in expected.values())
+    assert found == expected | {i: expected[0] for i, _, _ in copies}
+    assert perplexity.keep_good(all_rows).count() == len(single) + len(copies)
