@@ -39,7 +39,10 @@ MORE = (
     Rule("github", 1, "gh[pousr]_", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, "xox[abprs]-", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", 1, "eyJ", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("key_block", 1, "PRIVATE KEY", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\x20\n]*"),
+    # up to the END line of the same block; without one, header lines and what can be of the key
+    Rule("key_block", 2, "PRIVATE KEY",
+         r"-----BEGIN ([A-Z ]{0,20})PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----"
+         r"|(?:\r?\n[A-Za-z0-9-]+:[^\r\n]*)*+[A-Za-z0-9+/=\x20\r\n]*)"),
 )
 RULES = BASE + MORE
 

@@ -330,3 +330,19 @@ def test_copies_move_neither_model_nor_band(spark):
     assert all(kept for _, kept in expected.values())
     assert found == expected | {i: expected[0] for i, _, _ in copies}
     assert perplexity.keep_good(all_rows).count() == len(single) + len(copies)
+
+
+def test_private_keys_go_whole(spark):
+    rnd = random.Random(7)
+    lines = ["".join(rnd.choice("GHJKLMNOPQ+/") for _ in range(64)) for _ in range(20)]
+    headers = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00"]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    bodies = [lines, [*headers, "", *lines], lines * 4000]
+    blocks = [nl.join([begin, *b, end]) for nl in ("\n", "\r\n", "\\n") for b in bodies]
+    rows = [(i, f"before {b} after {b} end") for i, b in enumerate(blocks)]
+    cut = [nl.join([begin, *b]) for nl in ("\n", "\r\n") for b in bodies]
+    rows += [(100 + i, f"before {b}") for i, b in enumerate(cut)] + [(200, f"{cut[0]}\n-----BEGIN X-----. the text stays. {end}")]
+    clean = {r.doc_id: r.text for r in secret_ledger.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(clean[i] == "before [REDACTED] after [REDACTED] end" for i in range(len(blocks)))
+    assert all(clean[100 + i] == "before [REDACTED]" for i in range(len(cut)))
+    assert clean[200] == f"[REDACTED]-----BEGIN X-----. the text stays. {end}"
