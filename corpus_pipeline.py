@@ -14,8 +14,9 @@ from keyquarry.session import new_path, prepare
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language; profiles come from the labelled rows that are not held out."""
-    return languages.keep_known(docs, languages.learn(docs.filter(~remainder_is("doc_id", 4, 2))))
+    """Rows whose text has a language; profiles and floors come from the labelled rows that are not held out."""
+    labelled = docs.filter(~remainder_is("doc_id", 4, 2))
+    return languages.keep_known(docs, languages.learn(labelled), allowed=languages.floors(labelled))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from keyquarry.llm.secret_ledger import blob
+from keyquarry.session import materialize
+
 UNKNOWN = "und"
 PROFILE = 300
 _BITS = 21
@@ -60,16 +63,22 @@ class Profiles:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language at the smallest out-of-place distance (ties: first name), and 1 - distance / largest possible."""
+        return self.measure(text)[:2]
+
+    def measure(self, text: str | None) -> tuple[str, float, float, int]:
+        """As ``predict``, with the lead of the score on the second language's (on 0 if there is one language) and the number of distinct n-grams."""
         counted = grams(text)
         if counted is None or not self.names:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0, 0
         own = ranked(*counted, self.size)
         at = np.searchsorted(self.keys, own)
         at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] != own)] = len(self.keys)
         theirs = self.ranks[at]
         apart = np.where(theirs < 0, self.size, np.abs(theirs - np.arange(len(own))[:, None])).sum(0)
         best = int(apart.argmin())
-        return self.names[best], float(1 - apart[best] / (self.size * len(own)))
+        scores = 1 - apart / (self.size * len(own))
+        second = np.delete(scores, best).max(initial=0.0)
+        return self.names[best], float(scores[best]), float(scores[best] - second), len(counted[0])
 
 
 def _count(batches):
@@ -129,14 +138,78 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list[
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{types}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, profiles: Profiles, text: str = "text", least: float = 0.02) -> DataFrame:
-    """The rows, with all their columns, whose text has a language at a score of ``least`` or more."""
+def floors(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", low: float = 0.01,
+           margin: float = 0.05) -> dict[str, tuple[float, float]]:
+    """Least score and least lead for each language, from the labelled rows (null labels and texts are left out).
+
+    Each half of the contents is measured by profiles of the other half, so no text is
+    measured by a profile it is part of.  Of the distinct contents whose label is found, the
+    quantile ``low`` counts, less its distance to the median or ``margin``, whichever is
+    more.  A language that only one half has gets no floor.
+    """
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("key")).filter(
+        F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.withColumn("blob", blob(F.col("text")))
+    half = F.pmod(F.xxhash64("blob", F.lit("half")), F.lit(2))
+    found = None
+    for i in (0, 1):
+        part = measured(rows.filter(half == 1 - i), learn(rows.filter(half == i), doc_id="key"), keep=["lang", "blob"])
+        found = part if found is None else found.unionAll(part)
+    right = materialize(found.filter("lang = lang_pred").select("lang", "blob", "score", "lead"), "language-scores")
+    single = right.groupBy("lang", "blob").agg(F.first("score").alias("score"), F.first("lead").alias("lead"))
+    out: dict[str, list[float]] = {}
+    for column in ("score", "lead"):
+        steps: dict[str, list] = {}
+        for r in single.groupBy("lang", F.floor(F.col(column) * 1000).alias("step")).agg(F.count("*").alias("n")).collect():
+            steps.setdefault(r["lang"], []).append((r["step"] / 1000, r["n"]))
+        for name, pairs in steps.items():
+            least, middle = _quantile(pairs, low), _quantile(pairs, 0.5)
+            out.setdefault(name, []).append(max(least - max(middle - least, margin), 0.0))
+    return {name: (score, lead) for name, (score, lead) in out.items()}
+
+
+def _quantile(pairs: list[tuple[float, int]], share: float) -> float:
+    wanted, total = share * sum(n for _, n in pairs), 0
+    for v, n in sorted(pairs):
+        total += n
+        if total >= wanted:
+            return v
+    return 0.0
+
+
+def measured(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns with ``lang_pred``, ``score`` and ``lead`` of every whole text."""
+    keep = ["doc_id"] if keep is None else keep
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches):
+        for batch in batches:
+            found = [shared.value.measure(t) for t in batch.column(len(keep)).to_pylist()]
+            arrays = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *arrays], [*keep, "lang_pred", "score", "lead"])
+
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{types}, lang_pred string, score double, lead double")
+
+
+def keep_known(docs: DataFrame, profiles: Profiles, text: str = "text", least: float = 0.02, least_grams: int = 20,
+               allowed: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """The rows, with all their columns, whose text has a language.
+
+    It has ``least_grams`` distinct n-grams, a score of ``least`` and of the language's floor in
+    ``allowed`` (see ``floors``), and the lead given there on the second language.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     at = docs.columns.index(text)
+    bars = allowed or {}
+
+    def known(t: str | None) -> bool:
+        lang, score, lead, n = shared.value.measure(t)
+        floor, ahead = bars.get(lang, (0.0, 0.0))
+        return lang != UNKNOWN and n >= least_grams and score >= max(least, floor) and lead >= ahead
 
     def run(batches):
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([known(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

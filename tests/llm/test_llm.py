@@ -346,3 +346,18 @@ def test_private_keys_go_whole(spark):
     assert all(clean[i] == "before [REDACTED] after [REDACTED] end" for i in range(len(blocks)))
     assert all(clean[100 + i] == "before [REDACTED]" for i in range(len(cut)))
     assert clean[200] == f"[REDACTED]-----BEGIN X-----. the text stays. {end}"
+
+
+def test_garbage_and_unlearned_languages_go(spark):
+    rnd = random.Random(8)
+    docs = queries.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    letters = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") * (rnd.random() < 0.85) or " " for _ in range(3000))
+    polish = ("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem "
+              "i powinni postępować wobec innych w duchu braterstwa. ") * 4
+    bad = [letters, "".join(rnd.choice("0123456789abcdef") for _ in range(2000)), polish, "1234 a 5678 " * 50,
+           "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(3000))]
+    extra = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(bad)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs.unionAll(extra), "").select("doc_id").collect()}
+    real = [r.doc_id for r in docs.collect() if r.text and len(r.text.split()) >= 50]
+    assert not any(i < 0 for i in kept)
+    assert len([i for i in real if i in kept]) >= 0.995 * len(real)
