@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keyquarry.llm import (
-    bpe, chunks, hard_negatives, language_model, languages, licenses, packing, perplexity, product_codes, secret_ledger, simhash, token_counts,
+    bpe, chunks, hard_negatives, language_model, languages, licenses, packing, perplexity, personal_data, product_codes, secret_ledger, simhash,
+    token_counts,
 )
 from keyquarry.llm.common import documents, remainder_is
 from keyquarry.session import prepare
@@ -95,6 +96,12 @@ def op10(spark, sf):
     return perplexity.judge(documents(spark, sf))
 
 
+@query("op11_personal_data")
+def op11(spark, sf):
+    """Personal data in every text, by fixed forms and by learned contexts."""
+    return personal_data.scan(documents(spark, sf))
+
+
 _NUMBERS = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
 
