@@ -8,13 +8,15 @@ The rows are range partitioned on (key, time, id).  Range bounds follow the data
 key with a third of all requests is cut into many tasks while small keys share one.
 Inside a task rows are folded in order by blocks; a task needs nothing from the others
 except, for the key it starts with, the admitted times that are still in the window
-(at most ``limit`` of them).  These are found first, in one parallel pass that is right
-for every key starting in a task; only tasks that lie wholly inside one key have to be
-folded again when what they inherit differs from what they assumed.
+(at most ``limit`` of them).  These come from one pass in which every task that lies
+wholly inside one key writes what it does to any inherited times (``summarize``), and
+from a second, small one that applies these summaries in order.  So the number of jobs
+does not depend on the data, also for a key that is over its limit all the time.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keyquarry.functions.access import micros, rate_key, tier_limiter_key, tier_max
-from keyquarry.session import checkpoint, new_path
+from keyquarry.session import checkpoint, materialize
 
 _LONG_AGO = np.int64(-(2**61))
 
@@ -103,135 +105,184 @@ def _fold(key: np.ndarray, t: np.ndarray, counted: np.ndarray, limits: np.ndarra
     return allowed, in_window, oldest, held
 
 
-def _carry_rows(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
-    """One summary row per task: its keys and the admitted times its last key hands on."""
-    first = last = None
-    first_t = last_t = 0
-    held, pid, rows = np.zeros(0, np.int64), -1, 0
+def _after_reset(ct: np.ndarray, window: int, limit: int) -> np.ndarray | None:
+    """Admitted times after the block if they do not depend on what it inherits, else None.
+
+    A row with fewer than ``limit`` rows in the window before it is admitted whatever was
+    decided earlier.  Where a whole window holds such rows only (or none), what is admitted
+    in it is known, and with it all that follows.  Rows of the block's first window see rows
+    of the block before and are left out.
+    """
+    n = len(ct)
+    whole = int(np.searchsorted(ct, ct[0] + window, side="left"))
+    before = np.arange(n) - np.searchsorted(ct, ct - window, side="right")
+    unsure = np.flatnonzero((before >= limit) | (np.arange(n) < whole))
+    start, until = unsure + 1, np.append(ct[unsure[1:]], ct[-1])
+    calm = np.flatnonzero((start < n) & (until - ct[unsure] >= window))
+    if not len(calm):
+        return None
+    first = int(start[calm[-1]])
+    return admit(ct[first:], np.ones(n - first, bool), np.zeros(0, np.int64), window, limit)[3]
+
+
+def summarize(ct: np.ndarray, window: int, limit: int, room: int) -> dict[str, np.ndarray]:
+    """What a block of ordered counted times of one key does to any inherited times, for ``apply_block``.
+
+    Either ``after``, if that does not depend on them; or a table, if it takes at most ``room``
+    numbers; or else the times themselves.
+
+    The table: the i-th admission of a block is no earlier than the row after the one before
+    it and no earlier than the release of its slot, which is inherited or comes from the admission
+    ``limit`` before.  Both bounds never fall when their arguments grow, so the i-th admission is
+    the latest of those that each inherited time would lead to alone, and alone a
+    release leads to what a block admits that starts empty at the first row behind it.
+    Releases fall into the block's first window.  So for each row of it the table has the
+    number of admissions of that start (``count``) and the last 2 * limit of them (``last``).
+    """
+    if (after := _after_reset(ct, window, limit)) is not None:
+        return {"after": after}
+    n, starts = len(ct), int(np.searchsorted(ct, ct[0] + window, side="left")) + 1
+    starts = min(starts, n)
+    if 2 * limit * starts > room:
+        return {"times": ct}
+    follow = np.append(np.searchsorted(ct, ct + window, side="left"), n)
+    step = np.arange(limit)
+    now = np.minimum(np.arange(starts)[:, None] + step, n)
+    kept = [np.full((starts, limit), -1), np.full((starts, limit), -1), now]
+    count, live = (now < n).sum(1), np.arange(starts)
+    last = np.full((starts, 2 * limit), -1)
+
+    def close(done: np.ndarray) -> None:
+        # of three rounds of admissions, the newest first; rows behind the end are no admissions
+        rounds = np.concatenate([k[done] for k in kept], axis=1)
+        ends = (rounds < n).sum(1)
+        at = ends[:, None] - 1 - np.arange(2 * limit)
+        last[live[done]] = np.where(at >= 0, np.take_along_axis(rounds, np.maximum(at, 0), 1), -1)
+
+    while len(live):
+        done = kept[2][:, -1] >= n
+        if done.any():
+            close(done)
+            live, kept = live[~done], [k[~done] for k in kept]
+            continue
+        after = follow[kept[2]]
+        after[:, 0] = np.maximum(after[:, 0], kept[2][:, -1] + 1)
+        now = np.minimum(np.maximum.accumulate(after - step, axis=1) + step, n)
+        kept = [kept[1], kept[2], now]
+        count[live] += (now < n).sum(1)
+    recent = int(np.searchsorted(ct, ct[-1] - window, side="right"))
+    return {"first": ct[:starts], "count": count, "last": last, "recent": ct[recent:], "end": np.array([n])}
+
+
+def apply_block(block: dict[str, np.ndarray], held: np.ndarray, window: int, limit: int) -> np.ndarray:
+    """Admitted times after a block, ordered, of those before it."""
+    if "after" in block:
+        return block["after"]
+    if "times" in block:
+        return admit(block["times"], np.ones(len(block["times"]), bool), held, window, limit)[3]
+    slots = np.concatenate([np.full(limit - len(held[-limit:]), _LONG_AGO), held[-limit:]])
+    first, count, n = block["first"], block["count"], int(block["end"][0])
+    x = np.searchsorted(first, slots + window, side="left")
+    found = x < len(first)
+    of = np.where(found, count[np.minimum(x, len(first) - 1)], 0)
+    place = np.arange(1, limit + 1)
+    admitted = int((of + place - 1).min())
+    nth = np.arange(max(admitted - limit, 0) + 1, admitted + 1)
+    rows = np.full(len(nth), -1)
+    width = block["last"].shape[1]
+    for a in range(0, limit, 256):
+        j, xs = place[a:a + 256][found[a:a + 256]], x[a:a + 256][found[a:a + 256]]
+        if len(j) and len(nth):
+            back = count[xs][:, None] - 1 - (nth - j[:, None])
+            ok = (nth >= j[:, None]) & (back < width)
+            values = np.take_along_axis(block["last"][xs], np.clip(back, 0, width - 1), 1)
+            rows = np.maximum(rows, np.where(ok, values, -1).max(0))
+    recent = block["recent"]
+    at = rows - (n - len(recent))
+    times = np.where(at >= 0, recent[np.maximum(at, 0)], _LONG_AGO)
+    after = np.concatenate([slots[min(admitted, limit):], times])[-limit:]
+    return after[after > _LONG_AGO]
+
+
+_BLOCK = "key string, pid int, part int, kind string, max_requests bigint, data binary"
+_PART = 1 << 20          # times in one row of a summary
+
+
+def _packed(arrays: dict[str, np.ndarray]) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(data)) as arrays:
+        return dict(arrays)
+
+
+def _blocks(batches: Iterator[pd.DataFrame], window: int, room: int) -> Iterator[pd.DataFrame]:
+    """What other tasks need of this one: a summary if it has one key, else the first key and what the last one hands on."""
+    first = last = pid = None
+    alone: list[np.ndarray] = []
+    held, last_t, limit = np.zeros(0, np.int64), 0, 1
     for pdf in batches:
         if not len(pdf):
             continue
-        key, t = pdf["_key"].to_numpy(), pdf["_t"].to_numpy()
+        key, t, counted = pdf["_key"].to_numpy(), pdf["_t"].to_numpy(), pdf["_counted"].to_numpy(bool)
         if first is None:
-            first, first_t, pid = key[0], int(t[0]), int(pdf["_pid"].iloc[0])
-        elif key[0] != last:
-            held = np.zeros(0, np.int64)
-        held = _fold(key, t, pdf["_counted"].to_numpy(bool), pdf["_limit"].to_numpy(), held, window)[3]
-        last, last_t, rows = key[-1], int(t[-1]), rows + len(pdf)
-    if first is not None:
-        live = held[held > last_t - window]
-        yield pd.DataFrame(
-            [(pid, first, last, first_t, rows, live.astype(np.int64).tobytes())],
-            columns=_SUMMARY_COLUMNS,
-        )
-
-
-_SUMMARY_COLUMNS = ["pid", "first_key", "last_key", "first_t", "rows", "held"]
-_SUMMARY = "pid int, first_key string, last_key string, first_t bigint, rows bigint, held binary"
-
-
-def _summaries(df: DataFrame, window: int) -> dict[int, dict]:
-    """Summaries by task: at most one small row per task reaches the driver."""
-    def run(batches):
-        return _carry_rows(batches, window)
-
-    rows = df.select("_pid", "_key", "_t", "_counted", "_limit").mapInPandas(run, _SUMMARY).collect()
-    return {r["pid"]: r.asDict() for r in rows}
-
-
-def _handed_on(info: dict[int, dict], q: int, p: int, window: int) -> bytes:
-    """What task ``q`` hands on that can still matter to task ``p``."""
-    held = np.frombuffer(info[q]["held"], np.int64)
-    return held[held > info[p]["first_t"] - window].tobytes()
-
-
-def _settle(sorted_rows: DataFrame, window: int, budget: int) -> dict[int, bytes]:
-    """Admitted times each task inherits for the key it starts with.
-
-    The driver holds one row per task: two keys and at most ``limit`` times.
-    """
-    info = _summaries(sorted_rows, window)
-    order = sorted(info)
-    links = [(q, p) for q, p in zip(order, order[1:]) if info[q]["last_key"] == info[p]["first_key"]]
-    # Tasks that lie inside one key pass on what they inherit; the others start afresh.
-    through = {p for q, p in links if info[p]["first_key"] == info[p]["last_key"]}
-    assumed: dict[int, bytes] = {p: b"" for p in through}
-    times, guessing = None, True
-    while True:
-        runs: list[list[int]] = []
-        unsettled, size = set(), 0
-        for q, p in links:
-            if p not in through:
-                continue
-            differs = _handed_on(info, q, p, window) != assumed[p]
-            if q in unsettled:
-                unsettled.add(p)
-                if guessing and differs:
-                    runs.append([p])
-                elif not guessing and runs[-1][-1] == q and size + info[p]["rows"] <= budget:
-                    runs[-1].append(p)
-                    size += info[p]["rows"]
-            elif differs:
-                # Its input is final: fold it, and what follows as far as the budget goes.
-                unsettled.add(p)
-                runs.append([p])
-                size = info[p]["rows"]
-        if not runs:
-            return {p: _handed_on(info, q, p, window) for q, p in links}
-        if times is None:
-            path = new_path(sorted_rows.sparkSession, "admission")
-            (sorted_rows.filter(F.col("_pid").isin(list(through))).select("_pid", "_key", "_t", "_counted", "_limit")
-             .write.partitionBy("_pid").parquet(path))
-            times = sorted_rows.sparkSession.read.parquet(path)
-        before = dict((p, q) for q, p in links)
-        starts = {run[0]: _handed_on(info, before[run[0]], run[0], window) for run in runs}
-        folded = _refold(times, runs, starts, window)
-        for run in runs:
-            for p in run:
-                info[p]["held"] = folded[p]["held"]
-            for p in run:
-                assumed[p] = starts[p] if p == run[0] else _handed_on(info, before[p], p, window)
-        # The first round tries every task with the best guess, as most agree after a calm
-        # spell; later rounds go on from tasks whose input is final.
-        guessing = False
-
-
-def _refold(times: DataFrame, runs: list[list[int]], starts: dict[int, bytes], window: int) -> dict[int, dict]:
-    """Fold runs of consecutive tasks of one key, each run in one task, time by time.
-
-    Only the folders of these tasks are read.
+            first = last = key[0]
+            pid = int(pdf["_at"].iloc[0]) >> 33
+        if key[-1] == first:        # one key so far: its counted times are all there is to keep
+            alone.append(t[counted])
+        else:
+            if key[0] == first and alone:       # the first key ends here; nobody needs what it hands on
+                alone = []
+            if key[0] != last:
+                held = np.zeros(0, np.int64)
+            held = _fold(key, t, counted, pdf["_limit"].to_numpy(), held, window)[3]
+        last, last_t, limit = key[-1], int(t[-1]), int(pdf["_limit"].iloc[-1])
+    if first is None:
+        return
+    rows = []
+    if first != last:
+        rows = [(first, pid, 0, "end", 1, b""), (last, pid, 0, "start", limit, held[held > last_t - window].astype(np.int64).tobytes())]
+    else:
+        times = np.concatenate(alone)
+        block = summarize(times, window, limit, room) if len(times) else {"times": times}
+        if "times" in block:
+            for i in range(0, max(len(times), 1), _PART):
+                rows.append((first, pid, i // _PART, "block", limit, _packed({"times": times[i:i + _PART]})))
+        else:
+            rows = [(first, pid, 0, "block", limit, _packed(block))]
+    for r in rows:
+        yield pd.DataFrame([r], columns=[c.split()[0] for c in _BLOCK.split(", ")])
+
+
+def _inherited(blocks: DataFrame, window: int, parts: int) -> DataFrame:
+    """(pid, held): the admitted times each task inherits for the key it starts with.
+
+    A key's summaries are applied in order by one task, a row at a time; they are one small row for each task that read the key.
     """
-    spark = times.sparkSession
-    places = spark.createDataFrame([(p, i) for i, run in enumerate(runs) for p in run], "_pid int, _run int")
-    rows = (
-        times.filter(F.col("_pid").isin([p for run in runs for p in run]))
-        .join(F.broadcast(places), "_pid").repartition(len(runs), "_run").sortWithinPartitions("_run", "_pid", "_t")
-    )
-
-    def run_all(batches):
-        current, key, held, last_t, n = None, None, None, 0, 0
-
-        def done():
-            live = held[held > last_t - window].astype(np.int64)
-            return pd.DataFrame([(current, key, key, 0, n, live.tobytes())], columns=_SUMMARY_COLUMNS)
-
+    def run(batches):
+        key, held = None, np.zeros(0, np.int64)
         for pdf in batches:
-            for pid, part in pdf.groupby("_pid", sort=False):
-                if pid != current:
-                    if current is not None:
-                        yield done()
-                    n = 0
-                    if pid in starts:
-                        held = np.frombuffer(starts[pid], np.int64)
-                current, key, n = pid, part["_key"].iloc[0], n + len(part)
-                t = part["_t"].to_numpy()
-                last_t = int(t[-1])
-                held = admit(t, part["_counted"].to_numpy(bool), held, window, int(part["_limit"].iloc[0]))[3]
-        if current is not None:
-            yield done()
-
-    found = rows.select("_pid", "_key", "_t", "_counted", "_limit").mapInPandas(run_all, _SUMMARY).collect()
-    return {r["pid"]: r.asDict() for r in found}
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.key != key:
+                    key, held = r.key, np.zeros(0, np.int64)
+                if r.kind != "start" and r.part == 0 and len(held):
+                    out.append((r.pid, held.tobytes()))
+                if r.kind == "start":
+                    held = np.frombuffer(r.data, np.int64)
+                elif r.kind == "block":
+                    block = _unpacked(r.data)
+                    if "times" not in block or len(block["times"]):
+                        held = apply_block(block, held, window, int(r.max_requests))
+            yield pd.DataFrame(out, columns=["pid", "held"])
+
+    # where one of a key's tasks is alone there is nothing to hand on
+    shared = blocks.groupBy(F.col("key").alias("_k")).agg(F.count_distinct("pid").alias("_n")).filter("_n > 1")
+    wanted = blocks.join(shared, F.col("key") == F.col("_k"), "left_semi")
+    return wanted.repartition(parts, "key").sortWithinPartitions("key", "pid", "part").mapInPandas(run, "pid int, held binary")
 
 
 def rate_limit(
@@ -243,7 +294,7 @@ def rate_limit(
     order: str = "request_id",
     uncounted: Column | None = None,
     partitions: int | None = None,
-    budget: int = 16_000_000,
+    room: int = 4_000_000,
 ) -> DataFrame:
     """Adds allowed, remaining, reset_at and retry_after to every request.
 
@@ -251,8 +302,9 @@ def rate_limit(
     one) for all rows of a key.  A request without a limit (an unknown tier) or without a
     time is admitted, takes no part in any count, and has no remaining or reset_at.  Equal times are taken in the order of ``order``.
     Rows where ``uncounted`` holds are decided but then taken off the count (the
-    skip-successful and skip-failed options).  ``budget`` bounds the rows of one key that
-    one task folds in a row when a task's input turns out different from the guess.
+    skip-successful and skip-failed options).  ``room`` bounds the numbers in a task's summary
+    (2 * limit * requests in a window); beyond it a task inside one key hands on its times, eight bytes a request,
+    and these are folded one after the other.
     """
     if isinstance(limit, int) and limit < 1:
         raise ValueError("limit must be at least 1")
@@ -261,7 +313,7 @@ def rate_limit(
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = F.lit(True) if uncounted is None else ~F.coalesce(uncounted, F.lit(False))
     keyed = (
-        requests.withColumn("_key", key.cast("string"))
+        requests.withColumn("_key", F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit("")))
         .withColumn("_t", micros(F.col(ts)))
         .withColumn("_counted", counted)
         .withColumn("_limit", (F.lit(limit) if isinstance(limit, int) else limit).cast("bigint"))
@@ -271,29 +323,45 @@ def rate_limit(
         keyed.filter(limited)
         .repartitionByRange(n, "_key", "_t", order)
         .sortWithinPartitions("_key", "_t", order)
-        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_at", F.monotonically_increasing_id())      # the task, and the row's place in it
     )
     # Range bounds are sampled anew on every run, so the cut is fixed in the shared folder.
     rows = checkpoint(ranged)
-    carry = _settle(rows, window, budget)
+
+    def blocks(batches):
+        return _blocks(batches, window, room)
+
+    summaries = materialize(rows.select("_at", "_key", "_t", "_counted", "_limit").mapInPandas(blocks, _BLOCK), "admission-blocks")
+    carry = materialize(_inherited(summaries, window, n), "admission-carry")
     columns = requests.columns
+    task = F.shiftright(F.col("_at"), 33).cast("int")
+    is_first = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    # One row for each task; the sort restores the order if the planner does not broadcast them.
+    given = rows.withColumn("_task", task).join(carry, F.col("_task") == F.col("pid"), "left").select(
+        *columns, "_key", "_t", "_counted", "_limit", "_task", F.when(is_first, F.col("held")).alias("_held"), "_at").sortWithinPartitions("_at").drop("_at")
 
     def decide(batches):
-        last, held = None, None
+        last, last_task, held = None, None, np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, t, counted, limits, pid = (
-                batch.column(batch.num_columns - 5 + i).to_numpy(zero_copy_only=False) for i in range(5))
-            if held is None:
-                held = np.frombuffer(carry.get(int(pid[0]), b""), np.int64)
-            elif keys[0] != last:
-                held = np.zeros(0, np.int64)
-            ok, used, oldest, held = _fold(keys, t, counted.astype(bool), limits, held, window)
-            last = keys[-1]
+            keys, t, counted, limits, tasks = (
+                batch.column(batch.num_columns - 6 + i).to_numpy(zero_copy_only=False) for i in range(5))
+            edges = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1).tolist(), len(tasks)]
+            parts = []
+            for a, b in zip(edges, edges[1:]):
+                if tasks[a] != last_task:
+                    inherited = batch.column(batch.num_columns - 1)[a].as_py()
+                    held = np.frombuffer(inherited or b"", np.int64)
+                elif keys[a] != last:
+                    held = np.zeros(0, np.int64)
+                ok, used, oldest, held = _fold(keys[a:b], t[a:b], counted[a:b].astype(bool), limits[a:b], held, window)
+                parts.append((ok, used, oldest))
+                last, last_task = keys[b - 1], tasks[b - 1]
+            ok, used, oldest = (np.concatenate(x) for x in zip(*parts))
             # The caller's columns pass through as they are.
             yield pa.RecordBatch.from_arrays(
-                batch.columns[:-5] + [
+                batch.columns[:-6] + [
                     pa.array(ok),
                     pa.array(np.where(ok, limits - used - 1, 0)),
                     pa.array(np.where(ok, t, oldest) + window),
@@ -304,7 +372,7 @@ def rate_limit(
 
     schema = rows.select(*columns).schema.add("allowed", "boolean").add("remaining", "long").add(
         "_reset", "long").add("retry_after", "long")
-    decided = rows.select(*columns, "_key", "_t", "_counted", "_limit", "_pid").mapInArrow(decide, schema)
+    decided = given.mapInArrow(decide, schema)
     free = keyed.filter(~limited).select(
         *columns, F.lit(True).alias("allowed"), *(F.lit(None).cast("bigint").alias(c) for c in ("remaining", "_reset", "retry_after")))
     return decided.unionByName(free).select(

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from keyquarry.operators.ratelimit import admit, rate_limit
+from keyquarry.operators.ratelimit import admit, apply_block, rate_limit, summarize
 from keyquarry.session import new_path
 from keyquarry.streaming import jobs
 
@@ -38,6 +38,34 @@ def test_admit_equals_sequential(pairs, window, limit):
     assert list(got) == [want[i][0] for i in range(len(t))]
 
 
+@settings(max_examples=600, deadline=None)
+@given(
+    st.lists(st.integers(0, 9), min_size=2, max_size=120), st.integers(1, 100), st.integers(1, 30), st.integers(1, 6),
+    st.sampled_from([0, 10**6]),
+)
+def test_blocks_compose_as_the_fold(gaps, cut, window, limit, room):
+    t = np.cumsum(np.array(gaps, np.int64))
+    cut = min(cut, len(t) - 1)
+    held = np.zeros(0, np.int64)
+    for block in (t[:cut], t[cut:]):
+        want = admit(block, np.ones(len(block), bool), held, window, limit)[3]
+        held = apply_block(summarize(block, window, limit, room), held, window, limit)
+        live = block[-1] - window
+        assert held[held > live].tolist() == want[want > live].tolist()
+
+
+def test_a_key_always_over_its_limit_is_one_chain_of_tables():
+    rng = np.random.default_rng(2)
+    t = np.sort(rng.integers(0, 60_000, 40_000))
+    blocks = [summarize(b, 1000, 25, 10**6) for b in np.split(t, 10)]
+    assert all("last" in b for b in blocks)
+    held, want = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part, block in zip(np.split(t, 10), blocks):
+        held = apply_block(block, held, 1000, 25)
+        want = admit(part, np.ones(len(part), bool), want, 1000, 25)[3]
+        assert held[held > part[-1] - 1000].tolist() == want[want > part[-1] - 1000].tolist()
+
+
 def requests(spark, rows):
     pdf = pd.DataFrame(rows, columns=["key", "t", "request_id", "counted"])
     return spark.createDataFrame(pdf).withColumn("ts", F.timestamp_micros("t").cast("timestamp_ntz"))
@@ -58,12 +86,12 @@ def make(n, keys, hot, span, seed):
     (0.5, 500_000, 60, 2),   # calm: most tasks need nothing from the one before
     (0.3, 50, 3600, 5),      # everything inside one window
 ])
-@pytest.mark.parametrize("skip,budget", [(False, 1), (True, 900), (False, 10**9)])
-def test_batch_equals_sequential(spark, hot, span, window, limit, skip, budget):
+@pytest.mark.parametrize("skip,room", [(False, 0), (True, 400), (True, 10**6), (False, 10**6)])
+def test_batch_equals_sequential(spark, hot, span, window, limit, skip, room):
     data = make(3000, 40, hot, span, 7)
     want = sequential([(k, t, i, c if skip else True) for k, t, i, c in data], window * SECOND, limit)
     out = rate_limit(requests(spark, data), F.col("key"), window, limit,
-                     uncounted=~F.col("counted") if skip else None, partitions=9, budget=budget).collect()
+                     uncounted=~F.col("counted") if skip else None, partitions=9, room=room).collect()
     assert {r.request_id: (r.allowed, r.remaining, r.retry_after) for r in out} == want
 
 
