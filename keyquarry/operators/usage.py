@@ -123,9 +123,13 @@ def payments_to_usage(invoices: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def apply_subscription_events(users: DataFrame, events: DataFrame) -> DataFrame:
-    """New users snapshot after subscription events; the last event per customer decides."""
-    subs = events.filter(F.col("type").startswith("customer.subscription.")).filter(
+def apply_subscription_events(users: DataFrame, events: DataFrame, applied: tuple[str, str] | None = None) -> DataFrame:
+    """New users snapshot after subscription events; the last event per customer decides.
+
+    ``applied`` names two columns of ``users`` with the time and id of the last event that was
+    applied; an event before that one changes nothing, and the columns follow the events.
+    """
+    subs = events.filter(
         F.col("type").isin(*[f"customer.subscription.{s}" for s in ("created", "updated", "deleted")])
     )
     last = latest_per_key(
@@ -134,6 +138,7 @@ def apply_subscription_events(users: DataFrame, events: DataFrame) -> DataFrame:
         F.col("customer").alias("stripe_customer_id"),
         F.lit(1).alias("_hit"),
         F.col("ts").alias("_ts"),
+        F.col("event_id").alias("_id"),
         (F.col("type") == "customer.subscription.deleted").alias("_gone"),
         tier_from_price(F.col("price_id")).alias("_tier"),
         F.col("event_id").cast("string").alias("_sub"),
@@ -142,13 +147,19 @@ def apply_subscription_events(users: DataFrame, events: DataFrame) -> DataFrame:
     for c, t in (("stripe_subscription_id", "string"), ("updated_at", "timestamp_ntz")):
         if c not in old.columns:
             old = old.withColumn(c, F.lit(None).cast(t))
-    hit = F.col("_hit").isNotNull()
     joined = old.join(last, "stripe_customer_id", "left")
-    return joined.withColumns({
+    hit = F.col("_hit").isNotNull()
+    if applied:
+        at, of = (F.col(c) for c in applied)
+        hit = hit & (at.isNull() | (F.col("_ts") > at) | ((F.col("_ts") == at) & (F.col("_id") >= of)))
+    changed = {
         "tier": F.when(hit & F.col("_gone"), F.lit("free")).when(hit, F.col("_tier")).otherwise(F.col("tier")),
         "stripe_subscription_id": F.when(hit & ~F.col("_gone"), F.col("_sub")).when(~hit, F.col("stripe_subscription_id")),
         "updated_at": F.when(hit, F.col("_ts")).otherwise(F.col("updated_at")),
-    }).select(*old.columns)
+    }
+    if applied:
+        changed |= {applied[0]: F.when(hit, F.col("_ts")).otherwise(at), applied[1]: F.when(hit, F.col("_id")).otherwise(of)}
+    return joined.withColumns(changed).select(*old.columns)
 
 
 def health_report(df: DataFrame, checks: dict[str, Column]) -> DataFrame:

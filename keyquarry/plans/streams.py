@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyquarry import rules
-from keyquarry.functions.access import tier_limiter_key, tier_max
+from keyquarry.functions.access import rate_key, tier_limiter_key, tier_max
 from keyquarry.plans.access import LIMIT, WINDOW_DAYS, _admission_sql
 from keyquarry.plans.registry import query
 from keyquarry.plans.scanning import TOKEN, _DOC_LINES, _scan_sql
@@ -26,20 +26,63 @@ def _run(stream, name):
     return jobs.run_to_table(stream, new_path(spark, name), new_path(spark, f"{name}-progress"))
 
 
-@query("k1_rate_limit_stream", "SELECT request_id, key, CASE WHEN allowed THEN 'allowed' ELSE 'denied' END AS decision FROM ("
-       + _admission_sql("user_id", "true", LIMIT) + ")")
+def _arriving(spark, df, name, hours, run, parts=4):
+    """Runs ``run(stream)`` after each of ``parts`` appends to a folder; rows come up to ``hours`` after their time, in no order."""
+    folder = new_path(spark, name)
+    late = F.pmod(F.xxhash64("event_id"), F.lit(3600 * hours)).cast("long")
+    came = df.withColumn("_came", F.unix_micros(F.col("ts").cast("timestamp")) + late * 1_000_000)
+    cuts = came.approxQuantile("_came", [i / parts for i in range(1, parts)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = came if low is None else came.filter(F.col("_came") >= low)
+        part = part if high is None else part.filter(F.col("_came") < high)
+        part.drop("_came").write.mode("append").parquet(folder)
+        out = run(spark.readStream.schema(df.schema).parquet(folder))
+    return out
+
+
+def _decide(spark, name, requests, key, seconds, limit, **kw):
+    return jobs.rate_limit_stream(requests, key, seconds, limit, new_path(spark, name), new_path(spark, f"{name}-progress"), **kw)
+
+
+def _decisions(key, counted, limit, days=WINDOW_DAYS):
+    return "SELECT request_id, key, CASE WHEN allowed THEN 'allowed' ELSE 'denied' END AS decision FROM (" + _admission_sql(key, counted, limit, days) + ")"
+
+
+@query("k1_rate_limit_stream", _decisions("user_id", "true", LIMIT))
 def k1(spark, sf):
     requests = _stream(spark, sf, "events").select(F.col("event_id").alias("request_id"), "ts", F.col("user_id").cast("string").alias("user_id"))
-    return _run(jobs.rate_limit_stream(requests, F.col("user_id"), WINDOW_DAYS * 86400, LIMIT), "k1")
+    return _decide(spark, "k1", requests, F.col("user_id"), WINDOW_DAYS * 86400, LIMIT)
 
 
-@query("k1_rate_limit_stream_by_tier", "SELECT request_id, key, CASE WHEN allowed THEN 'allowed' ELSE 'denied' END AS decision FROM ("
-       + _admission_sql("'tier-rl:' || tier || ':user:' || user_id", "true", "CASE tier WHEN 'free' THEN 10 WHEN 'pro' THEN 100 WHEN 'team' THEN 500 ELSE 5000 END", 20) + ")")
+@query("k1_rate_limit_stream_by_tier", _decisions(
+    "'tier-rl:' || tier || ':user:' || user_id", "true", "CASE tier WHEN 'free' THEN 10 WHEN 'pro' THEN 100 WHEN 'team' THEN 500 ELSE 5000 END", 20))
 def k1_tier(spark, sf):
     tier = F.element_at(F.array(*[F.lit(t) for t in rules.TIERS]), (F.col("user_id") % 4 + 1).cast("int"))
     requests = _stream(spark, sf, "events").select(F.col("event_id").alias("request_id"), "ts", "user_id", tier.alias("tier"))
     key = tier_limiter_key(F.col("tier"), F.concat(F.lit("user:"), F.col("user_id").cast("string")))
-    return _run(jobs.rate_limit_stream(requests, key, 20 * 86400, tier_max(F.col("tier"))), "k1-tier")
+    return _decide(spark, "k1-tier", requests, key, 20 * 86400, tier_max(F.col("tier")))
+
+
+def _shuffled(spark, sf, name, key, seconds, limit, **kw):
+    """Decisions of events that come in four parts, up to two days late and in no order."""
+    folder, progress = new_path(spark, name), new_path(spark, f"{name}-progress")
+    return _arriving(spark, table(spark, sf, "events"), f"{name}-in", 48, lambda stream: jobs.rate_limit_stream(
+        stream.withColumnRenamed("event_id", "request_id"), key, seconds, limit, folder, progress, delay="2 days", **kw))
+
+
+@query("k1_rate_limit_stream_shuffled", _decisions("user_id", "true", LIMIT))
+def k1_shuffled(spark, sf):
+    return _shuffled(spark, sf, "k1-shuffled", F.col("user_id").cast("string"), WINDOW_DAYS * 86400, LIMIT)
+
+
+# One endpoint has half of all requests and is over its limit all the time; failed requests are not counted.
+_ENDPOINT = "'endpoint-rl:' || CASE WHEN CAST(user_id AS BIGINT) % 2 = 0 THEN 'create-secret' ELSE path END || ':all'"
+
+
+@query("k1_rate_limit_stream_hot_endpoint", _decisions(_ENDPOINT, "status < 400", 7, 1))
+def k1_endpoint(spark, sf):
+    endpoint = F.when(F.col("user_id") % 2 == 0, F.lit("create-secret")).otherwise(F.concat(F.lit("/api/"), "event_type"))
+    return _shuffled(spark, sf, "k1-endpoint", rate_key("endpoint-rl", endpoint, F.lit("all")), 86400, 7, uncounted=F.col("event_type") == "error")
 
 
 def _windows_query(kind: str, check: str, **args) -> None:
@@ -70,6 +113,25 @@ def k2_stream(spark, sf):
     return _run(jobs.windowed_counts(usage, ["event_type"], size="1 day", delay="1 hour"), "k2")
 
 
+# The same with all windows: a closing run moves the watermark past the last ones.
+def _closed_query(kind: str, check: str, keys: list[str], **args) -> None:
+    @query(f"k2_{kind}_stream_closed", check)
+    def run(spark, sf):
+        usage = _stream(spark, sf, "events").select(*keys, F.col("ts").alias("timestamp"))
+        return jobs.closed_windows(usage, keys, new_path(spark, f"k2-{kind}"), new_path(spark, f"k2-{kind}-progress"), kind=kind, **args)
+
+
+_closed_query("tumbling", """SELECT event_type, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS events
+FROM events GROUP BY ALL""", ["event_type"], size="1 day")
+_closed_query("sliding", """SELECT event_type, s AS window_start, s + INTERVAL 2 DAY AS window_end, count(*) AS events
+FROM (SELECT event_type, date_trunc('day', ts) - to_days(CAST(d AS INT)) AS s FROM events, (SELECT unnest([0, 1]) AS d)) GROUP BY ALL""",
+              ["event_type"], size="2 days", slide="1 day")
+_closed_query("session", """SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, count(*) AS events
+FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *,
+ CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""",
+              ["user_id"], gap="6 hours")
+
+
 @query("k3_pair_requests_stream", """SELECT event_id AS request_id, event_type AS method, CAST(CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS INT) AS status,
  CAST(2000 AS DOUBLE) AS duration_ms FROM events WHERE event_id % 10 <> 0""")
 def k3(spark, sf):
@@ -82,10 +144,11 @@ def k3(spark, sf):
 
 
 @query("k4_error_alerts_stream", """SELECT event_id, event_type AS error_type, n AS nth, CASE WHEN n >= 10 THEN 'FATAL' ELSE 'ERROR' END AS level
-FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events)""")
+FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events)""")
 def k4(spark, sf):
-    errors = _stream(spark, sf, "events").select(F.col("event_type").alias("error_type"), "event_id")
-    return _run(jobs.error_alerts_stream(errors), "k4")
+    folder, progress = new_path(spark, "k4"), new_path(spark, "k4-progress")
+    return _arriving(spark, table(spark, sf, "events"), "k4-in", 6, lambda stream: jobs.error_alerts_stream(
+        stream.withColumnRenamed("event_type", "error_type"), folder, progress, delay="6 hours"))
 
 
 @query("k5_scan_stream", "WITH " + _DOC_LINES + " SELECT CAST(doc_id AS VARCHAR) AS file, line_no, type, service, value FROM ("

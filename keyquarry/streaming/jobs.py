@@ -1,22 +1,24 @@
 """Structured Streaming forms of the operators.
 
-Every function takes and returns a streaming DataFrame (or starts a query with
-``foreachBatch``); the batch operators are the reference for their results.
+Functions take a streaming DataFrame and return one; those that need rows in event time or a
+table as state run it by ``foreachBatch`` and give the results as a table.  The batch
+operators are the reference for their results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from keyquarry.functions.access import micros
-from keyquarry.operators.ratelimit import admit
+from keyquarry.operators.ordered import running_count
+from keyquarry.operators.ratelimit import rate_limit
 from keyquarry.operators.secrets import scan_texts
 from keyquarry.operators.usage import apply_subscription_events
+from keyquarry.session import materialize
+from keyquarry.streaming.versions import Versions, run_in_order
 
 
 def rate_limit_stream(
@@ -24,56 +26,41 @@ def rate_limit_stream(
     key: Column,
     window_seconds: float,
     limit: int | Column,
+    folder: str,
+    checkpoint: str,
     ts: str = "ts",
     order: str = "request_id",
     uncounted: Column | None = None,
     delay: str = "1 day",
+    close: bool = True,
 ) -> DataFrame:
-    """Decision per request: ``allowed``, ``denied`` or ``late``.
+    """Decision per request (``order``, key, decision: ``allowed``, ``denied`` or ``late``) of what is available now.
 
-    ``limit`` may be a column that is the same for all rows of a key.  State per key is at
-    most ``limit`` admitted times; a key idle for a window after the
-    watermark is dropped.  A row older than the newest decided row of its key is ``late``.
-    One key's rows of one micro-batch are ordered in one task, so the trigger's size
-    option (files, bytes or offsets per trigger) bounds that task.
+    ``limit`` may be a column that is the same for all rows of a key; ``uncounted`` marks rows that are
+    taken off the count again.  Released rows are decided by the batch limiter, so a key with most of a micro-batch is
+    spread over tasks.  Its carry is the admitted requests of the last window before
+    the watermark, at most ``limit`` for each key: they are put before the released ones, which admits
+    them once more.  Only rows that come more than ``delay`` behind the newest one are ``late``; they are not counted.
     """
     window = int(window_seconds * 1_000_000)
     counted = F.lit(True) if uncounted is None else ~F.coalesce(uncounted, F.lit(False))
+    rows = requests.select(
+        F.col(order), key.cast("string").alias("key"), F.col(ts).alias("_ts"), counted.alias("_counts"),
+        (F.lit(limit) if isinstance(limit, int) else limit).cast("bigint").alias("_most"))
 
-    def decide(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(frames)).sort_values(["t", "request_id"], kind="stable")
-        newest, held = state.get if state.exists else (None, [])
-        t = pdf["t"].to_numpy(np.int64)
-        late = np.zeros(len(pdf), bool) if newest is None else t < newest
-        live = ~late
-        result = np.full(len(pdf), "late", object)
-        if live.any():
-            ok, _, _, after = admit(
-                t[live], pdf["counted"].to_numpy(bool)[live], np.asarray(held, np.int64), window,
-                int(pdf["max_requests"].iloc[0]))
-            result[live] = np.where(ok, "allowed", "denied")
-            newest = int(t[live][-1])
-            held = [int(x) for x in after if x > newest - window]
-            state.update((newest, held))
-        idle_until = newest // 1000 + window // 1000 + 1
-        state.setTimeoutTimestamp(max(idle_until, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(), "key": group[0], "decision": result})
+    def step(ready: DataFrame, late: DataFrame, held: DataFrame | None, upto: int | None) -> tuple[DataFrame, DataFrame]:
+        new = ready.withColumn("_old", F.lit(False))
+        if held is not None:
+            new = new.unionByName(held)
+        decided = materialize(rate_limit(new, F.col("key"), window_seconds, F.col("_most"), ts="_ts", order=order, uncounted=~F.col("_counts")), "decisions")
+        live = F.col("allowed") & F.col("_counts") & F.col("_event_micros").isNotNull() & F.col("_most").isNotNull()
+        if upto is not None:
+            live = live & (F.col("_event_micros") > upto - window)
+        shown = decided.filter(~F.col("_old")).select(order, "key", F.when(F.col("allowed"), F.lit("allowed")).otherwise(F.lit("denied")).alias("decision"))
+        result = shown.unionByName(late.select(order, "key", F.lit("late").alias("decision")))
+        return result, decided.filter(live).select(*ready.columns, F.lit(True).alias("_old"))
 
-    rows = requests.select(
-        F.col(order).cast("bigint").alias("request_id"), key.cast("string").alias("key"),
-        micros(F.col(ts)).alias("t"), counted.alias("counted"),
-        (F.lit(limit) if isinstance(limit, int) else limit).cast("bigint").alias("max_requests"), F.col(ts).cast("timestamp").alias("event_time"),
-    ).withWatermark("event_time", delay)
-    return rows.groupBy("key").applyInPandasWithState(
-        decide,
-        "request_id bigint, key string, decision string",
-        "newest bigint, held array<bigint>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    return run_in_order(rows, "_ts", delay, folder, checkpoint, step, close)
 
 
 def windowed_counts(
@@ -97,6 +84,27 @@ def windowed_counts(
     return counts.select(*keys, bounds[0].alias("window_start"), bounds[1].alias("window_end"), "events")
 
 
+def closed_windows(
+    events: DataFrame, keys: list[str], path: str, checkpoint: str, ts: str = "timestamp", delay: str = "1 hour", **options
+) -> DataFrame:
+    """Windowed counts of a bounded input as a stream, with the windows that are still open at its end.
+
+    After the stream has taken what is available, a closing run of the same query gets one
+    row far behind all others (in time), from a source beside the input.  It moves the watermark past every
+    window; its own window stays open and is never written.
+    """
+    spark = events.sparkSession
+    end = f"{path}-end"
+    spark.createDataFrame([], events.schema).write.mode("ignore").parquet(end)
+    both = events.unionByName(spark.readStream.schema(events.schema).parquet(end))
+    counts = windowed_counts(both, keys, ts, delay=delay, **options)
+    run_to_table(counts, path, checkpoint)
+    kind = events.schema[ts].dataType.simpleString()
+    last = F.lit("9999-01-01 00:00:00").cast("timestamp_ntz").cast(kind)
+    spark.range(1).select(*[(last if c == ts else F.lit(None).cast(events.schema[c].dataType)).alias(c) for c in events.columns]).write.mode("append").parquet(end)
+    return run_to_table(counts, path, checkpoint)
+
+
 def pair_requests_stream(
     requests: DataFrame, responses: DataFrame, timeout: str = "30 seconds", delay: str = "1 minute"
 ) -> DataFrame:
@@ -113,26 +121,32 @@ def pair_requests_stream(
     )
 
 
-def error_alerts_stream(errors: DataFrame, by: str = "error_type", order: str = "event_id", threshold: int = 10) -> DataFrame:
-    """Occurrence number and level of each error; the state is one counter per type.
+def error_alerts_stream(
+    errors: DataFrame, folder: str, checkpoint: str, by: str = "error_type", ts: str = "ts", order: str = "event_id",
+    threshold: int = 10, delay: str = "1 hour", close: bool = True,
+) -> DataFrame:
+    """Occurrence number and level of each error of what is available now, in (``ts``, ``order``).
 
-    Batches are counted in arrival order; inside a batch rows are numbered by ``order``.
+    Two levels of offsets: inside the rows that a micro-batch releases, slices of time are numbered apart and
+    offset by the counts of the slices before (``running_count``); the batch is offset by
+    the stored count of its type.  The state is one row for each type.  An error that comes more than ``delay``
+    behind the newest one is not lost: it is numbered with the batch that brings it.
     """
-    def number(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids = np.sort(np.concatenate([f["event_id"].to_numpy() for f in frames]))
-        seen = state.get[0] if state.exists else 0
-        nth = seen + 1 + np.arange(len(ids))
-        state.update((int(seen + len(ids)),))
-        yield pd.DataFrame({
-            "event_id": ids, "error_type": group[0], "nth": nth,
-            "level": np.where(nth >= threshold, "FATAL", "ERROR"),
-        })
-
-    rows = errors.select(F.col(by).alias("error_type"), F.col(order).cast("bigint").alias("event_id"))
-    return rows.groupBy("error_type").applyInPandasWithState(
-        number, "event_id bigint, error_type string, nth bigint, level string", "seen bigint",
-        "append", GroupStateTimeout.NoTimeout,
-    )
+    rows = errors.select(F.col(by).cast("string").alias("error_type"), F.col(order), F.col(ts).alias("_ts"))
+
+    def step(ready: DataFrame, late: DataFrame, seen: DataFrame | None, upto: int | None) -> tuple[DataFrame, DataFrame]:
+        new = ready.unionByName(late)
+        numbered = running_count(new, ["error_type"], "_ts", order)
+        counts = new.groupBy("error_type").agg(F.count("*").alias("seen"))
+        if seen is not None:
+            before = seen.select(F.col("error_type").alias("_type"), F.col("seen").alias("_seen"))
+            numbered = numbered.join(before, F.col("error_type").eqNullSafe(F.col("_type")), "left").withColumn(
+                "nth", F.col("nth") + F.coalesce("_seen", F.lit(0)))
+            counts = counts.unionByName(seen).groupBy("error_type").agg(F.sum("seen").alias("seen"))
+        level = F.when(F.col("nth") >= threshold, F.lit("FATAL")).otherwise(F.lit("ERROR"))
+        return numbered.select(order, "error_type", "nth", level.alias("level")), counts
+
+    return run_in_order(rows, "_ts", delay, folder, checkpoint, step, close)
 
 
 def scan_stream(files: DataFrame, **options) -> DataFrame:
@@ -140,22 +154,55 @@ def scan_stream(files: DataFrame, **options) -> DataFrame:
     return scan_texts(files, **options)
 
 
-def keep_users_current(
-    events: DataFrame, snapshot: str, first: DataFrame, checkpoint: str
-):
-    """Maintain a users snapshot from billing events.
+_EVENT = ("_event_ts", "_event_id")     # the last subscription event of a user, kept in the snapshot
+
 
-    Each micro-batch writes ``snapshot/v=<batch>`` from the version before it, so a batch
-    that is run again after a failure gives the same files.  Read it with ``current_users``.
+def keep_users_current(events: DataFrame, snapshot: str, first: DataFrame, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Maintain a users snapshot from billing events; read it with ``current_users``.
+
+    The snapshot lies in buckets by customer.  A micro-batch reads and writes only the buckets of its
+    customers, as files of a new version; its commit names the version of every bucket, so
+    the others keep their files, and a batch that is run again gives the same.  Files that
+    neither the new nor the previous commit names are removed after it.  A user remembers the
+    time and id of the last event applied: an older event that comes later changes nothing.
     """
     spark = events.sparkSession
-    if not _versions(spark, snapshot):
-        first.write.mode("overwrite").parquet(f"{snapshot}/v=-1")
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        older = [v for v in _versions(batch.sparkSession, snapshot) if v < batch_id]
-        users = batch.sparkSession.read.parquet(f"{snapshot}/v={max(older)}")
-        apply_subscription_events(users, batch).write.mode("overwrite").parquet(f"{snapshot}/v={batch_id}")
+    def bucket(customer: Column) -> Column:
+        return F.pmod(F.xxhash64(customer), F.lit(buckets)).cast("int")
+
+    def write(users: DataFrame, versions: Versions, number: int) -> list[int]:
+        spread = users.withColumn("bucket", bucket(F.coalesce(F.col("stripe_customer_id"), F.col("id").cast("string"))))
+        spread.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(versions.path(number, "users"))
+        path, fs = versions._fs(versions.path(number, "users") + "/bucket=*")
+        return [int(s.getPath().getName().split("=")[1]) for s in fs.globStatus(path) or []]
+
+    versions = Versions(spark, snapshot)
+    if versions.last() is None:
+        kinds = dict(events.dtypes)
+        start = first
+        for c, t in (("stripe_subscription_id", "string"), ("updated_at", "timestamp_ntz"), (_EVENT[0], kinds["ts"]), (_EVENT[1], kinds["event_id"])):
+            start = start if c in start.columns else start.withColumn(c, F.lit(None).cast(t))
+        held = write(start, versions, -1)
+        versions.commit(-1, {"buckets": {b: -1 for b in held}, "schema": start.schema.json()})
+
+    def apply(batch: DataFrame, number: int) -> None:
+        versions = Versions(batch.sparkSession, snapshot)
+        done = versions.committed()
+        if number in done:
+            return
+        info = versions.info(done[-1])
+        news = batch.filter(F.col("customer").isNotNull()).select(bucket(F.col("customer")).alias("_bucket"))
+        touched = {str(r[0]) for r in news.distinct().collect()} & set(info["buckets"])     # at most ``buckets`` numbers
+        if touched:
+            users = _users(versions, {b: info["buckets"][b] for b in touched}, info["schema"])
+            write(apply_subscription_events(users, batch, _EVENT), versions, number)
+        now = info["buckets"] | {b: number for b in touched}
+        versions.commit(number, info | {"buckets": now})
+        if len(done) > 1:
+            for b, v in versions.info(done[-2])["buckets"].items():
+                if v not in (info["buckets"].get(b), now.get(b)):
+                    versions.drop(versions.path(v, f"users/bucket={b}"))
 
     return (
         events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
@@ -163,16 +210,17 @@ def keep_users_current(
     )
 
 
-def _versions(spark: SparkSession, snapshot: str) -> list[int]:
-    """Finished versions under a snapshot folder (those with a success marker)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{snapshot}/v=*/_SUCCESS")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(path)
-    return sorted(int(s.getPath().getParent().getName()[2:]) for s in found or [])
+def _users(versions: Versions, buckets: dict[str, int], schema: str) -> DataFrame:
+    kind = T.StructType.fromJson(json.loads(schema))
+    paths = [versions.path(v, f"users/bucket={b}") for b, v in buckets.items()]
+    return versions.spark.read.schema(kind).parquet(*paths) if paths else versions.spark.createDataFrame([], kind)
 
 
 def current_users(spark: SparkSession, snapshot: str) -> DataFrame:
-    return spark.read.parquet(f"{snapshot}/v={max(_versions(spark, snapshot))}")
+    """The snapshot of the last commit."""
+    versions = Versions(spark, snapshot)
+    info = versions.info(versions.last())
+    return _users(versions, info["buckets"], info["schema"]).drop(*_EVENT)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -104,33 +104,34 @@ def test_quirks_denied_not_counted_and_left_open_window(spark):
     assert out[2].retry_after == 1 and out[2].remaining == 0
 
 
-def test_stream_equals_batch_over_several_batches(spark):
+@pytest.mark.parametrize("delay,shuffled", [("1 second", False), ("1000 seconds", True)])
+def test_stream_equals_batch_over_several_batches(spark, delay, shuffled):
     data = sorted(make(1200, 12, 0.4, 4000, 3), key=lambda r: (r[1], r[2]))
-    path = new_path(spark, "stream-in")
-    schema = None
+    arrival = sorted(data, key=lambda r: r[1] + r[2] * 7919 % 1000 * SECOND) if shuffled else data
+    path, schema = new_path(spark, "stream-in"), None
     for i in range(3):
-        part = requests(spark, data[i * 400:(i + 1) * 400])
+        part = requests(spark, arrival[i * 400:(i + 1) * 400])
         part.coalesce(1).write.parquet(f"{path}/p{i}")
         schema = part.schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/p*")
-    out = jobs.run_to_table(
-        jobs.rate_limit_stream(stream, F.col("key"), 60, 3), new_path(spark, "s"), new_path(spark, "c")).collect()
-    want = sequential([(k, t, i, True) for k, t, i, _ in data], 60 * SECOND, 3)
-    assert {r.request_id: r.decision for r in out} == {
-        i: "allowed" if w[0] else "denied" for i, w in want.items()}
+    # without the delay, requests of the same second as the newest of a batch would be late
+    state = new_path(spark, "s")
+    out = jobs.rate_limit_stream(stream, F.col("key"), 60, 3, state, new_path(spark, "c"), uncounted=~F.col("counted"), delay=delay).collect()
+    want = sequential(data, 60 * SECOND, 3)
+    assert len(out) == 1200 and {r.request_id: r.decision for r in out} == {i: "allowed" if w[0] else "denied" for i, w in want.items()}
 
 
-def test_stream_marks_rows_behind_a_decision_as_late(spark):
+def test_stream_marks_only_rows_behind_the_delay_as_late(spark):
     base = 1_700_000_000
     path = new_path(spark, "late-in")
-    first = requests(spark, [("a", (base + 50) * SECOND, 1, True)])
-    second = requests(spark, [("a", (base + 20) * SECOND, 2, True), ("a", (base + 60) * SECOND, 3, True)])
-    first.coalesce(1).write.parquet(f"{path}/p0")
-    second.coalesce(1).write.parquet(f"{path}/p1")
-    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/p*")
-    out = jobs.run_to_table(
-        jobs.rate_limit_stream(stream, F.col("key"), 60, 5), new_path(spark, "s"), new_path(spark, "c")).collect()
-    assert {r.request_id: r.decision for r in out} == {1: "allowed", 2: "late", 3: "allowed"}
+    batches = [[("a", 50, "1")], [("a", 20, "2"), ("a", 45, "3"), ("a", 60, "4")], [("a", 90, "5"), ("a", None, "6")]]
+    for i, rows in enumerate(batches):
+        part = spark.createDataFrame([(k, None if s is None else base + s, n) for k, s, n in rows], "key string, s bigint, request_id string").withColumn(
+            "ts", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s")
+        part.coalesce(1).write.parquet(f"{path}/p{i}")
+    stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/p*")
+    out = jobs.rate_limit_stream(stream, F.col("key"), 60, 2, new_path(spark, "s"), new_path(spark, "c"), delay="10 seconds").collect()
+    assert {r.request_id: r.decision for r in out} == {"1": "allowed", "2": "late", "3": "allowed", "4": "denied", "5": "denied", "6": "allowed"}
 
 
 def test_limit_must_be_positive(spark):
