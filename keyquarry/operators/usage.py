@@ -25,25 +25,68 @@ def secret_quota(secrets: DataFrame, users: DataFrame) -> DataFrame:
     ).withColumn("blocked", (F.col("quota") != -1) & (F.col("used") >= F.col("quota")))
 
 
+def _number(value: str) -> Column:
+    """A value, NaN as missing."""
+    return F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
+
+
 def operation_stats(
     timings: DataFrame, by: str = "operation", value: str = "duration_ms", approx: bool = False, with_sum: bool = False
 ) -> DataFrame:
-    """count, avg, min, max and p50/p95/p99 of the non-null values per operation.
+    """count, avg, min, max and p50/p95/p99 of the values per operation; an operation without values counts 0.
 
-    ``approx=True`` reads the percentiles from one sketch pass and says so in the names.
+    ``approx=True`` reads the percentiles from sketches of one pass and says so in the names; the groups are the same.
     """
-    v = F.col(value)
-    aggs = [F.count("*").alias("count"), F.avg(v).alias("avg"), F.min(v).alias("min"), F.max(v).alias("max")]
+    v = _number(value)
+    aggs = [F.count(v).alias("count"), F.avg(v).alias("avg"), F.min(v).alias("min"), F.max(v).alias("max")]
     if with_sum:
         aggs.append(F.sum(v).alias("sum"))
     if approx:
-        q = timings.groupBy(by).agg(*aggs, F.percentile_approx(v, list(PERCENTILES.values()), 10000).alias("_q"))
-        for i, name in enumerate(PERCENTILES):
-            q = q.withColumn(f"{name}_approx", F.element_at("_q", i + 1))
-        return q.drop("_q")
+        return _percentiles_of(timings.groupBy(by).agg(*aggs, F.kll_sketch_agg_double(v.cast("double"), F.lit(_SKETCH)).alias("_sketch")))
     return exact_rank_percentiles(timings, [by], value, PERCENTILES, extra=aggs)
 
 
+#: Size of a quantile sketch: ranks are off by about a thousandth.
+_SKETCH = 4000
+
+
+def _percentiles_of(sketched: DataFrame) -> DataFrame:
+    ps = {f"{name}_approx": F.when(F.col("count") > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(p))) for name, p in PERCENTILES.items()}
+    return sketched.withColumns(ps).drop("_sketch")
+
+
+def daily_sketches(timings: DataFrame, by: str = "operation", value: str = "duration_ms", ts: str = "ts") -> DataFrame:
+    """(``by``, day, count, total, min, max, sketch): what is stored of a day, small and mergeable, so that no report reads its rows again."""
+    v = _number(value).cast("double")
+    return timings.groupBy(F.col(by), F.col(ts).cast("date").alias("day")).agg(
+        F.count(v).alias("count"), F.sum(v).alias("total"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.kll_sketch_agg_double(v, F.lit(_SKETCH)).alias("sketch"))
+
+
+def merged_stats(days: DataFrame, by: str = "operation") -> DataFrame:
+    """``operation_stats(approx=True)`` over any stored days."""
+    merged = days.groupBy(by).agg(
+        F.sum("count").alias("count"), (F.sum("total") / F.sum("count")).alias("avg"), F.min("min").alias("min"), F.max("max").alias("max"),
+        F.kll_merge_agg_double("sketch", F.lit(_SKETCH)).alias("_sketch"))
+    return _percentiles_of(merged.withColumn("avg", F.when(F.col("count") > 0, F.col("avg"))))
+
+
+def rank_errors(approx: DataFrame, timings: DataFrame, by: str = "operation", value: str = "duration_ms") -> DataFrame:
+    """For each group and approximate percentile how far its rank is off, as a share of the group's values: (``by``, p50_error, …); null without values."""
+    names = [f"{n}_approx" for n in PERCENTILES]
+    marks = approx.select(F.col(by).alias("_by"), *names)
+    v = _number(value).cast("double")
+    joined = timings.withColumn("_v", v).join(marks, F.col(by).eqNullSafe(F.col("_by")))
+    n = F.count("_v")
+    out = []
+    for name, p in PERCENTILES.items():
+        a = F.col(f"{name}_approx")
+        less, upto = F.count(F.when(F.col("_v") < a, 1)) / n, F.count(F.when(F.col("_v") <= a, 1)) / n
+        # the value stands for all ranks between the two shares
+        out.append(F.when(n > 0, F.greatest(less - p, p - upto, F.lit(0.0))).alias(f"{name}_error"))
+    return joined.groupBy(by).agg(*out)
+
+
 def metrics_rollup(metrics: DataFrame, order: str = "id") -> tuple[DataFrame, DataFrame]:
     """(counters and gauges, histograms) of (name, kind, value, ts, order) rows.
 

@@ -8,8 +8,9 @@ from keyquarry import rules
 from keyquarry.operators import ordered, usage
 from keyquarry.operators.services import detect_services, missing_keys
 from keyquarry.plans.access import ORDERS_AT, at, _PLAN_VALUES
-from keyquarry.plans.registry import query
+from keyquarry.plans.registry import ORACLES, query
 from keyquarry.plans.scanning import _CI_RULES
+from keyquarry.session import materialize
 from keyquarry.sources.fixtures import cte, frame, table
 
 
@@ -33,9 +34,37 @@ def d2(spark, sf):
     return usage.operation_stats(frame(spark, sf, "op_timings")).withColumn("avg", F.round("avg", 6))
 
 
-@query("d2_operation_stats_approx")
+# Approximate percentiles pass if their ranks are off by at most half a percent; the groups are those of the exact form.
+@query("d2_operation_stats_approx", cte("op_timings") + """SELECT operation, count(duration_ms) AS count, round(avg(duration_ms), 6) AS avg, min(duration_ms) AS min, max(duration_ms) AS max,
+ true AS p50_near, true AS p95_near, true AS p99_near FROM op_timings GROUP BY operation""")
 def d2_approx(spark, sf):
-    return usage.operation_stats(frame(spark, sf, "op_timings"), approx=True)
+    return _near(usage.operation_stats(frame(spark, sf, "op_timings"), approx=True), frame(spark, sf, "op_timings"))
+
+
+def _near(stats, timings):
+    errors = usage.rank_errors(stats, timings).withColumnRenamed("operation", "_operation")
+    near = [(F.col(f"{p}_error") <= 0.005).alias(f"{p}_near") for p in usage.PERCENTILES]
+    return stats.join(errors, F.col("operation").eqNullSafe(F.col("_operation"))).select(
+        "operation", "count", F.round("avg", 6).alias("avg"), "min", "max", *near)
+
+
+@query("d2_merged_daily_sketches", ORACLES["d2_operation_stats_approx"])
+def d2_merged(spark, sf):
+    timings = frame(spark, sf, "op_timings")
+    days = materialize(usage.daily_sketches(timings), "daily-sketches")
+    return _near(usage.merged_stats(days), timings)
+
+
+_SPARSE = """(SELECT CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_suppkey END AS supplier, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_extendedprice END AS price FROM lineitem)"""
+
+
+@query("e4_groups_without_key_or_value", "SELECT supplier, " + ", ".join(
+    f"list_sort(list(price) FILTER (price IS NOT NULL))[CAST(floor(count(price) * CAST({p} AS DOUBLE)) AS BIGINT) + 1] AS {n}"
+    for n, p in usage.PERCENTILES.items()) + f" FROM {_SPARSE} GROUP BY supplier")
+def e4_sparse(spark, sf):
+    key = F.when(F.col("l_suppkey") % 4 != 0, F.col("l_suppkey")).alias("supplier")
+    price = F.when(F.col("l_suppkey") % 3 != 0, F.col("l_extendedprice")).alias("price")
+    return ordered.exact_rank_percentiles(table(spark, sf, "lineitem").select(key, price), ["supplier"], "price", usage.PERCENTILES)
 
 
 @query("e4_exact_rank_percentile", f"SELECT l_suppkey, {_RANKS.format(v='l_extendedprice')} FROM lineitem GROUP BY l_suppkey")

@@ -34,9 +34,42 @@ def test_percentiles_when_the_sketch_only_brackets(spark, accuracy, buckets):
     assert len(got) == 5
 
 
-def test_approximate_names(spark):
-    df = spark.createDataFrame([("a", 1.0)], "operation string, duration_ms double")
-    assert {"p50_approx", "p95_approx", "p99_approx"} <= set(usage.operation_stats(df, approx=True).columns)
+def test_groups_without_key_or_values_stay(spark):
+    rows = [("a", 1.0), ("a", 3.0), ("a", math.nan), ("b", None), ("b", math.nan), (None, 5.0), (None, None)]
+    df = spark.createDataFrame(rows, "operation string, duration_ms double")
+    exact = {r.operation: r for r in usage.operation_stats(df).collect()}
+    assert {k: (r["count"], r.avg, r.min, r.max, r.p50, r.p99) for k, r in exact.items()} == {
+        "a": (2, 2.0, 1.0, 3.0, 3.0, 3.0), "b": (0, None, None, None, None, None), None: (1, 5.0, 5.0, 5.0, 5.0, 5.0)}
+    approx = {r.operation: r for r in usage.operation_stats(df, approx=True).collect()}
+    assert {k: r["count"] for k, r in approx.items()} == {"a": 2, "b": 0, None: 1}
+    assert approx["b"].p50_approx is None and approx[None].p95_approx == 5.0
+
+
+def test_a_wrong_bracket_is_widened(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [("a" if i % 3 else None, rng.gauss(0, 1)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    with monkeypatch.context() as m:
+        m.setattr(ordered.F, "percentile_approx", lambda c, ps, accuracy: F.array(*[F.max(c) * 0 + 0.3 + 0.0001 * i for i in range(len(ps))]))
+        got = {r.g: (r.p50, r.p95) for r in ordered.exact_rank_percentiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}, accuracy=10).collect()}
+    for g in ("a", None):
+        values = sorted(v for k, v in rows if k == g)
+        assert got[g] == (values[len(values) // 2], values[math.floor(len(values) * 0.95)])
+
+
+def test_daily_sketches_merge(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.expovariate(1), i % 5) for i in range(20_000)] + [("c", None, 1)]
+    df = spark.createDataFrame(rows, "operation string, duration_ms double, d int").withColumn("ts", F.timestamp_seconds(F.col("d") * 86400).cast("timestamp_ntz"))
+    days = usage.daily_sketches(df)
+    assert days.count() == 3 * 5 + 1
+    merged = usage.merged_stats(days)
+    whole = {r.operation: r for r in usage.operation_stats(df).collect()}
+    for r in merged.collect():
+        assert (r["count"], r.min, r.max) == (whole[r.operation]["count"], whole[r.operation].min, whole[r.operation].max)
+    errors = usage.rank_errors(merged, df).collect()
+    assert len(errors) == 4 and all(x is None or x <= 0.005 for r in errors for x in (r.p50_error, r.p95_error, r.p99_error))
+    assert [r.p50_error for r in errors if r.operation == "c"] == [None]
 
 
 def test_running_count_over_slices(spark):
