@@ -47,8 +47,7 @@ def _same(left: list[str], right: list[str]) -> Column:
 
 
 def exact_rank_percentiles(
-    df: DataFrame, by: list[str], value: str, ps: dict[str, float], accuracy: int = 10000, buckets: int = 4096,
-    extra: list[Column] | None = None,
+    df: DataFrame, by: list[str], value: str, ps: dict[str, float], accuracy: int = 10000, extra: list[Column] | None = None,
 ) -> DataFrame:
     """Exact element at 0-based rank ``floor(n * p)`` for each named ``p`` per group.
 
@@ -56,101 +55,63 @@ def exact_rank_percentiles(
     No group is sorted or shuffled whole, and the rows are read twice.  First a mergeable
     sketch brackets every wanted rank (and takes the ``extra`` aggregates along).  Then one pass counts
     the rows between the bounds of all brackets and the values inside them, a row giving one
-    key whatever the number of ranks.  From these counts follow the rows below a bracket, so it is
-    known whether the rank lies in it; if the sketch was off, the bracket is widened to the whole group and only such groups are
-    read again.  The last steps work on the counted values: a bucket of a bracket that
-    holds the rank is picked, and only its distinct values are put in order.
+    key whatever the number of ranks.  What is left of a group, about 4 / ``accuracy`` of its rows for
+    each rank and no more than its distinct values, is put in order by one task, and the running count gives the elements.
+    Where it shows that a rank lies outside its bracket, as the sketch was off, the bracket
+    is widened to the whole group and such groups are read again.  Raise ``accuracy`` for groups of over 10**10 rows.
     """
-    names, step = list(ps), 2.0 / accuracy
+    step, n = 2.0 / accuracy, len(ps)
     wanted = [q for p in ps.values() for q in (max(p - step, 0.0), min(p + step, 1.0))]
     number = F.col(f"`{value}`").cast("double")
     keys = [f"_by{i}" for i in range(len(by))]
+    marks = [f"_{k}" for k in keys]
     keyed = df.withColumns({k: F.col(f"`{c}`") for k, c in zip(keys, by)}).withColumn("_v", F.when(~F.isnan(number), number))
-    named = [c.alias(f"_extra{i}") for i, c in enumerate(extra or [])]
     titles = df.agg(*extra).columns if extra else []
     spine = materialize(
         keyed.groupBy(*keys).agg(
             F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-            F.percentile_approx("_v", wanted, accuracy).alias("_q"), *named), "sketch")
+            F.percentile_approx("_v", wanted, accuracy).alias("_q"), *[c.alias(f"_extra{i}") for i, c in enumerate(extra or [])]), "sketch")
     small = F.col("_n") <= 4 * accuracy          # the sketch error is under one rank: take all
     rows = keyed.select(*keys, "_v").filter(F.col("_v").isNotNull())
     brackets = spine.filter(F.col("_n") > 0).select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
+        *[F.col(k).alias(m) for k, m in zip(keys, marks)],
         *[c for i, p in enumerate(ps.values()) for c in (
             (F.floor(F.col("_n") * F.lit(float(p))) + 1).alias(f"_k{i}"),
             F.when(small, F.col("_min")).otherwise(F.element_at("_q", 2 * i + 1)).alias(f"_lo{i}"),
             F.when(small, F.col("_max")).otherwise(F.element_at("_q", 2 * i + 2)).alias(f"_hi{i}"))],
         "_min", "_max")
-    found = None
-    while True:
-        counted, checked = _in_brackets(rows, brackets, keys, len(names))
-        right = checked.filter("_ok").select(*keys, "_p", "_k", "_lo", "_hi")
-        ranks = _pick(counted, right, keys, buckets)
-        found = ranks if found is None else found.unionByName(ranks)
-        off = materialize(checked.filter("NOT _ok").select(*keys, "_p").distinct(), "widened")
-        if off.isEmpty():
-            break
-        missed = off.groupBy(*keys).agg(F.collect_set("_p").alias("_missed"))
-        wide = [c for i in range(len(names)) for c in (
-            F.when(F.array_contains("_missed", i), F.col(f"_k{i}")).alias(f"_k{i}"), F.col("_min").alias(f"_lo{i}"), F.col("_max").alias(f"_hi{i}"))]
-        brackets = materialize(brackets.join(missed, _same([f"_{k}" for k in keys], keys)).select(*[f"_{k}" for k in keys], *wide, "_min", "_max"), "wide-brackets")
-    ranks = found.groupBy(*keys).agg(*[F.min(F.when(F.col("_p") == i, F.col("_x"))).alias(f"_rank{i}") for i in range(len(names))])
-    ranks = ranks.select(*[F.col(k).alias(f"_{k}") for k in keys], *[f"_rank{i}" for i in range(len(names))])
-    return spine.join(ranks, _same(keys, [f"_{k}" for k in keys]), "left").select(
+    found = materialize(_ranks(rows, brackets, keys, n), "ranks")
+    missed = found.filter("_off").select(*[F.col(k).alias(f"_{m}") for k, m in zip(keys, marks)])
+    if not missed.isEmpty():
+        wide = [c for i in range(n) for c in (F.col(f"_k{i}"), F.col("_min").alias(f"_lo{i}"), F.col("_max").alias(f"_hi{i}"))]
+        again = brackets.join(missed, _same(marks, [f"_{m}" for m in marks])).select(*marks, *wide)
+        found = found.filter("NOT _off").unionByName(materialize(_ranks(rows, again, keys, n), "ranks"))
+    found = found.select(*[F.col(k).alias(m) for k, m in zip(keys, marks)], *[f"_r{i}" for i in range(n)])
+    return spine.join(found, _same(keys, marks), "left").select(
         *[F.col(k).alias(c) for k, c in zip(keys, by)], *[F.col(f"_extra{i}").alias(t) for i, t in enumerate(titles)],
-        *[F.col(f"_rank{i}").alias(n) for i, n in enumerate(names)])
+        *[F.col(f"_r{i}").alias(name) for i, name in enumerate(ps)])
 
 
-def _in_brackets(rows: DataFrame, brackets: DataFrame, keys: list[str], n: int) -> tuple[DataFrame, DataFrame]:
-    """(counts of values inside brackets by group and rank, whether each wanted rank lies in its bracket).
+def _ranks(rows: DataFrame, brackets: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, _r0, …, _off): the wanted elements, and whether one of them lies outside its bracket.
 
-    A row outside all brackets is counted by the number of bounds below it, one inside by its value.
+    A value inside a bracket is an entry by itself; outside, all values between two
+    neighbouring bounds are one entry, in place behind the lower one.
     """
-    v = F.col("_v")
+    marks, v = [f"_{k}" for k in keys], F.col("_v")
     inside, below = F.lit(False), F.lit(0)
     for i in range(n):
         inside = inside | ((v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")))
         below = below + (F.col(f"_lo{i}") < v).cast("int") + (F.col(f"_hi{i}") < v).cast("int")
-    joined = rows.join(brackets, _same(keys, [f"_{k}" for k in keys]))
-    counts = materialize(
-        joined.select(*keys, F.when(inside, v).alias("_x"), F.when(~inside, below).alias("_seg"))
-        .groupBy(*keys, "_x", "_seg").agg(F.count("*").alias("_c")), "bracket-counts")
-    wanted = []
+    joined = rows.join(brackets, _same(keys, marks))
+    counts = joined.select(*keys, F.when(inside, v).alias("_x"), F.when(~inside, below).alias("_seg")).groupBy(*keys, "_x", "_seg").agg(F.count("*").alias("_c"))
+    bounds = F.array_sort(F.array(*[F.col(f"_{side}{i}") for i in range(n) for side in ("lo", "hi")]))
+    at = F.coalesce("_x", F.when(F.col("_seg") > 0, F.element_at(bounds, F.greatest("_seg", F.lit(1)))), F.lit(float("-inf")))
+    entries = counts.join(brackets, _same(keys, marks)).select(*keys, "_x", "_c", at.alias("_at"), F.col("_x").isNull().alias("_out"), *[f"_k{i}" for i in range(n)])
+    upto = entries.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_at", "_out")))
+    first = [F.min(F.when(F.col("_upto") >= F.col(f"_k{i}"), F.struct("_at", "_out", "_x"))) for i in range(n)]
+    off = F.lit(False)
     for i in range(n):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        under = F.lit(0)
-        for j in range(n):
-            under = under + (F.col(f"_lo{j}") < lo).cast("int") + (F.col(f"_hi{j}") < lo).cast("int")
-        wanted.append(F.when(F.col(f"_k{i}").isNotNull(), F.struct(
-            F.lit(i).alias("_p"), F.col(f"_k{i}").alias("_k"), lo.alias("_lo"), hi.alias("_hi"), under.alias("_under"))))
-    each = brackets.select(*[f"_{k}" for k in keys], F.explode(F.array_compact(F.array(*wanted))).alias("_w")).select(*[f"_{k}" for k in keys], "_w.*")
-    side = F.when(F.col("_x").isNull(), F.when(F.col("_seg") <= F.col("_under"), -1).otherwise(1)).when(
-        F.col("_x") < F.col("_lo"), -1).when(F.col("_x") > F.col("_hi"), 1).otherwise(0)
-    placed = counts.join(each, _same(keys, [f"_{k}" for k in keys])).withColumn("_side", side)
-    sums = materialize(placed.groupBy(*keys, "_p", "_k", "_lo", "_hi").agg(
-        F.sum(F.when(F.col("_side") < 0, F.col("_c")).otherwise(0)).alias("_before"),
-        F.sum(F.when(F.col("_side") == 0, F.col("_c")).otherwise(0)).alias("_in")), "bracket-ranks")
-    ok = (F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_in"))
-    checked = sums.select(*keys, "_p", (F.col("_k") - F.col("_before")).alias("_k"), "_lo", "_hi", ok.alias("_ok"))
-    return placed.filter("_side = 0").select(*keys, "_p", "_x", "_c"), checked
-
-
-def _pick(values: DataFrame, targets: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """(keys, _p, _x): the ``_k``-th of the counted values of each group and rank."""
-    marks = [f"_{k}" for k in keys]
-    span = F.col("_hi") - F.col("_lo")
-    bucket = F.when((span > 0) & (span < float("inf")), F.least(F.floor((F.col("_x") - F.col("_lo")) * (F.lit(float(buckets)) / span)), F.lit(buckets)).cast("int")).otherwise(F.lit(0))
-    named = targets.select(*[F.col(k).alias(m) for k, m in zip(keys, marks)], F.col("_p").alias("_t"), "_k", "_lo", "_hi")
-    joined = values.join(named, _same(keys, marks) & (F.col("_p") == F.col("_t"))).withColumn("_b", bucket)
-    by_bucket = joined.groupBy(*keys, "_p", "_k", "_b").agg(F.sum("_c").alias("_c"))
-    w = Window.partitionBy(*keys, "_p").orderBy("_b")
-    picked = materialize(
-        by_bucket.withColumn("_upto", F.sum("_c").over(w))
-        .filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < F.col("_k")))
-        .select(*[F.col(k).alias(f"_{m}") for k, m in zip(keys, marks)], F.col("_p").alias("_s"), F.col("_b").alias("_pick"),
-                (F.col("_k") - (F.col("_upto") - F.col("_c"))).alias("_kk")), "rank-bucket")
-    own = joined.select(*keys, "_p", "_b", "_x", "_c").join(
-        picked, _same(keys, [f"_{m}" for m in marks]) & (F.col("_p") == F.col("_s")) & (F.col("_b") == F.col("_pick")))
-    wv = Window.partitionBy(*keys, "_p").orderBy("_x")
-    upto = own.withColumn("_upto", F.sum("_c").over(wv)).filter(F.col("_upto") >= F.col("_kk"))
-    return upto.groupBy(*keys, "_p").agg(F.min("_x").alias("_x"))
+        off = off | F.col(f"_f{i}._out")
+    return upto.groupBy(*keys).agg(*[f.alias(f"_f{i}") for i, f in enumerate(first)]).select(
+        *keys, *[F.col(f"_f{i}._x").alias(f"_r{i}") for i in range(n)], off.alias("_off"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from keyquarry import rules
 from keyquarry.schemas import TABLES
@@ -36,6 +36,8 @@ class Rule:
     min_items: int | None = None
     max_items: int | None = None
     items: tuple["Rule", ...] = ()   # fields of each array element
+    fields: tuple["Rule", ...] = ()  # members of a nested object
+    any_values: bool = False         # a record of anything, not of texts only
 
 
 def _texts(name, **kw):
@@ -53,7 +55,7 @@ _CREATE_SECRET = (
     _env(default="development"),
     _texts("scopes", default=[]),
     Rule("value", optional=True),
-    Rule("metadata", "map<string,string>", optional=True),
+    Rule("metadata", "map<string,string>", optional=True, any_values=True),
 )
 
 # The request contracts.
@@ -66,7 +68,7 @@ CONTRACTS: dict[str, tuple[Rule, ...]] = {
     "login": (Rule("email", form="email"), Rule("password", min_length=1)),
     "create_secret": _CREATE_SECRET,
     "update_secret": (
-        _texts("scopes"), _env(optional=True), Rule("metadata", "map<string,string>", optional=True),
+        _texts("scopes"), _env(optional=True), Rule("metadata", "map<string,string>", optional=True, any_values=True),
     ),
     "rotate_secret": (
         Rule("gracePeriodHours", optional=True, **_HOURS),
@@ -92,7 +94,11 @@ CONTRACTS: dict[str, tuple[Rule, ...]] = {
         Rule("name", min_length=1), Rule("tier", enum=tuple(rules.ORGANIZATION_TIERS), default="team"),
     ),
     "invite_member": (Rule("email", form="email"), Rule("role", enum=tuple(rules.ROLES), default="member")),
-    "chat_message": (Rule("message", min_length=1, max_length=2000),),
+    "chat_message": (
+        Rule("message", min_length=1, max_length=2000),
+        Rule("context", "struct<projectPath:string,currentSecrets:array<string>,recentActivity:array<string>>", optional=True, fields=(
+            Rule("projectPath", optional=True), _texts("currentSecrets"), Rule("recentActivity", "array<string>", optional=True, any_values=True))),
+    ),
     "create_webhook": (
         Rule("url", form="url"),
         Rule("events", "array<string>", enum=(
@@ -127,8 +133,8 @@ CONTRACTS: dict[str, tuple[Rule, ...]] = {
         Rule("offset", "double", minimum=0, default=0),
     ),
     "batch_create_secrets": (
-        Rule("secrets", "array<struct<service:string,environment:string,scopes:array<string>,value:string>>",
-             min_items=1, max_items=10, items=(_CREATE_SECRET[0], _CREATE_SECRET[1])),
+        Rule("secrets", "array<struct<service:string,environment:string,scopes:array<string>,value:string,metadata:map<string,string>>>",
+             min_items=1, max_items=10, items=_CREATE_SECRET),
     ),
     "batch_rotate_secrets": (
         Rule("secretIds", "array<string>", form="uuid", min_items=1, max_items=50),
@@ -154,13 +160,13 @@ SHARED_CONTRACTS: dict[str, tuple[Rule, ...]] = {
     "shared_rotate_secret": (Rule("secretId", form="uuid"),),
     "shared_validate_secret": (Rule("secretId", form="uuid"), Rule("framework", enum=tuple(rules.FRAMEWORKS))),
     "shared_analyze_project": (
-        Rule("projectPath", min_length=1), Rule("dependencies", "map<string,string>", optional=True),
+        Rule("projectPath", min_length=1), Rule("dependencies", "map<string,string>", default={}),
     ),
     "shared_search_documentation": (Rule("service", min_length=1), Rule("query", min_length=1)),
     "shared_audit_log": (
         Rule("secretId", form="uuid"), Rule("userId", min_length=1),
         Rule("action", enum=tuple(rules.SECRET_ACTIONS)), Rule("ipAddress", optional=True, form="ip"),
-        Rule("userAgent", optional=True), Rule("metadata", "map<string,string>", optional=True),
+        Rule("userAgent", optional=True), Rule("metadata", "map<string,string>", optional=True, any_values=True),
     ),
     "shared_user_preferences": (
         Rule("userId", min_length=1), Rule("defaultEnvironment", optional=True, enum=_STORED_ENV),
@@ -172,15 +178,105 @@ SHARED_CONTRACTS: dict[str, tuple[Rule, ...]] = {
 ALL_CONTRACTS = CONTRACTS | SHARED_CONTRACTS
 
 
-def contract_schema(contract: str) -> T.StructType:
-    """Types of a contract's fields, to read JSON payloads with."""
-    return T._parse_datatype_string(", ".join(f"{r.name} {r.type}" for r in ALL_CONTRACTS[contract]))
+_NUMBERS = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+
+
+def _member(v: Column, name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, f"$.{name}", kind)
+
+
+def _wrong_type(r: Rule, x: Column) -> Column:
+    """Is a present member (a variant) not of the rule's type?  An explicit null is of no type."""
+    kind = F.schema_of_variant(x)
+    if r.type == "string":
+        return kind != "STRING"
+    if r.type == "boolean":
+        return kind != "BOOLEAN"
+    if r.type == "double":
+        return ~kind.rlike(_NUMBERS)
+    many = F.startswith(kind, F.lit("ARRAY" if r.type.startswith("array") else "OBJECT"))
+    if r.any_values or r.fields:
+        return ~many
+    if r.type.startswith("array"):
+        inner = F.try_variant_get(x, "$", "array<variant>")
+        of = "OBJECT" if r.items else "STRING"
+    else:
+        inner = F.map_values(F.try_variant_get(x, "$", "map<string,variant>"))
+        of = "STRING"
+    return ~many | F.coalesce(F.exists(inner, lambda e: ~F.startswith(F.schema_of_variant(e), F.lit(of))), F.lit(False))
+
+
+def _inner_reasons(r: Rule, x: Column) -> list[Column]:
+    """Broken rules of the members of an object, or of any element of an array of objects."""
+    elements = F.try_variant_get(x, "$", "array<variant>") if r.items else F.array(x)
+
+    def any_of(test) -> Column:
+        return F.coalesce(F.exists(elements, lambda e: F.coalesce(test(e), F.lit(False))), F.lit(False))
+
+    out = []
+    for m in r.items or r.fields:
+        tests = [("type", lambda e: _member(e, m.name).isNotNull() & _wrong_type(m, _member(e, m.name)))]
+        if not m.optional and m.default is None:
+            tests.append(("required", lambda e: _member(e, m.name).isNull()))
+        if not m.type.startswith(("array", "map")):
+            for i, (what, _) in enumerate(_value_failures(m, F.lit(None).cast(m.type))):
+                tests.append((what, _breaks(m, i)))
+        # each condition is built here, while ``m`` is this member
+        out += [F.when(any_of(test), F.lit(f"{r.name}: {m.name} {what}")) for what, test in tests]
+    return out
+
+
+def _breaks(m: Rule, i: int):
+    """Does an object's member, of the right type, break its i-th rule?"""
+    return lambda e: ~_wrong_type(m, _member(e, m.name)) & _value_failures(m, _member(e, m.name, m.type))[i][1]
+
+
+def _typed(r: Rule, x: Column) -> Column:
+    """A member as a typed value, null where it is missing or of a wrong type."""
+    if r.items:
+        def one(e):
+            return F.struct(*[F.when(~_wrong_type(m, _member(e, m.name)), _member(e, m.name, m.type)).alias(m.name) for m in r.items])
+
+        value = F.transform(F.try_variant_get(x, "$", "array<variant>"), one)
+    elif r.fields:
+        value = F.struct(*[F.when(~_wrong_type(m, _member(x, m.name)), _member(x, m.name, m.type)).alias(m.name) for m in r.fields])
+    else:
+        value = F.try_variant_get(x, "$", r.type)
+    return F.when(x.isNotNull() & ~_wrong_type(r, x), value)
+
+
+def _type_reasons(contract: str, v: Column) -> Column:
+    """``field: type`` of every member of a wrong type, and what is broken inside members; one reason if the payload is no object."""
+    found = []
+    for r in ALL_CONTRACTS[contract]:
+        x = _member(v, r.name)
+        wrong = x.isNotNull() & _wrong_type(r, x)
+        found.append(F.when(wrong, F.lit(f"{r.name}: type")))
+        found += [F.when(x.isNotNull() & ~wrong, c) for c in _inner_reasons(r, x)]
+    is_object = reduce(lambda a, b: a | b, [_member(v, r.name).isNotNull() for r in ALL_CONTRACTS[contract]])     # only an object has members
+    is_object = is_object | F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    return F.when(~is_object, F.array(F.lit("payload: type"))).otherwise(F.array_compact(F.array(*found)))
 
 
 def parse_payload(df: DataFrame, contract: str, column: str) -> DataFrame:
-    """JSON payload text as typed columns; a member of a wrong type reads as missing."""
-    parsed = F.from_json(F.col(column), contract_schema(contract))
-    return df.select("*", parsed.alias("_payload")).select(*df.columns, "_payload.*")
+    """JSON payload text as typed columns, and ``_types``: the reasons that only the JSON itself can show.
+
+    A member of a wrong type, and an explicit null, are null and named in ``_types``; ``check_contract`` takes them up.
+    """
+    v, rules_ = F.col("_payload"), ALL_CONTRACTS[contract]
+    parsed = df.withColumn("_payload", F.try_parse_json(F.col(column)))      # once for all members
+    return parsed.select(*[F.col(f"`{c}`") for c in df.columns], *[_typed(r, _member(v, r.name)).alias(r.name) for r in rules_], _type_reasons(contract, v).alias("_types"))
+
+
+def check_payloads(df: DataFrame, contract: str = "contract", column: str = "body") -> DataFrame:
+    """Adds ``reasons`` to JSON payloads of many contracts, each named by its row, in one pass."""
+    v = F.col("_payload")
+    out = F.lit(None).cast("array<string>")
+    for name, rules_ in ALL_CONTRACTS.items():
+        own = _reasons(name, {r.name: _typed(r, _member(v, r.name)) for r in rules_}, _type_reasons(name, v))
+        out = F.when(F.col(contract) == name, own).otherwise(out)
+    parsed = df.withColumn("_payload", F.try_parse_json(F.col(column)))      # once for all members
+    return parsed.withColumn("reasons", F.coalesce(out, F.array(F.lit("contract: unknown")))).drop("_payload")
 
 
 def _form_ok(c: Column, form: str) -> Column:
@@ -211,12 +307,17 @@ def _value_failures(r: Rule, c: Column) -> list[tuple[str, Column]]:
     return out
 
 
-def _array_failures(r: Rule, c: Column) -> list[tuple[str, Column]]:
+def _size_failures(r: Rule, c: Column) -> list[tuple[str, Column]]:
     out = []
     if r.min_items is not None:
         out.append(("min_items", F.size(c) < r.min_items))
     if r.max_items is not None:
         out.append(("max_items", F.size(c) > r.max_items))
+    return out
+
+
+def _array_failures(r: Rule, c: Column) -> list[tuple[str, Column]]:
+    out = _size_failures(r, c)
     for item in r.items:
         if not item.optional and item.default is None:
             out.append((f"{item.name} required", F.exists(c, _item_test(item, None))))
@@ -243,25 +344,49 @@ def _element_test(r: Rule, i: int):
 def _default(r: Rule) -> Column:
     if isinstance(r.default, list):
         return F.array(*[F.lit(x) for x in r.default]).cast(r.type)
+    if isinstance(r.default, dict):
+        return F.create_map().cast(r.type)
     return F.lit(r.default).cast(r.type)
 
 
-def check_contract(df: DataFrame, contract: str) -> DataFrame:
-    """Adds defaults and ``reasons`` (``field: rule`` of every broken rule; empty means valid)."""
-    have = set(df.columns)
-    failures, defaults = [], {}
+def _reasons(contract: str, values: dict[str, Column], types: Column | None = None) -> Column:
+    """``field: rule`` of every broken rule of typed values; ``types`` are reasons found in the JSON before."""
+    failures = []
     for r in ALL_CONTRACTS[contract]:
-        c = F.col(r.name) if r.name in have else F.lit(None).cast(r.type)
-        broken = _array_failures(r, c) if r.type.startswith("array") else _value_failures(r, c)
+        c = values.get(r.name)
+        c = F.lit(None).cast(r.type) if c is None else c
+        if r.items and types is not None:       # the JSON showed what is broken inside
+            broken = _size_failures(r, c)
+        elif r.type.startswith("array"):
+            broken = _array_failures(r, c)
+        else:
+            broken = _value_failures(r, c)
         if not r.optional and r.default is None:
-            failures.append(F.when(c.isNull(), F.lit(f"{r.name}: required")))
+            missing = c.isNull()
+            if types is not None:
+                missing = missing & ~F.array_contains(types, f"{r.name}: type")
+            failures.append(F.when(missing, F.lit(f"{r.name}: required")))
         for what, condition in broken:
             failures.append(F.when(c.isNotNull() & condition, F.lit(f"{r.name}: {what}")))
+    found = F.array_compact(F.array(*failures)) if failures else F.array().cast("array<string>")
+    if types is None:
+        return found
+    return F.when(F.array_contains(types, "payload: type"), types).otherwise(F.concat(types, found))
+
+
+def check_contract(df: DataFrame, contract: str) -> DataFrame:
+    """Adds defaults and ``reasons`` (``field: rule`` of every broken rule; empty means valid)."""
+    have = set(df.columns)
+    values = {r.name: F.col(r.name) for r in ALL_CONTRACTS[contract] if r.name in have}
+    types = F.col("_types") if "_types" in have else None
+    defaults = {}
+    for r in ALL_CONTRACTS[contract]:
+        c = values.get(r.name, F.lit(None).cast(r.type))
         if r.default is not None:
             defaults[r.name] = F.coalesce(c, _default(r))
         elif r.name not in have:
             defaults[r.name] = c
-    return df.withColumn("reasons", F.array_compact(F.array(*failures))).withColumns(defaults)
+    return df.withColumn("reasons", _reasons(contract, values, types)).withColumns(defaults).drop("_types")
 
 
 def split_contract(df: DataFrame, contract: str) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from keyquarry.operators import crypto, quality, vault
 from keyquarry.plans.access import ORDERS_AT, _OWN_REQUESTS, at
-from keyquarry.plans.checks import lit
+from keyquarry.plans.checks import lit, values
 from keyquarry.plans.registry import query
 from keyquarry.sources.fixtures import cte, frame, sql, table
 
@@ -278,6 +278,60 @@ def q1_batch(spark, sf):
     return quality.check_contract(batches, "batch_rotate_secrets").select("p_partkey", F.array_join("reasons", "; ").alias("reasons"))
 
 
+# One good and one broken body for each of the thirty contracts; # stands for the event's number.
+_ID = '"123e4567-e89b-12d3-a456-426614174000"'
+_BODIES = [
+    ("create_user", '{"email":"u#@b.co","password":"Passw0rd#"}', ""), ("create_user", '{"email":#,"password":"pass","tier":null}',
+     "email: type; tier: type; password: pattern [A-Z]; password: pattern [0-9]; password: min_length"),
+    ("login", '{"email":"u#@b.co","password":"#"}', ""), ("login", '[#]', "payload: type"),
+    ("create_secret", '{"service":"s#","scopes":["a"],"metadata":{"n":#}}', ""), ("create_secret", '{"scopes":[#],"metadata":"x"}', "scopes: type; metadata: type; service: required"),
+    ("update_secret", '{}', ""), ("update_secret", '{"environment":"dev","scopes":"#"}', "scopes: type; environment: enum"),
+    ("rotate_secret", '{"gracePeriodHours":24.5,"notifyChannels":["email","slack"]}', ""),
+    ("rotate_secret", '{"gracePeriodHours":"#","notifyChannels":["fax"]}', "gracePeriodHours: type; notifyChannels: enum"),
+    ("analyze_project", '{"dependencies":{"p#":"1.0"},"language":"go"}', ""), ("analyze_project", '{"dependencies":{"p":#},"packageManager":"cargo"}', "dependencies: type; packageManager: enum"),
+    ("validate_compliance", '{"includeRecommendations":false}', ""), ("validate_compliance", '{"framework":"PCI_DSS","includeRecommendations":"no"}', "includeRecommendations: type; framework: enum"),
+    ("create_api_key", '{"name":"k#","expiresIn":1}', ""), ("create_api_key", '{"name":"","expiresIn":-#.5}', "name: min_length; expiresIn: positive"),
+    ("revoke_api_key", '{"keyId":' + _ID + '}', ""), ("revoke_api_key", '{"keyId":"#"}', "keyId: uuid"),
+    ("create_organization", '{"name":"o#"}', ""), ("create_organization", '{"name":["o#"],"tier":"free"}', "name: type; tier: enum"),
+    ("invite_member", '{"email":"u#@b.co","role":"viewer"}', ""), ("invite_member", '{"email":"u#..x@b.co","role":7}', "role: type; email: email"),
+    ("chat_message", '{"message":"m#","context":{"currentSecrets":["s"],"recentActivity":[1,null]}}', ""),
+    ("chat_message", '{"message":"","context":{"projectPath":#,"currentSecrets":[null]}}', "context: projectPath type; context: currentSecrets type; message: min_length"),
+    ("create_webhook", '{"url":"https://x.y/#","events":["secret.created"]}', ""), ("create_webhook", '{"url":"x y #","events":"secret.created"}', "events: type; url: url"),
+    ("create_rotation_policy", '{"secretId":' + _ID + ',"intervalDays":30}', ""),
+    ("create_rotation_policy", '{"secretId":null,"intervalDays":0,"notifyBefore":49}', "secretId: type; intervalDays: minimum; notifyBefore: maximum"),
+    ("search_docs", '{"service":"s","query":"q#","limit":20}', ""), ("search_docs", '{"service":"s","limit":true}', "limit: type; query: required"),
+    ("get_usage", '{"startDate":"2024-01-01T00:00:00Z"}', ""), ("get_usage", '{"startDate":"#","endDate":#,"groupBy":"year"}', "endDate: type; startDate: datetime; groupBy: enum"),
+    ("get_audit_logs", '{"action":"user.login","offset":#}', ""), ("get_audit_logs", '{"action":"x#","limit":0,"offset":-1}', "action: enum; limit: minimum; offset: minimum"),
+    ("batch_create_secrets", '{"secrets":[{"service":"s#","metadata":{}}]}', ""),
+    ("batch_create_secrets", '{"secrets":[{"service":#},{"scopes":"x"},{"service":"","environment":"prod","value":1}]}',
+     "secrets: service type; secrets: service required; secrets: service min_length; secrets: environment enum; secrets: scopes type; secrets: value type"),
+    ("batch_rotate_secrets", '{"secretIds":[' + _ID + ']}', ""), ("batch_rotate_secrets", '{"secretIds":[],"gracePeriodHours":169}', "secretIds: min_items; gracePeriodHours: maximum"),
+    ("export_secrets", '{"format":"env","includeValues":true}', ""), ("export_secrets", '{"format":"xml","includeValues":#}', "includeValues: type; format: enum"),
+    ("shared_environment", '{"environment":"dev"}', ""), ("shared_environment", '{"environment":"development"}', "environment: enum"),
+    ("shared_framework", '{"framework":"PCI_DSS"}', ""), ("shared_framework", '{"framework":["SOC2"]}', "framework: type"),
+    ("shared_action", '{"action":"rotated"}', ""), ("shared_action", '{}', "action: required"),
+    ("shared_create_secret", '{"service":"s#","environment":"prod","userId":"#"}', ""), ("shared_create_secret", '{"service":"s#","userId":#}', "userId: type; environment: required"),
+    ("shared_rotate_secret", '{"secretId":' + _ID + '}', ""), ("shared_rotate_secret", '"#"', "payload: type"),
+    ("shared_validate_secret", '{"secretId":' + _ID + ',"framework":"GDPR"}', ""), ("shared_validate_secret", '{"secretId":"#","framework":null}', "framework: type; secretId: uuid"),
+    ("shared_analyze_project", '{"projectPath":"/p#"}', ""), ("shared_analyze_project", '{"projectPath":"","dependencies":[#]}', "dependencies: type; projectPath: min_length"),
+    ("shared_search_documentation", '{"service":"s","query":"q#"}', ""), ("shared_search_documentation", '{"service":#', "payload: type"),
+    ("shared_audit_log", '{"secretId":' + _ID + ',"userId":"#","action":"created","ipAddress":"10.0.0.1","metadata":{"a":null}}', ""),
+    ("shared_audit_log", '{"secretId":' + _ID + ',"userId":"#","action":"peeked","ipAddress":"host"}', "action: enum; ipAddress: ip"),
+    ("shared_user_preferences", '{"userId":"#","autoRotationEnabled":true,"complianceFrameworks":["SOC2"]}', ""),
+    ("shared_user_preferences", '{"userId":"#","autoRotationEnabled":"yes","notificationEmail":"#","complianceFrameworks":[{}]}',
+     "autoRotationEnabled: type; complianceFrameworks: type; notificationEmail: email"),
+]
+
+
+@query("q1_payloads_of_all_contracts", f"""WITH {values([(str(i), lit(c), lit(r)) for i, (c, _, r) in enumerate(_BODIES)], "bodies", ["i", "contract", "reasons"])}
+SELECT event_id, contract, reasons FROM events JOIN bodies ON i = event_id % {len(_BODIES)}""")
+def q1_all(spark, sf):
+    n = (F.col("event_id") % len(_BODIES) + 1).cast("int")
+    pick = [F.element_at(F.array(*[F.lit(b[i]) for b in _BODIES]), n) for i in (0, 1)]
+    rows = table(spark, sf, "events").select("event_id", pick[0].alias("contract"), F.replace(pick[1], F.lit("#"), F.col("event_id").cast("string")).alias("body"))
+    return quality.check_payloads(rows).select("event_id", "contract", F.array_join("reasons", "; ").alias("reasons"))
+
+
 # ---------------------------------------------------------------- constraints
 
 _DIRTY = """SELECT event_id AS id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE CAST(event_id % 997 AS VARCHAR(20)) END AS secret_id,

@@ -12,6 +12,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings: timestamps are read as UTC, and Arrow batches are bounded in bytes, as a batch of long texts is large."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")       # JSON payloads: the last one counts
     return spark
 
 

@@ -187,6 +187,26 @@ BAD = [
     ("batch_create_secrets", {"secrets": [{"service": ""}] * 11}, ["secrets: max_items", "secrets: service min_length"]),
     ("batch_rotate_secrets", {"secretIds": [UUID, "x"]}, ["secretIds: uuid"]),
     ("export_secrets", {"format": "xml"}, ["format: enum"]),
+    # wrong types and explicit nulls
+    ("rotate_secret", {"gracePeriodHours": "abc"}, ["gracePeriodHours: type"]),
+    ("rotate_secret", {"notifyChannels": "email"}, ["notifyChannels: type"]),
+    ("rotate_secret", {"gracePeriodHours": None, "notifyChannels": ["email", None]}, ["gracePeriodHours: type", "notifyChannels: type"]),
+    ("create_user", {"email": 5, "password": ["Passw0rd"], "tier": None}, ["email: type", "password: type", "tier: type"]),
+    ("create_secret", {"service": "s", "scopes": [1], "metadata": ["x"], "value": {}}, ["scopes: type", "metadata: type", "value: type"]),
+    ("analyze_project", {"dependencies": {"a": 1}}, ["dependencies: type"]),
+    ("validate_compliance", {"includeRecommendations": "true"}, ["includeRecommendations: type"]),
+    ("chat_message", {"message": "m", "context": 5}, ["context: type"]),
+    ("chat_message", {"message": "m", "context": {"projectPath": 1, "currentSecrets": [2], "recentActivity": "x"}},
+     ["context: projectPath type", "context: currentSecrets type", "context: recentActivity type"]),
+    ("batch_create_secrets", {"secrets": [{"service": 5}, {"environment": "dev"}, {"service": "", "scopes": "x", "value": 1, "metadata": []}]},
+     ["secrets: service type", "secrets: service required", "secrets: service min_length", "secrets: environment enum", "secrets: scopes type",
+      "secrets: value type", "secrets: metadata type"]),
+    ("batch_create_secrets", {"secrets": ["x"]}, ["secrets: type"]),
+    ("batch_create_secrets", {"secrets": [{"service": None}]}, ["secrets: service type"]),
+    ("shared_analyze_project", {"projectPath": "p", "dependencies": {"a": None}}, ["dependencies: type"]),
+    ("shared_user_preferences", {"userId": "u", "autoRotationEnabled": 1, "complianceFrameworks": ["ISO"]}, ["autoRotationEnabled: type", "complianceFrameworks: enum"]),
+    ("login", [1], ["payload: type"]),
+    ("login", None, ["payload: type"]),
 ]
 
 
@@ -215,6 +235,22 @@ def test_shared_contracts_want_their_fields(spark, contract):
     assert check(spark, contract, {}).reasons == [f"{n}: required" for n in required]
 
 
+def test_typed_members_inside_payloads(spark):
+    r = check(spark, "chat_message", {"message": "m", "context": {"projectPath": "p", "currentSecrets": ["a"], "recentActivity": [1, {"x": None}], "more": 1}})
+    assert r.reasons == [] and (r.context.projectPath, r.context.currentSecrets) == ("p", ["a"])
+    r = check(spark, "create_secret", {"service": "s", "metadata": {"n": 1, "o": {"p": [1]}}})
+    assert r.reasons == [] and r.metadata == {"n": "1", "o": '{"p":[1]}'}
+    assert check(spark, "shared_analyze_project", {"projectPath": "p"}).dependencies == {}
+
+
+def test_payloads_of_all_contracts_in_one_pass(spark):
+    cases = [(c, json.dumps(b), []) for c, b in GOOD.items()] + [(c, json.dumps(b), r) for c, b, r in BAD]
+    cases += [("nothing", "{}", ["contract: unknown"]), (None, "{}", ["contract: unknown"]), ("login", "{not json", ["payload: type"]), ("login", None, ["payload: type"])]
+    df = spark.createDataFrame([(i, c, b) for i, (c, b, _) in enumerate(cases)], "i int, contract string, body string")
+    got = {r.i: sorted(r.reasons) for r in quality.check_payloads(df).collect()}
+    assert got == {i: sorted(r) for i, (_, _, r) in enumerate(cases)}
+
+
 def test_defaults(spark):
     r = check(spark, "create_rotation_policy", GOOD["create_rotation_policy"])
     assert (r.autoRotate, r.gracePeriodHours, r.notifyBefore) == (True, 24.0, 24.0)
