@@ -8,10 +8,11 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
+from keyquarry.llm.bitmaps import gathered, holds, part_of
 from keyquarry.llm.common import ASCII_LOWER, parts_of, text_bytes
 from keyquarry.llm.components import components
 from keyquarry.session import materialize
@@ -25,35 +26,17 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
     A text of fewer words is one shingle; one without words has fingerprint 0.
     """
-    return int(wide_fingerprint(text, size, 1)[0])
-
-
-def wide_fingerprint(text: bytes, size: int, count: int) -> np.ndarray:
-    """As ``fingerprint`` with ``64 * count`` bits: further words come from mixing the same XXH64 values anew."""
     words = text.translate(ASCII_LOWER).split()
     if not words:
-        return np.zeros(count, np.uint64)
+        return 0
     n = max(len(words) - size + 1, 1)
-    total = np.zeros((count, 64), np.int64)
+    total = np.zeros(64, np.int64)
     for at in range(0, n, _WINDOW):
         part = words[at:at + _WINDOW + size - 1]
         shingles = map(b" ".join, zip(*(part[i:] for i in range(size)))) if len(words) > size else [b" ".join(words)]
         hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), "<u8")
-        for i in range(count):
-            bits = np.unpackbits(_mixed(hashes, i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            total[i] += bits.sum(0, dtype=np.int64)
-    return np.packbits(2 * total > n, axis=1, bitorder="little").view("<u8").reshape(-1)
-
-
-def _mixed(hashes: np.ndarray, i: int) -> np.ndarray:
-    """Other 64 bits of the same hashes for each ``i``; 0 leaves them as they are."""
-    if i == 0:
-        return hashes
-    x = hashes ^ (hashes >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
-    x ^= x >> np.uint64(29)
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, size: int = 3, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -81,15 +64,10 @@ def masks(radius: int, agree: int = 2) -> list[int]:
     return [sum(c) for c in combinations(each, agree)]
 
 
-def _apart(many: np.ndarray, one: np.ndarray) -> np.ndarray:
-    bits = np.bitwise_count(many ^ one)
-    return bits.astype(np.int64) if bits.ndim == 1 else bits.sum(1, dtype=np.int64)
-
-
 class Tree:
     """A Burkhard-Keller tree over distinct fingerprints: children keyed by the distance to their parent.
 
-    ``values`` has a row of words per fingerprint, or one number each.  Node numbers are the positions in it.  Both building and searching treat many
+    Node numbers are the positions in ``values``.  Both building and searching treat many
     fingerprints at a node at once, with a stack instead of recursion.
     """
 
@@ -102,7 +80,7 @@ class Tree:
             root, rest = int(members[0]), members[1:]
             if not len(rest):
                 continue
-            apart = _apart(values[rest], values[root])
+            apart = np.bitwise_count(values[rest] ^ values[root]).astype(np.int64)
             below = self.children[root] = {}
             for d in np.unique(apart):
                 group = rest[apart == d]
@@ -114,7 +92,7 @@ class Tree:
         stack = [(0, np.arange(len(queries)))] if len(self.values) else []
         while stack:
             node, active = stack.pop()
-            apart = _apart(queries[active], self.values[node])
+            apart = np.bitwise_count(queries[active] ^ self.values[node]).astype(np.int64)
             if len(hit := active[apart <= radius]):
                 yield node, hit
             for d, child in self.children.get(node, {}).items():
@@ -157,13 +135,10 @@ def _by_shard(batches, keys: int) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(c) for c in zip(*held)]
 
 
-def _linked(batches, radius: int, keys: int):
-    """Links of every shard: between fingerprints, or between the numbers that stand before several words of one."""
-    for names, *words in _by_shard(batches, keys):
-        if len(names) < 2:
-            continue
-        values = (np.stack(words, 1) if words else names).view(np.uint64)
-        if found := np.array(_forest(values, radius), np.int64).reshape(-1, 2).tolist():
+def _linked(batches, radius: int):
+    """Links of every shard (which, part) of fingerprints."""
+    for names, in _by_shard(batches, 2):
+        if len(names) > 1 and (found := np.array(_forest(names.view(np.uint64), radius), np.int64).reshape(-1, 2).tolist()):
             a, b = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array(names[list(a)]), pa.array(names[list(b)])], ["a", "b"])
 
@@ -182,7 +157,7 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
                      for i, m in enumerate(picks)])
     rows = distinct.select("fp", F.explode(keys).alias("_k")).select("_k.which", "_k.part", "fp")
     dealt = rows.repartition(parts_of(distinct.sparkSession), "which", "part").sortWithinPartitions("which", "part", "fp")
-    return dealt.mapInArrow(functools.partial(_linked, radius=radius, keys=2), "a bigint, b bigint")
+    return dealt.mapInArrow(functools.partial(_linked, radius=radius), "a bigint, b bigint")
 
 
 def classes(marked: DataFrame, radius: int = 3) -> DataFrame:
@@ -212,67 +187,42 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, text: str =
     return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def samples(picks: int, bits: int, words: int) -> list[list[int]]:
-    """``picks`` fixed random choices of ``bits`` bits, each as one mask per 64-bit word."""
-    draw = np.random.default_rng(SEED)
-    out = []
-    for _ in range(picks):
-        chosen = draw.choice(64 * words, bits, replace=False).tolist()
-        out.append([sum(1 << (c % 64) for c in chosen if c // 64 == w) for w in range(words)])
-    return out
-
+def addressed(docs: DataFrame, text: str, doc_id: str, name: str, in_files: bool) -> tuple[DataFrame, DataFrame]:
+    """(the rows with an address, ids and texts with it): ``name``file and ``name``row.
 
-def wide_links(prints: DataFrame, words: int, radius: int, picks: int, bits: int) -> DataFrame:
-    """(a, b): links between the numbers ``node`` of distinct wide fingerprints ``w0``, ``w1``, ... within ``radius`` bits.
-
-    A wide fingerprint has too many bits for shards that no pair escapes, so a shard holds
-    what agrees on one of ``picks`` samples of ``bits`` bits.  Two fingerprints that differ in
-    a share d of their bits miss all samples with a chance of (1 - (1 - d)^bits)^picks.
-    Each shard becomes a tree, as in ``links``.
+    If every row of ``docs`` is a row of a file, as read from there, file and position are the
+    address, and nothing is written.  Otherwise the rows are written once with a number.
     """
-    names = [f"w{i}" for i in range(words)]
-
-    def key(nth: int, masks: list[int]):
-        kept = [F.col(c).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for c, m in zip(names, masks)]
-        return F.xxhash64(F.lit(nth), *kept)
-
-    keys = F.array(*[key(i, m) for i, m in enumerate(samples(picks, bits, words))])
-    rows = prints.select(F.explode(keys).alias("shard"), "node", *names)
-    dealt = rows.repartition(parts_of(prints.sparkSession), "shard").sortWithinPartitions("shard", "node")
-    return dealt.mapInArrow(functools.partial(_linked, radius=radius, keys=1), "a bigint, b bigint")
-
-
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 44, words: int = 4, picks: int = 48, bits: int = 15,
-             text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows, with all their columns, that stand for their class: the smallest id (nulls last), then the first row read.
-
-    For a similarity of 0.8 or more in five-word shingles 64 bits are too coarse, so the
-    fingerprint has 256.  Texts at a similarity of 0.8 differ in about 39 of them, give or
-    take 6, hence the radius; at 44 bits a pair shares a sample with a chance of 0.94, at 39
-    of 0.98, at 30 of over 0.999.
-
-    The rows are written once with a number for each, classes are found on fingerprints
-    and numbers alone, and the kept numbers are joined back.
+    if in_files and "_metadata" not in docs.columns:
+        try:
+            rows = docs.select("*", F.xxhash64("_metadata.file_path").alias(f"{name}file"), F.col("_metadata.row_index").alias(f"{name}row"))
+        except AnalysisException:       # not read from files
+            in_files = False
+    if not in_files or "_metadata" in docs.columns:
+        at = F.monotonically_increasing_id()
+        rows = materialize(docs.select("*", F.shiftright(at, 33).alias(f"{name}file"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias(f"{name}row")), "numbered")
+    return rows, rows.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"{name}file").alias("file"), F.col(f"{name}row").alias("row"))
+
+
+def keep_one(docs: DataFrame, size: int = 3, radius: int = 3, text: str = "text", doc_id: str = "doc_id", in_files: bool = False) -> DataFrame:
+    """The rows, with all their columns, that stand for their class: the smallest id (nulls last), then the first row by address.
+
+    Classes are those of ``near_duplicates``: null and empty texts are one class, repeated
+    rows are copies; an empty table gives no rows.  They are found on fingerprints and addresses alone. What goes is
+    held as bitmaps by file, an eighth of a byte for a row at most, and each row is looked up in those of its own
+    file; the texts are read again and not moved if the planner finds the bitmaps small enough to broadcast.
+    ``in_files`` says that ``docs`` is read from files as it is.
     """
     name = "_" * (max(map(len, docs.columns)) + 1)   # longer than any column's name
-    columns, at = docs.columns, docs.columns.index(text)
-    prints = [f"{name}w{i}" for i in range(words)]
-    types = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{c}` bigint" for c in (*prints, f"{name}row"))])
-
-    def number(batches):
-        n = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            found = np.array([wide_fingerprint(b, size, words) for b in text_bytes(batch.column(at))], np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(found[:, i]) for i in range(words)), pa.array(np.arange(n, n + len(found)))], [*columns, *prints, f"{name}row"])
-            n += len(found)
-
-    rows = materialize(docs.mapInArrow(number, types), "numbered")
-    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(f"{name}row").alias("row"))
-    names = [f"w{i}" for i in range(words)]
-    marked = rows.select(*[F.col(p).alias(w) for p, w in zip(prints, names)], key.alias("key"))
-    distinct = materialize(marked.groupBy(*names).agg(F.min("key").alias("key")).withColumn("node", F.col("key.row")), "fingerprints")
-    roots = components(wide_links(distinct, words, radius, picks, bits))
-    named = distinct.select("node", "key").alias("d").join(roots.alias("r"), F.col("d.node") == F.col("r.node"), "left")
-    best = named.groupBy(F.coalesce("r.root", "d.node").alias("root")).agg(F.min("key").alias("key")).select(F.col("key.row").alias(f"{name}row"))
-    return rows.join(materialize(best, "kept"), f"{name}row", "left_semi").select(*columns)
+    rows, texts = addressed(docs, text, doc_id, name, in_files)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "file", "row")
+    marks = materialize(fingerprints(texts, size, keep=["doc_id", "file", "row"]), "simhash")
+    first = marks.groupBy("fp").agg(F.min(key).alias("first"))
+    roots = classes(marks, radius).join(first, "fp")
+    best = roots.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("best"))
+    of = materialize(roots.join(best, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "best"), "classes")
+    gone = marks.join(of, F.col("fp") == F.col("_fp")).filter((F.col("file") != F.col("best.file")) | (F.col("row") != F.col("best.row"))).select("file", "row")
+    bits = gathered(gone, ["file"], "row").select(F.col("file").alias(f"{name}of"), F.col("_part").alias(f"{name}part"), F.col("_bits").alias(f"{name}bits"))
+    row = F.col(f"{name}row")
+    joined = rows.join(bits, (F.col(f"{name}file") == F.col(f"{name}of")) & (part_of(row) == F.col(f"{name}part")), "left")
+    return joined.filter(~holds(F.col(f"{name}bits"), row)).select(*[F.col(f"`{c}`") for c in docs.columns])
