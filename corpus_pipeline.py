@@ -5,8 +5,10 @@ Each stage works on all rows that the one before kept, and is written as Parquet
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from keyquarry.llm import languages, packing, perplexity, secret_ledger, simhash
 from keyquarry.llm.common import remainder_is
@@ -39,13 +41,22 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [
+def _prepared(stage):
+    """The stage with this library's session settings (Arrow batches bounded in bytes), also where it is called alone."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(prepare(spark), docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _prepared(stage)) for name, stage in (
     ("language_id", known_language),
     ("quality_rules", good_quality),
     ("near_dedup", one_of_each),
     ("secret_scan", without_secrets),
     ("packing", packed),
-]
+)]
 
 #: Language profiles, perplexity and tokens are beyond SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
