@@ -23,9 +23,9 @@ def packed_ids(tokenizer: Tokenizer, text: str) -> bytes:
 
 
 @functools.cache
-def stretches(path: str) -> Stretches:
-    """One tokenizer per Python process; the file lies at ``path`` on every machine."""
-    return Stretches(functools.partial(packed_ids, Tokenizer.from_file(path)))
+def stretches(path: str, most: int = 600_000) -> Stretches:
+    """One tokenizer per Python process, with the ids of up to twice ``most`` stretches; the file lies at ``path`` on every machine."""
+    return Stretches(functools.partial(packed_ids, Tokenizer.from_file(path)), most)
 
 
 def cuts(length: int, size: int) -> list[int]:
@@ -33,14 +33,14 @@ def cuts(length: int, size: int) -> list[int]:
     return [0, *range(length % size or size, length, size), length]
 
 
-def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 2, text: str = "text", doc_id: str = "doc_id", most: int = 600_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of the ids of every whole text followed by ``end``.
 
     A null or empty text is one piece with the end alone.  Repeated rows give their pieces
     each; other columns are not read.
     """
     def run(batches):
-        encode = stretches(path).ids
+        encode = stretches(path, most).ids
         close = np.array([end], "<u4").tobytes()
         for batch in batches:
             ids, rows = batch.column(0), ([], [], [], [], [])
@@ -121,6 +121,6 @@ def pack(items: DataFrame, size: int = 1024, per_task: int = 250_000) -> DataFra
     return dealt.mapInArrow(run, f"{types}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = 1024, end: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Tokenises, cuts and packs; the pieces (no text) are written to the shared folder in between."""
-    return pack(materialize(pieces(docs, path, size, end, text, doc_id), "pieces"), size)
+def pack_documents(docs: DataFrame, path: str, size: int = 1024, end: int = 2, text: str = "text", doc_id: str = "doc_id", most: int = 600_000) -> DataFrame:
+    """Tokenises, cuts and packs; the pieces (no text) are written to the shared folder in between.  ``most`` bounds what a Python process keeps of the ids of stretches."""
+    return pack(materialize(pieces(docs, path, size, end, text, doc_id, most), "pieces"), size)
