@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 WINDOW = 32        # steps between which the state is carried, and over which gradients go back
-
-
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+PIECE = 64 * WINDOW  # a longer text goes on in another lane when it is learned; it is scored as one
 
 
 def _log_softmax(x):
@@ -20,10 +19,11 @@ class Network:
     """Parameters by name.  Words of one class stand next to each other; ``edges`` are the classes' borders.
 
     The probability of a word is that of its class times that of the word in its class, so
-    a step costs about twice the root of the vocabulary.
+    a step costs about twice the root of the vocabulary.  With ``counts`` the network starts
+    from the words' shares.
     """
 
-    def __init__(self, edges: list[int], width: int = 16, seed: int = 7):
+    def __init__(self, edges: list[int], width: int = 16, seed: int = 7, counts: np.ndarray | None = None):
         rng, size = np.random.default_rng(seed), edges[-1]
         self.edges, self.width = np.array(edges), width
         self.class_of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
@@ -33,37 +33,62 @@ class Network:
             "class": draw(width, len(edges) - 1), "class_bias": np.zeros(len(edges) - 1, np.float32),
             "word": draw(size, width), "word_bias": np.zeros(size, np.float32),
         }
-
-    def step(self, inputs: np.ndarray, state: np.ndarray):
-        """(next state, gates) for rows of projected inputs."""
-        w = self.width
-        rec = state @ self.p["rec"]
-        gates = _sigmoid(inputs[:, :2 * w] + rec[:, :2 * w])
-        reset, keep = gates[:, :w], gates[:, w:]
-        new = np.tanh(inputs[:, 2 * w:] + reset * rec[:, 2 * w:])
-        return new + keep * (state - new), (reset, keep, new, rec[:, 2 * w:])
-
-    def states(self, before: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list]:
-        """States after each column of ``before``, (steps + 1, rows, width), the first being ``state``, and gates."""
+        if counts is not None:
+            logs = np.log(np.asarray(counts, float) + 1)
+            sums = np.log(np.add.reduceat(np.exp(logs), self.edges[:-1]))
+            self.p["class_bias"], self.p["word_bias"] = sums.astype(np.float32), logs.astype(np.float32)
+            self.p["class"] *= 0.1
+            self.p["word"] *= 0.1
+
+    def flat(self) -> np.ndarray:
+        """All parameters in one row, in order of their names."""
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def load(self, flat: np.ndarray) -> Network:
+        at = 0
+        for k in sorted(self.p):
+            n = self.p[k].size
+            self.p[k], at = flat[at:at + n].reshape(self.p[k].shape).astype(np.float32), at + n
+        return self
+
+    def states(self, before: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """States after each column of ``before``, (steps + 1, rows, width), the first being ``state``, and gates (reset, keep), new values, inner sums of each step."""
+        w, steps, rec = self.width, before.shape[1], self.p["rec"]
         inputs = self.p["in"][before.T] + self.p["bias"]
-        out, kept = np.empty((before.shape[1] + 1, *state.shape), np.float32), []
+        out = np.empty((steps + 1, *state.shape), np.float32)
+        gates, new, inner = inputs[:, :, :2 * w], inputs[:, :, 2 * w:], np.empty((steps, *state.shape), np.float32)
         out[0] = state
-        for t in range(before.shape[1]):
-            out[t + 1], gates = self.step(inputs[t], out[t])
-            kept.append(gates)
-        return out, kept
-
-    def log_probabilities(self, state: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each word after the state of its row."""
+        for t in range(steps):
+            sums = out[t] @ rec
+            inner[t] = sums[:, 2 * w:]
+            g, n = gates[t], new[t]
+            g += sums[:, :2 * w]
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            n += g[:, :w] * inner[t]
+            np.tanh(n, out=n)
+            out[t + 1] = n + g[:, w:] * (out[t] - n)
+        return out, (gates, new, inner)
+
+    def _by_class(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Order by class, places of the ordered words in their classes, and (class, begin, end) of the ordered ones, but of classes of one word."""
         classes = self.class_of[words]
-        out = _log_softmax(state @ self.p["class"] + self.p["class_bias"])[np.arange(len(words)), classes]
         order = np.argsort(classes, kind="stable")
         bounds = np.searchsorted(classes[order], np.arange(len(self.edges)))
-        for c in np.flatnonzero(np.diff(bounds)):
-            rows, a, b = order[bounds[c]:bounds[c + 1]], self.edges[c], self.edges[c + 1]
-            if b - a > 1:
-                inside = _log_softmax(state[rows] @ self.p["word"][a:b].T + self.p["word_bias"][a:b])
-                out[rows] += inside[np.arange(len(rows)), words[rows] - a]
+        some = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(self.edges) > 1))
+        return order, words[order] - self.edges[classes[order]], [(c, bounds[c], bounds[c + 1]) for c in some]
+
+    def log_probabilities(self, state: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each word after the state of its row."""
+        out = _log_softmax(state @ self.p["class"] + self.p["class_bias"])[np.arange(len(words)), self.class_of[words]]
+        order, place, found = self._by_class(words)
+        h, more = state[order], np.zeros(len(words), out.dtype)
+        for c, x, y in found:
+            a, b = self.edges[c], self.edges[c + 1]
+            more[x:y] = _log_softmax(h[x:y] @ self.p["word"][a:b].T + self.p["word_bias"][a:b])[np.arange(y - x), place[x:y]]
+        out[order] += more
         return out
 
     def score(self, texts: list[np.ndarray], start: int, rows: int = 256) -> np.ndarray:
@@ -95,59 +120,94 @@ class Network:
                 state, last = states[-1], words[:, -1]
         return out
 
-    def gradient(self, before: np.ndarray, words: np.ndarray, state: np.ndarray) -> tuple[dict, np.ndarray, float]:
-        """Gradients of the mean loss over one window, the state behind it, and the loss; nothing flows further back."""
+    def gradient(self, before: np.ndarray, words: np.ndarray, state: np.ndarray, real: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
+        """Gradients of the mean loss over one window, the state behind it, and the loss; nothing flows further back.
+
+        Places that are not ``real`` (behind the end of a lane) count nothing.
+        """
         p, w = self.p, self.width
         rows, steps = words.shape
         states, kept = self.states(before, state)
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        h, flat = states[1:].reshape(-1, w), words.T.ravel()
+        taken = np.arange(words.size) if real is None else np.flatnonzero(real.T.ravel())
+        h, flat = states[1:].reshape(-1, w)[taken], words.T.ravel()[taken]
         n, classes = len(flat), self.class_of[flat]
         logs = _log_softmax(h @ p["class"] + p["class_bias"])
         loss = -logs[np.arange(n), classes].sum()
-        d = np.exp(logs)
+        d = np.exp(logs, out=logs)
         d[np.arange(n), classes] -= 1
         g["class"], g["class_bias"], dh = h.T @ d, d.sum(0), d @ p["class"].T
-        order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(len(self.edges)))
-        for c in np.flatnonzero(np.diff(bounds)):
-            r, a, b = order[bounds[c]:bounds[c + 1]], self.edges[c], self.edges[c + 1]
-            logs = _log_softmax(h[r] @ p["word"][a:b].T + p["word_bias"][a:b])
-            loss -= logs[np.arange(len(r)), flat[r] - a].sum()
-            d = np.exp(logs)
-            d[np.arange(len(r)), flat[r] - a] -= 1
-            g["word"][a:b], g["word_bias"][a:b] = d.T @ h[r], d.sum(0)
-            dh[r] += d @ p["word"][a:b]
+        order, place, found = self._by_class(flat)
+        h, more = h[order], np.zeros((n, w), dh.dtype)
+        for c, x, y in found:
+            a, b = self.edges[c], self.edges[c + 1]
+            logs = _log_softmax(h[x:y] @ p["word"][a:b].T + p["word_bias"][a:b])
+            loss -= logs[np.arange(y - x), place[x:y]].sum()
+            d = np.exp(logs, out=logs)
+            d[np.arange(y - x), place[x:y]] -= 1
+            g["word"][a:b], g["word_bias"][a:b] = d.T @ h[x:y], d.sum(0)
+            more[x:y] = d @ p["word"][a:b]
+        dh[order] += more
+        if n < words.size:
+            whole = np.zeros((words.size, w), dh.dtype)
+            whole[taken] = dh
+            dh = whole
         dh = dh.reshape(steps, rows, w)
+        gates, new, inner = kept
+        reset, keep = gates[:, :, :w], gates[:, :, w:]
+        to_new = (1 - keep) * (1 - new * new)
+        to_keep, to_reset = (states[:-1] - new) * keep * (1 - keep), inner * reset * (1 - reset)
         carry = np.zeros((rows, w), np.float32)
+        dins, drecs = (np.empty((steps, rows, 3 * w), np.float32) for _ in range(2))
+        back = np.ascontiguousarray(p["rec"].T)
         for t in range(steps - 1, -1, -1):
-            reset, keep, new, rec = kept[t]
-            total = dh[t] + carry
-            dnew = total * (1 - keep) * (1 - new * new)
-            dkeep = total * (states[t] - new) * keep * (1 - keep)
-            dreset = dnew * rec * reset * (1 - reset)
-            din = np.concatenate((dreset, dkeep, dnew), 1)
-            drec = np.concatenate((dreset, dkeep, dnew * reset), 1)
-            np.add.at(g["in"], before[:, t], din)
-            g["bias"] += din.sum(0)
-            g["rec"] += states[t].T @ drec
-            carry = total * keep + drec @ p["rec"].T
+            total, drec = dh[t] + carry, drecs[t]
+            dnew = total * to_new[t]
+            drec[:, :w] = dnew * to_reset[t]
+            drec[:, w:2 * w] = total * to_keep[t]
+            drec[:, 2 * w:] = dnew * reset[t]
+            dins[t, :, 2 * w:] = dnew
+            carry = total * keep[t] + drec @ back
+        dins[:, :, :2 * w] = drecs[:, :, :2 * w]
+        g["rec"] = states[:-1].reshape(-1, w).T @ drecs.reshape(-1, 3 * w)
+        dins, inputs = dins.reshape(-1, 3 * w), before.T.ravel()
+        g["bias"] = dins.sum(0)
+        order = np.argsort(inputs, kind="stable")
+        first = np.flatnonzero(np.diff(inputs[order], prepend=-1))
+        g["in"][inputs[order[first]]] = np.add.reduceat(dins[order], first)
         return {k: v / n for k, v in g.items()}, states[-1], float(loss / n)
 
-    def train(self, texts: list[np.ndarray], start: int, rows: int = 16, rate: float = 0.01, tokens: int = 200_000) -> float:
-        """Adam over windows of texts laid end to end in ``rows`` lanes; reads ``tokens`` at most.  Returns the last mean loss."""
-        stream = np.concatenate(texts)[:tokens] if texts else np.zeros(0, np.int64)
-        steps = len(stream) // rows
-        if steps < 2:
-            return 0.0
-        lanes = stream[:steps * rows].reshape(rows, steps)
-        before = np.concatenate((np.full((rows, 1), start), lanes[:, :-1]), 1)
+    def train(self, texts: Iterable[np.ndarray], start: int, rows: int = 128, rate: float = 0.01) -> int:
+        """Adam over windows of all texts, read once, one after the other; returns the number of tokens.
+
+        Each of ``rows`` lanes takes the next text when its own ends, so memory holds one text
+        (or piece of a long one) a lane.  When no text is left the lanes run out one by one.
+        """
+        pieces = ((t[i - 1] if i else start, t[i:i + PIECE]) for t in texts for i in range(0, len(t), PIECE))
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        state, loss = np.zeros((rows, self.width), np.float32), 0.0
-        for i, at in enumerate(range(0, steps, WINDOW), 1):
-            g, state, loss = self.gradient(before[:, at:at + WINDOW], lanes[:, at:at + WINDOW], state)
+        lanes: list[list] = [[start, np.zeros(0, np.int32)] for _ in range(rows)]      # the word before, and what is left
+        state, done, i = np.zeros((rows, self.width), np.float32), 0, 0
+        while True:
+            for lane in lanes:
+                while len(lane[1]) < WINDOW and (piece := next(pieces, None)) is not None:
+                    if not len(lane[1]):
+                        lane[0] = piece[0]
+                    lane[1] = np.concatenate((lane[1], piece[1]))
+            live = [r for r, lane in enumerate(lanes) if len(lane[1])]
+            if not live:
+                return done
+            if len(live) < len(lanes):
+                lanes, state = [lanes[r] for r in live], state[live]
+            before, words = (np.full((len(lanes), WINDOW), start) for _ in range(2))
+            real = np.zeros(words.shape, bool)
+            for r, (last, left) in enumerate(lanes):
+                part = left[:WINDOW]
+                words[r, :len(part)], real[r, :len(part)] = part, True
+                before[r, 0], before[r, 1:len(part)] = last, part[:-1]
+                lanes[r] = [part[-1], left[WINDOW:]]
+            g, state, _ = self.gradient(before, words, state, None if real.all() else real)
+            done, i = done + int(real.sum()), i + 1
             for k, x in g.items():
                 m[k] += 0.1 * (x - m[k])
                 v[k] += 0.01 * (x * x - v[k])
                 self.p[k] -= rate * (m[k] / (1 - 0.9 ** i)) / (np.sqrt(v[k] / (1 - 0.99 ** i)) + 1e-8)
-        return loss

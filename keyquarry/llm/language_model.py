@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,7 +47,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """What every task gets.  All of it has a fixed size: counts of ``frequent`` words, and the network over fewer of them."""
+    """What every task gets, bounded by the number of ``frequent`` words: their counts, and the network over fewer of them."""
 
     total: int                       # training tokens
     distinct: int
@@ -73,13 +74,14 @@ def _edges(counts: np.ndarray) -> list[int]:
     return [0, *sorted(set((cut + 1).tolist()) - {len(counts)}), len(counts)]
 
 
-def fit(texts: DataFrame, key: str, frequent: int = 100_000, vocabulary: int = 400, fit_rows: int = 3000, shards: int = 6, rounds: int = 2,
-        shard_tokens: int = 120_000) -> tuple[Model, DataFrame]:
+def fit(texts: DataFrame, key: str, frequent: int = 100_000, vocabulary: int | None = None, rounds: int = 2,
+        shard_tokens: int = 400_000) -> tuple[Model, DataFrame]:
     """The model, and the table of all word counts, from ``texts`` (key, text).
 
-    Counts are those of all whole texts.  The network is fitted on about ``fit_rows`` rows
-    (a hash of the key picks them) in ``shards`` tasks of up to ``shard_tokens`` tokens each; after each of
-    ``rounds`` the tasks' parameters are averaged.  Both bounds are fixed, the fit costs the same for any corpus.
+    Counts and network learn from all whole texts.  The network's vocabulary is the ``vocabulary`` words of highest
+    count, by default the root of the number of distinct words (400 at least, ``frequent`` at most).  A hash of the key deals the rows
+    to ``rounds``, so each is read in one of them.  In a round every task trains a copy on the rows it reads, about
+    ``shard_tokens`` tokens or more, so shards grow with the corpus; then their parameters are averaged by tokens.
     """
     spark = texts.sparkSession
     words = count_words(texts.select("text"))
@@ -88,23 +90,22 @@ def fit(texts: DataFrame, key: str, frequent: int = 100_000, vocabulary: int = 4
     order = sorted(zip(top["word"].to_pylist(), top["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
     names, counts = [bytes(w) for w, _ in order], np.array([c for _, c in order], np.int64)
     places = {w: i for i, w in enumerate(names)}
-    inside = [w for w in names[:vocabulary] if w != END]
+    inside = [w for w in names[:vocabulary or max(400, math.isqrt(sums["v"]))] if w != END]
     members = [END, *inside]
     rest_total = max(sums["n"] - int(sum(counts[places[w]] for w in members if w in places)), 0)
     rest_distinct = max(sums["v"] - sum(w in places for w in members), 0)
     weights = sorted([(int(counts[places[w]]) if w in places else 0, w) for w in members] + [(rest_total, None)], key=lambda x: (-x[0], x[1] is None, x[1] or b""))
     numbers = {w: i for i, (_, w) in enumerate(weights)}
-    network = Network(_edges(np.array([c for c, _ in weights], float)))
+    shares = np.array([c for c, _ in weights], float)
+    network = Network(_edges(shares), counts=shares)
     base = _log_share(counts, sums["n"], sums["v"])
     rest = np.array([0.0 if w in numbers else r for w, r in zip(names, _log_share(counts, rest_total, rest_distinct))])
     number = np.array([numbers.get(w, numbers[None]) for w in names], np.int32)
     model = Model(sums["n"], sums["v"], places, base, rest, number, network, numbers[None], numbers[END], rest_total, rest_distinct)
-    rows = texts.count()
-    share = min(1.0, fit_rows / max(rows, 1))
-    sample = texts.select("text", F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1 << 20)).alias("_h")).filter(F.col("_h") < share * (1 << 20))
-    sample = materialize(sample.withColumn("shard", F.col("_h") % shards), "lm-fit")
-    for r in range(rounds):
-        _round(sample, model, shard_tokens, 0.01 / (1 + r))
+    dealt = F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(rounds))
+    for r in range(rounds if sums["n"] else 0):
+        part = texts.filter(dealt == r).select("text").coalesce(max(1, -(-sums["n"] // (rounds * shard_tokens))))
+        _round(part, model, 0.01 / (1 + r))
     return model, words
 
 
@@ -113,29 +114,44 @@ def _numbers(model: Model, raw: bytes) -> np.ndarray:
     return np.array([model.number[i] if (i := get(w)) is not None else model.unknown for w in tokens(raw)], np.int32)
 
 
-def _round(sample: DataFrame, model: Model, most: int, rate: float) -> None:
-    """Trains a copy in every shard and puts the mean of their parameters into ``model``."""
-    shared = sample.sparkSession.sparkContext.broadcast(model)
-    names = list(model.network.p)
+_SHARD = "data binary, tokens bigint"
 
-    def run(key, table):
+
+def _shard(data: np.ndarray, tokens: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([data.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["data", "tokens"])
+
+
+def _averaged(batches):
+    """One row of the rows' parameters, weighted by their tokens; holds one sum."""
+    held, n = None, 0
+    for batch in batches:
+        for data, tokens in zip(batch.column(0), batch.column(1).to_pylist()):
+            row = np.frombuffer(data.as_py(), np.float32) * float(tokens)
+            held, n = row if held is None else held + row, n + tokens
+    if n:
+        yield _shard((held / n).astype(np.float32), n)
+
+
+def _round(texts: DataFrame, model: Model, rate: float, fan: int = 16) -> int:
+    """Trains a copy in every task on all its texts, puts the mean of their parameters into ``model``, returns the tokens read.
+
+    ``fan`` copies meet in a task, and so on until one is left, so neither a task nor the driver holds many.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
         m = shared.value
-        net = Network(m.network.edges.tolist(), m.network.width)
-        net.p = {k: v.copy() for k, v in m.network.p.items()}
-        texts, n = [], 0
-        for raw in sorted(text_bytes(table["text"].combine_chunks())):
-            texts.append(_numbers(m, raw))
-            n += len(texts[-1])
-            if n >= most:
-                break
-        net.train(texts, m.end, rate=rate, tokens=most)
-        return pa.table({"name": names, "data": [net.p[k].tobytes() for k in names]})
-
-    rows = sample.groupBy("shard").applyInArrow(run, "name string, data binary").collect()
-    for k, v in model.network.p.items():
-        if parts := [np.frombuffer(r["data"], np.float32) for r in rows if r["name"] == k]:
-            model.network.p[k] = np.mean(parts, 0).reshape(v.shape).astype(np.float32)
+        net = Network(m.network.edges.tolist(), m.network.width).load(m.network.flat())
+        if n := net.train((_numbers(m, raw) for batch in batches for raw in text_bytes(batch.column(0))), m.end, rate=rate):
+            yield _shard(net.flat(), n)
+
+    rows = materialize(texts.mapInArrow(run, _SHARD), "lm-round")
+    while (many := rows.count()) > 1:
+        rows = materialize(rows.repartition(-(-many // fan)).mapInArrow(_averaged, _SHARD), "lm-round")
+    if one := rows.first():
+        model.network.load(np.frombuffer(one["data"], np.float32))
     shared.destroy()
+    return one["tokens"] if one else 0
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

@@ -44,7 +44,7 @@ def test_operators_take_odd_rows_and_empty_tables(spark, odd):
     n, empty = odd.count(), odd.limit(0)
     calls = [
         lambda d: languages.predict(d, languages.learn(d)), lambda d: bpe.round_trip(d, RANKS, public_tokenizers.PATTERN),
-        secret_ledger.scan, simhash.near_duplicates, lambda d: language_model.score(d, *language_model.fit(d, "doc_id", fit_rows=20), ["doc_id"]),
+        secret_ledger.scan, simhash.near_duplicates, lambda d: language_model.score(d, *language_model.fit(d, "doc_id"), ["doc_id"]),
         lambda d: chunks.compare(d, 4), lambda d: token_counts.count_tokens(d, JSON), licenses.scan, perplexity.judge,
     ]
     for call in calls:
@@ -242,6 +242,54 @@ def test_language_model_base_and_gradient(spark, sf):
     whole = [rng.integers(0, 9, n) for n in (3, 70, 33, 1)]
     alone = [net.score([w], 0)[0] for w in whole]
     assert np.allclose(net.score(whole, 0, 2), alone, atol=1e-4)
+    real = np.array([[True] * 5, [True] * 2 + [False] * 3, [True] * 5])
+    other = np.where(real, words, 3)
+    masked, again = (net.gradient(before, x, state, real) for x in (words, other))
+    assert masked[2] == again[2] and all(np.array_equal(masked[0][k], again[0][k]) for k in masked[0])
+
+
+def test_network_is_a_distribution_and_learns_from_every_text(spark):
+    net = gru.Network([0, 1, 4, 9], 4, counts=np.arange(9, 0, -1))
+    state = np.random.default_rng(1).standard_normal((1, 4)).astype(np.float32)
+    every = net.log_probabilities(np.repeat(state, 9, 0), np.arange(9))
+    assert abs(np.exp(every).sum() - 1) < 1e-5
+    plain = []                                          # the whole output layer, without classes met by class
+    c = state[0] @ net.p["class"] + net.p["class_bias"]
+    for w in range(9):
+        k = net.class_of[w]
+        a, b = net.edges[k], net.edges[k + 1]
+        inside = net.p["word"][a:b] @ state[0] + net.p["word_bias"][a:b]
+        plain.append(c[k] - np.log(np.exp(c).sum()) + inside[w - a] - np.log(np.exp(inside).sum()))
+    assert np.allclose(every, plain, atol=1e-5)
+    copy = gru.Network([0, 1, 4, 9], 4, seed=3).load(net.flat())
+    assert all(np.array_equal(copy.p[k], v) for k, v in net.p.items())
+    rng = np.random.default_rng(2)
+    sizes = [1, 0, gru.PIECE + 5, 31, 32, 33, 700]
+    assert net.train((rng.integers(0, 9, n) for n in sizes), 0, rows=3) == sum(sizes)
+    for n in (0, 1):
+        assert copy.train(iter([np.zeros(n, int)]), 0) == n
+    # a rule of word order that only the last texts show
+    texts = [np.array([1, 2, 3] * 12)] * 60 + [np.array([7, 8] * 18)] * 60
+    net.train(iter(texts), 0, rows=2, rate=0.03)
+    assert np.diff(net.score([np.array([8, 8, 7, 7] * 9), np.array([7, 8] * 18)], 0))[0] > 3
+    # each round reads every token of its texts, however they are dealt
+    rows = [(i, "zo zi " * (i % 7)) for i in range(90)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(35)
+    model, _ = language_model.fit(docs, "doc_id")
+    assert model.total == sum(2 * (i % 7) + 1 for i in range(90)) + 1
+    before = model.network.flat()
+    assert language_model._round(docs.select("text"), model, 0.01) == model.total
+    assert not np.array_equal(before, model.network.flat())
+
+
+def test_parameters_meet_weighted_by_tokens():
+    parts = [(np.full(3, i, np.float32), 1 + i) for i in range(40)]
+    batch = [language_model._shard(*p) for p in parts]
+    one = list(language_model._averaged(iter(batch)))
+    assert len(one) == 1 and one[0].column(1).to_pylist() == [sum(n for _, n in parts)]
+    mean = np.frombuffer(one[0].column(0)[0].as_py(), np.float32)
+    assert np.allclose(mean, sum(i * (1 + i) for i in range(40)) / sum(1 + i for i in range(40)))
+    assert list(language_model._averaged(iter([]))) == []
 
 
 def test_chunks_and_neighbours(spark, sf):
