@@ -10,9 +10,22 @@ WINDOW = 32        # steps between which the state is carried, and over which gr
 PIECE = 64 * WINDOW  # a longer text goes on in another lane when it is learned; it is scored as one
 
 
-def _log_softmax(x):
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _softmax(x: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shares of each row, in the memory of ``x``, and the logs of those at ``place``."""
+    x -= x.max(-1, keepdims=True)
+    logs = x[np.arange(len(x)), place]
+    np.exp(x, out=x)
+    sums = x.sum(-1, keepdims=True)
+    logs -= np.log(sums[:, 0])
+    x /= sums
+    return x, logs
+
+
+def _log_share_at(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """As ``_softmax``, the logs alone."""
+    x -= x.max(-1, keepdims=True)
+    logs = x[np.arange(len(x)), place]
+    return logs - np.log(np.exp(x, out=x).sum(-1))
 
 
 class Network:
@@ -82,12 +95,12 @@ class Network:
 
     def log_probabilities(self, state: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each word after the state of its row."""
-        out = _log_softmax(state @ self.p["class"] + self.p["class_bias"])[np.arange(len(words)), self.class_of[words]]
+        out = _log_share_at(state @ self.p["class"] + self.p["class_bias"], self.class_of[words])
         order, place, found = self._by_class(words)
         h, more = state[order], np.zeros(len(words), out.dtype)
         for c, x, y in found:
             a, b = self.edges[c], self.edges[c + 1]
-            more[x:y] = _log_softmax(h[x:y] @ self.p["word"][a:b].T + self.p["word_bias"][a:b])[np.arange(y - x), place[x:y]]
+            more[x:y] = _log_share_at(h[x:y] @ self.p["word"][a:b].T + self.p["word_bias"][a:b], place[x:y])
         out[order] += more
         return out
 
@@ -132,18 +145,16 @@ class Network:
         taken = np.arange(words.size) if real is None else np.flatnonzero(real.T.ravel())
         h, flat = states[1:].reshape(-1, w)[taken], words.T.ravel()[taken]
         n, classes = len(flat), self.class_of[flat]
-        logs = _log_softmax(h @ p["class"] + p["class_bias"])
-        loss = -logs[np.arange(n), classes].sum()
-        d = np.exp(logs, out=logs)
+        d, logs = _softmax(h @ p["class"] + p["class_bias"], classes)
+        loss = -logs.sum()
         d[np.arange(n), classes] -= 1
         g["class"], g["class_bias"], dh = h.T @ d, d.sum(0), d @ p["class"].T
         order, place, found = self._by_class(flat)
         h, more = h[order], np.zeros((n, w), dh.dtype)
         for c, x, y in found:
             a, b = self.edges[c], self.edges[c + 1]
-            logs = _log_softmax(h[x:y] @ p["word"][a:b].T + p["word_bias"][a:b])
-            loss -= logs[np.arange(y - x), place[x:y]].sum()
-            d = np.exp(logs, out=logs)
+            d, logs = _softmax(h[x:y] @ p["word"][a:b].T + p["word_bias"][a:b], place[x:y])
+            loss -= logs.sum()
             d[np.arange(y - x), place[x:y]] -= 1
             g["word"][a:b], g["word_bias"][a:b] = d.T @ h[x:y], d.sum(0)
             more[x:y] = d @ p["word"][a:b]
