@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keyquarry.functions.access import limiter_key
 from keyquarry.operators import access, manifests, ratelimit, secrets, services
+from keyquarry.operators.vault import CALLER
 from keyquarry.rules import SecretPattern
 from keyquarry.sources.code import drop_removed
 
@@ -49,7 +50,7 @@ def serve_requests(
 ) -> dict[str, DataFrame]:
     """A log of (request_id, ts, api_key, secret_id) requests decided as they were made:
     key check, limit of the user's tier, ownership.  Gives a status per request and the
-    audit rows of the granted ones.
+    audit rows of the granted ones, with the caller's address and agent where the log has them.
     """
     none = F.lit(None).cast("string")
     known = access.authenticate(requests, api_keys, users, at)
@@ -62,7 +63,8 @@ def serve_requests(
     status = requests.select("request_id").join(decided, "request_id", "left").select(
         "request_id", "user_id", F.coalesce("http_status", F.lit(401)).alias("http_status")
     )
+    caller = [c for c in CALLER if c in requests.columns]
     audit = owned.filter(F.col("http_status") == 200).select(
-        "secret_id", "user_id", F.lit(action).alias("action"), F.col("ts").alias("timestamp")
+        "secret_id", "user_id", F.lit(action).alias("action"), *caller, F.col("ts").alias("timestamp")
     )
     return {"status": status, "audit": audit}

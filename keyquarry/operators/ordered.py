@@ -38,6 +38,23 @@ def running_count(
     )
 
 
+def running_max(df: DataFrame, keys: list[str], ts: str, order: str, values: dict[str, str], slice_seconds: int = 3600) -> DataFrame:
+    """Adds, for each name, the largest value of the column it stands for among the key's rows up to and with each row, in (ts, order).
+
+    Null is no value.  Two levels as in ``running_count``: a key with most of the rows is
+    spread over its slices, and only one row a slice meets the others of its key.
+    """
+    sliced = df.withColumn("_slice", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slice_seconds))
+    tops = sliced.groupBy(*keys, "_slice").agg(*[F.max(c).alias(f"_top_{n}") for n, c in values.items()])
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_slice").alias("_of__slice"),
+                          *[F.max(f"_top_{n}").over(before).alias(f"_carry_{n}") for n in values])
+    inside = Window.partitionBy(*keys, "_slice").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
+    own = sliced.select("*", *[F.max(c).over(inside).alias(f"_own_{n}") for n, c in values.items()])
+    joined = own.join(carried, _same([*keys, "_slice"], [f"_of_{k}" for k in (*keys, "_slice")]), "left")
+    return joined.select(*df.columns, *[F.greatest(f"_carry_{n}", f"_own_{n}").alias(n) for n in values])
+
+
 def _same(left: list[str], right: list[str]) -> Column:
     """Equal keys; a null key is a key like others."""
     same = F.lit(True)

@@ -12,9 +12,14 @@ from keyquarry import rules
 from keyquarry.functions.access import days_until_rotation
 from keyquarry.functions.text import env_quoted, escaped, parse_env_line
 from keyquarry.operators.access import check_ownership
-from keyquarry.operators.ordered import latest_per_key
+from keyquarry.operators.ordered import latest_per_key, running_count, running_max
+from keyquarry.session import materialize
 
 _NAME = ["name", "project", "environment"]
+#: Columns of a request that audit rows take over where the request has them.
+CALLER = ("ip_address", "user_agent")
+#: Columns of a version beside what is stored of the value.
+VERSION = ("secret_id", "version", "valid_from", "superseded_at", "valid_to")
 
 
 def upsert_secrets(old: DataFrame, changes: DataFrame) -> DataFrame:
@@ -46,9 +51,13 @@ def _decided(secrets: DataFrame, requests: DataFrame) -> DataFrame:
     return check_ownership(requests, secrets.filter(F.col("is_active") == 1).select("id", "user_id"))
 
 
+def _caller(df: DataFrame) -> list[str]:
+    return [c for c in CALLER if c in df.columns]
+
+
 def _log(decided: DataFrame, action: str) -> DataFrame:
     return decided.filter(F.col("http_status") == 200).select(
-        "secret_id", "user_id", F.lit(action).alias("action"), F.col("at").alias("timestamp")
+        "secret_id", "user_id", F.lit(action).alias("action"), *_caller(decided), F.col("at").alias("timestamp")
     )
 
 
@@ -65,15 +74,88 @@ def rotate_secrets(secrets: DataFrame, requests: DataFrame) -> dict[str, DataFra
     return {"snapshot": snapshot, "audit": _log(decided, "rotated"), "usage": usage, "status": decided}
 
 
+def rotate_values(versions: DataFrame, secrets: DataFrame, requests: DataFrame,
+                  default_hours: float = rules.DEFAULT_GRACE_HOURS) -> dict[str, DataFrame]:
+    """Rotation to new values: each granted request makes a version, the one before stays valid for the grace period.
+
+    ``versions`` has secret_id, version (1, 2, … without gaps), valid_from, superseded_at (null
+    for the newest), valid_to (null: no end) and what is stored of the value; ``requests`` has
+    request_id (unique), secret_id, user_id, at, grace_hours (null: ``default_hours``) and the same columns of the new
+    value; address and agent of the caller, if there, go into the audit rows.  A request without a time or with a grace
+    period outside 0 to 168 hours gets 400, one for an unknown or deleted secret 404, one of another user 403, one from before the
+    newest version 409.  Granted ones count in (at, request_id).  Versions that ended before are
+    not touched.  A secret with most of the requests is numbered by slices of time, and as numbers have no
+    gaps, the version that ends another is found by an equi-join, not by ordering a secret's versions.
+
+    Gives ``versions`` and ``snapshot`` (the secrets) after the batch, ``audit`` and ``usage`` rows, and the ``status`` of every request.
+    """
+    stored = [c for c in versions.columns if c not in VERSION]
+    newest = versions.filter(F.col("superseded_at").isNull())
+    hours = F.coalesce(F.col("grace_hours").cast("double"), F.lit(float(default_hours)))
+    invalid = F.col("at").isNull() | ~hours.between(0, rules.MAX_GRACE_HOURS)
+    asked = _decided(secrets, requests).join(
+        newest.select("secret_id", F.col("version").alias("_version"), F.col("valid_from").alias("_since")), "secret_id", "left")
+    status = F.when(invalid, 400).when(
+        (F.col("http_status") == 200) & (F.col("at") < F.col("_since")), 409).otherwise(F.col("http_status"))
+    decided = materialize(asked.withColumn("http_status", status).withColumn("_hours", hours), "rotations")
+    granted = decided.filter(F.col("http_status") == 200)
+    number = (F.coalesce("_version", F.lit(0)) + F.col("_nth")).cast(versions.schema["version"].dataType)
+    never = F.lit(None).cast(versions.schema["valid_from"].dataType)
+    made = materialize(running_count(granted, ["secret_id"], "at", "request_id", "_nth").select(
+        "secret_id", number.alias("version"), F.col("at").alias("valid_from"), never.alias("superseded_at"), never.alias("valid_to"), *stored, "_hours"), "versions")
+    ends = made.select("secret_id", (F.col("version") - 1).alias("version"), F.col("valid_from").alias("_next"), "_hours")
+    grace = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("_hours") * 3600).cast("decimal(18,6)"))
+    still = newest.unionByName(made.drop("_hours")).join(ends, ["secret_id", "version"], "left")
+    after = still.withColumns({"superseded_at": F.col("_next"), "valid_to": F.col("_next") + grace}).select(*versions.columns)
+    when = granted.groupBy(F.col("secret_id").alias("id")).agg(F.max("at").alias("_at"))
+    snapshot = secrets.join(when, "id", "left").withColumn("last_rotated_at", F.coalesce("_at", "last_rotated_at")).select(*secrets.columns)
+    return {
+        "versions": versions.filter(F.col("superseded_at").isNotNull()).unionByName(after),
+        "snapshot": snapshot,
+        "audit": _log(decided, "rotated"),
+        "usage": granted.select("user_id", F.lit("secret_rotated").alias("event_type"), F.col("at").alias("timestamp")),
+        "status": decided.drop("_version", "_since", "_hours"),
+    }
+
+
+def valid_versions(versions: DataFrame, at: Column) -> DataFrame:
+    """The versions whose value opens at ``at``: the newest by then, and those in their grace period (``in_grace``)."""
+    begun = versions.filter((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
+    return begun.withColumn("in_grace", F.coalesce(F.col("superseded_at") <= at, F.lit(False)))
+
+
+def value_status(uses: DataFrame, versions: DataFrame, value: str = "value_hash") -> DataFrame:
+    """Adds ``value_status`` and ``version`` to uses (secret_id, a value, ts): was the value good when it was used?
+
+    ``current``, ``grace`` (replaced, grace period not over), ``expired``, or ``unknown`` (no such value of the
+    secret had begun by then; also without secret, value or time).  A value may come back in a later version: the best status
+    counts, and ``version`` is the one that ends last.  An as-of join: uses and beginnings of versions are ordered by time
+    within (secret, value), and the latest end so far decides; a value with most of the uses is spread over slices of time.
+    """
+    far = F.lit("9999-12-31").cast("timestamp").cast(versions.schema["valid_from"].dataType)
+    newer, until = F.coalesce("superseded_at", far), F.coalesce("valid_to", far)
+    begun = versions.select(F.col("secret_id").alias("_secret"), F.col(value).alias("_value"), F.col("valid_from").alias("_at"), F.lit(0).alias("_kind"),
+                            newer.alias("_newer"), F.struct(until.alias("until"), F.col("version").alias("version")).alias("_until"))
+    used = uses.select(F.col("secret_id").alias("_secret"), F.col(value).alias("_value"), F.col("ts").alias("_at"), F.lit(1).alias("_kind"),
+                       F.struct(*[F.col(f"`{c}`") for c in uses.columns]).alias("_use"))
+    rows = running_max(begun.unionByName(used, allowMissingColumns=True), ["_secret", "_value"], "_at", "_kind", {"_best": "_until", "_last": "_newer"})
+    known = F.col("_secret").isNotNull() & F.col("_value").isNotNull() & F.col("_at").isNotNull() & F.col("_best").isNotNull()
+    status = F.when(~known, "unknown").when(F.col("_last") > F.col("_at"), "current").when(F.col("_best.until") > F.col("_at"), "grace").otherwise("expired")
+    return rows.filter("_kind = 1").select(
+        *[F.col(f"_use.`{c}`").alias(c) for c in uses.columns], status.alias("value_status"), F.when(known, F.col("_best.version")).alias("version"))
+
+
 def soft_delete(secrets: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
     """As ``rotate_secrets`` for deletions: is_active becomes 0, rows stay.
 
     The first granted request deletes; the secret is unknown to later ones, whoever asks
-    (404).  Requests of the same first instant count as one deletion with one audit row.
+    (404).  Requests of the same first instant count as one deletion with one audit row,
+    which has the caller of the first of them in order of its columns.
     """
     asked = _decided(secrets, requests)
+    caller = _caller(asked)
     first = asked.filter(F.col("http_status") == 200).groupBy("secret_id").agg(
-        F.min("at").alias("_at"), F.min("user_id").alias("_by"))
+        F.min("at").alias("_at"), F.min(F.struct("at", "user_id", *caller)).alias("_by"))
     late = F.coalesce(F.col("at") > F.col("_at"), F.lit(False))
     decided = asked.join(first.drop("_by"), "secret_id", "left").withColumn(
         "http_status", F.when(late, 404).otherwise(F.col("http_status"))).select(*asked.columns)
@@ -82,7 +164,7 @@ def soft_delete(secrets: DataFrame, requests: DataFrame) -> dict[str, DataFrame]
     if "updated_at" in secrets.columns:
         values["updated_at"] = F.coalesce("_at", "updated_at")
     snapshot = secrets.join(gone, "id", "left").withColumns(values).select(*secrets.columns)
-    audit = first.select("secret_id", F.col("_by").alias("user_id"), F.lit("deleted").alias("action"), F.col("_at").alias("timestamp"))
+    audit = first.select("secret_id", "_by.user_id", F.lit("deleted").alias("action"), *[f"_by.{c}" for c in caller], F.col("_at").alias("timestamp"))
     return {"snapshot": snapshot, "audit": audit, "status": decided}
 
 

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from keyquarry.session import materialize
+
 MAX_K = 20
+#: About how many documents are pivots over all filter values, whatever their number: they go to every task.
+PIVOTS = 4096
 _DIGITS = 10
+#: Angles near zero are known to about this, in double precision.
+_SLACK = 1e-7
 
 
 def _dot(a, b):
@@ -49,25 +55,68 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, doc_id, score) of the k most similar documents per query.
 
-    Equal scores (to ten digits) are ranked by document id.  Both sides are cut into blocks
-    of about ``block`` rows by a hash; a task scores a pair of blocks by matrix products and
-    keeps at most k candidates per query, and only those are ranked.  It is the same for any
-    number of queries, and a task never holds more than two blocks.  Vectors are compared
-    with those of their own length only; rows without a vector, with a missing element
+    Equal scores (to ten digits) are ranked by document id.  Documents lie in blocks of about ``block``
+    rows inside their filter value: small values share a block, large ones are cut into cells
+    around pivots (some of their own documents, about ``PIVOTS`` over all values), and cells
+    into blocks.  A query goes to blocks of its own value only.  In a cut value it is first scored
+    in one block of the nearest cell; its k-th score there is a floor, and then it goes to those other cells
+    whose best possible cosine, by the angles from query to pivot and from pivot to the
+    cell's farthest document, reaches the floor.  So nothing is lost, and what is copied falls with the filter and
+    with how well vectors cluster; without any clusters all cells of the value are tried.  A task scores
+    about a block of queries with a block of documents by matrix products and keeps at most k candidates per query.
+
+    Vectors are compared with those of their own length only; rows without a vector, with a missing element
     or of length zero have no score.
     """
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be between 1 and {MAX_K}")
-    sides = [_usable(queries, query_id, vector, filter_column), _usable(docs, doc_id, vector, filter_column)]
-    nq, nd = (max(-(-side.count() // block), 1) for side in sides)
-    q, d = (side.withColumn(own, F.pmod(F.xxhash64("name"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>")))
-            for side, own, n, other, m in ((sides[0], "qb", nq, "db", nd), (sides[1], "db", nd, "qb", nq)))
+    asked, found = _usable(queries, query_id, vector, filter_column), _usable(docs, doc_id, vector, filter_column)
     schema = T.StructType([
         T.StructField("query_id", queries.schema[query_id].dataType),
         T.StructField("doc_id", docs.schema[doc_id].dataType),
         T.StructField("score", T.DoubleType()),
     ])
+    sizes = materialize(found.groupBy("tag", "size").agg(F.count("*").alias("n")), "groups")
+    facts = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("largest"), F.sum(F.when(F.col("n") <= block, F.col("n"))).alias("small")).first()
+    buckets = max(-(-(facts["small"] or 0) // block), 1)
+    shared = F.concat(F.lit("b"), F.pmod(F.xxhash64("tag", "size"), F.lit(buckets)))
+    if (facts["largest"] or 0) <= block:
+        return _ranked(_scored(asked.withColumn("home", shared), found.withColumn("home", shared), k, block, schema), k)
+
+    cut = sizes.filter(F.col("n") > block).withColumn("wanted", F.floor(F.col("n") * F.lit(min(PIVOTS / facts["rows"], 1 / block))))
+    pivots = _pivots(found, cut)
+    small = sizes.filter(F.col("n") <= block).select("tag", "size")
+    few = found.join(small, ["tag", "size"]).withColumn("home", shared)
+    near = materialize(_nearest(found.join(cut.select("tag", "size"), ["tag", "size"]), pivots).withColumn("at", F.rand()), "cells")
+    cells = materialize(near.groupBy("tag", "size", "cell").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("n"), F.min("near").alias("near")), "cells")
+    sub = F.floor(F.col("at") * F.col("blocks"))
+    many = near.drop("near").join(cells.drop("n", "near"), ["tag", "size", "cell"]).withColumn("home", _home(sub))
+    bounds = {(r["tag"], r["size"], r["cell"]): (r["n"], r["near"]) for r in cells.filter("cell >= 0").collect()}
+    ours = asked.join(cut.select("tag", "size"), ["tag", "size"])
+    seeds = _blocks(_routes(ours, pivots, bounds, k), cells).filter("first AND sub = 0")
+    seeded = materialize(_scored(seeds, many, k, block, schema), "candidates")
+    floors = _ranked(seeded, k).filter(F.col("rank") == k).select(F.col("query_id").alias("name"), F.col("score").alias("floor"))
+    rest = _blocks(_routes(ours.join(floors, "name", "left"), pivots, bounds, k), cells).filter("NOT (first AND sub = 0)")
+    others = asked.join(small, ["tag", "size"]).withColumn("home", shared)
+    parts = ["name", "vector", "tag", "home"]
+    last = _scored(rest.select(parts).unionByName(others.select(parts)), many.select(parts).unionByName(few.select(parts)), k, block, schema)
+    return _ranked(seeded.unionByName(last), k)
+
+
+def _home(sub: Column) -> Column:
+    return F.concat(F.lit("c"), F.col("cell"), F.lit(":"), sub, F.lit(":"), F.col("size"), F.lit(":"), F.col("tag").cast("string"))
+
+
+def _scored(routed: DataFrame, placed: DataFrame, k: int, block: int, schema: T.StructType) -> DataFrame:
+    """Up to k candidates per query and block of the queries sent to ``home`` and the documents that lie there.
+
+    Where more than a block of queries meets, documents are copied for each further part of them.
+    """
     arrow = to_arrow_schema(schema)
+    load = materialize(routed.groupBy("home").agg(F.ceil(F.count("*") / block).alias("parts")), "load")
+    left = routed.select("name", "vector", "tag", "home").join(load, "home").withColumn("part", F.pmod(F.xxhash64("name", "vector"), "parts")).drop("parts")
+    copies = load.select(F.col("home").alias("home"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    right = placed.select("name", "vector", "tag", "home").join(copies, "home")
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[], [], []]
@@ -90,14 +139,98 @@ def search(
                 out[2] += row[top].tolist()
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow)], schema=arrow)
 
-    return _ranked(q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInArrow(best, schema), k)
+    return left.groupBy("home", "part").cogroup(right.groupBy("home", "part")).applyInArrow(best, schema)
+
+
+def _pivots(docs: DataFrame, cut: DataFrame) -> dict:
+    """(tag, size) to the unit vectors of its pivots, rows that a hash of the name picks; a value that no row is picked of has none."""
+    picked = docs.join(cut, ["tag", "size"]).filter(F.pmod(F.xxhash64("name"), "n") < F.col("wanted"))
+    out: dict = {}
+    for r in picked.groupBy("tag", "size", "name").agg(F.first("vector").alias("vector")).orderBy("tag", "size", "name").collect():
+        unit = _unit([r["vector"]])[0]
+        if np.isfinite(unit).all():
+            out.setdefault((r["tag"], r["size"]), []).append(unit)
+    return {key: np.array(rows) for key, rows in out.items()}
+
+
+def _by_value(table: pa.RecordBatch) -> dict:
+    """Places of the rows of each (tag, size)."""
+    places: dict = {}
+    for at, key in enumerate(zip(table["tag"].to_pylist(), table["size"].to_pylist())):
+        places.setdefault(key, []).append(at)
+    return places
+
+
+def _nearest(docs: DataFrame, pivots: dict) -> DataFrame:
+    """Adds the nearest pivot of a document (``cell``, -1 where its value has none) and the cosine with it (``near``)."""
+    def place(batches):
+        for b in batches:
+            cell, near = np.full(b.num_rows, -1, np.int64), np.ones(b.num_rows)
+            vectors = b["vector"].to_pylist()
+            for key, at in _by_value(b).items():
+                if key in pivots:
+                    cosines = _unit([vectors[i] for i in at]) @ pivots[key].T
+                    cell[at] = cosines.argmax(axis=1)
+                    own = cosines.max(axis=1)
+                    near[at] = np.where(np.isnan(own), 1.0, own)      # a row without a direction has no score anywhere
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(near)], [*b.schema.names, "cell", "near"])
+
+    return docs.mapInArrow(place, T.StructType([*docs.schema.fields, T.StructField("cell", T.LongType()), T.StructField("near", T.DoubleType())]))
+
+
+def reach(cosines: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The best cosine a document can have whose angle to a pivot is at most that of ``near``, for queries with these cosines to the pivot."""
+    angle = np.arccos(np.clip(cosines, -1, 1)) - np.arccos(np.clip(near, -1, 1)) - _SLACK
+    return np.cos(np.maximum(angle, 0)) + _SLACK
+
+
+def _routes(queries: DataFrame, pivots: dict, bounds: dict, k: int) -> DataFrame:
+    """Adds the cells a query must go to (``cells``; one of -1 where its value has no pivots) and the ``seed`` among them.
+
+    The seed is the nearest cell of at least k documents, or -2.  Without a ``floor`` column only the seed is named.
+    """
+    floored = "floor" in queries.columns
+    kept = [queries.schema[c] for c in ("name", "vector", "tag", "size")]
+    limits = {key: (np.array([bounds.get((*key, c), (0, -1.0))[0] for c in range(len(p))]), np.array([bounds.get((*key, c), (0, -1.0))[1] for c in range(len(p))]))
+              for key, p in pivots.items()}
+
+    def route(batches):
+        for b in batches:
+            cells, seed = [[-1] if floored else [] for _ in range(b.num_rows)], np.full(b.num_rows, -2, np.int64)
+            vectors = b["vector"].to_pylist()
+            for key, at in _by_value(b).items():
+                if key not in pivots:
+                    continue
+                n, near = limits[key]
+                cosines = _unit([vectors[i] for i in at]) @ pivots[key].T
+                usable = ~np.isnan(cosines[:, 0])
+                ranked = np.where(n >= k, cosines, -2.0)
+                seed[at] = np.where(usable & (ranked.max(axis=1) > -2.0), ranked.argmax(axis=1), -2)
+                if floored:
+                    floor = np.array([-2.0 if f is None else f for f in b["floor"].take(pa.array(at)).to_pylist()])
+                    needed = (reach(cosines, near) >= floor[:, None]) & (n > 0)
+                    for i, row, ok in zip(at, needed, usable):
+                        cells[i] = np.flatnonzero(row).tolist() if ok else []
+                else:
+                    for i in at:
+                        cells[i] = [int(seed[i])] if seed[i] >= 0 else []
+            yield pa.RecordBatch.from_arrays([*[b[f.name] for f in kept], pa.array(cells, pa.list_(pa.int64())), pa.array(seed)], [*[f.name for f in kept], "cells", "seed"])
+
+    return queries.mapInArrow(route, T.StructType([*kept, T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("seed", T.LongType())]))
+
+
+def _blocks(routes: DataFrame, cells: DataFrame) -> DataFrame:
+    """One row per query and block of its cells; ``first``: of the seed."""
+    each = routes.withColumn("cell", F.explode("cells")).drop("cells").join(cells.select("tag", "size", "cell", "blocks"), ["tag", "size", "cell"])
+    subs = each.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return subs.withColumn("first", F.col("cell") == F.col("seed")).withColumn("home", _home(F.col("sub")))
 
 
 def _usable(df: DataFrame, key: str, vector: str, tag: str | None) -> DataFrame:
-    """(name, vector, tag) of the rows that can be scored."""
+    """(name, vector, tag, size) of the rows that can be scored."""
     rows = df.select(F.col(key).alias("name"), F.transform(vector, lambda x: x.cast("double")).alias("vector"),
-                     (F.col(tag) if tag else F.lit(0)).alias("tag"))
-    whole = F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull())
+                     (F.col(tag) if tag else F.lit(0)).alias("tag")).withColumn("size", F.size("vector"))
+    whole = F.col("vector").isNotNull() & (F.col("size") > 0) & ~F.exists("vector", lambda x: x.isNull())
     return rows.filter(whole & F.col("tag").isNotNull())
 
 

@@ -36,3 +36,13 @@ def f2(spark, sf):
 @query("j1_search_blocks", _TOP.format(on="q.label = d.label", k=5))
 def j1_blocks(spark, sf):
     return _shown(vectors.search(*_sides(spark, sf), k=5, filter_column="label", block=64))
+
+
+@query("f2_search_pivots", _TOP.format(on="true", k=5))
+def f2_pivots(spark, sf):
+    return _shown(vectors.search(*_sides(spark, sf), k=5, block=32))
+
+
+@query("j1_search_pivots", _TOP.format(on="q.label = d.label", k=3))
+def j1_pivots(spark, sf):
+    return _shown(vectors.search(*_sides(spark, sf), k=3, filter_column="label", block=16))

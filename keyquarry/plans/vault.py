@@ -64,6 +64,53 @@ def u2_status(spark, sf):
     return out.select("request_id", "secret_id", "http_status")
 
 
+# Rotation to new values: versions with validity intervals, and uses judged against them.
+_ROTATED = cte("secrets", "rotations", "first_versions", "value_uses", extra="""judged AS (
+ SELECT r.*, coalesce(grace_hours, 24) AS hours, CASE WHEN coalesce(grace_hours, 24) > 168 THEN 400 WHEN s.id IS NULL THEN 404 WHEN s.user_id <> r.user_id THEN 403
+  WHEN r.asked_at < f.valid_from THEN 409 ELSE 200 END AS http_status
+ FROM rotations r LEFT JOIN (SELECT * FROM secrets WHERE is_active = 1) s ON s.id = r.secret_id LEFT JOIN first_versions f ON f.secret_id = r.secret_id),
+chain AS (SELECT secret_id, version, valid_from, value_hash, 0 AS hours FROM first_versions
+ UNION ALL SELECT secret_id, 1 + row_number() OVER (PARTITION BY secret_id ORDER BY asked_at, request_id), asked_at, value_hash, hours FROM judged WHERE http_status = 200),
+versions AS (SELECT secret_id, version, value_hash, valid_from, lead(valid_from) OVER w AS superseded_at, lead(valid_from) OVER w + lead(hours) OVER w * INTERVAL 1 HOUR AS valid_to
+ FROM chain WINDOW w AS (PARTITION BY secret_id ORDER BY version))""")
+
+
+def _rotated(spark, sf):
+    never = F.lit(None).cast("timestamp_ntz")
+    first = frame(spark, sf, "first_versions").withColumns({"version": F.col("version").cast("bigint"), "superseded_at": never, "valid_to": never})
+    return vault.rotate_values(first, frame(spark, sf, "secrets"), frame(spark, sf, "rotations").withColumnRenamed("asked_at", "at"))
+
+
+@query("u2_value_versions", _ROTATED + "SELECT secret_id, version, value_hash, valid_from, superseded_at, valid_to FROM versions")
+def u2_versions(spark, sf):
+    return _rotated(spark, sf)["versions"]
+
+
+@query("u2_value_audit", _ROTATED + "SELECT secret_id, user_id, 'rotated' AS action, ip_address, user_agent, asked_at AS timestamp FROM judged WHERE http_status = 200")
+def u2_value_audit(spark, sf):
+    return _rotated(spark, sf)["audit"]
+
+
+@query("u2_value_requests", _ROTATED + "SELECT request_id, secret_id, http_status FROM judged")
+def u2_value_requests(spark, sf):
+    return _rotated(spark, sf)["status"].select("request_id", "secret_id", "http_status")
+
+
+@query("u2_valid_versions", _ROTATED + f"""SELECT secret_id, version, coalesce(superseded_at <= TIMESTAMP '{ORDERS_AT}', false) AS in_grace
+FROM versions WHERE valid_from <= TIMESTAMP '{ORDERS_AT}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{ORDERS_AT}')""")
+def u2_valid(spark, sf):
+    return vault.valid_versions(_rotated(spark, sf)["versions"], at(ORDERS_AT)).select("secret_id", "version", "in_grace")
+
+
+@query("u2_value_uses", _ROTATED + """, found AS (SELECT u.use_id, u.ts, v.version, coalesce(v.superseded_at, TIMESTAMP '9999-12-31') AS newer, coalesce(v.valid_to, TIMESTAMP '9999-12-31') AS until
+ FROM value_uses u LEFT JOIN versions v ON v.secret_id = u.secret_id AND v.value_hash = u.value_hash AND v.valid_from <= u.ts)
+SELECT use_id, CASE WHEN max(version) IS NULL THEN 'unknown' WHEN max(newer) > ts THEN 'current' WHEN max(until) > ts THEN 'grace' ELSE 'expired' END AS value_status,
+ max(CASE WHEN version IS NOT NULL THEN {'until': until, 'version': version} END).version AS version FROM found GROUP BY use_id, ts""")
+def u2_uses(spark, sf):
+    out = vault.value_status(frame(spark, sf, "value_uses"), _rotated(spark, sf)["versions"])
+    return out.select("use_id", "value_status", "version")
+
+
 @query("u3_soft_delete", cte("secrets", extra=f"{_ASKED}, {_OK}") + """SELECT id, user_id, service, CASE WHEN id IN (SELECT secret_id FROM ok) THEN 0 ELSE is_active END AS is_active FROM secrets""")
 def u3(spark, sf):
     out = vault.soft_delete(frame(spark, sf, "secrets"), _asked(spark, sf))["snapshot"]

@@ -29,6 +29,7 @@ USAGE_EVENTS = ["secret_created", "secret_rotated", "api_call", "ai_request"]
 BILLING_EVENTS = ["payment_succeeded", "payment_failed"]
 LOG_LEVELS = {"DEBUG": 0, "INFO": 1, "WARN": 2, "ERROR": 3, "FATAL": 4}
 DEFAULT_ROTATION_DAYS = 90
+DEFAULT_GRACE_HOURS, MAX_GRACE_HOURS = 24, 168
 API_KEY_PREFIX = "sf_"
 
 # Environment and framework spellings that are read as the canonical ones.

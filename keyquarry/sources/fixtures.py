@@ -73,6 +73,21 @@ SELECT concat('c', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VA
  CASE o_orderstatus WHEN 'F' THEN 'dev' WHEN 'O' THEN 'staging' ELSE 'prod' END AS environment,
  md5(concat(CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9)))) AS value_encrypted, l_shipdate AS changed_at
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "rotations": """
+SELECT DISTINCT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9)), '-', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20))) AS request_id,
+ CAST(l_orderkey + CASE WHEN l_partkey % 9 = 0 THEN 100000000 ELSE 0 END AS VARCHAR(20)) AS secret_id,
+ CAST(CASE WHEN l_suppkey % 4 = 0 THEN l_suppkey ELSE o_custkey END AS VARCHAR(20)) AS user_id, l_shipdate AS asked_at,
+ md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9)), '-', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20)))) AS value_hash,
+ CASE CAST(l_partkey % 6 AS INT) WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 24 WHEN 3 THEN 168 WHEN 4 THEN 100 ELSE 169 END AS grace_hours,
+ concat('10.0.', CAST(l_suppkey % 256 AS VARCHAR(9)), '.', CAST(l_linenumber AS VARCHAR(9))) AS ip_address,
+ CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE concat('agent/', CAST(l_linenumber AS VARCHAR(9))) END AS user_agent
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "first_versions": """
+SELECT CAST(o_orderkey AS VARCHAR(20)) AS secret_id, 1 AS version, o_orderdate AS valid_from, md5(CAST(o_orderkey AS VARCHAR(20))) AS value_hash FROM orders""",
+    "value_uses": """
+SELECT DISTINCT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9)), '-', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20))) AS use_id, CAST(l_orderkey AS VARCHAR(20)) AS secret_id,
+ CASE WHEN l_suppkey % 3 = 0 THEN md5(CAST(l_orderkey AS VARCHAR(20))) ELSE md5(concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9)), '-', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20)))) END AS value_hash,
+ l_shipdate + l_linenumber * INTERVAL '30' HOUR AS ts FROM lineitem""",
     "audit_logs": """
 SELECT event_id AS id, CAST(event_id % 997 AS VARCHAR(20)) AS secret_id, CAST(user_id AS VARCHAR(20)) AS user_id,
  CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'retrieved' WHEN 'purchase' THEN 'rotated' WHEN 'error' THEN 'deleted' ELSE 'validated' END AS action, ts AS timestamp FROM events""",

@@ -142,6 +142,41 @@ def test_search(spark, limit):
         vectors.search(q, d, 21)
 
 
+def test_search_prunes_far_cells_and_other_values(spark, monkeypatch):
+    """Clustered vectors: equal to brute force, few pairs of rows meet, and one value with two thirds of the rows is cut."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16)) * 4
+    docs = [(i, [float(x) for x in np.float32(centres[i % 12] + rng.normal(size=16) * 0.2)], ["hot", "hot", f"v{i % 40}"][i % 3]) for i in range(1500)]
+    queries = [(5000 + i, [float(x) for x in np.float32(centres[i % 12] + rng.normal(size=16) * 0.2)], ["hot", "v2", "none"][i % 3]) for i in range(90)] + [(6000, [0.0] * 16, "hot")]
+    q = spark.createDataFrame(queries, "query_id int, embedding array<float>, tag string")
+    d = spark.createDataFrame(docs, "doc_id int, embedding array<float>, tag string")
+    met = []
+    scored = vectors._scored
+
+    def counted(routed, placed, *rest):
+        met.append(routed.select("name", "home").join(placed.select(F.col("name").alias("doc"), "home"), "home").count())
+        return scored(routed, placed, *rest)
+
+    monkeypatch.setattr(vectors, "_scored", counted)
+    got = {}
+    for r in vectors.search(q, d, 5, "tag", block=25).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    want = brute([(i, np.array(v), t) for i, v, t in queries if any(v)], [(i, np.array(v), t) for i, v, t in docs], 5)
+    assert got == {i: w for i, w in want.items() if w}
+    assert 30 * 5 < sum(met) < 0.35 * 31 * 1000      # of the pairs of the one large value
+    assert vectors.search(q.limit(0), d, 5, "tag", block=25).count() == 0 and vectors.search(q, d.limit(0), 5).count() == 0
+
+
+def test_reach_is_never_passed():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        p, q = rng.normal(size=(2, 4))
+        x = p + rng.normal(size=(50, 4)) * rng.choice([1e-9, 0.01, 1, 10])
+        unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+        p, q, x = unit(p), unit(q), unit(x)
+        assert (x @ q).max() <= vectors.reach(np.array([p @ q]), np.array([(x @ p).min()]))[0]
+
+
 def test_search_sets_unusable_vectors_aside(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0]), (3, [7.0, 1.0, 2.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0, None]), (7, [1e200, 1e200]), (8, [])]
     d = spark.createDataFrame(rows, "doc_id int, embedding array<double>")

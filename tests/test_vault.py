@@ -1,4 +1,5 @@
 import base64
+import datetime as dt
 import json
 
 import pytest
@@ -74,6 +75,62 @@ def asked(spark, rows):
     return spark.createDataFrame(rows, "secret_id string, user_id string").withColumn("at", at())
 
 
+def versions_of(spark, rows):
+    return spark.createDataFrame(rows, "secret_id string, version long, value_hash string, valid_from string, superseded_at string, valid_to string").withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("valid_from", "superseded_at", "valid_to")})
+
+
+def rotations(spark, rows):
+    return spark.createDataFrame(
+        rows, "request_id string, secret_id string, user_id string, at string, value_hash string, grace_hours double, ip_address string, user_agent string",
+    ).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+def test_rotation_keeps_the_old_value_for_the_grace_period(spark):
+    first = versions_of(spark, [("a", 1, "v0", "2023-01-01", "2023-02-01", "2023-02-02"), ("a", 2, "v1", "2023-02-01", None, None), ("b", 1, "w", "2023-01-01", None, None)])
+    day = "2024-01-0"
+    out = vault.rotate_values(first, secrets(spark), rotations(spark, [
+        ("r1", "a", "u1", day + "1", "v2", 1.5, "10.0.0.1", "cli"), ("r3", "a", "u1", day + "3", "v1", 0.0, None, None), ("r2", "a", "u1", day + "2", "v3", None, "10.0.0.2", None),
+        ("r4", "a", "u1", day + "4", "x", 168.5, None, None), ("r5", "b", "u1", day + "4", "x", 1.0, None, None), ("r6", "c", "u1", day + "4", "x", 1.0, None, None),
+        ("r7", "a", "u1", "2023-01-15", "x", 1.0, None, None), ("r8", "a", "u1", None, "x", 1.0, None, None), ("r9", None, "u1", day + "4", "x", -1.0, None, None)]))
+    status = {r.request_id: r.http_status for r in out["status"].collect()}
+    assert status == {"r1": 200, "r2": 200, "r3": 200, "r4": 400, "r5": 403, "r6": 404, "r7": 409, "r8": 400, "r9": 400}
+    got = [(r.version, r.value_hash, str(r.superseded_at), str(r.valid_to)) for r in out["versions"].filter("secret_id = 'a'").orderBy("version").collect()]
+    assert got == [(1, "v0", "2023-02-01 00:00:00", "2023-02-02 00:00:00"), (2, "v1", "2024-01-01 00:00:00", "2024-01-01 01:30:00"),
+                   (3, "v2", "2024-01-02 00:00:00", "2024-01-03 00:00:00"), (4, "v3", "2024-01-03 00:00:00", "2024-01-03 00:00:00"), (5, "v1", "None", "None")]
+    valid = {(r.version, r.in_grace) for r in vault.valid_versions(out["versions"], at("2024-01-02 12:00:00")).filter("secret_id = 'a'").collect()}
+    assert valid == {(3, True), (4, False)}      # both values open during the grace period
+    audit = sorted((r.secret_id, str(r.timestamp)[:10], r.ip_address, r.user_agent) for r in out["audit"].collect())
+    assert audit == [("a", "2024-01-01", "10.0.0.1", "cli"), ("a", "2024-01-02", "10.0.0.2", None), ("a", "2024-01-03", None, None)]
+    uses = [("a", "v1", "2023-01-31", "unknown", None), ("a", "v1", "2024-01-01", "grace", 2), ("a", "v1", "2024-01-02", "expired", 2), ("a", "v1", "2024-01-05", "current", 5),
+            ("a", "v3", "2024-01-03", "expired", 4), ("a", "v2", "2024-01-02", "grace", 3), ("b", "v1", "2024-01-05", "unknown", None), (None, "v1", "2024-01-05", "unknown", None),
+            ("a", None, "2024-01-05", "unknown", None), ("a", "v1", None, "unknown", None)]
+    asked_at = spark.createDataFrame([(i, *u[:3]) for i, u in enumerate(uses)], "`use.id` int, secret_id string, value_hash string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    judged = {r["use.id"]: (r.value_status, r.version) for r in vault.value_status(asked_at, out["versions"]).collect()}
+    assert judged == {i: u[3:] for i, u in enumerate(uses)}
+    assert vault.value_status(asked_at.limit(0), out["versions"]).count() == 0 and vault.value_status(asked_at, first.limit(0)).filter("value_status <> 'unknown'").count() == 0
+
+
+def test_one_secret_with_all_rotations_and_uses(spark):
+    """Against a loop in order of time, with one secret that holds every row."""
+    import random
+    rnd = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    stamp = lambda hours: str(start + dt.timedelta(hours=hours))
+    asks = sorted((round(rnd.uniform(1, 900), 2), f"r{i:03}", rnd.choice(["p", "q", "s", f"n{i}"]), rnd.choice([0.0, 3.0, 24.0, 168.0])) for i in range(300))
+    first = versions_of(spark, [("a", 1, "p", stamp(0), None, None)])
+    out = vault.rotate_values(first, secrets(spark), rotations(spark, [(r, "a", "u1", stamp(h), v, g, None, None) for h, r, v, g in asks]))
+    begun = [(0.0, "p"), *[(h, v) for h, _, v, _ in asks]]
+    ends = [*[(h, h + g) for h, _, _, g in asks], (1e9, 1e9)]
+    used = [(i, round(rnd.uniform(-5, 1200), 2) if i % 9 else asks[i // 9][0], rnd.choice(["p", "q", "s"])) for i in range(900)]
+    uses = spark.createDataFrame([(i, "a", v, stamp(h)) for i, h, v in used], "use_id int, secret_id string, value_hash string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {r.use_id: r.value_status for r in vault.value_status(uses, out["versions"]).collect()}
+    for i, h, v in used:
+        mine = [e for (b, value), e in zip(begun, ends) if value == v and b <= h]
+        want = "unknown" if not mine else "current" if any(s > h for s, _ in mine) else "grace" if any(u > h for _, u in mine) else "expired"
+        assert got[i] == want, (i, h, v)
+
+
 def test_rotate_and_delete(spark):
     requests = asked(spark, [("a", "u1"), ("b", "u1"), ("c", "u1"), ("x", "u1"), ("a", "u1")])
     out = vault.rotate_secrets(secrets(spark), requests)
