@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyquarry import rules
 from keyquarry.rules import ServiceRule
+from keyquarry.session import materialize
 
 
 def _text(value: str) -> str:
@@ -39,10 +40,52 @@ def match_dependency_rules(
     """Every (dependency row, service) match: input columns plus service and confidence."""
     found = matched_services(dep, rules.SERVICE_RULES if service_rules is None else service_rules, mode)
     return deps.select("*", F.explode(found).alias("_m")).select(
-        *deps.columns, F.col("_m.service").alias("service"), F.col("_m.confidence").alias("confidence")
+        *[F.col(f"`{c}`") for c in deps.columns], F.col("_m.service").alias("service"), F.col("_m.confidence").alias("confidence")
     )
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The distinct stretches of ``n`` characters; of none, the empty one."""
+    if n == 0:
+        return F.array(F.lit(""))
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))
+
+
+def match_rule_table(deps: DataFrame, rule_table: DataFrame, mode: str = "substring_ci", dep: str = "dep", n: int = 3) -> DataFrame:
+    """As ``match_dependency_rules`` for rules of a table (rule, service, pattern, confidence), of any number.
+
+    Rows of one ``rule`` are its patterns; a rule matches a row once.  A null name, rule or pattern matches nothing.
+    Every distinct name is matched once.  A pattern is looked up by one of its n-grams, the one that fewest
+    names have, and only names with that n-gram are compared with it: equi-joins only, and a
+    stretch that many patterns or names share is not used while a pattern has a rarer one.  Patterns
+    shorter than ``n`` are looked up whole.
+    """
+    if mode not in ("substring_ci", "substring_cs", "exact"):
+        raise ValueError(f"unknown mode {mode!r}")
+    cased = F.lower if mode == "substring_ci" else (lambda c: c)
+    names = deps.select(F.col(f"`{dep}`").alias("name")).filter(F.col("name").isNotNull()).distinct().withColumn("text", cased(F.col("name")))
+    patterns = rule_table.select("rule", "service", "confidence", cased(F.col("pattern")).alias("pattern")).filter(F.col("rule").isNotNull() & F.col("pattern").isNotNull())
+    if mode == "exact":
+        found = names.join(patterns, F.col("text") == F.col("pattern"))
+    else:
+        short = [r[0] for r in patterns.select(F.length("pattern").alias("n")).filter(F.col("n") < n).distinct().collect()]      # at most n numbers
+        every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("text"), m) for m in sorted({*short, n})])))
+        held = materialize(names.select("name", "text", F.explode(every).alias("gram")), "grams")
+        often = held.groupBy("gram").agg(F.count("*").alias("names"))
+        own = F.when(F.length("pattern") < n, F.array("pattern")).otherwise(_grams(F.col("pattern"), n))
+        # a pattern with an n-gram that no name has matches none and leaves the index
+        keyed = patterns.select("pattern").distinct().withColumn("gram", F.explode(own)).join(often, "gram", "left")
+        rarest = keyed.groupBy("pattern").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("_k"))
+        index = materialize(rarest.filter(F.col("_k.names") > 0).select("pattern", F.col("_k.gram").alias("gram")), "index")
+        hits = held.join(index, "gram").filter(F.contains("text", "pattern")).select("name", "pattern")
+        found = hits.join(patterns, "pattern")
+    matches = materialize(found.groupBy("name", "rule").agg(F.first("service").alias("service"), F.max("confidence").alias("confidence")), "matches")
+    by_name = matches.select(F.col("name").alias("_name"), F.col("service").alias("_service"), F.col("confidence").alias("_confidence"))
+    return deps.join(by_name, F.col(f"`{dep}`") == F.col("_name")).select(
+        *[F.col(f"`{c}`") for c in deps.columns], F.col("_service").alias("service"), F.col("_confidence").alias("confidence"))
+
+
 def max_confidence_by_service(matches: DataFrame, by: list[str]) -> DataFrame:
     """Highest confidence per service; partial maxima are taken before the shuffle."""
     return matches.groupBy(*by, "service").agg(F.max("confidence").alias("confidence"))

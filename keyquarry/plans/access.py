@@ -156,8 +156,8 @@ def b4_name(spark, sf):
     return access.lookup_by_name(keys, frame(spark, sf, "vault").select("name", "project", "environment", "id", "value_encrypted"))
 
 
-def _api_keys(spark, sf):
-    return frame(spark, sf, "api_keys").select(
+def _api_keys(spark, sf, fixture="api_keys"):
+    return frame(spark, sf, fixture).select(
         "id", "user_id", F.base64(F.unhex("key_hash_hex")).alias("key_hash"), "revoked", "expires_at")
 
 
@@ -237,6 +237,24 @@ def c2(spark, sf):
     return out.select("request_id", "user_id", "tier")
 
 
+# Keys that end inside the log, judged at the time of each request.
+_AS_OF = """owned AS (SELECT key_hash_hex, users.id AS user_id, tier, expires_at FROM api_keys JOIN users ON users.id = api_keys.user_id WHERE revoked = 0)"""
+
+
+@query("c1_authenticate_as_of", cte("keyed_requests", "ending_keys", "users", extra=_AS_OF.replace("api_keys", "ending_keys")) + """SELECT request_id, user_id, tier
+FROM keyed_requests r JOIN owned ON sha256(r.api_key) = key_hash_hex AND (expires_at IS NULL OR expires_at > r.ts) WHERE starts_with(api_key, 'sf_')""")
+def c1_as_of(spark, sf):
+    out = access.authenticate(frame(spark, sf, "keyed_requests"), _api_keys(spark, sf, "ending_keys"), frame(spark, sf, "users"), F.col("ts"))
+    return out.select("request_id", "user_id", "tier")
+
+
+@query("c2_optional_as_of", cte("keyed_requests", "ending_keys", "users", extra=_AS_OF.replace("api_keys", "ending_keys")) + """SELECT request_id, user_id, tier
+FROM keyed_requests r LEFT JOIN owned ON sha256(r.api_key) = key_hash_hex AND starts_with(api_key, 'sf_') AND (expires_at IS NULL OR expires_at > r.ts)""")
+def c2_as_of(spark, sf):
+    out = access.optional_authenticate(frame(spark, sf, "keyed_requests"), _api_keys(spark, sf, "ending_keys"), frame(spark, sf, "users"), F.col("ts"))
+    return out.select("request_id", "user_id", "tier")
+
+
 _OWN_REQUESTS = "SELECT l_orderkey * 10 + l_linenumber AS request_id, CAST(l_orderkey + CASE WHEN l_partkey % 9 = 0 THEN 100000000 ELSE 0 END AS VARCHAR(20)) AS secret_id, " \
                 "CAST(CASE WHEN l_suppkey % 4 = 0 THEN l_suppkey ELSE o_custkey END AS VARCHAR(20)) AS user_id, l_shipdate AS asked_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 

@@ -10,7 +10,7 @@ from keyquarry.operators import calls, intents, manifests, secrets, services
 from keyquarry.plans.checks import case, contains_any, lit, values
 from keyquarry.plans.registry import query
 from keyquarry.sources.code import drop_removed, explode_lines, file_ext
-from keyquarry.sources.fixtures import cte, frame, table
+from keyquarry.sources.fixtures import cte, frame, sql, table
 
 TOKEN = rules.SecretPattern("planted_token", r'token = "[0-9a-f]{40}"', "unknown", ('token = "',))
 _WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
@@ -305,6 +305,27 @@ def s1(spark, sf):
     return services.detect_services(frame(spark, sf, "dep_names"))
 
 
+# Rules from a table: thousands of patterns, looked up by their rarest n-gram.
+_MANY = """many AS (SELECT p_partkey AS rule, p_brand AS service, upper(substr(md5(p_name), 1 + CAST(p_partkey % 9 AS INT), 2 + CAST(p_partkey % 5 AS INT))) AS pattern,
+ CAST((50 + p_partkey % 50) AS DOUBLE) / 100 AS confidence FROM part),
+hex_names AS (SELECT CAST(p_partkey % 50 AS VARCHAR(9)) AS project, md5(p_type) AS dep, p_partkey AS id FROM part)"""
+
+
+def _many(spark, sf):
+    rows = lambda name: sql(spark, sf, f"WITH {_MANY} SELECT * FROM {name}")
+    return rows("hex_names"), rows("many")
+
+
+@query("c8_match_rule_table", f"WITH {_MANY} SELECT h.id, m.service, m.confidence FROM hex_names h JOIN many m ON contains(lower(h.dep), lower(m.pattern))")
+def c8_table(spark, sf):
+    return services.match_rule_table(*_many(spark, sf)).select("id", "service", "confidence")
+
+
+@query("s1_detect_by_rule_table", f"WITH {_MANY} SELECT project, service, max(confidence) AS confidence FROM hex_names h JOIN many m ON contains(lower(h.dep), lower(m.pattern)) GROUP BY project, service")
+def s1_table(spark, sf):
+    return services.max_confidence_by_service(services.match_rule_table(*_many(spark, sf)), ["project"])
+
+
 def _map_query(name: str, service_map, mode: str) -> None:
     on = "dep = pattern" if mode == "exact" else "contains(dep, pattern)"
 

@@ -123,6 +123,9 @@ SELECT event_id AS request_id, ts + INTERVAL 2 SECOND AS ts, CASE event_type WHE
     "api_keys": """
 SELECT CAST(c_custkey AS VARCHAR(20)) AS id, CAST(c_custkey AS VARCHAR(20)) AS user_id, sha256(concat('sf_', CAST(c_custkey AS VARCHAR(20)))) AS key_hash_hex,
  CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS revoked, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE TIMESTAMP '2024-01-15 00:00:00' END AS expires_at FROM customer""",
+    "ending_keys": """
+SELECT CAST(c_custkey AS VARCHAR(20)) AS id, CAST(c_custkey AS VARCHAR(20)) AS user_id, sha256(concat('sf_', CAST(c_custkey AS VARCHAR(20)))) AS key_hash_hex,
+ CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS revoked, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE TIMESTAMP '2024-01-02 00:00:00' + CAST(c_custkey % 28 AS INT) * INTERVAL '24' HOUR END AS expires_at FROM customer""",
     "billing_events": """
 SELECT o_orderkey AS event_id, concat('cus_', CAST(o_custkey AS VARCHAR(20))) AS customer, o_orderdate AS ts,
  CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN 'customer.subscription.updated' WHEN 1 THEN 'customer.subscription.deleted' WHEN 2 THEN 'invoice.payment_succeeded' ELSE 'invoice.payment_failed' END AS type,

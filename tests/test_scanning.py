@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keyquarry import rules
 from keyquarry.functions.text import shannon_entropy, trim_ws
-from keyquarry.operators import calls, intents, secrets
+from keyquarry.operators import calls, intents, secrets, services
 from keyquarry.rules import SecretPattern
 from keyquarry.sources.code import explode_lines, file_ext, read_sources
 
@@ -177,3 +177,33 @@ def test_intents(spark, text, intent, field, value):
     r = intents.classify_intent(spark.createDataFrame([(text,)], "text string")).first()
     assert r.intent == intent and r[field] == value
     assert r.needs_review == (intent == "unknown")
+
+
+# ---------------------------------------------------------------- rules from a table
+
+def test_rule_table_equals_the_expression(spark):
+    deps = spark.createDataFrame([(i, d) for i, d in enumerate(
+        ["stripe", "@Stripe/stripe-js", "my-openai-sdk", "aws-sdk", "react", "", None, "é-redis", "pg", "AZURE-x", "stripe"])], "id int, `dep.name` string")
+    rows = [(i, r.service, p, r.confidence) for i, r in enumerate(rules.SERVICE_RULES) for p in r.patterns]
+    rows += [(900, "short", "pg", 0.5), (901, "none", None, 0.5), (902, "all", "", 0.1), (None, "none", "react", 0.5), (903, "é", "é-R", 0.2), (904, "one", "x", 0.3)]
+    listed = [*rules.SERVICE_RULES, *(rules.ServiceRule(s, [p], c) for r, s, p, c in rows[-6:] if r is not None and p is not None)]
+    table = spark.createDataFrame(rows, "rule int, service string, pattern string, confidence double")
+    for mode in ("substring_ci", "substring_cs", "exact"):
+        got = sorted(tuple(r) for r in services.match_rule_table(deps, table, mode, "dep.name").filter("`dep.name` IS NOT NULL").collect())
+        want = sorted(tuple(r) for r in services.match_dependency_rules(deps, listed, mode, "dep.name").filter("`dep.name` IS NOT NULL").collect())
+        assert got == want
+    assert services.match_rule_table(deps, table.limit(0), dep="dep.name").count() == 0 and services.match_rule_table(deps.limit(0), table, dep="dep.name").count() == 0
+
+
+def test_ten_thousand_rules(spark, capsys):
+    import random
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choices("abcdef-/", k=n))
+    names = ["@types/" + word(rnd.randint(0, 12)) for _ in range(400)]
+    patterns = [(i, f"s{i % 70}", ("@types/" if i % 2 else "") + word(rnd.randint(2, 6))) for i in range(10_000)]
+    deps = spark.createDataFrame([(i, d) for i, d in enumerate(names)], "id int, dep string")
+    table = spark.createDataFrame([(*p, 0.5) for p in patterns], "rule int, service string, pattern string, confidence double")
+    out = services.match_rule_table(deps, table, "substring_cs")
+    assert sorted((r.id, r.service) for r in out.collect()) == sorted((i, s) for i, d in enumerate(names) for _, s, p in patterns if p in d)
+    out.explain()
+    assert "NestedLoop" not in capsys.readouterr().out
