@@ -6,9 +6,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from keyquarry.llm.common import parts_of
@@ -17,6 +16,8 @@ from keyquarry.llm.common import parts_of
 LEAST, NORMAL, MOST = 24, 64, 256
 #: Of the top STRICT bits of the hash, the strict test wants all to be 0, the loose one the last LOOSE of them.
 STRICT, LOOSE = 7, 5
+#: How many keys a slice are sampled to cut the rows evenly.
+SAMPLED = 100
 #: One random number per byte value, from a digest of the value.
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "little") for b in range(256)], np.uint32)
 
@@ -123,45 +124,49 @@ def _neighbours(batches) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _cuts(keys: DataFrame, n: int, slices: int) -> list:
+    """Where slices begin: rows of about even ranks, in falling order, out of some ``SAMPLED`` sampled keys a slice."""
+    share = min(1.0, slices * SAMPLED / max(n, 1))
+    some = keys if share == 1.0 else keys.filter(F.rand(7) < share)
+    found = [r["_by"] for r in some.distinct().orderBy(F.desc("_by")).collect()]
+    return [found[i] for i in sorted({len(found) * i // slices for i in range(1, slices)} - {0})]
+
+
 def compare(docs: DataFrame, slices: int | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every whole text, null as empty.
 
     The next document is that of the next smaller id; after the last comes the first.  Rows
     of one id follow each other by a digest of their text (null ids come last), so repeated rows
-    are each other's neighbours; a single row is its own.  The ids are cut into slices at ids
-    of about even ranks; every text moves once, to its slice, and the first of a slice also to
+    are each other's neighbours; a single row is its own.  Ids are of any ordered type.  The rows are cut into slices at (id, digest)
+    of about even ranks, so different texts of one id, or without an id, stand in several; every text moves once, to its slice, and the first of a slice also to
     the slice before, where it is only looked at.  A task holds two texts at a time.
     Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     slices = slices or parts_of(spark)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     by = F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    ends = rows.agg(F.percentile_approx("doc_id", [i / slices for i in range(1, slices)] or [0.5], 10_000).alias("cuts"),
-                    F.max(by).alias("first"), F.count("*").alias("n")).first()
-    cuts = set(ends["cuts"] or [])   # the first id of each slice but one
-    top = ends["first"]["id"] if ends["first"] else None
-    spread = np.array(sorted(cuts))
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        """Twice the slice, and one more for the first id of a slice: a slice begins at each cut, null ids stand in the last."""
-        known = ids.notna().to_numpy()
-        at = np.full(len(ids), 2 * len(spread), np.int32)
-        if len(spread) and known.any():
-            own = ids[known].to_numpy().astype(spread.dtype)
-            left = np.searchsorted(spread, own)
-            at[known] = 2 * (len(spread) - left) + (spread[np.minimum(left, len(spread) - 1)] == own)
-        return pd.Series(at)
-
-    code, last = F.col("_code"), len(cuts)
-    stands = F.struct(F.shiftright(code, 1).alias("slice"), F.lit(False).alias("tail"))
-    opens = F.when(code % 2 == 1, F.struct((F.shiftright(code, 1) - 1).alias("slice"), F.lit(True).alias("tail")))
-    closes = F.when(F.col("doc_id").eqNullSafe(F.lit(top)), F.struct(F.lit(last).alias("slice"), F.lit(True).alias("tail")))
-    placed = rows.withColumn("_code", place("doc_id")).select(
-        "doc_id", "text", F.explode(F.filter(F.array(stands, opens, closes), lambda x: x.isNotNull())).alias("_at")).select("doc_id", "text", "_at.*")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("_by", by)
+    ends = rows.agg(F.max("_by").alias("first"), F.count("*").alias("n")).first()
+    cuts = _cuts(rows.select("_by"), ends["n"], slices)
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def place(r) -> Column:
+        return F.struct(F.lit(r["has"]).alias("has"), F.lit(r["id"]).cast(kind).alias("id"), F.lit(r["h"]).cast("bigint").alias("h"))
+
+    last, row = len(cuts), F.col("_by")
+    slice_ = F.lit(0)
+    if cuts:
+        # a slice begins at each cut, and rows come in falling order: how many cuts are not smaller, by halving
+        bounds = F.array(*[place(r) for r in cuts])
+        steps = F.array(*[F.lit(1 << b) for b in reversed(range(last.bit_length()))])
+        slice_ = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= last) & (F.get(bounds, at + s - 1) >= row), at + s).otherwise(at))
+    rows = rows.withColumn("_slice", slice_)
+    begins = F.get(bounds, F.col("_slice") - 1) == row if cuts else F.lit(False)
+    stands = F.struct(F.col("_slice").alias("slice"), F.lit(False).alias("tail"))
+    opens = F.when(begins, F.struct((F.col("_slice") - 1).alias("slice"), F.lit(True).alias("tail")))
+    closes = F.when(row == place(ends["first"]), F.struct(F.lit(last).alias("slice"), F.lit(True).alias("tail"))) if ends["n"] else F.lit(None)
+    placed = rows.select("doc_id", "text", F.explode(F.filter(F.array(stands, opens, closes), lambda x: x.isNotNull())).alias("_at")).select("doc_id", "text", "_at.*")
     dealt = placed.repartitionById(last + 1, F.col("slice")).sortWithinPartitions(
         "slice", "tail", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")))
-    kind = docs.schema[doc_id].dataType.simpleString()
     return dealt.mapInArrow(_neighbours, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
                                          "near_edited double, near_next double, edited_chunks bigint")
