@@ -16,6 +16,8 @@ ANY_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Phrases and labels that are always reported.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
+#: The British spelling is written like the American one before the rules are tried.
+LICENCE, LICENSE = "licence", "license"
 #: Families as (label, names as word patterns, versions).  A version is part of the label.
 FAMILIES = (
     ("mit", ("mit", "expat", "x11"), ()),
@@ -44,6 +46,35 @@ FAMILIES = (
     ("odbl", ("open database", "odbl"), ("1 0",)),
     ("postgresql", ("postgresql",), ()),
 )
+#: Names that are also ordinary words or other things; a mere mention of these is no evidence.
+ORDINARY = ("artistic", "expat", "ruby", "x11")
+#: Families that are granted with or without later versions.
+LATER = ("gpl", "lgpl", "agpl", "gfdl")
+#: Short names that a version is joined to, as in GPLv2.
+JOINED = ("agpl", "apache", "asl", "bsl", "cddl", "epl", "eupl", "gfdl", "gpl", "lgpl", "mpl", "odbl", "ofl", "wtfpl")
+#: Sentences by which bodies and headers are known, as (label, gate, words).
+SENTENCES = (
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("boost", "hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("isc", "hereby", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "hereby", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("python", "hereby", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions", "redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice"),
+    ("bsd-3-clause", "endorse", "nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("apache-2.0", "compliance", f"you may not use this file except in compliance with the {LICENSE}"),
+    ("mpl-2.0", "mozilla", f"this source code form is subject to the terms of the mozilla public {LICENSE} v 2 0"),
+    ("mpl-1.1", "mozilla", f"the contents of this file are subject to the mozilla public {LICENSE} version 1 1"),
+    ("zlib", "plainly", "altered source versions must be plainly marked as such"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("cc0", "waived", "has waived all copyright and related or neighboring rights"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
+    ("php", "php", "this product includes php software freely available from"),
+    ("gpl", "gnu", f"this program is free software you can redistribute it and or modify it under the terms of the gnu general public {LICENSE}"),
+    ("lgpl", "gnu", f"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public {LICENSE}"),
+    ("agpl", "gnu", f"this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public {LICENSE}"),
+)
 #: Forms of the public licences that are named by their conditions, and the versions these have.
 CC_FORMS = (("cc-by", "by", "attribution"), ("cc-by-sa", "by sa", "attribution sharealike"), ("cc-by-nd", "by nd", "attribution noderivatives"),
             ("cc-by-nc", "by nc", "attribution noncommercial"), ("cc-by-nc-sa", "by nc sa", "attribution noncommercial sharealike"),
@@ -51,8 +82,12 @@ CC_FORMS = (("cc-by", "by", "attribution"), ("cc-by-sa", "by sa", "attribution s
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 #: Where the tag, a full grant, a plain mention stand in the order of rules.
 TAG, GRANT, MENTION = 3, 2, 1
-#: The British spelling is written like the American one before the rules are tried.
-LICENCE, LICENSE = "licence", "license"
+
+
+#: How a grant begins.
+UNDER = "(?:licensed|released|distributed|published|available|provided|covered) under (?:the )?(?:terms of )?(?:the )?"
+#: How later versions are allowed or not.
+LATER_FORMS = (("or-later", "or (?:at your option )?(?:any )?(?:later|newer)(?: version)?"), ("only", "only"))
 
 
 @dataclass(frozen=True)
@@ -68,23 +103,31 @@ def _gate(name: str) -> str:
 
 
 def rules() -> list[Rule]:
-    """All signatures in order: each family and version as a tag, in a grant, and as a mention."""
-    out = []
+    """All signatures in order: families and versions as tags, in grants, with later versions, and as mentions; sentences of bodies and headers."""
+    out = [Rule(label, gate, words, GRANT) for label, gate, words in SENTENCES]
 
     def named(label: str, name: str) -> None:
         out.append(Rule(label, "spdx", f"spdx {LICENSE} identifier {name}", TAG))
-        out.append(Rule(label, "under", f"(?:licensed|released|distributed|published|available|provided|covered) under (?:the )?(?:terms of )?(?:the )?{name}(?: public)?(?: {LICENSE})?", GRANT))
-        out.append(Rule(label, LICENSE, f"{name} {LICENSE}", MENTION))
+        out.append(Rule(label, "under", f"{UNDER}{name}(?: public)?(?: {LICENSE})?", GRANT))
+        if name not in ORDINARY:
+            out.append(Rule(label, LICENSE, f"{name} {LICENSE}", MENTION))
 
     for label, names, versions in FAMILIES:
         for name in names:
             named(label, name)
             for v in versions:
-                full = f"{label}-{v.replace(' ', '.')}" if "clause" not in v else f"{label}-{v.replace(' ', '-')}"
-                out.append(Rule(full, "spdx", f"spdx {LICENSE} identifier {name} {v}", TAG))
-                out.append(Rule(full, _gate(name), f"{name}(?: {LICENSE})? (?:version |v )?{v}", GRANT))
                 if "clause" in v:
-                    out.append(Rule(full, _gate(name), f"{v} {name}(?: {LICENSE})?", GRANT))
+                    full = f"{label}-{v.replace(' ', '-')}"
+                    out.append(Rule(full, _gate(name), f"(?:{UNDER})?{v} {name}(?: {LICENSE})?", GRANT))
+                else:
+                    full = f"{label}-{v.replace(' ', '.')}"
+                one = f"(?:version |v ?)?{v}"
+                out.append(Rule(full, "spdx", f"spdx {LICENSE} identifier {name} {v}", TAG))
+                out.append(Rule(full, _gate(name), f"(?:{UNDER})?{name}(?: {LICENSE})? {one}", GRANT))
+                if label in LATER:
+                    for form, words in LATER_FORMS:
+                        out.append(Rule(f"{full}-{form}", "spdx", f"spdx {LICENSE} identifier {name} {v} {form.replace('-', ' ')}", TAG))
+                        out.append(Rule(f"{full}-{form}", _gate(name), f"(?:{UNDER})?{name}(?: {LICENSE})?(?: as published by the free software foundation)?(?: either)? {one}(?: of the {LICENSE})? {words}", GRANT))
     for label, short, long in CC_FORMS:
         for form in (f"cc {short}", f"creative commons {long}"):
             named(label, form)
@@ -166,7 +209,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     gates = "|".join(sorted({r.gate for r in found} | {LICENCE} | {_gate(p) for p, _ in BASE} | {"cc"}))
     low = F.col("low")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("low", F.when(F.col("text").rlike(f"(?i)(?<!{LETTER})(?:{gates})(?!{LETTER})"), _lower(F.col("text"))))
+    rows = rows.withColumn("low", F.when(F.col("text").rlike(f"(?i)(?<!{LETTER})(?:{gates})(?:v[0-9]+)?(?!{LETTER})"), _lower(F.col("text"))))
     phrases = []
     for phrase, label in BASE:
         at = places(low, F.lit(_phrase(phrase)), size=lambda c: _count_words(c).cast("int"))
@@ -174,6 +217,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
         phrases.append(F.when(hit, F.transform(at, _labelled(label))).otherwise(F.array().cast("array<struct<start:int,label:string>>")))
     words = F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), f"{GAP}+", " ")
     words = F.replace(words, F.lit(f" {LICENCE} "), F.lit(f" {LICENSE} "))
+    words = F.regexp_replace(words, f"(?<= )({'|'.join(JOINED)})(v[0-9]+)(?= )", "$1 $2")
     rows = rows.select("doc_id", "text", "low", words.alias("words")).withColumn("present", _present(F.col("words"), found))
     kind = "array<struct<label:string,start:int,end:int,priority:int>>"
     rows = rows.select(

@@ -310,6 +310,36 @@ def test_chunks_and_neighbours(spark, sf):
     assert ends[-1] == len(text) and all(chunks.LEAST <= b - a <= chunks.MOST for a, b in zip([0, *ends], ends[:-1]))
 
 
+def test_neighbours_of_any_id_and_borders_by_hand(spark):
+    """Text ids, ids of many rows and rows without one, cut into slices; borders against a byte-by-byte loop."""
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choices("abcd é\n", k=n))
+    rows = [(rnd.choice(["hot", "hot", None, f"k{i}", f"é{i}"]), word(rnd.randint(0, 90)) if i % 11 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(6)
+    order = [(r.doc_id, r.text or "") for r in docs.orderBy(F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text"))).collect()]
+    want = []
+    for i, (doc, text) in enumerate(order):
+        other = order[(i + 1) % len(order)][1]
+        want.append((doc or "", len(text), hashlib.sha256(chunks.edited(text, other).encode()).hexdigest()))
+    placed = chunks.compare(docs, 7)
+    assert sorted((r.doc_id or "", r.n_chars, r.edited_sha256) for r in placed.collect()) == sorted(want)
+    cuts = chunks._cuts(docs.select(F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("_by")), 300, 7)
+    assert len(cuts) == 6 and sum(c["id"] == "hot" for c in cuts) > 1
+    for text in (b"", b"a" * 1000, *(word(rnd.randint(1, 4000)).encode() for _ in range(20))):
+        ends, at = [], 0
+        while at < len(text):
+            end, h = at, 0
+            for end in range(at + 1, min(at + chunks.MOST, len(text)) + 1):
+                window = text[max(end - 32, 0):end]
+                h = sum(int(chunks.GEAR[b]) << (len(window) - 1 - i) for i, b in enumerate(window)) & 0xFFFFFFFF
+                top = h >> (32 - chunks.STRICT)
+                if chunks.LEAST <= end - at <= chunks.NORMAL and top == 0 or end - at > chunks.NORMAL and top % (1 << chunks.LOOSE) == 0:
+                    break
+            ends.append(end)
+            at = end
+        assert chunks.borders(text) == ends
+
+
 def test_packing_is_whole_and_tight(spark, sf):
     library = Tokenizer.from_file(JSON)
     docs = queries.documents(spark, sf).collect()
@@ -356,6 +386,23 @@ def test_license_phrases_and_suppression(spark):
     assert licenses.scan(one).first().labels == "gpl-3.0"      # the shorter tag inside is suppressed
 
 
+def test_license_notices_of_every_kind(spark):
+    notices = {
+        "licensed under GPLv2": "gpl-2", "GPLv3 or later": "gpl-3-or-later", "This file is GPL v3.": "gpl-3", "uses LGPLv2.1 code": "lgpl-2.1", "Apache License v2.0": "apache-2.0",
+        "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl-2.1-or-later", "SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0-only", "MPLv2.0": "mpl-2.0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software": "mit",
+        "Redistributions of source code must retain the above copyright notice": "bsd", "Licensed under the 3-clause BSD license": "bsd-3-clause",
+        "you may not use this file except in compliance with the License.": "apache-2.0", "the ruby license plate": "", "an artistic licence": "", "released under the Ruby license": "ruby",
+        "the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version": "gpl-2-or-later",
+        "This is free and unencumbered software released into the public domain.": "unlicense", "Boost Software License 1.0": "boost-1.0", "EPL-2.0": "epl-2.0",
+        "gplv": "", "gplv2x": "", "a gpl car": "", "the European Union Public Licence v 1.2": "eupl-1.2", "CC BY-SA 4.0": "cc-by-sa-4.0",
+    }
+    docs = spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string")
+    assert {t: r.labels for t, r in zip(notices, licenses.scan(docs).orderBy("doc_id").collect())} == notices
+    for rule in licenses.rules():
+        assert rule.gate in rule.pattern       # else the rule would never be tried
+
+
 def test_quality_measures_and_kneser_ney(spark, sf):
     docs = {r.doc_id: r.text or "" for r in queries.documents(spark, sf).collect()}
     for r in queries.QUERIES["op10_quality_rules"](spark, sf).collect():
