@@ -169,7 +169,7 @@ def _present(words: Column, found: list[Rule]) -> Column:
 def detections(words: Column, present: Column, found: list[Rule]) -> Column:
     """Detections that stand, as an array of (label, start, end, priority) over a text of words joined and enclosed by single spaces.
 
-    Only rules whose gate is among ``present``, the gate words of the text, are tried.  A detection is dropped if its
+    Only rules whose gate is among ``present``, the gate words of the text, are tried, and only where one matches its places are taken.  A detection is dropped if its
     interval lies in that of one with higher priority, or of a longer one with the same; of
     equal ones the first label stays.  This takes one pass over the sorted intervals,
     which keeps the farthest end of each priority.
@@ -178,7 +178,7 @@ def detections(words: Column, present: Column, found: list[Rule]) -> Column:
         return F.transform(places(words, r["pattern"]), lambda m: F.struct(
             m["start"].alias("start"), (-m["end"]).alias("end"), (-r["priority"]).alias("priority"), r["label"].alias("label")))
 
-    hits = F.array_sort(F.flatten(F.transform(F.filter(_literal(found), lambda r: F.array_contains(present, r["gate"])), tried)))
+    hits = F.array_sort(F.flatten(F.transform(F.filter(_literal(found), lambda r: F.array_contains(present, r["gate"]) & F.rlike(words, r["pattern"])), tried)))
     levels = (TAG, GRANT, MENTION)
     names = {p: f"to{p}" for p in levels}
     kind = "array<struct<label:string,start:int,end:int,priority:int>>"
