@@ -167,6 +167,51 @@ def test_search_prunes_far_cells_and_other_values(spark, monkeypatch):
     assert vectors.search(q.limit(0), d, 5, "tag", block=25).count() == 0 and vectors.search(q, d.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("tag", [None, "tag"])
+def test_search_copies_rows_for_tiles_only(spark, monkeypatch, tag):
+    """Vectors without clusters, all of them queries, small blocks: equal to brute force, and a row goes to no more than ``TILES`` places."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=8))], i % 3 if tag else 0) for i in range(900)]
+    rows += [(2000 + i, rows[5][1], rows[5][2]) for i in range(60)]
+    d = spark.createDataFrame(rows, "id int, embedding array<float>, tag int").repartition(5)
+    met, scored = [], vectors._scored
+
+    def counted(routed, placed, k, most, *rest):
+        met.append((routed.count(), placed.count(), routed.groupBy("home").agg(F.ceil(F.count("*") / most).alias("parts")).agg(F.max("parts")).first()[0]))
+        return scored(routed, placed, k, most, *rest)
+
+    monkeypatch.setattr(vectors, "_scored", counted)
+    monkeypatch.setattr(vectors, "TILES", 4)
+    got = {}
+    for r in vectors.search(d, d, 4, tag, query_id="id", doc_id="id", block=8).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    vectors_of = [(i, np.array(v), t) for i, v, t in rows]
+    assert got == brute(vectors_of, vectors_of, 4)
+    n = len(rows)
+    assert met[0][0] <= n and n < met[1][0] <= (4 if tag is None else 2) * n and met[1][1] == n and met[1][2] <= 4
+
+
+def test_search_keeps_names_of_any_type_and_none(spark):
+    rows = [("b", [1.0, 0.0]), (None, [1.0, 0.1]), ("a", [1.0, 0.0]), ("é", [0.0, 1.0])]
+    d = spark.createDataFrame(rows, "id string, embedding array<double>")
+    got = [(r.query_id, r.rank, r.doc_id) for r in vectors.search(d.filter("id = 'b'"), d, 3, query_id="id", doc_id="id").orderBy("rank").collect()]
+    assert got == [("b", 1, "a"), ("b", 2, "b"), ("b", 3, None)]
+
+
+def test_best_rows_of_a_product_equal_a_full_sort():
+    """Many equal scores, floors that are met exactly, more queries and documents than one product takes."""
+    rng = np.random.default_rng(9)
+    unit = vectors._unit(rng.integers(-2, 3, (9000, 3)) + np.array([0.0, 0.0, 7.0]))
+    order = rng.permutation(len(unit))
+    full = np.round(unit[:600] @ unit.T, vectors._DIGITS)
+    kth = -np.partition(-full, 6, axis=1)[:, 6]
+    for floor in (np.full(600, -2.0), kth):
+        i, j, score = vectors._top(unit[:600], unit, order, 7, floor, None)
+        for x in range(0, 600, 37):
+            want = np.lexsort((order, -full[x]))[:7]
+            assert j[i == x].tolist() == want.tolist() and score[i == x].tolist() == full[x][want].tolist()
+
+
 def test_reach_is_never_passed():
     rng = np.random.default_rng(6)
     for _ in range(200):
