@@ -207,3 +207,21 @@ def test_ten_thousand_rules(spark, capsys):
     assert sorted((r.id, r.service) for r in out.collect()) == sorted((i, s) for i, d in enumerate(names) for _, s, p in patterns if p in d)
     out.explain()
     assert "NestedLoop" not in capsys.readouterr().out
+
+
+def test_rule_table_by_project_and_in_lists(spark, monkeypatch):
+    """One name has most of the rows and many rules match it: rows and matches are not lost or doubled, and by project each different row is matched once."""
+    monkeypatch.setattr(services, "_LIST", 3)
+    deps = spark.createDataFrame([(f"p{i % 5}", i, "stripe-js" if i % 10 else None) for i in range(300)] + [("p9", 900, "pg"), ("p9", 900, "pg"), (None, 901, "pg")], "project string, id int, dep string")
+    rules_of = [(i, f"s{i % 4}" if i % 4 else None, "stripe-js"[i % 3:i % 7 + 2], i / 1000) for i in range(400)] + [(1000, "x", "pg", 0.5), (1001, "x", "g", 0.7)]
+    table = spark.createDataFrame(rules_of, "rule int, service string, pattern string, confidence double")
+    matched = lambda: [(p, i, s, c) for p, i, d in map(tuple, deps.collect()) if d for _, s, w, c in rules_of if w in d]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    got = sorted(((r.project, r.id, r.service, r.confidence) for r in services.match_rule_table(deps, table).collect()), key=key)
+    assert got == sorted(matched(), key=key)
+    best: dict = {}
+    for p, _, s, c in matched():
+        best[p, s] = max(best.get((p, s), 0), c)
+    rows = services.match_rule_table(deps, table, by=["project"])
+    assert {(r.project, r.service): r.confidence for r in services.max_confidence_by_service(rows, ["project"]).collect()} == best
+    assert rows.columns == ["project", "dep", "service", "confidence"] and rows.count() == len({(p, d, s) for p, _, d in map(tuple, deps.collect()) if d for _, s, w, _ in rules_of if w in d})
