@@ -75,7 +75,7 @@ def rotate_secrets(secrets: DataFrame, requests: DataFrame) -> dict[str, DataFra
 
 
 def rotate_values(versions: DataFrame, secrets: DataFrame, requests: DataFrame,
-                  default_hours: float = rules.DEFAULT_GRACE_HOURS) -> dict[str, DataFrame]:
+                  default_hours: float = rules.DEFAULT_GRACE_HOURS, only: str | None = None) -> dict[str, DataFrame]:
     """Rotation to new values: each granted request makes a version, the one before stays valid for the grace period.
 
     ``versions`` has secret_id, version (1, 2, … without gaps), valid_from, superseded_at (null
@@ -88,6 +88,7 @@ def rotate_values(versions: DataFrame, secrets: DataFrame, requests: DataFrame,
     gaps, the version that ends another is found by an equi-join, not by ordering a secret's versions.
 
     Gives ``versions`` and ``snapshot`` (the secrets) after the batch, ``audit`` and ``usage`` rows, and the ``status`` of every request.
+    With ``only`` just the one named: columns that it does not need are not moved, and nothing is written for the others.
     """
     stored = [c for c in versions.columns if c not in VERSION]
     newest = versions.filter(F.col("superseded_at").isNull())
@@ -97,8 +98,14 @@ def rotate_values(versions: DataFrame, secrets: DataFrame, requests: DataFrame,
         newest.select("secret_id", F.col("version").alias("_version"), F.col("valid_from").alias("_since")), "secret_id", "left")
     status = F.when(invalid, 400).when(
         (F.col("http_status") == 200) & (F.col("at") < F.col("_since")), 409).otherwise(F.col("http_status"))
-    decided = materialize(asked.withColumn("http_status", status).withColumn("_hours", hours), "rotations")
+    decided = asked.withColumn("http_status", status).withColumn("_hours", hours)
+    if only is None:
+        decided = materialize(decided, "rotations")
+    elif only == "versions":
+        decided = materialize(decided.filter(F.col("http_status") == 200).select("secret_id", "request_id", "at", "http_status", "_version", "_hours", *stored), "rotations")
     granted = decided.filter(F.col("http_status") == 200)
+    if only is not None and only != "versions":
+        return {only: _outputs(secrets, decided, granted)[only]}
     number = (F.coalesce("_version", F.lit(0)) + F.col("_nth")).cast(versions.schema["version"].dataType)
     never = F.lit(None).cast(versions.schema["valid_from"].dataType)
     made = materialize(running_count(granted, ["secret_id"], "at", "request_id", "_nth").select(
@@ -107,10 +114,15 @@ def rotate_values(versions: DataFrame, secrets: DataFrame, requests: DataFrame,
     grace = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("_hours") * 3600).cast("decimal(18,6)"))
     still = newest.unionByName(made.drop("_hours")).join(ends, ["secret_id", "version"], "left")
     after = still.withColumns({"superseded_at": F.col("_next"), "valid_to": F.col("_next") + grace}).select(*versions.columns)
+    found = {"versions": versions.filter(F.col("superseded_at").isNotNull()).unionByName(after)}
+    return found if only else found | _outputs(secrets, decided, granted)
+
+
+def _outputs(secrets: DataFrame, decided: DataFrame, granted: DataFrame) -> dict[str, DataFrame]:
+    """What ``rotate_values`` gives beside the versions."""
     when = granted.groupBy(F.col("secret_id").alias("id")).agg(F.max("at").alias("_at"))
     snapshot = secrets.join(when, "id", "left").withColumn("last_rotated_at", F.coalesce("_at", "last_rotated_at")).select(*secrets.columns)
     return {
-        "versions": versions.filter(F.col("superseded_at").isNotNull()).unionByName(after),
         "snapshot": snapshot,
         "audit": _log(decided, "rotated"),
         "usage": granted.select("user_id", F.lit("secret_rotated").alias("event_type"), F.col("at").alias("timestamp")),
@@ -134,15 +146,17 @@ def value_status(uses: DataFrame, versions: DataFrame, value: str = "value_hash"
     """
     far = F.lit("9999-12-31").cast("timestamp").cast(versions.schema["valid_from"].dataType)
     newer, until = F.coalesce("superseded_at", far), F.coalesce("valid_to", far)
+    # what the rows are ordered by is moved once
+    known_by = {c: k for c, v, k in (("secret_id", "secret_id", "_secret"), (value, value, "_value"), ("ts", "valid_from", "_at")) if uses.schema[c].dataType == versions.schema[v].dataType}
     begun = versions.select(F.col("secret_id").alias("_secret"), F.col(value).alias("_value"), F.col("valid_from").alias("_at"), F.lit(0).alias("_kind"),
                             newer.alias("_newer"), F.struct(until.alias("until"), F.col("version").alias("version")).alias("_until"))
     used = uses.select(F.col("secret_id").alias("_secret"), F.col(value).alias("_value"), F.col("ts").alias("_at"), F.lit(1).alias("_kind"),
-                       F.struct(*[F.col(f"`{c}`") for c in uses.columns]).alias("_use"))
+                       F.struct(*[F.col(f"`{c}`") for c in uses.columns if c not in known_by], F.lit(1).alias("_use")).alias("_use"))
     rows = running_max(begun.unionByName(used, allowMissingColumns=True), ["_secret", "_value"], "_at", "_kind", {"_best": "_until", "_last": "_newer"})
     known = F.col("_secret").isNotNull() & F.col("_value").isNotNull() & F.col("_at").isNotNull() & F.col("_best").isNotNull()
     status = F.when(~known, "unknown").when(F.col("_last") > F.col("_at"), "current").when(F.col("_best.until") > F.col("_at"), "grace").otherwise("expired")
     return rows.filter("_kind = 1").select(
-        *[F.col(f"_use.`{c}`").alias(c) for c in uses.columns], status.alias("value_status"), F.when(known, F.col("_best.version")).alias("version"))
+        *[F.col(known_by[c] if c in known_by else f"_use.`{c}`").alias(c) for c in uses.columns], status.alias("value_status"), F.when(known, F.col("_best.version")).alias("version"))
 
 
 def soft_delete(secrets: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:

@@ -75,31 +75,31 @@ versions AS (SELECT secret_id, version, value_hash, valid_from, lead(valid_from)
  FROM chain WINDOW w AS (PARTITION BY secret_id ORDER BY version))""")
 
 
-def _rotated(spark, sf):
+def _rotated(spark, sf, only):
     never = F.lit(None).cast("timestamp_ntz")
     first = frame(spark, sf, "first_versions").withColumns({"version": F.col("version").cast("bigint"), "superseded_at": never, "valid_to": never})
-    return vault.rotate_values(first, frame(spark, sf, "secrets"), frame(spark, sf, "rotations").withColumnRenamed("asked_at", "at"))
+    return vault.rotate_values(first, frame(spark, sf, "secrets"), frame(spark, sf, "rotations").withColumnRenamed("asked_at", "at"), only=only)[only]
 
 
 @query("u2_value_versions", _ROTATED + "SELECT secret_id, version, value_hash, valid_from, superseded_at, valid_to FROM versions")
 def u2_versions(spark, sf):
-    return _rotated(spark, sf)["versions"]
+    return _rotated(spark, sf, "versions")
 
 
 @query("u2_value_audit", _ROTATED + "SELECT secret_id, user_id, 'rotated' AS action, ip_address, user_agent, asked_at AS timestamp FROM judged WHERE http_status = 200")
 def u2_value_audit(spark, sf):
-    return _rotated(spark, sf)["audit"]
+    return _rotated(spark, sf, "audit")
 
 
 @query("u2_value_requests", _ROTATED + "SELECT request_id, secret_id, http_status FROM judged")
 def u2_value_requests(spark, sf):
-    return _rotated(spark, sf)["status"].select("request_id", "secret_id", "http_status")
+    return _rotated(spark, sf, "status").select("request_id", "secret_id", "http_status")
 
 
 @query("u2_valid_versions", _ROTATED + f"""SELECT secret_id, version, coalesce(superseded_at <= TIMESTAMP '{ORDERS_AT}', false) AS in_grace
 FROM versions WHERE valid_from <= TIMESTAMP '{ORDERS_AT}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{ORDERS_AT}')""")
 def u2_valid(spark, sf):
-    return vault.valid_versions(_rotated(spark, sf)["versions"], at(ORDERS_AT)).select("secret_id", "version", "in_grace")
+    return vault.valid_versions(_rotated(spark, sf, "versions"), at(ORDERS_AT)).select("secret_id", "version", "in_grace")
 
 
 @query("u2_value_uses", _ROTATED + """, found AS (SELECT u.use_id, u.ts, v.version, coalesce(v.superseded_at, TIMESTAMP '9999-12-31') AS newer, coalesce(v.valid_to, TIMESTAMP '9999-12-31') AS until
@@ -107,7 +107,7 @@ def u2_valid(spark, sf):
 SELECT use_id, CASE WHEN max(version) IS NULL THEN 'unknown' WHEN max(newer) > ts THEN 'current' WHEN max(until) > ts THEN 'grace' ELSE 'expired' END AS value_status,
  max(CASE WHEN version IS NOT NULL THEN {'until': until, 'version': version} END).version AS version FROM found GROUP BY use_id, ts""")
 def u2_uses(spark, sf):
-    out = vault.value_status(frame(spark, sf, "value_uses"), _rotated(spark, sf)["versions"])
+    out = vault.value_status(frame(spark, sf, "value_uses"), _rotated(spark, sf, "versions"))
     return out.select("use_id", "value_status", "version")
 
 

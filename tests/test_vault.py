@@ -131,6 +131,38 @@ def test_one_secret_with_all_rotations_and_uses(spark):
         assert got[i] == want, (i, h, v)
 
 
+def test_one_output_of_a_rotation_equals_all(spark):
+    first = versions_of(spark, [("a", 1, "v0", "2023-01-01", None, None), ("b", 1, "w", "2023-01-01", None, None)])
+    asks = [("r1", "a", "u1", "2024-01-01", "v1", 1.5, "10.0.0.1", "cli"), ("r2", "a", "u1", "2024-01-02", "v2", None, None, None), ("r3", "b", "u1", "2024-01-02", "x", 1.0, None, None)]
+    given = (first, secrets(spark), rotations(spark, asks))
+    for name, df in vault.rotate_values(*given).items():
+        found = vault.rotate_values(*given, only=name)
+        assert list(found) == [name] and found[name].schema.simpleString() == df.schema.simpleString() and sorted(map(repr, found[name].collect())) == sorted(map(repr, df.collect()))
+
+
+@pytest.mark.parametrize("name", ["rotations", "value_uses"])
+def test_narrow_fixtures_give_the_same_rows(spark, tmp_path, name):
+    """Rows that come twice, and rows without one of the numbers, some of which give one text only."""
+    from keyquarry.sources import fixtures
+    at = dt.datetime(2024, 1, 1)
+    rows = [(k, p, s, n, at) for k in (1, 2, None) for p in (1, 10, 37, None) for s in (4, 5, 260, None) for n in (1, 2, None)] * 2 + [(1, 1, 5, 1, at + dt.timedelta(days=1)), (1, 1, 5, 1, None)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7), (1, 8), (2, 7), (2, 7), (None, 3)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    got, want = fixtures.frame(spark, str(tmp_path), name), fixtures.sql(spark, str(tmp_path), fixtures.SQL[name])
+    assert got.schema.simpleString() == want.schema.simpleString() and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert fixtures.SPARK_SQL[name].count("SELECT DISTINCT l_orderkey") == 1
+
+
+def test_uses_move_their_key_once(spark, monkeypatch):
+    first = versions_of(spark, [("a", 1, "p", "2024-01-01", None, None)])
+    uses = spark.createDataFrame([(1, "a", "p", "2024-01-02"), (2, "a", "q", "2024-01-02")], "use_id int, secret_id string, value_hash string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    seen, plain = [], vault.running_max
+    monkeypatch.setattr(vault, "running_max", lambda df, *rest: seen.append(df.schema["_use"].dataType.names) or plain(df, *rest))
+    out = vault.value_status(uses, first)
+    assert out.columns == [*uses.columns, "value_status", "version"] and seen == [["use_id", "_use"]]
+    assert {(r.use_id, r.secret_id, r.value_hash, str(r.ts)[:10], r.value_status) for r in out.collect()} == {(1, "a", "p", "2024-01-02", "current"), (2, "a", "q", "2024-01-02", "unknown")}
+
+
 def test_rotate_and_delete(spark):
     requests = asked(spark, [("a", "u1"), ("b", "u1"), ("c", "u1"), ("x", "u1"), ("a", "u1")])
     out = vault.rotate_secrets(secrets(spark), requests)
