@@ -65,10 +65,10 @@ class Stretches:
             except ValueError:
                 return b"".join(found)
             end = at
-            while end < last and _open_end(words[end]) and (end or words[0]):
+            while end < last and open_end(words[end]) and (end or words[0]):
                 found[end] = b""  # white space may go on: it is encoded with what follows
                 end += 1
-            if at == end and at and len(words[at]) < 64 and not _open_end(words[at]):
+            if at == end and at and len(words[at]) < 64 and not open_end(words[at]):
                 found[at] = self._keep(words[at])
             else:
                 found[end] = self.encode((" " if at else "") + " ".join(words[at:end + 1]))
@@ -76,14 +76,11 @@ class Stretches:
 
     def _keep(self, word: str) -> bytes:
         if (ids := self.older.get(word)) is None:
-            stem, mark = word[:-1], word[-1]
-            if mark in _MARKS and stem.isalpha() and max(stem) < _LATIN_END:
-                # a letter before a mark ends a match, and the mark is one by itself here
+            if ends_by_letter(word):
+                stem = word[:-1]
                 if (first := self.known.get(stem)) is None:
                     first = self._keep(stem)
-                if (ids := self.marks.get(mark)) is None:
-                    ids = self.marks[mark] = self.encode(mark)
-                ids = first + ids
+                ids = first + self.mark(word[-1])
             else:
                 ids = self.encode(" " + word)
         if len(self.known) >= self.most:
@@ -91,6 +88,16 @@ class Stretches:
         self.known[word] = ids
         return ids
 
+    def mark(self, mark: str) -> bytes:
+        if (ids := self.marks.get(mark)) is None:
+            ids = self.marks[mark] = self.encode(mark)
+        return ids
+
 
-def _open_end(word: str) -> bool:
+def open_end(word: str) -> bool:
     return not word or word[-1] in DOUBTFUL
+
+
+def ends_by_letter(word: str) -> bool:
+    """Whether a mark stands behind letters: a letter before a mark ends a match, and the mark is one by itself here."""
+    return word[-1] in _MARKS and (stem := word[:-1]).isalpha() and max(stem) < _LATIN_END

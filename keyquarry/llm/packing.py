@@ -5,14 +5,16 @@ from __future__ import annotations
 import array
 import functools
 import zlib
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from keyquarry.llm.common import Stretches
+from keyquarry.llm.common import Stretches, ends_by_letter, open_end
 from keyquarry.session import materialize
 
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -22,10 +24,94 @@ def packed_ids(tokenizer: Tokenizer, text: str) -> bytes:
     return array.array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+class Columns(Stretches):
+    """The same for columns of texts: the different words of a column are looked up once, and new ones go to the library many in a call.
+
+    In such a call every word stands behind its space, and as no short stretch has another one, each begins with the
+    only one of its tokens that starts by a space.  Texts that need more care (white space of more than one sign,
+    long words, over ``long`` bytes) go through ``ids`` one by one.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, most: int = 600_000, long: int = 1 << 20, together: int = 200):
+        super().__init__(functools.partial(packed_ids, tokenizer), most)
+        self.library, self.long, self.together = tokenizer.encode_batch_fast, long, together
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.starts = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.starts[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of short stretches, each behind a space."""
+        groups = (" " + " ".join(words[i:i + self.together]) for i in range(0, len(words), self.together))
+        ids = np.fromiter((i for some in batched(groups, 32) for e in self.library(list(some), add_special_tokens=False) for i in e.ids), "<u4")
+        packed, at = ids.tobytes(), (4 * np.flatnonzero(self.starts[ids])).tolist()
+        if len(at) != len(words):        # a vocabulary of other signs for a space
+            return [self.encode(" " + w) for w in words]
+        return [packed[a:b] for a, b in zip(at, [*at[1:], len(packed)])]
+
+    def _looked_up(self, words: list[str]) -> list[bytes | None]:
+        """Ids of different words behind a space; None for one that is no short stretch."""
+        found = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if len(self.known) + len(missing) > self.most:
+            self.older, self.known = self.known, {}
+        known, older, new, marked = self.known, self.older, {}, []
+        for i in missing:
+            word = words[i]
+            if (ids := older.get(word)) is not None:
+                known[word] = ids
+            elif len(word) >= 64 or open_end(word):
+                continue
+            elif ends_by_letter(word):
+                marked.append(word)
+                if (stem := word[:-1]) not in known:
+                    if (ids := older.get(stem)) is not None:
+                        known[stem] = ids
+                    else:
+                        new[stem] = None
+            else:
+                new[word] = None
+        if new:
+            known.update(zip(new, self._encoded(list(new))))
+        for word in marked:
+            known[word] = known[word[:-1]] + self.mark(word[-1])
+        for i in missing:
+            found[i] = known.get(words[i])
+        return found
+
+    def column(self, texts: pa.Array) -> list[bytes]:
+        """Ids (packed) of each text, null as empty."""
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts, "")
+        short = pc.if_else(pc.greater(pc.binary_length(texts), self.long), "", texts)
+        lists = pc.split_pattern(short, " ")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.flatten().dictionary_encode()
+        places, words = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
+        found = self._looked_up(words)
+        at -= at[0]
+        odd = np.logical_or.reduceat(np.array([ids is None for ids in found])[places], at[:-1])
+        first = [b"" if o else self.encode(words[i]) for i, o in zip(places[at[:-1]].tolist(), odd.tolist())]     # no space stands before it
+        places[at[:-1]] = len(words) + np.arange(len(first))
+        every = [ids or b"" for ids in found] + first
+        size = np.fromiter(map(len, every), np.int64, len(every)) // 4
+        length = size[places]
+        upto = np.cumsum(length)
+        begin = (np.cumsum(size) - size)[places] - (upto - length)
+        ids, out = np.frombuffer(b"".join(every), "<u4"), []
+        for a in range(0, len(texts), 256):      # some texts at a time: an index for each token is larger than the token
+            x, y = at[a], at[min(a + 256, len(texts))]
+            low = upto[x] - length[x]
+            packed = ids[np.repeat(begin[x:y], length[x:y]) + np.arange(low, upto[y - 1])].tobytes()
+            ends = (4 * (upto[at[a + 1:a + 257] - 1] - low)).tolist()
+            out += [self.ids(texts[a + i].as_py()) if o else packed[b:e] for i, (o, b, e) in enumerate(zip(odd[a:a + 256].tolist(), [0, *ends], ends))]
+        return out
+
+
 @functools.cache
-def stretches(path: str, most: int = 600_000) -> Stretches:
-    """One tokenizer per Python process, with the ids of up to twice ``most`` stretches; the file lies at ``path`` on every machine."""
-    return Stretches(functools.partial(packed_ids, Tokenizer.from_file(path)), most)
+def stretches(path: str, most: int = 600_000) -> Columns:
+    """One tokenizer per Python process, with the ids of up to twice ``most`` stretches and those of one column; the file lies at ``path`` on every machine."""
+    return Columns(Tokenizer.from_file(path), most)
 
 
 def cuts(length: int, size: int) -> list[int]:
@@ -40,12 +126,12 @@ def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 2, text: str
     each; other columns are not read.
     """
     def run(batches):
-        encode = stretches(path, most).ids
+        encode = stretches(path, most).column
         close = np.array([end], "<u4").tobytes()
         for batch in batches:
             ids, rows = batch.column(0), ([], [], [], [], [])
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                packed = encode(t or "") + close
+            for i, packed in enumerate(encode(batch.column(1))):
+                packed += close
                 at = cuts(len(packed) // 4, size)
                 for k, (a, b) in enumerate(zip(at, at[1:])):
                     for out, v in zip(rows, (i, k, a, b - a, zlib.crc32(packed[4 * a:4 * b]))):

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -370,6 +371,23 @@ def test_token_counts_equal_the_library():
     assert token_counts.count_spliced(library, "a" * 5000, 100, 10) == len(library.encode("a" * 5000).ids)
 
 
+def test_columns_equal_the_library_and_share_its_calls():
+    library = Tokenizer.from_file(JSON)
+    rows = [None, "", " ", *texts(2000, 11, 60), "word " * 30 + "x" * 200 + " the end.", " a <|endoftext|>b, c", "eins\nzwei. drei", "Wort? " * 5, "last  one"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in rows]
+    for most, long in ((600_000, 1 << 20), (7, 1 << 20), (600_000, 30)):
+        columns = packing.Columns(library, most, long)
+        got = [x for i in range(0, len(rows), 500) for x in columns.column(pa.array(rows[i:i + 500], pa.string()))]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert columns.column(pa.array([], pa.string())) == []
+    columns, calls = packing.Columns(library), []
+    whole, one = columns.library, columns.encode
+    columns.library = lambda *a, **k: calls.append("many") or whole(*a, **k)
+    columns.encode = lambda t: calls.append("one") or one(t)
+    columns.column(pa.array([" ".join(["the", *(f"{w:b}".replace("0", "o").replace("1", "i") for w in range(i, 5000, 50))]) for i in range(50)]))
+    assert calls.count("many") == 1 and len(calls) <= 51        # the new words of all texts, and each text's first word
+
+
 def test_license_phrases_and_suppression(spark):
     rnd = random.Random(2)
     parts = "under the MIT License|Apache License, Version 2|CC BY-NC|cc|by|nc|mit|é|license| |\n|.| the |version 2.0|under|x".split("|")
