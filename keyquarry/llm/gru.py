@@ -21,11 +21,18 @@ def _softmax(x: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, logs
 
 
-def _log_share_at(x: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """As ``_softmax``, the logs alone."""
-    x -= x.max(-1, keepdims=True)
-    logs = x[np.arange(len(x)), place]
-    return logs - np.log(np.exp(x, out=x).sum(-1))
+def _log_share_at(weights: np.ndarray, bias: np.ndarray, state: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The logs of the share at ``place`` of the outputs of each state; an output is a row here, so that sums go over whole rows."""
+    x = weights @ state.T
+    x += bias[:, None]
+    x -= x.max(0)
+    logs = x[place, np.arange(len(place))]
+    return logs - np.log(np.exp(x, out=x).sum(0))
+
+
+def _stable_order(numbers: np.ndarray, most: int) -> np.ndarray:
+    """Order of numbers below ``most``; two bytes are sorted by their digits."""
+    return np.argsort(numbers.astype(np.uint16) if most <= 1 << 16 else numbers, kind="stable")
 
 
 class Network:
@@ -65,65 +72,74 @@ class Network:
         return self
 
     def states(self, before: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-        """States after each column of ``before``, (steps + 1, rows, width), the first being ``state``, and gates (reset, keep), new values, inner sums of each step."""
-        w, steps, rec = self.width, before.shape[1], self.p["rec"]
-        inputs = self.p["in"][before.T] + self.p["bias"]
-        out = np.empty((steps + 1, *state.shape), np.float32)
-        gates, new, inner = inputs[:, :, :2 * w], inputs[:, :, 2 * w:], np.empty((steps, *state.shape), np.float32)
+        """States after each column of ``before``, (steps + 1, rows, width), the first being ``state``, and gates (reset and keep beside each other), new values, inner sums of each step."""
+        w, steps, bias = self.width, before.shape[1], self.p["bias"]
+        inputs = self.p["in"][before.T]
+        gates, new, inner = (np.empty((steps, *more, *state.shape), np.float32) for more in ((2,), (), ()))
+        np.add(inputs[:, :, :w], bias[:w], out=gates[:, 0])
+        np.add(inputs[:, :, w:2 * w], bias[w:2 * w], out=gates[:, 1])
+        np.add(inputs[:, :, 2 * w:], bias[2 * w:], out=new)
+        np.negative(gates, out=gates)                    # of the sums, so that the steps need not
+        rec = np.ascontiguousarray(self.p["rec"].reshape(w, 3, w).transpose(1, 0, 2))
+        to_gates, to_inner = -rec[:2], rec[2]
+        out, sums, part = np.empty((steps + 1, *state.shape), np.float32), np.empty((2, *state.shape), np.float32), np.empty(state.shape, np.float32)
         out[0] = state
         for t in range(steps):
-            sums = out[t] @ rec
-            inner[t] = sums[:, 2 * w:]
-            g, n = gates[t], new[t]
-            g += sums[:, :2 * w]
-            np.negative(g, out=g)
+            h, g, n = out[t], gates[t], new[t]
+            np.matmul(h, to_inner, out=inner[t])
+            np.matmul(h, to_gates, out=sums)
+            g += sums
             np.exp(g, out=g)
             g += 1
             np.reciprocal(g, out=g)
-            n += g[:, :w] * inner[t]
+            np.multiply(g[0], inner[t], out=part)
+            n += part
             np.tanh(n, out=n)
-            out[t + 1] = n + g[:, w:] * (out[t] - n)
+            np.subtract(h, n, out=part)
+            part *= g[1]
+            np.add(n, part, out=out[t + 1])
         return out, (gates, new, inner)
 
     def _by_class(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
         """Order by class, places of the ordered words in their classes, and (class, begin, end) of the ordered ones, but of classes of one word."""
         classes = self.class_of[words]
-        order = np.argsort(classes, kind="stable")
+        order = _stable_order(classes, len(self.edges))
         bounds = np.searchsorted(classes[order], np.arange(len(self.edges)))
         some = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(self.edges) > 1))
         return order, words[order] - self.edges[classes[order]], [(c, bounds[c], bounds[c + 1]) for c in some]
 
     def log_probabilities(self, state: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each word after the state of its row."""
-        out = _log_share_at(state @ self.p["class"] + self.p["class_bias"], self.class_of[words])
+        out = _log_share_at(self.p["class"].T, self.p["class_bias"], state, self.class_of[words])
         order, place, found = self._by_class(words)
         h, more = state[order], np.zeros(len(words), out.dtype)
         for c, x, y in found:
             a, b = self.edges[c], self.edges[c + 1]
-            more[x:y] = _log_share_at(h[x:y] @ self.p["word"][a:b].T + self.p["word_bias"][a:b], place[x:y])
+            more[x:y] = _log_share_at(self.p["word"][a:b], self.p["word_bias"][a:b], h[x:y], place[x:y])
         out[order] += more
         return out
 
-    def score(self, texts: list[np.ndarray], start: int, rows: int = 256) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], start: int, rows: int = 1024) -> np.ndarray:
         """Log likelihood of each whole sequence: windows in lockstep, the state carried from one to the next.
 
         Texts go in by length, so those of one group end together; memory holds one window of a group.
         """
         out = np.zeros(len(texts))
-        order = np.argsort([-len(t) for t in texts], kind="stable")
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(-size, kind="stable")
         for at in range(0, len(order), rows):
             group = order[at:at + rows]
+            every, long = np.concatenate([texts[i] for i in group]), size[group]
+            place = np.cumsum(long) - long
             state = np.zeros((len(group), self.width), np.float32)
             last = np.full(len(group), start)
-            for begin in range(0, len(texts[group[0]]), WINDOW):
-                live = sum(len(texts[i]) > begin for i in group)     # the longest stand first
-                group, state, last = group[:live], state[:live], last[:live]
-                part = [texts[i][begin:begin + WINDOW] for i in group]
-                steps = max(map(len, part))
-                words = np.full((live, steps), start)
-                real = np.zeros((live, steps), bool)
-                for r, p in enumerate(part):
-                    words[r, :len(p)], real[r, :len(p)] = p, True
+            for begin in range(0, int(long[0]), WINDOW):
+                live = int((long > begin).sum())     # the longest stand first
+                group, long, place, state, last = group[:live], long[:live], place[:live], state[:live], last[:live]
+                steps = min(WINDOW, int(long[0]) - begin)
+                step = begin + np.arange(steps)
+                real = step < long[:, None]
+                words = np.where(real, every[np.minimum(place[:, None] + step, len(every) - 1)], start)
                 before = np.concatenate((last[:, None], words[:, :-1]), 1)
                 states, _ = self.states(before, state)
                 flat = real.T.ravel()
@@ -165,27 +181,29 @@ class Network:
             dh = whole
         dh = dh.reshape(steps, rows, w)
         gates, new, inner = kept
-        reset, keep = gates[:, :, :w], gates[:, :, w:]
+        reset, keep = gates[:, 0], gates[:, 1]
         to_new = (1 - keep) * (1 - new * new)
         to_keep, to_reset = (states[:-1] - new) * keep * (1 - keep), inner * reset * (1 - reset)
         carry = np.zeros((rows, w), np.float32)
-        dins, drecs = (np.empty((steps, rows, 3 * w), np.float32) for _ in range(2))
+        drecs, dnews = np.empty((steps, rows, 3 * w), np.float32), np.empty((steps, rows, w), np.float32)
         back = np.ascontiguousarray(p["rec"].T)
         for t in range(steps - 1, -1, -1):
-            total, drec = dh[t] + carry, drecs[t]
-            dnew = total * to_new[t]
-            drec[:, :w] = dnew * to_reset[t]
-            drec[:, w:2 * w] = total * to_keep[t]
-            drec[:, 2 * w:] = dnew * reset[t]
-            dins[t, :, 2 * w:] = dnew
-            carry = total * keep[t] + drec @ back
-        dins[:, :, :2 * w] = drecs[:, :, :2 * w]
+            total, drec, dnew = dh[t], drecs[t], dnews[t]
+            total += carry
+            np.multiply(total, to_new[t], out=dnew)
+            np.multiply(dnew, to_reset[t], out=drec[:, :w])
+            np.multiply(total, to_keep[t], out=drec[:, w:2 * w])
+            np.multiply(dnew, reset[t], out=drec[:, 2 * w:])
+            np.multiply(total, keep[t], out=carry)
+            carry += drec @ back
         g["rec"] = states[:-1].reshape(-1, w).T @ drecs.reshape(-1, 3 * w)
-        dins, inputs = dins.reshape(-1, 3 * w), before.T.ravel()
+        drecs[:, :, 2 * w:] = dnews                      # from here on the gradients of the inputs
+        dins, inputs = drecs.reshape(-1, 3 * w), before.T.ravel()
         g["bias"] = dins.sum(0)
-        order = np.argsort(inputs, kind="stable")
-        first = np.flatnonzero(np.diff(inputs[order], prepend=-1))
-        g["in"][inputs[order[first]]] = np.add.reduceat(dins[order], first)
+        order = _stable_order(inputs, len(p["in"]))
+        inputs = inputs[order]
+        first = np.flatnonzero(np.concatenate(([True], inputs[1:] != inputs[:-1])))
+        g["in"][inputs[first]] = np.add.reduceat(dins[order], first)
         return {k: v / n for k, v in g.items()}, states[-1], float(loss / n)
 
     def train(self, texts: Iterable[np.ndarray], start: int, rows: int = 128, rate: float = 0.01) -> int:
@@ -209,15 +227,20 @@ class Network:
                 return done
             if len(live) < len(lanes):
                 lanes, state = [lanes[r] for r in live], state[live]
-            before, words = (np.full((len(lanes), WINDOW), start) for _ in range(2))
-            real = np.zeros(words.shape, bool)
-            for r, (last, left) in enumerate(lanes):
-                part = left[:WINDOW]
-                words[r, :len(part)], real[r, :len(part)] = part, True
-                before[r, 0], before[r, 1:len(part)] = last, part[:-1]
-                lanes[r] = [part[-1], left[WINDOW:]]
-            g, state, _ = self.gradient(before, words, state, None if real.all() else real)
-            done, i = done + int(real.sum()), i + 1
+            last = np.array([lane[0] for lane in lanes])
+            if min(len(lane[1]) for lane in lanes) >= WINDOW:
+                words, real = np.concatenate([lane[1][:WINDOW] for lane in lanes]).reshape(len(lanes), WINDOW).astype(np.int64), None
+            else:
+                words, real = np.full((len(lanes), WINDOW), start), np.zeros((len(lanes), WINDOW), bool)
+                for r, (_, left) in enumerate(lanes):
+                    part = left[:WINDOW]
+                    words[r, :len(part)], real[r, :len(part)] = part, True
+            before = np.concatenate((last[:, None], words[:, :-1]), 1)
+            if real is not None:
+                before = np.where(real, before, start)
+            lanes = [[left[min(len(left), WINDOW) - 1], left[WINDOW:]] for _, left in lanes]
+            g, state, _ = self.gradient(before, words, state, real)
+            done, i = done + (words.size if real is None else int(real.sum())), i + 1
             for k, x in g.items():
                 m[k] += 0.1 * (x - m[k])
                 v[k] += 0.01 * (x * x - v[k])

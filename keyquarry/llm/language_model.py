@@ -7,15 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from keyquarry.llm.common import ASCII_LOWER, text_bytes
+from keyquarry.llm.common import ASCII_LOWER
 from keyquarry.llm.gru import Network
 from keyquarry.session import materialize
 
 END = b""          # stands behind each text; no word is empty
-_FLUSH = 250_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -23,21 +23,30 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.translate(ASCII_LOWER).split(), END]
 
 
-def _counted(batches):
-    """Words with counts, summed within the task as far as a bounded table goes."""
-    held: dict[bytes, int] = {}
-    for batch in batches:
-        for raw in text_bytes(batch.column(0)):
-            for w in tokens(raw):
-                held[w] = held.get(w, 0) + 1
-            if len(held) > _FLUSH:
-                yield _table(held)
-                held = {}
-    yield _table(held)
+@dataclass
+class Tokens:
+    """The tokens of a column of texts (null as empty), as ``tokens`` gives them: places in the list of different words, and where each text begins, with the end."""
 
+    words: pa.Array
+    places: np.ndarray
+    begin: np.ndarray
 
-def _table(held: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
+    @classmethod
+    def of(cls, texts: pa.Array) -> Tokens:
+        # a space behind the last word gives an empty word there, the end; a text without words is that one alone
+        text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        some = pc.if_else(pc.equal(text, ""), "", pc.binary_join_element_wise(text, "", " "))
+        lists = pc.ascii_split_whitespace(some)
+        found = lists.flatten().cast(pa.binary()).dictionary_encode()
+        begin = lists.offsets.to_numpy().astype(np.int64)
+        return cls(found.dictionary, found.indices.to_numpy(), begin - begin[0])
+
+
+def _counted(batches):
+    """The different words of each batch with their counts."""
+    for batch in batches:
+        found = Tokens.of(batch.column(0))
+        yield pa.RecordBatch.from_arrays([found.words, pa.array(np.bincount(found.places, minlength=len(found.words)), pa.int64())], ["word", "c"])
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -109,9 +118,23 @@ def fit(texts: DataFrame, key: str, frequent: int = 100_000, vocabulary: int | N
     return model, words
 
 
-def _numbers(model: Model, raw: bytes) -> np.ndarray:
+def _frequent(model: Model, found: Tokens) -> np.ndarray:
+    """The model's place of each different word, -1 beyond the frequent ones."""
     get = model.frequent.get
-    return np.array([model.number[i] if (i := get(w)) is not None else model.unknown for w in tokens(raw)], np.int32)
+    return np.fromiter((get(w, -1) for w in found.words.to_pylist()), np.int64, len(found.words))
+
+
+def _numbers(model: Model, found: Tokens, at: np.ndarray) -> list[np.ndarray]:
+    """The network's numbers of each text's tokens."""
+    numbers = np.where(at < 0, model.unknown, model.number[at]).astype(np.int32)[found.places] if len(model.number) else np.full(len(found.places), model.unknown, np.int32)
+    return [numbers[a:b] for a, b in zip(found.begin.tolist(), found.begin[1:].tolist())]
+
+
+def _read(model: Model, batches):
+    """Numbers of one text after the other."""
+    for batch in batches:
+        found = Tokens.of(batch.column(0))
+        yield from _numbers(model, found, _frequent(model, found))
 
 
 _SHARD = "data binary, tokens bigint"
@@ -142,7 +165,7 @@ def _round(texts: DataFrame, model: Model, rate: float, fan: int = 16) -> int:
     def run(batches):
         m = shared.value
         net = Network(m.network.edges.tolist(), m.network.width).load(m.network.flat())
-        if n := net.train((_numbers(m, raw) for batch in batches for raw in text_bytes(batch.column(0))), m.end, rate=rate):
+        if n := net.train(_read(m, batches), m.end, rate=rate):
             yield _shard(net.flat(), n)
 
     rows = materialize(texts.mapInArrow(run, _SHARD), "lm-round")
@@ -170,24 +193,18 @@ def score(docs: DataFrame, model: Model, words: DataFrame, keep: list[str], text
         m = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            n, known, base, other, rare, sequences = [], [], [], [], [], []
-            for raw in text_bytes(batch.column(len(keep))):
-                all_words = tokens(raw)
-                at = list(map(m.frequent.get, all_words))
-                seen = np.array([i for i in at if i is not None], np.int64)
-                few = [w for w, i in zip(all_words, at) if i is None] if len(seen) < len(at) else []
-                ids = np.full(len(at), m.unknown, np.int32)
-                ids[np.array([i is not None for i in at])] = m.number[seen] if len(seen) else []
-                sequences.append(ids)
-                n.append(len(at))
-                known.append(len(seen))
-                base.append(float(m.base[seen].sum()))
-                other.append(float(m.rest[seen].sum()))
-                rare.append(few)
-            logs = m.network.score(sequences, m.end) / np.log(10)
+            found = Tokens.of(batch.column(len(keep)))
+            at = _frequent(m, found)
+            logs = m.network.score(_numbers(m, found, at), m.end) / np.log(10)
+            n, at = np.diff(found.begin), at[found.places]
+            few = at < 0
+            beyond = np.concatenate(([0], np.cumsum(few)))[found.begin]       # words that are not frequent, before each text
+            edges, seen = (found.begin - beyond).tolist(), at[~few]
+            base, other = ([float(shares[a:b].sum()) for a, b in zip(edges, edges[1:])] for shares in (m.base[seen], m.rest[seen]))
+            rare = pa.ListArray.from_arrays(pa.array(beyond, pa.int32()), found.words.take(pa.array(found.places[few])))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(keep)], pa.array(np.arange(row, row + len(n))), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(logs + np.array(other), pa.float64()), pa.array(rare, pa.list_(pa.binary()))],
+                [*batch.columns[:len(keep)], pa.array(np.arange(row, row + len(n))), pa.array(n, pa.int64()), pa.array(np.diff(edges), pa.int64()),
+                 pa.array(base, pa.float64()), pa.array(logs + np.array(other), pa.float64()), rare],
                 [*keep, "_row", "n_tokens", "_known", "_base", "_score", "_rare"])
             row += len(n)
 
