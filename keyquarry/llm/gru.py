@@ -12,7 +12,7 @@ PIECE = 64 * WINDOW  # a longer text goes on in another lane when it is learned;
 
 def _softmax(x: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shares of each row, in the memory of ``x``, and the logs of those at ``place``."""
-    x -= x.max(-1, keepdims=True)
+    x -= np.ascontiguousarray(x.T).max(0)[:, None]      # the largest of whole rows at once
     logs = x[np.arange(len(x)), place]
     np.exp(x, out=x)
     sums = x.sum(-1, keepdims=True)
@@ -242,6 +242,17 @@ class Network:
             g, state, _ = self.gradient(before, words, state, real)
             done, i = done + (words.size if real is None else int(real.sum())), i + 1
             for k, x in g.items():
-                m[k] += 0.1 * (x - m[k])
-                v[k] += 0.01 * (x * x - v[k])
-                self.p[k] -= rate * (m[k] / (1 - 0.9 ** i)) / (np.sqrt(v[k] / (1 - 0.99 ** i)) + 1e-8)
+                step = x - m[k]
+                step *= 0.1
+                m[k] += step
+                np.multiply(x, x, out=step)
+                step -= v[k]
+                step *= 0.01
+                v[k] += step
+                np.divide(v[k], 1 - 0.99 ** i, out=step)
+                np.sqrt(step, out=step)
+                step += 1e-8
+                np.divide(m[k], 1 - 0.9 ** i, out=x)
+                x *= rate
+                x /= step
+                self.p[k] -= x

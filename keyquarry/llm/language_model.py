@@ -118,10 +118,14 @@ def fit(texts: DataFrame, key: str, frequent: int = 100_000, vocabulary: int | N
     return model, words
 
 
-def _frequent(model: Model, found: Tokens) -> np.ndarray:
-    """The model's place of each different word, -1 beyond the frequent ones."""
-    get = model.frequent.get
-    return np.fromiter((get(w, -1) for w in found.words.to_pylist()), np.int64, len(found.words))
+def _names(model: Model) -> pa.Array:
+    """The frequent words by place."""
+    return pa.array(list(model.frequent), pa.binary())
+
+
+def _frequent(names: pa.Array, found: Tokens) -> np.ndarray:
+    """The place among ``names`` of each different word, -1 beyond them."""
+    return pc.fill_null(pc.index_in(found.words, value_set=names), -1).to_numpy()
 
 
 def _numbers(model: Model, found: Tokens, at: np.ndarray) -> list[np.ndarray]:
@@ -132,9 +136,10 @@ def _numbers(model: Model, found: Tokens, at: np.ndarray) -> list[np.ndarray]:
 
 def _read(model: Model, batches):
     """Numbers of one text after the other."""
+    names = _names(model)
     for batch in batches:
         found = Tokens.of(batch.column(0))
-        yield from _numbers(model, found, _frequent(model, found))
+        yield from _numbers(model, found, _frequent(names, found))
 
 
 _SHARD = "data binary, tokens bigint"
@@ -191,10 +196,11 @@ def score(docs: DataFrame, model: Model, words: DataFrame, keep: list[str], text
 
     def run(batches):
         m = shared.value
+        names = _names(m)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             found = Tokens.of(batch.column(len(keep)))
-            at = _frequent(m, found)
+            at = _frequent(names, found)
             logs = m.network.score(_numbers(m, found, at), m.end) / np.log(10)
             n, at = np.diff(found.begin), at[found.places]
             few = at < 0
