@@ -21,13 +21,11 @@ def _softmax(x: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, logs
 
 
-def _log_share_at(weights: np.ndarray, bias: np.ndarray, state: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The logs of the share at ``place`` of the outputs of each state; an output is a row here, so that sums go over whole rows."""
-    x = weights @ state.T
-    x += bias[:, None]
-    x -= x.max(0)
-    logs = x[place, np.arange(len(place))]
-    return logs - np.log(np.exp(x, out=x).sum(0))
+def _log_share_at(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """As ``_softmax``, the logs alone."""
+    x -= np.ascontiguousarray(x.T).max(0)[:, None]
+    logs = x[np.arange(len(x)), place]
+    return logs - np.log(np.exp(x, out=x).sum(-1))
 
 
 def _stable_order(numbers: np.ndarray, most: int) -> np.ndarray:
@@ -110,12 +108,12 @@ class Network:
 
     def log_probabilities(self, state: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each word after the state of its row."""
-        out = _log_share_at(self.p["class"].T, self.p["class_bias"], state, self.class_of[words])
+        out = _log_share_at(state @ self.p["class"] + self.p["class_bias"], self.class_of[words])
         order, place, found = self._by_class(words)
         h, more = state[order], np.zeros(len(words), out.dtype)
         for c, x, y in found:
             a, b = self.edges[c], self.edges[c + 1]
-            more[x:y] = _log_share_at(self.p["word"][a:b], self.p["word_bias"][a:b], h[x:y], place[x:y])
+            more[x:y] = _log_share_at(h[x:y] @ self.p["word"][a:b].T + self.p["word_bias"][a:b], place[x:y])
         out[order] += more
         return out
 
