@@ -37,8 +37,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows in sequences of at most 1024 tokens.  A Python process serves all stages, so it keeps few stretches."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), most=100_000)
+    """The pieces of all rows in sequences of at most 1024 tokens.  A Python process serves all stages, so it keeps few stretches, and none behind a task."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), most=100_000, together=1000)
 
 
 def _prepared(stage):

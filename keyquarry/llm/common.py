@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Unicode white space, as the splitting patterns of the tokenizers see it.
@@ -29,6 +31,16 @@ def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def giving_back(run: Callable) -> Callable:
+    """``run`` over a task's batches; behind them Arrow's free memory goes back, as a Python process serves one stage after the other and keeps it otherwise."""
+    @functools.wraps(run)
+    def whole(*args, **kwargs):
+        yield from run(*args, **kwargs)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, null as empty."""
     return [b or b"" for b in column.cast("binary").to_pylist()]
@@ -74,6 +86,10 @@ class Stretches:
                 found[end] = self.encode((" " if at else "") + " ".join(words[at:end + 1]))
             at = end + 1
 
+    def forget(self) -> None:
+        """Drops the ids of all stretches."""
+        self.known, self.older = {}, {}
+
     def _keep(self, word: str) -> bytes:
         if (ids := self.older.get(word)) is None:
             if ends_by_letter(word):

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from keyquarry.llm.common import giving_back
 from keyquarry.llm.secret_ledger import blob
 from keyquarry.session import materialize
 
@@ -81,6 +82,7 @@ class Profiles:
         return self.names[best], float(scores[best]), float(scores[best] - second), len(counted[0])
 
 
+@giving_back
 def _count(batches):
     for batch in batches:
         held: dict[str, list] = {}
@@ -128,6 +130,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list[
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
+    @giving_back
     def run(batches):
         for batch in batches:
             found = [shared.value.predict(t) for t in batch.column(len(keep)).to_pylist()]
@@ -183,6 +186,7 @@ def measured(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
+    @giving_back
     def run(batches):
         for batch in batches:
             found = [shared.value.measure(t) for t in batch.column(len(keep)).to_pylist()]
@@ -208,6 +212,7 @@ def keep_known(docs: DataFrame, profiles: Profiles, text: str = "text", least: f
         floor, ahead = bars.get(lang, (0.0, 0.0))
         return lang != UNKNOWN and n >= least_grams and score >= max(least, floor) and lead >= ahead
 
+    @giving_back
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array([known(t) for t in batch.column(at).to_pylist()], pa.bool_()))

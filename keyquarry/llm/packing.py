@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from keyquarry.llm.common import Stretches, ends_by_letter, open_end
+from keyquarry.llm.common import Stretches, ends_by_letter, giving_back, open_end
 from keyquarry.session import materialize
 
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -119,14 +119,24 @@ def cuts(length: int, size: int) -> list[int]:
     return [0, *range(length % size or size, length, size), length]
 
 
-def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 2, text: str = "text", doc_id: str = "doc_id", most: int = 600_000) -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 2, text: str = "text", doc_id: str = "doc_id", most: int = 600_000,
+           together: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of the ids of every whole text followed by ``end``.
 
     A null or empty text is one piece with the end alone.  Repeated rows give their pieces
-    each; other columns are not read.
+    each; other columns are not read.  With ``together``, so many texts are looked up at once and what a task
+    learned of stretches goes when it ends, so less memory stays in use; the pieces are the same.
     """
+    @giving_back
     def run(batches):
-        encode = stretches(path, most).column
+        held = stretches(path, most)
+        if together:
+            batches = (batch.slice(at, together) for batch in batches for at in range(0, batch.num_rows, together))
+        yield from cut(held.column, batches)
+        if together:
+            held.forget()
+
+    def cut(encode, batches):
         close = np.array([end], "<u4").tobytes()
         for batch in batches:
             ids, rows = batch.column(0), ([], [], [], [], [])
@@ -207,6 +217,7 @@ def pack(items: DataFrame, size: int = 1024, per_task: int = 250_000) -> DataFra
     return dealt.mapInArrow(run, f"{types}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = 1024, end: int = 2, text: str = "text", doc_id: str = "doc_id", most: int = 600_000) -> DataFrame:
-    """Tokenises, cuts and packs; the pieces (no text) are written to the shared folder in between.  ``most`` bounds what a Python process keeps of the ids of stretches."""
-    return pack(materialize(pieces(docs, path, size, end, text, doc_id, most), "pieces"), size)
+def pack_documents(docs: DataFrame, path: str, size: int = 1024, end: int = 2, text: str = "text", doc_id: str = "doc_id", most: int = 600_000,
+                   together: int | None = None) -> DataFrame:
+    """Tokenises, cuts and packs; the pieces (no text) are written to the shared folder in between.  ``most`` bounds what a Python process keeps of the ids of stretches; ``together`` as in ``pieces``."""
+    return pack(materialize(pieces(docs, path, size, end, text, doc_id, most, together), "pieces"), size)

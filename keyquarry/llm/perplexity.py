@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from keyquarry.llm.bitmaps import gathered, holds, marked, part_of
+from keyquarry.llm.common import giving_back
 from keyquarry.llm.secret_ledger import blob
 from keyquarry.llm.simhash import addressed
 from keyquarry.session import materialize
@@ -45,7 +46,8 @@ def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _count(batches, most: int = 1_000_000):
+@giving_back
+def _count(batches, most: int = 400_000):
     """Counts by language of a task's texts.  A language's table is merged when what waits has ``most`` keys, and handed on if it has half as many then."""
     held: dict[str, list] = {}
     waiting: Counter = Counter()
@@ -246,6 +248,7 @@ def measured(docs: DataFrame, shares: Shares, keep: list[str], limits: Limits =
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in at)
     none = np.zeros(0, np.int64)
 
+    @giving_back
     def run(batches):
         for batch in batches:
             rows: list[list] = [[] for _ in range(8)]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from keyquarry.llm.bitmaps import gathered, holds, part_of
-from keyquarry.llm.common import ASCII_LOWER, parts_of, text_bytes
+from keyquarry.llm.common import ASCII_LOWER, giving_back, parts_of, text_bytes
 from keyquarry.llm.components import components
 from keyquarry.session import materialize
 
@@ -44,6 +44,7 @@ def fingerprints(docs: DataFrame, size: int = 3, text: str = "text", keep: list[
     keep = ["doc_id"] if keep is None else keep
     types = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
+    @giving_back
     def run(batches):
         for batch in batches:
             found = np.array([fingerprint(b, size) for b in text_bytes(batch.column(len(keep)))], np.uint64)

@@ -359,6 +359,22 @@ def test_neighbours_of_any_id_and_borders_by_hand(spark):
         assert chunks.borders(text) == ends
 
 
+def test_nothing_stays_in_a_process_behind_a_task(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a cat, a dog", None, "", " two  gaps ", "a cat " * 700, "dog"])], "doc_id long, text string")
+    held = packing.Columns(Tokenizer.from_file(JSON), 3)
+    held.column(pa.array(["a b c d e", "f g h i"]))
+    held.column(pa.array(["x y z"]))
+    assert held.known and held.older
+    held.forget()
+    assert not held.known and not held.older
+    whole, parts = (sorted(packing.pieces(rows, JSON, together=n).collect()) for n in (None, 2))
+    assert whole == parts and len(whole) > rows.count()
+    freed = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("", (), {"release_unused": lambda self: freed.append(1)})())
+    counted = list(perplexity._count([pa.RecordBatch.from_pydict({"text": ["abcdef", "abcdeg"], "lang": ["a", "a"]})]))
+    assert freed == [1] and sum(sum(b.column(2).to_pylist()) for b in counted) == 12
+
+
 def test_packing_is_whole_and_tight(spark, sf):
     library = Tokenizer.from_file(JSON)
     docs = queries.documents(spark, sf).collect()
