@@ -96,3 +96,15 @@ def escaped(value: Column) -> Column:
 
 def sha256_base64(c: Column) -> Column:
     return F.base64(F.unhex(F.sha2(c, 256)))
+
+
+def packed(text: Column) -> Column:
+    """Bytes that stand for one text each: half as many where it is hexadecimal in lower case, as digests are, else one more."""
+    digits = F.unhex(text)
+    return F.when(text == F.lower(F.hex(digits)), F.concat(F.lit(b"\x01"), digits)).when(text.isNotNull(), F.concat(F.lit(b"\x00"), text.cast("binary")))
+
+
+def unpacked(value: Column) -> Column:
+    """The text that ``packed`` made the bytes of."""
+    rest = F.substr(value, F.lit(2))
+    return F.when(F.substr(value, F.lit(1), F.lit(1)) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyquarry.session import materialize
 
+#: Hashes of keys by which ``running_max`` counts rows; a power of two.
+_BUCKETS = 1 << 16
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the highest ``order`` per key, by partial aggregation: a task hands on one row per key (it sorts its own rows for that)."""
@@ -38,12 +41,28 @@ def running_count(
     )
 
 
-def running_max(df: DataFrame, keys: list[str], ts: str, order: str, values: dict[str, str], slice_seconds: int = 3600) -> DataFrame:
+def running_max(
+    df: DataFrame, keys: list[str], ts: str, order: str, values: dict[str, str], slice_seconds: int = 3600, room: int = 100_000,
+) -> DataFrame:
     """Adds, for each name, the largest value of the column it stands for among the key's rows up to and with each row, in (ts, order).
 
-    Null is no value.  Two levels as in ``running_count``: a key with most of the rows is
-    spread over its slices, and only one row a slice meets the others of its key.
+    Null is no value.  Rows are counted by ``_BUCKETS`` hashes of their keys first.  A key meets in one task, and its rows are
+    moved once, unless its hash has more than ``room`` rows and over four times the mean: such keys go in two levels as in
+    ``running_count``, where a key is spread over its slices, and only one row a slice meets the others of its key.
     """
+    marked = df.withColumn("_bucket", F.xxhash64(*keys).bitwiseAND(F.lit(_BUCKETS - 1)))
+    # all columns are read, so that this shares the exchanges below with the rows themselves
+    counts = marked.groupBy("_bucket").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).alias("_any"))
+    over = (F.col("_n") > room) & (F.col("_n") * _BUCKETS > 4 * F.sum("_n").over(Window.partitionBy())) & F.col("_any").isNotNull()
+    large = F.broadcast(counts.select("_bucket", over.alias("_large")).filter("_large"))
+    upto = Window.partitionBy(*keys).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
+    whole = marked.join(large, "_bucket", "left").filter(F.col("_large").isNull()).select(*df.columns)
+    cut = marked.join(large, "_bucket").select(*df.columns)
+    return whole.select("*", *[F.max(c).over(upto).alias(n) for n, c in values.items()]).unionByName(_sliced_max(cut, keys, ts, order, values, slice_seconds))
+
+
+def _sliced_max(df: DataFrame, keys: list[str], ts: str, order: str, values: dict[str, str], slice_seconds: int) -> DataFrame:
+    """``running_max`` in two levels, for keys with very many rows."""
     sliced = df.withColumn("_slice", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slice_seconds))
     tops = sliced.groupBy(*keys, "_slice").agg(*[F.max(c).alias(f"_top_{n}") for n, c in values.items()])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,10 +7,11 @@ aggregation first, so a key named many times costs one row in the join.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from keyquarry import rules
 from keyquarry.functions.access import days_until_rotation
-from keyquarry.functions.text import env_quoted, escaped, parse_env_line
+from keyquarry.functions.text import env_quoted, escaped, packed, parse_env_line, unpacked
 from keyquarry.operators.access import check_ownership
 from keyquarry.operators.ordered import latest_per_key, running_count, running_max
 from keyquarry.session import materialize
@@ -94,6 +95,9 @@ def rotate_values(versions: DataFrame, secrets: DataFrame, requests: DataFrame,
     newest = versions.filter(F.col("superseded_at").isNull())
     hours = F.coalesce(F.col("grace_hours").cast("double"), F.lit(float(default_hours)))
     invalid = F.col("at").isNull() | ~hours.between(0, rules.MAX_GRACE_HOURS)
+    short = _texts(stored, versions, requests) if only == "versions" else []
+    if only == "versions":      # 400s are not moved
+        newest, requests = newest.withColumns({c: packed(F.col(f"`{c}`")) for c in short}), requests.filter(~invalid).withColumns({c: packed(F.col(f"`{c}`")) for c in short})
     asked = _decided(secrets, requests).join(
         newest.select("secret_id", F.col("version").alias("_version"), F.col("valid_from").alias("_since")), "secret_id", "left")
     status = F.when(invalid, 400).when(
@@ -113,11 +117,16 @@ def rotate_values(versions: DataFrame, secrets: DataFrame, requests: DataFrame,
     ends = made.select("secret_id", (F.col("version") - 1).alias("version"), F.col("valid_from").alias("_next"), "_hours")
     grace = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("_hours") * 3600).cast("decimal(18,6)"))
     still = newest.unionByName(made.drop("_hours")).join(ends, ["secret_id", "version"], "left")
-    after = still.withColumns({"superseded_at": F.col("_next"), "valid_to": F.col("_next") + grace}).select(*versions.columns)
+    after = still.withColumns({"superseded_at": F.col("_next"), "valid_to": F.col("_next") + grace} | {c: unpacked(F.col(f"`{c}`")) for c in short}).select(*versions.columns)
     found = {"versions": versions.filter(F.col("superseded_at").isNotNull()).unionByName(after)}
     return found if only else found | _outputs(secrets, decided, granted)
 
 
+def _texts(columns: list[str], *of: DataFrame) -> list[str]:
+    """Those of the columns that are plain texts in all tables; they are moved in packed form."""
+    return [c for c in columns if all(df.schema[c].dataType == StringType() for df in of)]
+
+
 def _outputs(secrets: DataFrame, decided: DataFrame, granted: DataFrame) -> dict[str, DataFrame]:
     """What ``rotate_values`` gives beside the versions."""
     when = granted.groupBy(F.col("secret_id").alias("id")).agg(F.max("at").alias("_at"))
@@ -142,21 +151,23 @@ def value_status(uses: DataFrame, versions: DataFrame, value: str = "value_hash"
     ``current``, ``grace`` (replaced, grace period not over), ``expired``, or ``unknown`` (no such value of the
     secret had begun by then; also without secret, value or time).  A value may come back in a later version: the best status
     counts, and ``version`` is the one that ends last.  An as-of join: uses and beginnings of versions are ordered by time
-    within (secret, value), and the latest end so far decides; a value with most of the uses is spread over slices of time.
+    within (secret, value), and the latest end so far decides.  Each row is moved once; only a value with very many uses is spread over slices of time.
     """
     far = F.lit("9999-12-31").cast("timestamp").cast(versions.schema["valid_from"].dataType)
     newer, until = F.coalesce("superseded_at", far), F.coalesce("valid_to", far)
     # what the rows are ordered by is moved once
     known_by = {c: k for c, v, k in (("secret_id", "secret_id", "_secret"), (value, value, "_value"), ("ts", "valid_from", "_at")) if uses.schema[c].dataType == versions.schema[v].dataType}
-    begun = versions.select(F.col("secret_id").alias("_secret"), F.col(value).alias("_value"), F.col("valid_from").alias("_at"), F.lit(0).alias("_kind"),
+    texts = _texts([value], uses, versions)
+    to, back = (packed, unpacked) if texts else (lambda c: c, lambda c: c)
+    begun = versions.select(F.col("secret_id").alias("_secret"), to(F.col(value)).alias("_value"), F.col("valid_from").alias("_at"), F.lit(0).alias("_kind"),
                             newer.alias("_newer"), F.struct(until.alias("until"), F.col("version").alias("version")).alias("_until"))
-    used = uses.select(F.col("secret_id").alias("_secret"), F.col(value).alias("_value"), F.col("ts").alias("_at"), F.lit(1).alias("_kind"),
+    used = uses.select(F.col("secret_id").alias("_secret"), to(F.col(value)).alias("_value"), F.col("ts").alias("_at"), F.lit(1).alias("_kind"),
                        F.struct(*[F.col(f"`{c}`") for c in uses.columns if c not in known_by], F.lit(1).alias("_use")).alias("_use"))
     rows = running_max(begun.unionByName(used, allowMissingColumns=True), ["_secret", "_value"], "_at", "_kind", {"_best": "_until", "_last": "_newer"})
     known = F.col("_secret").isNotNull() & F.col("_value").isNotNull() & F.col("_at").isNotNull() & F.col("_best").isNotNull()
     status = F.when(~known, "unknown").when(F.col("_last") > F.col("_at"), "current").when(F.col("_best.until") > F.col("_at"), "grace").otherwise("expired")
     return rows.filter("_kind = 1").select(
-        *[F.col(known_by[c] if c in known_by else f"_use.`{c}`").alias(c) for c in uses.columns], status.alias("value_status"), F.when(known, F.col("_best.version")).alias("version"))
+        *[(back(F.col("_value")) if c == value and c in known_by else F.col(known_by[c] if c in known_by else f"_use.`{c}`")).alias(c) for c in uses.columns], status.alias("value_status"), F.when(known, F.col("_best.version")).alias("version"))
 
 
 def soft_delete(secrets: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from keyquarry.functions import text as tx
 from keyquarry.operators import access, crypto, quality, usage, vault
 from keyquarry.schemas import TABLES, conform
 from keyquarry.sources.tables import read_table, write_table
@@ -153,6 +154,65 @@ def test_narrow_fixtures_give_the_same_rows(spark, tmp_path, name):
     assert fixtures.SPARK_SQL[name].count("SELECT DISTINCT l_orderkey") == 1
 
 
+def uses_of_versions(spark):
+    """One value with most of the uses, also without secret, value or time; values that are digests and others."""
+    import random
+    rnd = random.Random(6)
+    start = dt.datetime(2024, 1, 1)
+    stamp = lambda hours: str(start + dt.timedelta(hours=hours))
+    value_of = {"p": "0123456789abcdef" * 2, "q": "0123456789ABCDEF", "s": "abc", "t": "é", "u": ""}
+    begun = sorted((round(rnd.uniform(0, 300), 1), rnd.choice("ab"), value_of[rnd.choice("ppppqstu")], rnd.choice([0.0, 5.0, 80.0])) for _ in range(60))
+    rows, last = [], {}
+    for n, (h, s, v, g) in enumerate(begun):
+        after = next((b for b in begun[n + 1:] if b[1] == s), None)
+        last[s] = last.get(s, 0) + 1
+        rows.append((s, last[s], v, stamp(h), after and stamp(after[0]), after and stamp(after[0] + g)))
+    used = [(i, "a" if i % 5 else rnd.choice(["b", "c", None]), value_of["p"] if i % 5 else rnd.choice([*value_of.values(), None]), None if i % 50 == 7 else stamp(rnd.choice([round(rnd.uniform(-5, 400), 1), begun[i % 60][0]])))
+            for i in range(1200)]
+    versions = versions_of(spark, rows)
+    uses = spark.createDataFrame(used, "use_id int, secret_id string, value_hash string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    far = "9999"
+    want = {}
+    for i, s, v, at_ in used:
+        mine = [(e or far, u or far, n) for a, n, b, f, e, u in rows if s is not None and v is not None and at_ is not None and (a, b) == (s, v) and f <= at_]
+        end = max((u, n) for _, u, n in mine) if mine else None
+        want[i] = ("unknown" if not mine else "current" if max(e for e, _, _ in mine) > at_ else "grace" if end[0] > at_ else "expired", end and end[1])
+    return uses, versions, want
+
+
+@pytest.mark.parametrize("room", [0, 30, 100_000])
+def test_uses_in_one_and_two_levels(spark, monkeypatch, room):
+    """Values with more uses than there is room for go by slices of time, the others are put in order at once; the results are those of a loop."""
+    uses, versions, want = uses_of_versions(spark)
+    plain = vault.running_max
+    monkeypatch.setattr(vault, "running_max", lambda *given: plain(*given, room=room))
+    out = vault.value_status(uses, versions)
+    assert {r.use_id: (r.value_status, r.version) for r in out.collect()} == want
+    assert sorted(map(repr, out.select(*uses.columns).collect())) == sorted(map(repr, uses.collect())) and {s for s, _ in want.values()} == {"unknown", "current", "grace", "expired"}
+
+
+def test_uses_are_moved_once(spark):
+    """Where no value has very many uses, rows meet by one exchange of packed values; the counts before it and the slices cost none by the row."""
+    uses, versions, _ = uses_of_versions(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = vault.value_status(uses, versions)
+        out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    ran = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ran.count("Exchange hashpartitioning(") == 1 and ran.count("Window ") == 1
+
+
+def test_packed_texts_come_back(spark):
+    texts = ["", "00", "0123456789abcdef", "0123456789ABCDEF", "abc", "a", "é", "\x01", "xyz", " 00", "00 ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.packed(F.col("t")).alias("b"))
+    got = {r.t: (r.n, r.back) for r in df.select("t", F.length("b").alias("n"), tx.unpacked(F.col("b")).alias("back")).collect()}
+    assert {t: back for t, (_, back) in got.items()} == {t: t for t in texts} and df.select("b").distinct().count() == len(texts)
+    assert got["0123456789abcdef"][0] == 9 and got["0123456789ABCDEF"][0] == 17 and got[None][0] is None
+
+
 def test_uses_move_their_key_once(spark, monkeypatch):
     first = versions_of(spark, [("a", 1, "p", "2024-01-01", None, None)])
     uses = spark.createDataFrame([(1, "a", "p", "2024-01-02"), (2, "a", "q", "2024-01-02")], "use_id int, secret_id string, value_hash string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
